@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The analyses this library reproduces are all bounded-table jobs (batch reads,
+views, one-off reports); none has a stream, watermark or stateful operator.
+Run any operator inside ``foreachBatch`` if a stream has to feed it.
+"""
