@@ -53,6 +53,7 @@ class GlobalOrder:
     """
 
     df: DataFrame
+    pre: DataFrame          # input + _bkt, before any window (for per-bucket aggregates)
     stats: DataFrame
     totals: DataFrame
     boundaries: list[tuple]
@@ -158,64 +159,103 @@ def global_order(df: DataFrame, order_cols: list[str], sum_cols: list[str] = (),
     for c in sum_cols:
         ranked = ranked.withColumn(f"_run_{c}", F.col(f"_off_{c}") + F.col(f"_lrun_{c}"))
     ranked = ranked.drop(*[f"_lrun_{c}" for c in sum_cols])
-    return GlobalOrder(ranked, stats, totals, boundaries, order_cols, sum_cols, dtypes)
+    return GlobalOrder(ranked, b, stats, totals, boundaries, order_cols, sum_cols, dtypes)
 
 
 # ---------------------------------------------------------------------------
 # groups that may straddle bucket boundaries
+#
+# Boundaries B_1 < ... < B_m (key tuples); bucket b holds keys in [B_b, B_{b+1}).
+# For a key prefix of length p let P_i = B_i[:p]. A group of rows with equal
+# prefix g can only continue from bucket b into b+1 when g == P_{b+1}; it then
+# fills every bucket up to the last one whose lower boundary prefix is g. The
+# corrections below are therefore functions of the bucket number, taken from
+# per-bucket aggregates over the rows *before* the window (map-side partial
+# aggregation, at most k rows shuffled) and index arithmetic on the boundary
+# list. The windowed rows are computed once.
 # ---------------------------------------------------------------------------
 
-def _straddling(go: GlobalOrder, prefix_cols: list[str]) -> DataFrame | None:
-    """Distinct key prefixes of the boundaries (at most k rows), or None."""
-    p = len(prefix_cols)
-    prefixes = sorted({tuple(b[:p]) for b in go.boundaries}, key=repr)
-    if not prefixes:
-        return None
-    spark = go.df.sparkSession
-    schema = T.StructType([T.StructField(c, T.StringType() if _needs_string_roundtrip(go.dtypes[c])
-                                         else go.dtypes[c], True) for c in prefix_cols])
-    frame = spark.createDataFrame(prefixes, schema)
-    return frame.select(*[F.col(c).cast(go.dtypes[c]).alias(c) for c in prefix_cols])
+def _prefix_parts(go: GlobalOrder, p: int):
+    cols = go.order_cols[:p]
+    prefixes = [tuple(b[:p]) for b in go.boundaries]
+    arr = F.array(*[F.struct(*[_literal(v, go.dtypes[c]).alias(c) for v, c in zip(t, cols)])
+                    for t in prefixes])
+    key = F.struct(*[F.col(c).alias(c) for c in cols])
+    return prefixes, arr, key
 
 
-def _fix_groups(go: GlobalOrder, prefix_cols: list[str], aggs: list[Column]) -> DataFrame | None:
-    """Exact aggregates for the (<= k) groups whose prefix equals a boundary prefix."""
-    keys = _straddling(go, prefix_cols)
-    if keys is None:
-        return None
-    rows = go.df.join(F.broadcast(keys), prefix_cols, "left_semi")
-    return F.broadcast(rows.groupBy(*prefix_cols).agg(*aggs))
+def _index_frame(go: GlobalOrder, pairs: list[tuple[int, int]], names: tuple[str, str]) -> DataFrame:
+    spark = go.df.sparkSession
+    return spark.createDataFrame(pairs, f"{names[0]} int, {names[1]} int")
 
 
 def range_running_sum(go: GlobalOrder, peer_cols: list[str], c: str, out: str) -> DataFrame:
     """Running sum of ``c`` with the SQL default frame (RANGE ... CURRENT ROW):
     rows with equal ``peer_cols`` share the value that includes all of them.
-    ``peer_cols`` must be a prefix of the order key and non-NULL.
+    ``peer_cols`` must be a prefix of the order key.
     """
-    assert go.order_cols[:len(peer_cols)] == list(peer_cols)
-    w = Window.partitionBy("_bkt").orderBy(*[F.col(p).asc_nulls_first() for p in peer_cols])
-    local = F.sum(c).over(w)            # RANGE frame by default
-    df = go.df.withColumn("_range_local", F.col(f"_off_{c}") + local)
-    fix = _fix_groups(go, peer_cols, [F.max_by(f"_run_{c}", "_rn").alias("_range_fix")])
-    if fix is None:
+    p = len(peer_cols)
+    assert go.order_cols[:p] == list(peer_cols)
+    w = Window.partitionBy("_bkt").orderBy(*[F.col(x).asc_nulls_first() for x in peer_cols])
+    df = go.df.withColumn("_range_local", F.col(f"_off_{c}") + F.sum(c).over(w))   # RANGE frame
+    m = len(go.boundaries)
+    if m == 0:
         return df.withColumnRenamed("_range_local", out)
-    return (df.join(fix, peer_cols, "left")
-            .withColumn(out, F.coalesce(F.col("_range_fix"), F.col("_range_local")))
+    prefixes, arr, key = _prefix_parts(go, p)
+    # sum of c over the rows of bucket b whose prefix equals its lower boundary prefix
+    low = key.eqNullSafe(F.try_element_at(arr, F.greatest(F.col("_bkt"), F.lit(1)))) & (F.col("_bkt") >= 1)
+    lowsum = go.pre.groupBy("_bkt").agg(F.sum(F.when(low, F.col(c))).alias("_lowsum"))
+    # rows of bucket b with prefix P_{b+1} take the value at the end of their
+    # group: offset + lowsum of the last bucket whose lower prefix is P_{b+1}
+    last_of = {}
+    for i, t in enumerate(prefixes):
+        last_of[t] = i + 1
+    pairs = [(b, last_of[prefixes[b]]) for b in range(m)]
+    idx = _index_frame(go, pairs, ("_bkt", "_src"))
+    src = (go.stats.select(F.col("_bkt").alias("_src"), F.col(f"_off_{c}").alias("_src_off"))
+           .join(lowsum.select(F.col("_bkt").alias("_src"), "_lowsum"), "_src", "left"))
+    fix = idx.join(src, "_src", "left").select(
+        "_bkt", (F.col("_src_off") + F.coalesce(F.col("_lowsum"), F.lit(0))).alias("_range_fix"))
+    high = key.eqNullSafe(F.try_element_at(arr, F.col("_bkt") + 1))
+    return (df.join(F.broadcast(fix), "_bkt", "left")                       # <= k rows
+            .withColumn(out, F.when(high & F.col("_range_fix").isNotNull(), F.col("_range_fix"))
+                        .otherwise(F.col("_range_local")).cast(df.schema["_range_local"].dataType))
             .drop("_range_fix", "_range_local"))
 
 
 def partition_row_number(go: GlobalOrder, part_cols: list[str], out: str) -> DataFrame:
     """Row number inside groups of ``part_cols`` (a prefix of the order key)."""
-    assert go.order_cols[:len(part_cols)] == list(part_cols)
-    rest = go.order_cols[len(part_cols):]
+    p = len(part_cols)
+    assert go.order_cols[:p] == list(part_cols)
+    rest = go.order_cols[p:]
     w = Window.partitionBy("_bkt", *part_cols).orderBy(*[F.col(x).asc_nulls_first() for x in rest])
     df = go.df.withColumn("_prn_local", F.row_number().over(w))
-    fix = _fix_groups(go, part_cols, [F.min("_rn").alias("_prn_first")])
-    if fix is None:
+    m = len(go.boundaries)
+    if m == 0:
         return df.withColumnRenamed("_prn_local", out)
-    return (df.join(fix, part_cols, "left")
-            .withColumn(out, F.coalesce(F.col("_rn") - F.col("_prn_first") + 1, F.col("_prn_local")))
-            .drop("_prn_first", "_prn_local"))
+    prefixes, arr, key = _prefix_parts(go, p)
+    # rows of bucket b that belong to the group continuing into bucket b+1
+    high = key.eqNullSafe(F.try_element_at(arr, F.col("_bkt") + 1))
+    cnt_high = go.pre.groupBy("_bkt").agg(F.count(F.when(high, F.lit(1))).alias("_cnt_high"))
+    first_of = {}
+    for i, t in enumerate(prefixes):
+        first_of.setdefault(t, i)
+    # bucket b >= 1 with lower prefix g = P_b: earlier rows of g are the tail of
+    # bucket first(g) plus every bucket strictly between first(g) and b
+    pairs = [(b, first_of[prefixes[b - 1]]) for b in range(1, m + 1)]
+    idx = _index_frame(go, pairs, ("_bkt", "_first"))
+    off = go.stats.select("_bkt", "_off_cnt")
+    cont = (idx.join(off.select("_bkt", F.col("_off_cnt").alias("_off_b")), "_bkt", "left")
+            .join(off.select((F.col("_bkt") - 1).alias("_first"), F.col("_off_cnt").alias("_off_f1")),
+                  "_first", "left")
+            .join(cnt_high.select(F.col("_bkt").alias("_first"), "_cnt_high"), "_first", "left")
+            .select("_bkt", (F.col("_off_b") - F.col("_off_f1") + F.coalesce(F.col("_cnt_high"), F.lit(0)))
+                    .alias("_cont")))
+    low = key.eqNullSafe(F.try_element_at(arr, F.greatest(F.col("_bkt"), F.lit(1)))) & (F.col("_bkt") >= 1)
+    return (df.join(F.broadcast(cont), "_bkt", "left")                      # <= k rows
+            .withColumn(out, F.when(low & F.col("_cont").isNotNull(), F.col("_prn_local") + F.col("_cont"))
+                        .otherwise(F.col("_prn_local")))
+            .drop("_cont", "_prn_local"))
 
 
 def partition_lag(df: DataFrame, go: GlobalOrder, part_cols: list[str], value_cols: list[str],
@@ -224,20 +264,24 @@ def partition_lag(df: DataFrame, go: GlobalOrder, part_cols: list[str], value_co
 
     ``df`` is ``go.df`` or a frame derived from it row by row (same ``_bkt``,
     ``_lrn``). The first row of a bucket takes its predecessor from the last
-    row of the previous non-empty bucket (a table of at most k rows).
+    row of the previous non-empty bucket (per-bucket maximum of the key, at
+    most k rows).
     """
     fields = part_cols + value_cols
     w = Window.partitionBy("_bkt").orderBy(*[F.col(x).asc_nulls_first() for x in go.order_cols])
     row = F.struct(*[F.col(x).alias(x) for x in fields])
     df = df.withColumn("_prev", F.lag(row).over(w))
-    last = go.df.groupBy("_bkt").agg(F.max_by(row, "_lrn").alias("_last"))
-    prev_last = last.select(
-        F.lead("_bkt").over(Window.orderBy("_bkt")).alias("_bkt"),          # <= k rows
-        F.col("_last").alias("_prev_bkt_last"))
-    df = (df.join(F.broadcast(prev_last.where(F.col("_bkt").isNotNull())), "_bkt", "left")
-          .withColumn("_prev", F.when(F.col("_lrn") == 1, F.col("_prev_bkt_last"))
-                      .otherwise(F.col("_prev")))
-          .drop("_prev_bkt_last"))
+    if go.boundaries:
+        keyed = F.struct(*[F.col(x).alias(f"_k{i}") for i, x in enumerate(go.order_cols)],
+                         row.alias("_row"))
+        last = go.pre.groupBy("_bkt").agg(F.max(keyed)["_row"].alias("_last"))
+        prev_last = last.select(
+            F.lead("_bkt").over(Window.orderBy("_bkt")).alias("_bkt"),      # <= k rows
+            F.col("_last").alias("_prev_bkt_last"))
+        df = (df.join(F.broadcast(prev_last.where(F.col("_bkt").isNotNull())), "_bkt", "left")
+              .withColumn("_prev", F.when(F.col("_lrn") == 1, F.col("_prev_bkt_last"))
+                          .otherwise(F.col("_prev")))
+              .drop("_prev_bkt_last"))
     same = F.lit(True)
     for p in part_cols:
         same = same & F.col("_prev")[p].eqNullSafe(F.col(p))
@@ -276,13 +320,21 @@ def exact_median(df: DataFrame, value_col: str, id_col: str, out: str = "median"
                  buckets: int | None = None) -> DataFrame:
     """Exact median: mean of the values at ranks floor((N+1)/2) and ceil((N+1)/2).
 
-    One output row; NULL for an empty input. No single task holds all values.
+    One output row; NULL for an empty input. The bucket offsets locate the
+    (at most two) buckets holding those ranks; only their rows are sorted.
     """
     go = global_order(df, [value_col, id_col], buckets=buckets)
-    n = F.broadcast(go.totals.select("_n"))
+    n = go.totals.select("_n")
     lo = F.floor((F.col("_n") + 1) / 2)
     hi = F.ceil((F.col("_n") + 1) / 2)
-    mid = go.df.crossJoin(n).where((F.col("_rn") == lo) | (F.col("_rn") == hi))
+    first, last = F.col("_off_cnt") + 1, F.col("_off_cnt") + F.col("_cnt")
+    targets = (go.stats.crossJoin(n)
+               .where(lo.between(first, last) | hi.between(first, last))
+               .select("_bkt", "_off_cnt", "_n"))                               # <= 2 rows
+    rows = go.pre.join(F.broadcast(targets), "_bkt")
+    w = Window.partitionBy("_bkt").orderBy(F.col(value_col).asc_nulls_first(), F.col(id_col).asc_nulls_first())
+    pos = F.col("_off_cnt") + F.row_number().over(w)
+    mid = rows.withColumn("_pos", pos).where((F.col("_pos") == lo) | (F.col("_pos") == hi))
     return mid.agg(F.try_divide(F.sum(value_col).cast("double"),
                                 F.count(value_col).cast("double")).alias(out))
 

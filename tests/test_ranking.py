@@ -20,7 +20,7 @@ def skewed(spark):
         (F.col("id") * 31 % 101).alias("t")).cache()
 
 
-@pytest.mark.parametrize("buckets", [1, 5, 16])
+@pytest.mark.parametrize("buckets", [1, 5, 16, 60])
 def test_row_number_and_range_sum(skewed, buckets):
     go = R.global_order(skewed, ["sales", "pid"], ["sales"], buckets=buckets)
     got = R.range_running_sum(go, ["sales"], "sales", "cum")
@@ -34,7 +34,7 @@ def test_row_number_and_range_sum(skewed, buckets):
         assert len(sizes) > 1 and max(sizes) < 2400 * 0.6   # the hot value is split
 
 
-@pytest.mark.parametrize("buckets", [1, 7])
+@pytest.mark.parametrize("buckets", [1, 7, 45])
 def test_partitioned_sequence(skewed, buckets):
     go = R.global_order(skewed, ["cust", "t", "pid"], buckets=buckets)
     got = R.partition_lag(R.partition_row_number(go, ["cust"], "n"), go, ["cust"], ["t", "sales"])
@@ -81,3 +81,23 @@ def test_row_window_is_partitioned_by_bucket(skewed):
     # rows are windowed per bucket; only the per-bucket stats (<= k rows) see
     # an un-partitioned window
     assert "hashpartitioning(_bkt" in plan
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_random_duplicates(spark, seed):
+    import random
+    rnd = random.Random(seed)
+    rows = [(i, rnd.choice([0, 1, 1, 1, 2, 3, rnd.randint(0, 40)]), rnd.randint(0, 5)) for i in range(900)]
+    df = spark.createDataFrame(rows, "pid long, v long, g long")
+    k = rnd.choice([3, 11, 30])
+    go = R.global_order(df, ["v", "pid"], ["v"], buckets=k)
+    got = R.range_running_sum(go, ["v"], "v", "cum")
+    ref = (df.withColumn("rn", F.row_number().over(Window.orderBy("v", "pid")))
+           .withColumn("cum2", F.sum("v").over(Window.orderBy("v"))))
+    assert got.join(ref, "pid").where((F.col("_rn") != F.col("rn")) | (F.col("cum") != F.col("cum2"))).count() == 0
+    go2 = R.global_order(df, ["g", "v", "pid"], buckets=k)
+    got2 = R.partition_lag(R.partition_row_number(go2, ["g"], "n"), go2, ["g"], ["v"])
+    w = Window.partitionBy("g").orderBy("v", "pid")
+    ref2 = df.withColumn("n2", F.row_number().over(w)).withColumn("pv", F.lag("v").over(w))
+    bad = got2.join(ref2, "pid").where((F.col("n") != F.col("n2")) | ~F.col("prev_v").eqNullSafe(F.col("pv")))
+    assert bad.count() == 0
