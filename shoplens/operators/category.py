@@ -47,27 +47,53 @@ def order_product(items: DataFrame, products: DataFrame, dictionary: DataFrame)
         "order_id", "product_id", "clean_category", "category_group", "price")
 
 
+def order_group_summary(items: DataFrame, products: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Per (order, category group): item rows and their price sum, plus
+    ``_known`` (False for the 'Unknown' rows of products outside the
+    dictionary). Far smaller than the item table (one row per order and
+    group); every category report below aggregates this instead of the items.
+    """
+    d = F.broadcast(dictionary.select("product_category", "category_group")
+                    .withColumn("_known", F.lit(True)))
+    pc = products.select("product_id", "product_category").join(d, "product_category", "left")
+    rows = items.select("order_id", "product_id", "price").join(pc, "product_id")
+    return (rows.groupBy("order_id", F.coalesce(F.col("category_group"), F.lit(UNKNOWN)).alias("category_group"),
+                         F.coalesce(F.col("_known"), F.lit(False)).alias("_known"))
+            .agg(F.count(F.lit(1)).alias("_items"), F.sum("price").alias("_sales")))
+
+
+def _as_summary(df: DataFrame) -> DataFrame:
+    """Accept the item x category view or an ``order_group_summary``."""
+    if "_items" in df.columns:
+        return df.where(F.col("_known")) if "_known" in df.columns else df
+    return (df.groupBy("order_id", "category_group")
+            .agg(F.count(F.lit(1)).alias("_items"), F.sum("price").alias("_sales")))
+
+
 def category_orders(op: DataFrame) -> DataFrame:
     """Distinct orders per category group (an order counts once per group)."""
-    return op.groupBy("category_group").agg(F.count_distinct("order_id").alias("order_cnt"))
+    return _as_summary(op).groupBy("category_group").agg(F.count(F.lit(1)).alias("order_cnt"))
 
 
 def _summary(op: DataFrame) -> DataFrame:
-    return op.groupBy("category_group").agg(
-        F.count_distinct("order_id").alias("order_cnt"),
-        F.count(F.lit(1)).alias("item_cnt"),
-        F.sum("price").alias("_sales"))
+    return _as_summary(op).groupBy("category_group").agg(
+        F.count(F.lit(1)).alias("order_cnt"),
+        F.sum("_items").cast("bigint").alias("item_cnt"),
+        F.sum("_sales").alias("_sales"))
 
 
 def category_rank(op: DataFrame, measure: str = "order_cnt") -> DataFrame:
     """Dense rank of category groups by order count or by sales (descending).
     The grouped input has one row per group, so the rank window is tiny."""
+    s = _summary(op)
     if measure == "order_cnt":
-        s = op.groupBy("category_group").agg(F.count_distinct("order_id").alias("order_cnt"))
-        return s.withColumn("order_cnt_rnk", F.dense_rank().over(Window.orderBy(F.desc("order_cnt"))).cast("bigint"))
+        return s.select("category_group", "order_cnt",
+                        F.dense_rank().over(Window.orderBy(F.desc("order_cnt"))).cast("bigint")
+                        .alias("order_cnt_rnk"))
     if measure == "sales":
-        s = op.groupBy("category_group").agg(money(F.sum("price")).alias("sales"))
-        return s.withColumn("sales_rnk", F.dense_rank().over(Window.orderBy(F.desc("sales"))).cast("bigint"))
+        return s.select("category_group", money("_sales").alias("sales"),
+                        F.dense_rank().over(Window.orderBy(F.desc("_sales"))).cast("bigint")
+                        .alias("sales_rnk"))
     raise ValueError("measure must be 'order_cnt' or 'sales'")
 
 
@@ -98,7 +124,13 @@ def category_item_price(op: DataFrame) -> DataFrame:
 
 
 def order_category_counts(items: DataFrame, products: DataFrame, dictionary: DataFrame,
-                          unknown: str = "drop") -> DataFrame:
-    """Item rows per (order, category group), reduced before any join to orders."""
-    return (item_categories(items, products, dictionary, unknown)
-            .groupBy("order_id", "category_group").agg(F.count(F.lit(1)).alias("_items")))
+                          unknown: str = "drop", summary: DataFrame | None = None) -> DataFrame:
+    """Item rows per (order, category group), reduced before any join to orders.
+    Reuses a precomputed :func:`order_group_summary` when given."""
+    if summary is None:
+        summary = order_group_summary(items, products, dictionary)
+    if unknown == "drop":
+        summary = summary.where(F.col("_known"))
+    elif unknown != "keep":
+        raise ValueError("unknown must be 'drop' or 'keep'")
+    return summary.select("order_id", "category_group", "_items")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.functions.common import count_if, round_half_up, safe_ratio
-from shoplens.operators.category import product_categories
+from shoplens.operators.category import order_group_summary
 from shoplens.operators.first_purchase import first_delivered_order
 from shoplens.operators.master import PERSON
 from shoplens.operators.ranking import drop_internal, global_order, partition_row_number
@@ -38,14 +38,15 @@ def star_customers(scored: DataFrame) -> DataFrame:
 
 def first_categories(customers: DataFrame, orders: DataFrame, items: DataFrame,
                      products: DataFrame, dictionary: DataFrame,
-                     status: str = "delivered") -> DataFrame:
+                     status: str = "delivered", summary: DataFrame | None = None) -> DataFrame:
     """Distinct (person, category group) of the first delivered order's items
-    with a known category."""
+    with a known category. A person has one first order, and the (order,
+    group) pairs are distinct already, so no further DISTINCT is needed."""
     fo = first_delivered_order(customers, orders, status).select(PERSON, "order_id")
-    pc = product_categories(products, dictionary, "drop").select("product_id", "category_group")
-    cats = (items.select("order_id", "product_id").join(pc, "product_id")
-            .select("order_id", "category_group").distinct())
-    return fo.join(cats, "order_id").select(PERSON, "category_group").distinct()
+    if summary is None:
+        summary = order_group_summary(items, products, dictionary)
+    cats = summary.where(F.col("_known")).select("order_id", "category_group")
+    return fo.join(cats, "order_id").select(PERSON, "category_group")
 
 
 def cohort_match_report(first_cats: DataFrame, cohort: DataFrame) -> DataFrame:

@@ -22,13 +22,14 @@ def orders_per_person(customers: DataFrame, orders: DataFrame, status: str | Non
 
 def segment_category_mix(segments: DataFrame, customers: DataFrame, orders: DataFrame,
                          items: DataFrame, products: DataFrame, dictionary: DataFrame,
-                         by: str = "pareto_segment", digits: int | None = 4) -> DataFrame:
+                         by: str = "pareto_segment", digits: int | None = 4,
+                         summary: DataFrame | None = None) -> DataFrame:
     """Item rows per (segment, category group) over all orders of the
     segment's customers (known categories only), and the share within the segment.
 
     Item rows are reduced to (order, group) counts, then to (customer id,
     group), then joined to persons and segments: no join sees a hot key."""
-    per_order = order_category_counts(items, products, dictionary, "drop")
+    per_order = order_category_counts(items, products, dictionary, "drop", summary)
     per_id = (per_order.join(orders.select("order_id", "customer_id"), "order_id")
               .groupBy("customer_id", "category_group").agg(F.sum("_items").alias("_items")))
     per_person = per_id.join(customers.select("customer_id", PERSON), "customer_id")

@@ -65,9 +65,10 @@ def sequence_stats(seq: DataFrame) -> DataFrame:
 
 
 def _sequence_category_counts(seq: DataFrame, items: DataFrame, products: DataFrame,
-                              dictionary: DataFrame, times, unknown: str) -> DataFrame:
+                              dictionary: DataFrame, times, unknown: str,
+                              summary: DataFrame | None = None) -> DataFrame:
     s = seq.where(F.col("order_times").isin(list(times))).select("order_id", "order_times")
-    per_order = order_category_counts(items, products, dictionary, unknown)
+    per_order = order_category_counts(items, products, dictionary, unknown, summary)
     return (per_order.join(s, "order_id")
             .groupBy("order_times", "category_group")
             .agg(F.sum("_items").cast("bigint").alias("cnt")))
@@ -75,19 +76,19 @@ def _sequence_category_counts(seq: DataFrame, items: DataFrame, products: DataFr
 
 def sequence_category_mix(seq: DataFrame, items: DataFrame, products: DataFrame,
                           dictionary: DataFrame, times=(1, 2, 3, 4), unknown: str = "drop",
-                          digits: int | None = 4) -> DataFrame:
+                          digits: int | None = 4, summary: DataFrame | None = None) -> DataFrame:
     """Item rows per (order number, category group) and their share within
     the order number. Unknown categories are dropped by default."""
-    counts = _sequence_category_counts(seq, items, products, dictionary, times, unknown)
+    counts = _sequence_category_counts(seq, items, products, dictionary, times, unknown, summary)
     return share_within(counts, "cnt", ["order_times"], "ratio", digits)
 
 
 def sequence_category_pivot(seq: DataFrame, items: DataFrame, products: DataFrame,
                             dictionary: DataFrame, times=(1, 2, 3, 4),
-                            unknown: str = "keep") -> DataFrame:
+                            unknown: str = "keep", summary: DataFrame | None = None) -> DataFrame:
     """Category group x order number (1..4) of unrounded shares; unknown
     categories kept as 'Unknown'. NULL where a group has no item."""
-    counts = _sequence_category_counts(seq, items, products, dictionary, times, unknown)
+    counts = _sequence_category_counts(seq, items, products, dictionary, times, unknown, summary)
     shares = share_within(counts, "cnt", ["order_times"], "ratio", None)
     return (shares.groupBy("category_group")
             .pivot("order_times", list(times)).agg(F.max("ratio"))

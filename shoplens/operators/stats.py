@@ -2,12 +2,10 @@
 independence, Pearson residuals with a Bonferroni flag, and A/B sample sizes.
 
 The count table is a DataFrame (one row per category, one count column per
-cohort); totals come from one-row aggregates joined back, so nothing but a
-scalar ever reaches the driver. Normal quantiles that depend only on
-parameters (alpha, power) are computed on the driver from the standard
-library; those that depend on the data (the Bonferroni z for m categories)
-and the chi-square tail probability are evaluated by a small pandas UDF on a
-one-row frame.
+cohort); totals come from one-row aggregates joined back. Only scalars reach
+the driver: the number of categories m (for the Bonferroni z) and the chi2
+statistic (for its tail probability); these special functions are evaluated
+there with the standard library and go back into the plan as literals.
 
 Note: a person can count in several categories (one per category of the
 first order), so cells are memberships, not independent observations; the
@@ -19,10 +17,8 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shoplens.functions.common import round_half_up
 
@@ -97,16 +93,6 @@ def two_sided_power_root(alpha: float, power: float) -> float:
     return d
 
 
-@F.pandas_udf(T.DoubleType())
-def _chi2_sf_udf(x: pd.Series, dof: pd.Series) -> pd.Series:
-    return pd.Series([chi2_sf(float(a), float(b)) for a, b in zip(x, dof)])
-
-
-@F.pandas_udf(T.DoubleType())
-def _norm_ppf_udf(q: pd.Series) -> pd.Series:
-    return pd.Series([norm_ppf(float(v)) for v in q])
-
-
 # ---------------------------------------------------------------------------
 # operators
 # ---------------------------------------------------------------------------
@@ -147,7 +133,9 @@ def chi_square_statistic(counts: DataFrame, count_cols: list[str]) -> DataFrame:
 def chi_square_independence(counts: DataFrame, count_cols: list[str]) -> DataFrame:
     """chi2, dof and the p-value P(chi-square(dof) > chi2)."""
     s = chi_square_statistic(counts, count_cols)
-    return s.withColumn("p_value", _chi2_sf_udf(F.col("chi2"), F.col("dof").cast("double")))
+    row = s.first()                                            # one row: two scalars
+    p = None if row is None or row["chi2"] is None else chi2_sf(float(row["chi2"]), float(row["dof"]))
+    return s.withColumn("p_value", F.lit(p).cast("double"))
 
 
 def residual_report(counts: DataFrame, label_col: str = "category_group",
@@ -167,12 +155,12 @@ def residual_report(counts: DataFrame, label_col: str = "category_group",
             den = F.sqrt(e * (1 - F.col("_rt") / F.col("_grand")) * (1 - F.col(f"_ct_{c}") / F.col("_grand")))
         return F.try_divide(F.col(c).cast("double") - e, den)
 
-    m = F.broadcast(counts.agg(F.count(F.lit(1)).alias("_m")))                  # one row
-    z = m.select(_norm_ppf_udf(F.lit(1.0) - F.lit(alpha) / F.col("_m") / F.lit(2.0)).alias("_z"))
+    m = counts.count()                                         # one scalar
+    z = norm_ppf(1.0 - (alpha / m) / 2.0) if m else float("inf")
     out = df.select(label_col, resid(cohort_col).alias("star_resid"),
-                    resid(other_col).alias("one_time_resid")).crossJoin(F.broadcast(z))
+                    resid(other_col).alias("one_time_resid"))
     return out.select(label_col, "star_resid", "one_time_resid",
-                      (F.abs("star_resid") > F.col("_z")).alias("significant_bonferroni"))
+                      (F.abs("star_resid") > F.lit(z)).alias("significant_bonferroni"))
 
 
 def ab_sample_size(baselines: DataFrame, p1_col: str = "p1",

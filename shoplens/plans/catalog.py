@@ -83,6 +83,12 @@ class Context:
         return self._get("order_product", lambda: category.order_product(
             t.items, t.products, self.dictionary), persist=False)
 
+    @property
+    def order_groups(self) -> DataFrame:    # items and sales per (order, category group)
+        t = self.t
+        return self._get("order_groups", lambda: category.order_group_summary(
+            t.items, t.products, self.dictionary))
+
     @property
     def first_items(self) -> DataFrame:
         t = self.t
@@ -93,7 +99,8 @@ class Context:
     def first_cats(self) -> DataFrame:
         t = self.t
         return self._get("first_cats", lambda: cohort.first_categories(
-            t.customers, t.orders, t.items, t.products, self.dictionary, t.delivered))
+            t.customers, t.orders, t.items, t.products, self.dictionary, t.delivered,
+            self.order_groups))
 
     @property
     def stars(self) -> DataFrame:           # star_customer
@@ -211,12 +218,14 @@ def q_sequence_stats(spark, d):
 
 def q_sequence_category_mix(spark, d):
     c = context(spark, d)
-    return sequence.sequence_category_mix(c.sequence, c.t.items, c.t.products, c.dictionary)
+    return sequence.sequence_category_mix(c.sequence, c.t.items, c.t.products, c.dictionary,
+                                          summary=c.order_groups)
 
 
 def q_sequence_category_pivot(spark, d):
     c = context(spark, d)
-    return sequence.sequence_category_pivot(c.sequence, c.t.items, c.t.products, c.dictionary)
+    return sequence.sequence_category_pivot(c.sequence, c.t.items, c.t.products, c.dictionary,
+                                            summary=c.order_groups)
 
 
 def q_lorenz_curve(spark, d):
@@ -234,7 +243,8 @@ def q_value_segments(spark, d):
 def q_segment_category_mix(spark, d):
     c = context(spark, d)
     return segments.segment_category_mix(c.segments, c.t.customers, c.t.orders, c.t.items,
-                                         c.t.products, c.dictionary, "pareto_segment")
+                                         c.t.products, c.dictionary, "pareto_segment",
+                                         summary=c.order_groups)
 
 
 def q_segment_order_counts(spark, d):
@@ -257,7 +267,7 @@ def q_order_product(spark, d):
 
 
 def q_category_orders(spark, d):
-    return category.category_orders(context(spark, d).order_product)
+    return category.category_orders(context(spark, d).order_groups)
 
 
 def q_mapping_cardinality(spark, d):
@@ -265,19 +275,19 @@ def q_mapping_cardinality(spark, d):
 
 
 def q_category_rank_orders(spark, d):
-    return category.category_rank(context(spark, d).order_product, "order_cnt")
+    return category.category_rank(context(spark, d).order_groups, "order_cnt")
 
 
 def q_category_rank_sales(spark, d):
-    return category.category_rank(context(spark, d).order_product, "sales")
+    return category.category_rank(context(spark, d).order_groups, "sales")
 
 
 def q_category_order_value(spark, d):
-    return category.category_order_value(context(spark, d).order_product)
+    return category.category_order_value(context(spark, d).order_groups)
 
 
 def q_category_item_price(spark, d):
-    return category.category_item_price(context(spark, d).order_product)
+    return category.category_item_price(context(spark, d).order_groups)
 
 
 def q_region_core_share(spark, d):
