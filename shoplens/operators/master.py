@@ -17,7 +17,13 @@ PERSON = "customer_unique_id"
 
 
 def order_payment_totals(payments: DataFrame) -> DataFrame:
-    """Payments are 1:N per order: sum them per order before any join."""
+    """Payments are 1:N per order: sum them per order before any join.
+
+    Idempotent: a frame that already holds ``order_payment_total`` per order
+    (e.g. a persisted result of this function) is passed through.
+    """
+    if "order_payment_total" in payments.columns:
+        return payments.select("order_id", "order_payment_total")
     return payments.groupBy("order_id").agg(F.sum("payment_value").alias("order_payment_total"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.functions.common import money
+from shoplens.operators.master import order_payment_totals
 
 
 def _delivered(orders: DataFrame, status: str) -> DataFrame:
@@ -13,19 +14,19 @@ def _delivered(orders: DataFrame, status: str) -> DataFrame:
 
 
 def total_sales(orders: DataFrame, payments: DataFrame, status: str = "delivered") -> DataFrame:
-    """Sum of all payments of delivered orders (semi join: an order key never
-    multiplies payment rows)."""
-    paid = payments.join(_delivered(orders, status), "order_id", "left_semi")
-    return paid.agg(money(F.sum("payment_value")).alias("total_sales"))
+    """Sum of all payments of delivered orders (summed per order first, then
+    a semi join: an order key never multiplies payment rows)."""
+    paid = order_payment_totals(payments).join(_delivered(orders, status), "order_id", "left_semi")
+    return paid.agg(money(F.sum("order_payment_total")).alias("total_sales"))
 
 
 def monthly_sales(orders: DataFrame, payments: DataFrame, status: str = "delivered") -> DataFrame:
     """Delivered sales per purchase month ``yyyy-MM``. Payments are summed per
     order first, so the join to orders is 1:1."""
-    per_order = payments.groupBy("order_id").agg(F.sum("payment_value").alias("_v"))
+    per_order = order_payment_totals(payments)
     j = _delivered(orders, status).join(per_order, "order_id")
     return (j.groupBy(F.date_format("purchase_timestamp", "yyyy-MM").alias("year_m"))
-            .agg(money(F.sum("_v")).alias("sales")))
+            .agg(money(F.sum("order_payment_total")).alias("sales")))
 
 
 def monthly_sales_by_type(orders: DataFrame, payments: DataFrame,
