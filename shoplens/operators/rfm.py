@@ -157,3 +157,18 @@ def rfm_exploration_base(v: DataFrame, customers: DataFrame, orders: DataFrame,
                 .where(F.col("order_count") >= min_orders).select(PERSON))
     return (v.join(eligible, PERSON, "left_semi")
             .withColumn("per_sales", safe_ratio("total_sales", "order_freq")))
+
+
+def delivered_recency(customers: DataFrame, orders: DataFrame, as_of: str,
+                      status: str = "delivered", min_orders: int = 2) -> DataFrame:
+    """Persons with at least ``min_orders`` delivered orders (paid or not) and
+    the days from their last delivered purchase to ``as_of`` (the recency
+    base of the exploratory script: no payment join)."""
+    per_id = (orders.where(F.col("status") == status)
+              .groupBy("customer_id").agg(F.count("order_id").alias("_n"),
+                                          F.max("purchase_timestamp").alias("_last")))
+    per_person = (per_id.join(customers.select("customer_id", PERSON), "customer_id")
+                  .groupBy(PERSON).agg(F.sum("_n").alias("_n"), F.max("_last").alias("_last")))
+    return (per_person.where(F.col("_n") >= min_orders)
+            .select(PERSON, F.datediff(F.lit(as_of).cast("date"), F.col("_last").cast("date"))
+                    .alias("last_diff_days")))

@@ -67,6 +67,12 @@ class Context:
     def scored(self) -> DataFrame:          # v_rfm_scored
         return self._get("scored", lambda: rfm.rfm_scored(self.base, self.buckets))
 
+    @property
+    def exploration_scored(self) -> DataFrame:   # scoring on the exploratory repeat rule
+        t = self.t
+        return self._get("exploration_scored", lambda: rfm.rfm_scored(
+            rfm.rfm_exploration_base(self.delivered, t.customers, t.orders, t.delivered), self.buckets))
+
     @property
     def curve(self) -> DataFrame:           # customer_lorenz
         return self._get("curve", lambda: lorenz.lorenz_curve(self.master, self.buckets))
@@ -353,6 +359,24 @@ def q_rfm_exploration_base(spark, d):
     return _delivered_out(rfm.rfm_exploration_base(c.delivered, c.t.customers, c.t.orders, c.t.delivered))
 
 
+def q_recency_bins_exploration(spark, d):
+    t = context(spark, d).t
+    return rfm.recency_bins(rfm.delivered_recency(t.customers, t.orders, t.as_of, t.delivered),
+                            digits=None)
+
+
+def q_rfm_exploration_scored(spark, d):
+    return rfm.scored_output(context(spark, d).exploration_scored)
+
+
+def q_persona_distribution_exploration(spark, d):
+    return rfm.persona_distribution(context(spark, d).exploration_scored)
+
+
+def q_bcg_quadrants_exploration(spark, d):
+    return rfm.bcg_quadrants(context(spark, d).exploration_scored)
+
+
 def q_frequency_distribution(spark, d):
     return rfm.frequency_distribution(context(spark, d).base)
 

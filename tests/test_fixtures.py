@@ -126,6 +126,9 @@ def test_first_order_two_categories_counts_in_both(spark):
     r = cohort.cohort_match_report(cats, cohort_df).collect()[0]
     assert (r.star_total, r.matched_customers, r.lost_customers, r.multi_category_customers,
             r.total_category_memberships, r.excess_from_multi) == (1, 1, 0, 1, 2, 1)
+    v = master.customer_delivered_orders(t.customers, t.orders, t.payments, t.as_of)
+    lift = {r.category_group: r.star_cnt for r in cohort.cohort_lift(cats, cohort_df, v).collect()}
+    assert lift == {"Home & Living": 1, "Books & Media": 1, "Sports & Leisure": 0}
 
 
 def test_dirty_category_and_null(spark):
@@ -204,13 +207,16 @@ def test_zero_denominators_give_null(spark):
     m = master.customer_master(t.customers, t.orders, t.payments)
     r = funnel.funnel_rates(m).collect()[0]
     assert r.delivered_customer_rate == 0.0 and r.repeat_rate is None and r.interest_to_repeat_rate is None
-    counts = spark.createDataFrame([("A", 1, 0), ("B", 0, 0)],
-                                   "category_group string, star_cnt bigint, one_time_cnt bigint")
     v = spark.createDataFrame([], "customer_unique_id string, order_freq bigint")
     cats = spark.createDataFrame([("u1", "A")], "customer_unique_id string, category_group string")
     star = spark.createDataFrame([("u1",)], "customer_unique_id string")
     assert cohort.cohort_lift(cats, star, v).count() == 0
-    del counts
+    # one-time customers exist but none in category A: lift is NULL, no error
+    v2 = spark.createDataFrame([("u1", 3), ("u2", 1)], "customer_unique_id string, order_freq bigint")
+    cats2 = spark.createDataFrame([("u1", "A"), ("u2", "B")], "customer_unique_id string, category_group string")
+    rows = {r.category_group: r for r in cohort.cohort_lift(cats2, star, v2).collect()}
+    assert rows["A"].star_cnt == 1 and rows["A"].one_time_cnt == 0 and rows["A"].lift is None
+    assert rows["A"].star_pct == 100.0 and rows["B"].one_time_pct == 100.0 and rows["B"].lift == 0.0
 
 
 def test_sequence_gaps_and_unpaid(spark):
