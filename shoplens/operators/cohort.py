@@ -38,11 +38,12 @@ def star_customers(scored: DataFrame) -> DataFrame:
 
 def first_categories(customers: DataFrame, orders: DataFrame, items: DataFrame,
                      products: DataFrame, dictionary: DataFrame,
-                     status: str = "delivered", summary: DataFrame | None = None) -> DataFrame:
+                     status: str = "delivered", summary: DataFrame | None = None,
+                     facts: DataFrame | None = None) -> DataFrame:
     """Distinct (person, category group) of the first delivered order's items
     with a known category. A person has one first order, and the (order,
     group) pairs are distinct already, so no further DISTINCT is needed."""
-    fo = first_delivered_order(customers, orders, status).select(PERSON, "order_id")
+    fo = first_delivered_order(customers, orders, status, facts).select(PERSON, "order_id")
     if summary is None:
         summary = order_group_summary(items, products, dictionary)
     cats = summary.where(F.col("_known")).select("order_id", "category_group")
@@ -99,11 +100,14 @@ def cohort_lift(first_cats: DataFrame, cohort: DataFrame, delivered: DataFrame,
 
 
 def repeat_baseline(base: DataFrame, customers: DataFrame, orders: DataFrame,
-                    status: str = "delivered") -> DataFrame:
+                    status: str = "delivered", facts: DataFrame | None = None) -> DataFrame:
     """Repeat customers (``rfm_base``, paid) over all persons with a delivered
     order (paid or not)."""
-    o = orders.where(F.col("status") == status).select("customer_id").distinct()
-    persons = (o.join(customers.select("customer_id", PERSON), "customer_id")
-               .agg(F.count_distinct(PERSON).alias("_d")))
+    if facts is not None:
+        persons = facts.agg(F.count_if(F.col("n_delivered") >= 1).alias("_d"))
+    else:
+        o = orders.where(F.col("status") == status).select("customer_id").distinct()
+        persons = (o.join(customers.select("customer_id", PERSON), "customer_id")
+                   .agg(F.count_distinct(PERSON).alias("_d")))
     rep = base.agg(F.count(F.lit(1)).alias("_r"))
     return rep.crossJoin(persons).select(safe_ratio("_r", "_d").alias("baseline_pct"))

@@ -11,12 +11,17 @@ from shoplens.operators.master import PERSON
 
 
 def first_delivered_order(customers: DataFrame, orders: DataFrame,
-                          status: str = "delivered") -> DataFrame:
+                          status: str = "delivered", facts: DataFrame | None = None) -> DataFrame:
     """Per person the earliest delivered order (ties: smaller order id):
     ``customer_unique_id, first_day, order_id``.
 
     ``min(struct(time, order_id))`` per customer id, then per person: two
-    hash aggregates with map-side combine instead of a per-person window."""
+    hash aggregates with map-side combine instead of a per-person window.
+    With ``facts`` (person_order_facts) it is read from there."""
+    if facts is not None:
+        return (facts.where(F.col("first_delivered").isNotNull())
+                .select(PERSON, F.col("first_delivered.t").alias("first_day"),
+                        F.col("first_delivered.oid").alias("order_id")))
     first = F.min(F.struct(F.col("purchase_timestamp").alias("t"), F.col("order_id").alias("oid")))
     per_id = (orders.where(F.col("status") == status)
               .groupBy("customer_id").agg(first.alias("_f")))
@@ -27,9 +32,9 @@ def first_delivered_order(customers: DataFrame, orders: DataFrame,
 
 def first_order_items(customers: DataFrame, orders: DataFrame, items: DataFrame,
                       products: DataFrame, dictionary: DataFrame,
-                      status: str = "delivered") -> DataFrame:
+                      status: str = "delivered", facts: DataFrame | None = None) -> DataFrame:
     """Items of each person's first delivered order with a known category."""
-    fo = first_delivered_order(customers, orders, status)
+    fo = first_delivered_order(customers, orders, status, facts)
     pc = product_categories(products, dictionary, "drop")
     return (fo.join(items.select("order_id", "product_id"), "order_id")
             .join(pc, "product_id")

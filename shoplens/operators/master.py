@@ -44,25 +44,74 @@ def latest_row_per_key(df: DataFrame, key: str | list[str], order_cols: list[str
             .select(*keys, *[F.col("_latest")[a].alias(a) for a in attrs]))
 
 
-def one_customer(customers: DataFrame, orders: DataFrame) -> DataFrame:
-    """One row per person with at least one order: latest customer id and
-    address (latest purchase, then larger customer id), order count, first and
-    last purchase."""
-    per_id = (orders.groupBy("customer_id")
-              .agg(F.count("order_id").alias("_n"),
-                   F.min("purchase_timestamp").alias("_first"),
-                   F.max("purchase_timestamp").alias("_last")))
+def customer_order_facts(orders: DataFrame, payments: DataFrame,
+                         status: str = "delivered") -> DataFrame:
+    """Everything the customer-level views need, per customer id, in one pass:
+    one scan of ``orders``, one join to per-order payment totals, one hash
+    aggregation with conditional aggregates (map-side partial aggregation, so
+    a customer with a huge share of the orders is reduced in every map task).
+
+    ``paid`` means the order has at least one payment row (inner-join
+    semantics of the original views).
+    """
+    paid = order_payment_totals(payments).withColumn("_has_pay", F.lit(True))
+    o = (orders.select("order_id", "customer_id", "status", "purchase_timestamp")
+         .join(paid, "order_id", "left"))
+    ts = F.col("purchase_timestamp")
+    delivered = F.col("status") == status
+    paid_del = delivered & F.col("_has_pay").isNotNull()
+    return o.groupBy("customer_id").agg(
+        F.count("order_id").alias("n_orders"),
+        F.min(ts).alias("first_ts"),
+        F.max(ts).alias("last_ts"),
+        F.count(F.when(delivered, F.col("order_id"))).alias("n_delivered"),
+        F.max(F.when(delivered, ts)).alias("last_delivered_ts"),
+        F.min(F.when(delivered, F.struct(ts.alias("t"), F.col("order_id").alias("oid"))))
+        .alias("first_delivered"),
+        F.count(F.when(paid_del, F.col("order_id"))).alias("n_paid"),
+        F.max(F.when(paid_del, ts)).alias("last_paid_ts"),
+        F.sum(F.when(paid_del, F.col("order_payment_total"))).alias("paid_sales"))
+
+
+def person_order_facts(customers: DataFrame, orders: DataFrame, payments: DataFrame,
+                       status: str = "delivered", facts: DataFrame | None = None) -> DataFrame:
+    """Per person (``customer_unique_id``) with at least one order: the
+    latest customer id and address (latest purchase, then larger customer
+    id), order counts and dates for all / delivered / paid delivered orders,
+    paid sales, and the first delivered order (time, order id).
+
+    The per-customer-id facts join customers 1:1, then reduce per person.
+    Pass a persisted ``facts`` (this function's own result) to share it.
+    """
+    if facts is not None:
+        return facts
+    f = customer_order_facts(orders, payments, status)
     c = customers.select("customer_id", PERSON, "state", "clean_city", "zip_code_prefix")
-    joined = per_id.join(c, "customer_id")
-    latest = F.max(F.struct(F.col("_last").alias("t"), F.col("customer_id").alias("cid"),
+    latest = F.max(F.struct(F.col("last_ts").alias("t"), F.col("customer_id").alias("cid"),
                             F.col("state").alias("state"), F.col("clean_city").alias("clean_city"),
                             F.col("zip_code_prefix").alias("zip_code_prefix")))
-    per_person = joined.groupBy(PERSON).agg(
+    return f.join(c, "customer_id").groupBy(PERSON).agg(
         latest.alias("_l"),
-        F.sum("_n").cast("bigint").alias("order_cnt"),
-        F.min("_first").alias("first_order"),
-        F.max("_last").alias("last_order"))
-    return per_person.select(
+        F.sum("n_orders").cast("bigint").alias("order_cnt"),
+        F.min("first_ts").alias("first_order"),
+        F.max("last_ts").alias("last_order"),
+        F.sum("n_delivered").cast("bigint").alias("n_delivered"),
+        F.max("last_delivered_ts").alias("last_delivered_ts"),
+        F.min("first_delivered").alias("first_delivered"),
+        F.sum("n_paid").cast("bigint").alias("n_paid"),
+        F.max("last_paid_ts").alias("last_paid_ts"),
+        F.sum("paid_sales").alias("paid_sales"))
+
+
+def one_customer(customers: DataFrame, orders: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """One row per person with at least one order: latest customer id and
+    address (latest purchase, then larger customer id), order count, first and
+    last purchase."""
+    if facts is None:
+        no_payments = (orders.select("order_id", F.lit(None).cast("decimal(12,2)").alias("payment_value"))
+                       .where(F.lit(False)))                  # empty; the optimizer drops the join
+        facts = person_order_facts(customers, orders, no_payments)
+    return facts.select(
         F.col("_l.cid").alias("customer_id"), PERSON,
         F.col("_l.state").alias("state"), F.col("_l.clean_city").alias("clean_city"),
         F.col("_l.zip_code_prefix").alias("zip_code_prefix"),
@@ -70,55 +119,39 @@ def one_customer(customers: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def delivered_summary(customers: DataFrame, orders: DataFrame, payments: DataFrame,
-                      status: str = "delivered") -> DataFrame:
+                      status: str = "delivered", facts: DataFrame | None = None) -> DataFrame:
     """Per person: number of delivered orders that have a payment, and their
     paid sales (orders without any payment drop out: inner join)."""
-    paid = order_payment_totals(payments)
-    d = (orders.where(F.col("status") == status).select("order_id", "customer_id")
-         .join(paid, "order_id"))
-    per_id = d.groupBy("customer_id").agg(F.count("order_id").alias("_n"),
-                                          F.sum("order_payment_total").alias("_s"))
-    return (per_id.join(customers.select("customer_id", PERSON), "customer_id")
-            .groupBy(PERSON)
-            .agg(F.sum("_n").cast("bigint").alias("delivered_order_cnt"),
-                 F.sum("_s").alias("sales")))
+    pf = person_order_facts(customers, orders, payments, status, facts)
+    return pf.where(F.col("n_paid") >= 1).select(
+        PERSON, F.col("n_paid").alias("delivered_order_cnt"), F.col("paid_sales").alias("sales"))
 
 
 def customer_master(customers: DataFrame, orders: DataFrame, payments: DataFrame,
-                    status: str = "delivered") -> DataFrame:
+                    status: str = "delivered", facts: DataFrame | None = None) -> DataFrame:
     """``one_customer`` + delivered summary + 0/1 flags:
     active (>= 1 paid delivered order), repeat (>= 2), interest (>= 2 orders of any status)."""
-    oc = one_customer(customers, orders)
-    dv = delivered_summary(customers, orders, payments, status)
-    m = oc.join(dv, PERSON, "left")
-    dcnt = F.coalesce(F.col("delivered_order_cnt"), F.lit(0).cast("bigint"))
-    sales_type = dv.schema["sales"].dataType
-    return m.select(
-        "customer_id", PERSON, "state", "clean_city", "zip_code_prefix",
+    pf = person_order_facts(customers, orders, payments, status, facts)
+    dcnt = F.col("n_paid")
+    return pf.select(
+        F.col("_l.cid").alias("customer_id"), PERSON,
+        F.col("_l.state").alias("state"), F.col("_l.clean_city").alias("clean_city"),
+        F.col("_l.zip_code_prefix").alias("zip_code_prefix"),
         "order_cnt", "first_order", "last_order",
         dcnt.alias("delivered_order_cnt"),
-        F.coalesce(F.col("sales"), F.lit(0).cast(sales_type)).alias("sales"),
+        F.coalesce(F.col("paid_sales"), F.lit(0).cast(pf.schema["paid_sales"].dataType)).alias("sales"),
         flag(dcnt >= 1).alias("active_customer"),
         flag(dcnt >= 2).alias("repeat_customer"),
         flag(F.col("order_cnt") >= 2).alias("interest_customer"))
 
 
 def customer_delivered_orders(customers: DataFrame, orders: DataFrame, payments: DataFrame,
-                              as_of: str, status: str = "delivered") -> DataFrame:
+                              as_of: str, status: str = "delivered",
+                              facts: DataFrame | None = None) -> DataFrame:
     """Per person over delivered orders that have a payment: order count,
     last purchase, days from it to ``as_of`` (date parts only), paid sales."""
-    paid = order_payment_totals(payments)
-    d = (orders.where(F.col("status") == status).select("order_id", "customer_id", "purchase_timestamp")
-         .join(paid, "order_id"))
-    per_id = d.groupBy("customer_id").agg(F.count("order_id").alias("_n"),
-                                          F.max("purchase_timestamp").alias("_last"),
-                                          F.sum("order_payment_total").alias("_s"))
-    per_person = (per_id.join(customers.select("customer_id", PERSON), "customer_id")
-                  .groupBy(PERSON)
-                  .agg(F.sum("_n").cast("bigint").alias("order_freq"),
-                       F.max("_last").alias("last_order"),
-                       F.sum("_s").alias("total_sales")))
-    return per_person.select(
-        PERSON, "order_freq", "last_order",
-        F.datediff(F.lit(as_of).cast("date"), F.col("last_order").cast("date")).alias("last_diff_days"),
-        "total_sales")
+    pf = person_order_facts(customers, orders, payments, status, facts)
+    return pf.where(F.col("n_paid") >= 1).select(
+        PERSON, F.col("n_paid").alias("order_freq"), F.col("last_paid_ts").alias("last_order"),
+        F.datediff(F.lit(as_of).cast("date"), F.col("last_paid_ts").cast("date")).alias("last_diff_days"),
+        F.col("paid_sales").alias("total_sales"))

@@ -137,38 +137,44 @@ def bcg_quadrants(scored: DataFrame) -> DataFrame:
 
 
 def one_time_delivered_orders(customers: DataFrame, orders: DataFrame,
-                              status: str = "delivered") -> DataFrame:
+                              status: str = "delivered", facts: DataFrame | None = None) -> DataFrame:
     """Delivered orders (paid or not) of persons with fewer than two of them."""
     from shoplens.operators.segments import orders_per_person
-    per_person = orders_per_person(customers, orders, status)
+    per_person = orders_per_person(customers, orders, status, facts)
     return (per_person.where(F.col("order_count") < 2)
             .agg(F.sum("order_count").cast("bigint").alias("one_time_orders")))
 
 
 def rfm_exploration_base(v: DataFrame, customers: DataFrame, orders: DataFrame,
-                         status: str = "delivered", min_orders: int = 2) -> DataFrame:
+                         status: str = "delivered", min_orders: int = 2,
+                         facts: DataFrame | None = None) -> DataFrame:
     """The exploratory variant of :func:`rfm_base`: who is a repeat customer
     is decided on delivered orders *before* the payment join, while the RFM
     values come after it. A person with two delivered orders, one unpaid, is
     therefore kept with ``order_freq = 1`` (and scores ``F_HIGH`` by the
     frequency rule's ELSE branch)."""
     from shoplens.operators.segments import orders_per_person
-    eligible = (orders_per_person(customers, orders, status)
+    eligible = (orders_per_person(customers, orders, status, facts)
                 .where(F.col("order_count") >= min_orders).select(PERSON))
     return (v.join(eligible, PERSON, "left_semi")
             .withColumn("per_sales", safe_ratio("total_sales", "order_freq")))
 
 
 def delivered_recency(customers: DataFrame, orders: DataFrame, as_of: str,
-                      status: str = "delivered", min_orders: int = 2) -> DataFrame:
+                      status: str = "delivered", min_orders: int = 2,
+                      facts: DataFrame | None = None) -> DataFrame:
     """Persons with at least ``min_orders`` delivered orders (paid or not) and
     the days from their last delivered purchase to ``as_of`` (the recency
     base of the exploratory script: no payment join)."""
-    per_id = (orders.where(F.col("status") == status)
-              .groupBy("customer_id").agg(F.count("order_id").alias("_n"),
-                                          F.max("purchase_timestamp").alias("_last")))
-    per_person = (per_id.join(customers.select("customer_id", PERSON), "customer_id")
-                  .groupBy(PERSON).agg(F.sum("_n").alias("_n"), F.max("_last").alias("_last")))
+    if facts is not None:
+        per_person = facts.select(PERSON, F.col("n_delivered").alias("_n"),
+                                  F.col("last_delivered_ts").alias("_last"))
+    else:
+        per_id = (orders.where(F.col("status") == status)
+                  .groupBy("customer_id").agg(F.count("order_id").alias("_n"),
+                                              F.max("purchase_timestamp").alias("_last")))
+        per_person = (per_id.join(customers.select("customer_id", PERSON), "customer_id")
+                      .groupBy(PERSON).agg(F.sum("_n").alias("_n"), F.max("_last").alias("_last")))
     return (per_person.where(F.col("_n") >= min_orders)
             .select(PERSON, F.datediff(F.lit(as_of).cast("date"), F.col("_last").cast("date"))
                     .alias("last_diff_days")))

@@ -11,9 +11,16 @@ from shoplens.operators.category import order_category_counts
 from shoplens.operators.master import PERSON
 
 
-def orders_per_person(customers: DataFrame, orders: DataFrame, status: str | None = None) -> DataFrame:
+def orders_per_person(customers: DataFrame, orders: DataFrame, status: str | None = None,
+                      facts: DataFrame | None = None) -> DataFrame:
     """Order count per person (any status unless given); counts are reduced
-    per customer id before the join to customers."""
+    per customer id before the join to customers. With ``facts`` (from
+    :func:`shoplens.operators.master.person_order_facts`, built for the same
+    status) the counts are read from there."""
+    if facts is not None:
+        if status is None:
+            return facts.select(PERSON, F.col("order_cnt").alias("order_count"))
+        return facts.where(F.col("n_delivered") >= 1).select(PERSON, F.col("n_delivered").alias("order_count"))
     o = orders if status is None else orders.where(F.col("status") == status)
     per_id = o.groupBy("customer_id").agg(F.count("order_id").alias("_n"))
     return (per_id.join(customers.select("customer_id", PERSON), "customer_id")
@@ -39,19 +46,21 @@ def segment_category_mix(segments: DataFrame, customers: DataFrame, orders: Data
 
 
 def segment_order_counts(segments: DataFrame, customers: DataFrame, orders: DataFrame,
-                         by: str = "pareto_segment", digits: int | None = 4) -> DataFrame:
+                         by: str = "pareto_segment", digits: int | None = 4,
+                         facts: DataFrame | None = None) -> DataFrame:
     """Distribution of the number of orders (any status) per segment."""
-    per_person = orders_per_person(customers, orders)
+    per_person = orders_per_person(customers, orders, None, facts)
     counts = (segments.select(PERSON, by).join(per_person, PERSON)
               .groupBy(by, "order_count").agg(F.count(F.lit(1)).alias("customer_cnt")))
     return share_within(counts, "customer_cnt", [by], "ratio", digits)
 
 
 def order_count_distribution(master: DataFrame, customers: DataFrame, orders: DataFrame,
-                             status: str = "delivered", digits: int | None = 4) -> DataFrame:
+                             status: str = "delivered", digits: int | None = 4,
+                             facts: DataFrame | None = None) -> DataFrame:
     """Distribution of the number of delivered orders (paid or not) over the
     master's persons that have at least one."""
-    per_person = orders_per_person(customers, orders, status)
+    per_person = orders_per_person(customers, orders, status, facts)
     counts = (per_person.join(master.select(PERSON), PERSON)
               .groupBy("order_count").agg(F.count(F.lit(1)).alias("customer_cnt")))
     return share_within(counts, "customer_cnt", None, "ratio", digits)

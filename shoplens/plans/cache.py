@@ -1,16 +1,23 @@
 """Reuse of intermediate frames that are read several times.
 
-``keep`` persists with MEMORY_AND_DISK. Lost blocks are recomputed from the
-lineage; every frame kept here is a deterministic function of the input
-tables (aggregates and joins, no sampling or partition ids), so a recomputed
-partition holds the same rows. ``release`` drops everything kept so far.
-
-For very long lineages ``cut`` writes a reliable checkpoint into the session's
-checkpoint folder (``spark.checkpoint.dir`` on a cluster).
+``materialize`` writes a frame once as Parquet under the session's checkpoint
+folder (``spark.checkpoint.dir`` on a cluster: shared, reliable storage) and
+reads it back. That cuts the lineage: later reports plan against a small
+scan instead of re-analysing the whole chain of views, a lost executor costs
+a re-read instead of a recomputation, and Parquet reads get column pruning,
+filter pushdown and real size statistics for join planning.
+
+``keep`` persists with MEMORY_AND_DISK for frames that one operator reads a
+few times (count, sample, statistics, result). Every frame kept here is a
+deterministic function of the input tables, so recomputed blocks hold the
+same rows. ``release`` drops everything kept so far.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
@@ -25,11 +32,30 @@ def keep(df: DataFrame) -> DataFrame:
     return df
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to ``<checkpoint dir>/shoplens/<run>/<name>`` and read it back."""
+    spark = df.sparkSession
+    base = checkpoint_dir(spark)
+    path = os.path.join(base, "shoplens", _run_id(), name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint (lineage cut) of an arbitrary frame."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+_RUN = []
+
+
+def _run_id() -> str:
+    if not _RUN:
+        _RUN.append(uuid.uuid4().hex[:12])
+    return _RUN[0]
+
+
 def release() -> None:
     while _KEPT:
         _KEPT.pop().unpersist(blocking=False)

@@ -9,6 +9,7 @@ in :mod:`shoplens.plans.oracle`.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from shoplens.functions.common import money
 from shoplens.operators import (category, cohort, first_purchase, funnel, lorenz, master,
                                 quality, rfm, segments, sequence, stats, trend)
-from shoplens.plans.cache import keep
+from shoplens.plans.cache import materialize
 from shoplens.sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS
 from shoplens.sources.star_schema import Tables, from_star_schema
 
@@ -27,15 +28,18 @@ PERSON = master.PERSON
 class Context:
     """Lazily built, persisted intermediates over one set of tables."""
 
-    def __init__(self, tables: Tables, buckets: int | None = None):
+    def __init__(self, tables: Tables, buckets: int | None = None, tag: str = "ctx"):
         self.t = tables
         self.buckets = buckets
+        self.tag = tag
         self._memo: dict[str, DataFrame] = {}
 
     def _get(self, name: str, build: Callable[[], DataFrame], persist: bool = True) -> DataFrame:
+        """Build a view once; shared views are written once and read back
+        (lineage cut, see :func:`shoplens.plans.cache.materialize`)."""
         if name not in self._memo:
             df = build()
-            self._memo[name] = keep(df) if persist else df
+            self._memo[name] = materialize(df, f"{self.tag}_{name}") if persist else df
         return self._memo[name]
 
     # -- views of the reference, in build order --------------------------------
@@ -47,17 +51,23 @@ class Context:
     def paid(self) -> DataFrame:            # payments summed per order (1 row per order)
         return self._get("paid", lambda: master.order_payment_totals(self.t.payments))
 
+    @property
+    def facts(self) -> DataFrame:           # per-person order facts (one pass over orders)
+        t = self.t
+        return self._get("facts", lambda: master.person_order_facts(
+            t.customers, t.orders, self.paid, t.delivered))
+
     @property
     def master(self) -> DataFrame:          # customer_master_table
         t = self.t
         return self._get("master", lambda: master.customer_master(
-            t.customers, t.orders, self.paid, t.delivered))
+            t.customers, t.orders, self.paid, t.delivered, self.facts))
 
     @property
     def delivered(self) -> DataFrame:       # v_customer_delivered_orders
         t = self.t
         return self._get("delivered", lambda: master.customer_delivered_orders(
-            t.customers, t.orders, self.paid, t.as_of, t.delivered))
+            t.customers, t.orders, self.paid, t.as_of, t.delivered, self.facts))
 
     @property
     def base(self) -> DataFrame:            # v_rfm_base
@@ -71,7 +81,8 @@ class Context:
     def exploration_scored(self) -> DataFrame:   # scoring on the exploratory repeat rule
         t = self.t
         return self._get("exploration_scored", lambda: rfm.rfm_scored(
-            rfm.rfm_exploration_base(self.delivered, t.customers, t.orders, t.delivered), self.buckets))
+            rfm.rfm_exploration_base(self.delivered, t.customers, t.orders, t.delivered, 2, self.facts),
+            self.buckets))
 
     @property
     def curve(self) -> DataFrame:           # customer_lorenz
@@ -103,14 +114,14 @@ class Context:
     def first_items(self) -> DataFrame:
         t = self.t
         return self._get("first_items", lambda: first_purchase.first_order_items(
-            t.customers, t.orders, t.items, t.products, self.dictionary, t.delivered))
+            t.customers, t.orders, t.items, t.products, self.dictionary, t.delivered, self.facts))
 
     @property
     def first_cats(self) -> DataFrame:
         t = self.t
         return self._get("first_cats", lambda: cohort.first_categories(
             t.customers, t.orders, t.items, t.products, self.dictionary, t.delivered,
-            self.order_groups))
+            self.order_groups, self.facts))
 
     @property
     def stars(self) -> DataFrame:           # star_customer
@@ -122,12 +133,14 @@ class Context:
 
 
 _CONTEXTS: dict[tuple[int, str], Context] = {}
+_SERIAL = itertools.count()
 
 
 def context(spark: SparkSession, sf_dir: str) -> Context:
     key = (id(spark), sf_dir)
     if key not in _CONTEXTS:
-        _CONTEXTS[key] = Context(from_star_schema(spark, sf_dir))
+        tag = f"{next(_SERIAL)}_" + "".join(ch if ch.isalnum() else "_" for ch in sf_dir.strip("/"))[-40:]
+        _CONTEXTS[key] = Context(from_star_schema(spark, sf_dir), tag=tag)
     return _CONTEXTS[key]
 
 
@@ -180,8 +193,8 @@ def q_latest_row_per_key(spark, d):
 
 
 def q_one_customer(spark, d):
-    t = context(spark, d).t
-    return master.one_customer(t.customers, t.orders)
+    c = context(spark, d)
+    return master.one_customer(c.t.customers, c.t.orders, c.facts)
 
 
 def q_key_uniqueness(spark, d):
@@ -190,7 +203,8 @@ def q_key_uniqueness(spark, d):
 
 def q_delivered_summary(spark, d):
     t = context(spark, d).t
-    return master.delivered_summary(t.customers, t.orders, context(spark, d).paid, t.delivered).withColumn(
+    return master.delivered_summary(t.customers, t.orders, context(spark, d).paid, t.delivered,
+                                    context(spark, d).facts).withColumn(
         "sales", money("sales"))
 
 
@@ -259,17 +273,20 @@ def q_segment_category_mix(spark, d):
 
 def q_segment_order_counts(spark, d):
     c = context(spark, d)
-    return segments.segment_order_counts(c.segments, c.t.customers, c.t.orders, "pareto_segment")
+    return segments.segment_order_counts(c.segments, c.t.customers, c.t.orders, "pareto_segment",
+                                         facts=c.facts)
 
 
 def q_structure_order_counts(spark, d):
     c = context(spark, d)
-    return segments.segment_order_counts(c.segments, c.t.customers, c.t.orders, "structure_segment")
+    return segments.segment_order_counts(c.segments, c.t.customers, c.t.orders, "structure_segment",
+                                         facts=c.facts)
 
 
 def q_order_count_distribution(spark, d):
     c = context(spark, d)
-    return segments.order_count_distribution(c.master, c.t.customers, c.t.orders, c.t.delivered)
+    return segments.order_count_distribution(c.master, c.t.customers, c.t.orders, c.t.delivered,
+                                             facts=c.facts)
 
 
 def q_order_product(spark, d):
@@ -342,8 +359,8 @@ def q_one_time_count(spark, d):
 
 
 def q_one_time_delivered_orders(spark, d):
-    t = context(spark, d).t
-    return rfm.one_time_delivered_orders(t.customers, t.orders, t.delivered)
+    c = context(spark, d)
+    return rfm.one_time_delivered_orders(c.t.customers, c.t.orders, c.t.delivered, c.facts)
 
 
 def q_customer_type_profile(spark, d):
@@ -356,13 +373,14 @@ def q_rfm_base(spark, d):
 
 def q_rfm_exploration_base(spark, d):
     c = context(spark, d)
-    return _delivered_out(rfm.rfm_exploration_base(c.delivered, c.t.customers, c.t.orders, c.t.delivered))
+    return _delivered_out(rfm.rfm_exploration_base(c.delivered, c.t.customers, c.t.orders, c.t.delivered,
+                                                   2, c.facts))
 
 
 def q_recency_bins_exploration(spark, d):
-    t = context(spark, d).t
-    return rfm.recency_bins(rfm.delivered_recency(t.customers, t.orders, t.as_of, t.delivered),
-                            digits=None)
+    c = context(spark, d)
+    return rfm.recency_bins(rfm.delivered_recency(c.t.customers, c.t.orders, c.t.as_of, c.t.delivered,
+                                                  2, c.facts), digits=None)
 
 
 def q_rfm_exploration_scored(spark, d):
@@ -425,7 +443,7 @@ def q_cohort_lift(spark, d):
 
 def q_repeat_baseline(spark, d):
     c = context(spark, d)
-    return cohort.repeat_baseline(c.base, c.t.customers, c.t.orders, c.t.delivered)
+    return cohort.repeat_baseline(c.base, c.t.customers, c.t.orders, c.t.delivered, c.facts)
 
 
 def q_chi_square_statistic(spark, d):
