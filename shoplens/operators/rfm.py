@@ -87,7 +87,9 @@ def with_m_bucket(base: DataFrame, tiles: int = 4, buckets: int | None = None) -
 
 
 def ntile_summary(base: DataFrame, tiles: int = 4, buckets: int | None = None) -> DataFrame:
-    b = with_m_bucket(base, tiles, buckets)
+    """Size and sales range of each NTILE bucket of sales. Accepts
+    ``rfm_scored`` output (its ``m_bucket`` is reused) or the RFM base."""
+    b = base if "m_bucket" in base.columns else with_m_bucket(base, tiles, buckets)
     return b.groupBy("m_bucket").agg(
         F.count(F.lit(1)).alias("cnt"),
         money(F.min("total_sales")).alias("min_sales"),

@@ -132,15 +132,17 @@ class Context:
         return self._get("lift", lambda: cohort.cohort_lift(self.first_cats, self.stars, self.delivered))
 
 
-_CONTEXTS: dict[tuple[int, str], Context] = {}
+_CONTEXTS: dict[tuple, Context] = {}
 _SERIAL = itertools.count()
 
 
-def context(spark: SparkSession, sf_dir: str) -> Context:
-    key = (id(spark), sf_dir)
+def context(spark: SparkSession, sf_dir: str, buckets: int | None = None) -> Context:
+    """The shared views over one data folder. ``buckets`` forces the bucket
+    count of the distributed orderings (None: chosen from the row count)."""
+    key = (id(spark), sf_dir, buckets)
     if key not in _CONTEXTS:
         tag = f"{next(_SERIAL)}_" + "".join(ch if ch.isalnum() else "_" for ch in sf_dir.strip("/"))[-40:]
-        _CONTEXTS[key] = Context(from_star_schema(spark, sf_dir), tag=tag)
+        _CONTEXTS[key] = Context(from_star_schema(spark, sf_dir), buckets=buckets, tag=tag)
     return _CONTEXTS[key]
 
 
@@ -404,11 +406,12 @@ def q_recency_bins(spark, d):
 
 
 def q_mean_median(spark, d):
-    return rfm.mean_median(context(spark, d).base)
+    c = context(spark, d)
+    return rfm.mean_median(c.base, buckets=c.buckets)
 
 
 def q_ntile_summary(spark, d):
-    return rfm.ntile_summary(context(spark, d).base)
+    return rfm.ntile_summary(context(spark, d).scored)
 
 
 def q_rfm_scored(spark, d):
