@@ -1,4 +1,6 @@
-"""Query catalogue: every analysis as ``(spark, sf_dir) -> DataFrame``.
+"""Report catalogue: every analysis as a function of the shared views
+(``REPORTS``), bound to the driver data as ``(spark, sf_dir) -> DataFrame``
+(``QUERIES``) or run over any tables with :func:`run_reports`.
 
 Shared intermediates (customer master, delivered-order view, RFM base and
 scores, Lorenz curve, segments) are built once per (session, data folder)
@@ -163,309 +165,334 @@ def _delivered_out(v: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# queries
+# reports: one function of the shared views per analysis
 # ---------------------------------------------------------------------------
 
-def q_category_dictionary(spark, d):
-    return context(spark, d).dictionary.select(
+def r_category_dictionary(c: Context) -> DataFrame:
+    return c.dictionary.select(
         "product_category", "product_category_eng", "clean_category", "category_group")
 
 
-def q_clean_city(spark, d):
-    return context(spark, d).t.customers.select("customer_id", "city", "clean_city")
+def r_clean_city(c: Context) -> DataFrame:
+    return c.t.customers.select("customer_id", "city", "clean_city")
 
 
-def q_variant_report(spark, d):
-    return quality.variant_report(context(spark, d).t.customers, "state", "city", "clean_city",
-                                  "zip_code_prefix", 10)
+def r_variant_report(c: Context) -> DataFrame:
+    """Spelling variants of the city per zip (per ``extra['variant_key']``)."""
+    e = c.t.extra
+    return quality.variant_report(c.t.customers, e.get("variant_key", "zip_code_prefix"), "city",
+                                  "clean_city", e.get("variant_other", "state"), 10)
 
 
-def q_distinct_values(spark, d):
-    return quality.distinct_values(context(spark, d).t.customers, ["city", "state"],
-                                   F.col("zip_code_prefix") == "00001")
+def r_distinct_values(c: Context) -> DataFrame:
+    """City and state values of one zip (``extra['probe_zip']``), or of every
+    zip that has more than one city spelling."""
+    cust = c.t.customers
+    probe = c.t.extra.get("probe_zip")
+    if probe is not None:
+        return quality.distinct_values(cust, ["city", "state"], F.col("zip_code_prefix") == probe)
+    varied = (cust.groupBy("zip_code_prefix").agg(F.count_distinct("city").alias("_n"))
+              .where(F.col("_n") > 1).select("zip_code_prefix"))
+    return quality.distinct_values(cust.join(varied, "zip_code_prefix", "left_semi"),
+                                   ["zip_code_prefix", "city", "state"])
 
 
-def q_attribute_drift(spark, d):
-    return quality.attribute_drift(context(spark, d).t.orders, "customer_id", ["status", "priority"])
+def r_attribute_drift(c: Context) -> DataFrame:
+    """Persons whose customer rows disagree on state, city or zip."""
+    if c.t.extra.get("drift_on_orders"):
+        return quality.attribute_drift(c.t.orders, "customer_id", ["status", "priority"])
+    return quality.attribute_drift(c.t.customers, PERSON, ["state", "clean_city", "zip_code_prefix"])
 
 
-def q_latest_row_per_key(spark, d):
-    return master.latest_row_per_key(context(spark, d).t.orders, "customer_id",
-                                     ["purchase_timestamp", "order_id"], ["priority", "order_id"])
+def r_latest_row_per_key(c: Context) -> DataFrame:
+    """Latest customer row (address) per person by purchase time, then
+    customer id."""
+    t = c.t
+    if t.extra.get("latest_on_orders"):
+        return master.latest_row_per_key(t.orders, "customer_id",
+                                         ["purchase_timestamp", "order_id"], ["priority", "order_id"])
+    joined = t.orders.select("customer_id", "purchase_timestamp").join(
+        t.customers.select("customer_id", PERSON, "state", "clean_city", "zip_code_prefix"), "customer_id")
+    return master.latest_row_per_key(joined, PERSON, ["purchase_timestamp", "customer_id"],
+                                     ["customer_id", "state", "clean_city", "zip_code_prefix"])
 
 
-def q_one_customer(spark, d):
-    c = context(spark, d)
+def r_one_customer(c: Context) -> DataFrame:
     return master.one_customer(c.t.customers, c.t.orders, c.facts)
 
 
-def q_key_uniqueness(spark, d):
-    return quality.key_uniqueness(context(spark, d).master, PERSON)
+def r_key_uniqueness(c: Context) -> DataFrame:
+    return quality.key_uniqueness(c.master, PERSON)
 
 
-def q_delivered_summary(spark, d):
-    t = context(spark, d).t
-    return master.delivered_summary(t.customers, t.orders, context(spark, d).paid, t.delivered,
-                                    context(spark, d).facts).withColumn(
+def r_delivered_summary(c: Context) -> DataFrame:
+    t = c.t
+    return master.delivered_summary(t.customers, t.orders, c.paid, t.delivered,
+                                    c.facts).withColumn(
         "sales", money("sales"))
 
 
-def q_customer_master(spark, d):
-    return _master_out(context(spark, d).master)
+def r_customer_master(c: Context) -> DataFrame:
+    return _master_out(c.master)
 
 
-def q_flag_domain(spark, d):
-    return quality.distinct_values(context(spark, d).master, ["interest_customer"])
+def r_flag_domain(c: Context) -> DataFrame:
+    return quality.distinct_values(c.master, ["interest_customer"])
 
 
-def q_integrity_report(spark, d):
-    t = context(spark, d).t
+def r_integrity_report(c: Context) -> DataFrame:
+    t = c.t
     tables = {"customers": t.customers, "orders": t.orders, "order_payments": t.payments,
               "order_items": t.items, "products": t.products,
-              "category_names_english": context(spark, d).dictionary}
+              "category_names_english": c.dictionary}
     return quality.integrity_report(tables, FOREIGN_KEYS, PRIMARY_KEYS)
 
 
-def q_funnel_rates(spark, d):
-    return funnel.funnel_rates(context(spark, d).master)
+def r_funnel_rates(c: Context) -> DataFrame:
+    return funnel.funnel_rates(c.master)
 
 
-def q_funnel_stages(spark, d):
-    return funnel.funnel_stages(context(spark, d).master)
+def r_funnel_stages(c: Context) -> DataFrame:
+    return funnel.funnel_stages(c.master)
 
 
-def q_order_sequence(spark, d):
-    return sequence.sequence_output(context(spark, d).sequence)
+def r_order_sequence(c: Context) -> DataFrame:
+    return sequence.sequence_output(c.sequence)
 
 
-def q_sequence_stats(spark, d):
-    return sequence.sequence_stats(context(spark, d).sequence)
+def r_sequence_stats(c: Context) -> DataFrame:
+    return sequence.sequence_stats(c.sequence)
 
 
-def q_sequence_category_mix(spark, d):
-    c = context(spark, d)
+def r_sequence_category_mix(c: Context) -> DataFrame:
     return sequence.sequence_category_mix(c.sequence, c.t.items, c.t.products, c.dictionary,
                                           summary=c.order_groups)
 
 
-def q_sequence_category_pivot(spark, d):
-    c = context(spark, d)
+def r_sequence_category_pivot(c: Context) -> DataFrame:
     return sequence.sequence_category_pivot(c.sequence, c.t.items, c.t.products, c.dictionary,
                                             summary=c.order_groups)
 
 
-def q_lorenz_curve(spark, d):
-    return context(spark, d).curve
+def r_lorenz_curve(c: Context) -> DataFrame:
+    return c.curve
 
 
-def q_lorenz_peak(spark, d):
-    return lorenz.lorenz_peak(context(spark, d).curve)
+def r_lorenz_peak(c: Context) -> DataFrame:
+    return lorenz.lorenz_peak(c.curve)
 
 
-def q_value_segments(spark, d):
-    return context(spark, d).segments
+def r_value_segments(c: Context) -> DataFrame:
+    return c.segments
 
 
-def q_segment_category_mix(spark, d):
-    c = context(spark, d)
+def r_segment_category_mix(c: Context) -> DataFrame:
     return segments.segment_category_mix(c.segments, c.t.customers, c.t.orders, c.t.items,
                                          c.t.products, c.dictionary, "pareto_segment",
                                          summary=c.order_groups)
 
 
-def q_segment_order_counts(spark, d):
-    c = context(spark, d)
+def r_segment_order_counts(c: Context) -> DataFrame:
     return segments.segment_order_counts(c.segments, c.t.customers, c.t.orders, "pareto_segment",
                                          facts=c.facts)
 
 
-def q_structure_order_counts(spark, d):
-    c = context(spark, d)
+def r_structure_order_counts(c: Context) -> DataFrame:
     return segments.segment_order_counts(c.segments, c.t.customers, c.t.orders, "structure_segment",
                                          facts=c.facts)
 
 
-def q_order_count_distribution(spark, d):
-    c = context(spark, d)
+def r_order_count_distribution(c: Context) -> DataFrame:
     return segments.order_count_distribution(c.master, c.t.customers, c.t.orders, c.t.delivered,
                                              facts=c.facts)
 
 
-def q_order_product(spark, d):
-    return context(spark, d).order_product.withColumn("price", money("price"))
+def r_order_product(c: Context) -> DataFrame:
+    return c.order_product.withColumn("price", money("price"))
 
 
-def q_category_orders(spark, d):
-    return category.category_orders(context(spark, d).order_groups)
+def r_category_orders(c: Context) -> DataFrame:
+    return category.category_orders(c.order_groups)
 
 
-def q_mapping_cardinality(spark, d):
-    return quality.mapping_cardinality(context(spark, d).order_product, ["clean_category", "category_group"])
+def r_mapping_cardinality(c: Context) -> DataFrame:
+    return quality.mapping_cardinality(c.order_product, ["clean_category", "category_group"])
 
 
-def q_category_rank_orders(spark, d):
-    return category.category_rank(context(spark, d).order_groups, "order_cnt")
+def r_category_rank_orders(c: Context) -> DataFrame:
+    return category.category_rank(c.order_groups, "order_cnt")
 
 
-def q_category_rank_sales(spark, d):
-    return category.category_rank(context(spark, d).order_groups, "sales")
+def r_category_rank_sales(c: Context) -> DataFrame:
+    return category.category_rank(c.order_groups, "sales")
 
 
-def q_category_order_value(spark, d):
-    return category.category_order_value(context(spark, d).order_groups)
+def r_category_order_value(c: Context) -> DataFrame:
+    return category.category_order_value(c.order_groups)
 
 
-def q_category_item_price(spark, d):
-    return category.category_item_price(context(spark, d).order_groups)
+def r_category_item_price(c: Context) -> DataFrame:
+    return category.category_item_price(c.order_groups)
 
 
-def q_region_core_share(spark, d):
-    c = context(spark, d)
+def r_region_core_share(c: Context) -> DataFrame:
     return segments.region_core_share(c.segments, c.master)
 
 
-def q_first_order_items(spark, d):
-    return context(spark, d).first_items
+def r_first_order_items(c: Context) -> DataFrame:
+    return c.first_items
 
 
-def q_single_item_first_mix(spark, d):
-    return first_purchase.single_item_first_mix(context(spark, d).first_items)
+def r_single_item_first_mix(c: Context) -> DataFrame:
+    return first_purchase.single_item_first_mix(c.first_items)
 
 
-def q_total_sales(spark, d):
-    c = context(spark, d)
+def r_total_sales(c: Context) -> DataFrame:
     return trend.total_sales(c.t.orders, c.paid, c.t.delivered)
 
 
-def q_monthly_sales(spark, d):
-    c = context(spark, d)
+def r_monthly_sales(c: Context) -> DataFrame:
     return trend.monthly_sales(c.t.orders, c.paid, c.t.delivered)
 
 
-def q_monthly_sales_by_type(spark, d):
-    t = context(spark, d).t
+def r_monthly_sales_by_type(c: Context) -> DataFrame:
+    t = c.t
     return trend.monthly_sales_by_type(t.orders, t.payments, t.delivered)
 
 
-def q_order_status_totals(spark, d):
-    t = context(spark, d).t
+def r_order_status_totals(c: Context) -> DataFrame:
+    t = c.t
     return trend.order_status_totals(t.orders, t.delivered)
 
 
-def q_customer_delivered_orders(spark, d):
-    return _delivered_out(context(spark, d).delivered)
+def r_customer_delivered_orders(c: Context) -> DataFrame:
+    return _delivered_out(c.delivered)
 
 
-def q_one_time_count(spark, d):
-    return rfm.one_time_count(context(spark, d).delivered)
+def r_one_time_count(c: Context) -> DataFrame:
+    return rfm.one_time_count(c.delivered)
 
 
-def q_one_time_delivered_orders(spark, d):
-    c = context(spark, d)
+def r_one_time_delivered_orders(c: Context) -> DataFrame:
     return rfm.one_time_delivered_orders(c.t.customers, c.t.orders, c.t.delivered, c.facts)
 
 
-def q_customer_type_profile(spark, d):
-    return rfm.customer_type_profile(context(spark, d).delivered)
+def r_customer_type_profile(c: Context) -> DataFrame:
+    return rfm.customer_type_profile(c.delivered)
 
 
-def q_rfm_base(spark, d):
-    return _delivered_out(context(spark, d).base)
+def r_rfm_base(c: Context) -> DataFrame:
+    return _delivered_out(c.base)
 
 
-def q_rfm_exploration_base(spark, d):
-    c = context(spark, d)
+def r_rfm_exploration_base(c: Context) -> DataFrame:
     return _delivered_out(rfm.rfm_exploration_base(c.delivered, c.t.customers, c.t.orders, c.t.delivered,
                                                    2, c.facts))
 
 
-def q_recency_bins_exploration(spark, d):
-    c = context(spark, d)
+def r_recency_bins_exploration(c: Context) -> DataFrame:
     return rfm.recency_bins(rfm.delivered_recency(c.t.customers, c.t.orders, c.t.as_of, c.t.delivered,
                                                   2, c.facts), digits=None)
 
 
-def q_rfm_exploration_scored(spark, d):
-    return rfm.scored_output(context(spark, d).exploration_scored)
+def r_rfm_exploration_scored(c: Context) -> DataFrame:
+    return rfm.scored_output(c.exploration_scored)
 
 
-def q_persona_distribution_exploration(spark, d):
-    return rfm.persona_distribution(context(spark, d).exploration_scored)
+def r_persona_distribution_exploration(c: Context) -> DataFrame:
+    return rfm.persona_distribution(c.exploration_scored)
 
 
-def q_bcg_quadrants_exploration(spark, d):
-    return rfm.bcg_quadrants(context(spark, d).exploration_scored)
+def r_bcg_quadrants_exploration(c: Context) -> DataFrame:
+    return rfm.bcg_quadrants(c.exploration_scored)
 
 
-def q_frequency_distribution(spark, d):
-    return rfm.frequency_distribution(context(spark, d).base)
+def r_frequency_distribution(c: Context) -> DataFrame:
+    return rfm.frequency_distribution(c.base)
 
 
-def q_recency_bins(spark, d):
-    return rfm.recency_bins(context(spark, d).base)
+def r_recency_bins(c: Context) -> DataFrame:
+    return rfm.recency_bins(c.base)
 
 
-def q_mean_median(spark, d):
-    c = context(spark, d)
+def r_mean_median(c: Context) -> DataFrame:
     return rfm.mean_median(c.base, buckets=c.buckets)
 
 
-def q_ntile_summary(spark, d):
-    return rfm.ntile_summary(context(spark, d).scored)
+def r_ntile_summary(c: Context) -> DataFrame:
+    return rfm.ntile_summary(c.scored)
 
 
-def q_rfm_scored(spark, d):
-    return rfm.scored_output(context(spark, d).scored)
+def r_rfm_scored(c: Context) -> DataFrame:
+    return rfm.scored_output(c.scored)
 
 
-def q_persona_distribution(spark, d):
-    return rfm.persona_distribution(context(spark, d).scored)
+def r_persona_distribution(c: Context) -> DataFrame:
+    return rfm.persona_distribution(c.scored)
 
 
-def q_bcg_quadrants(spark, d):
-    return rfm.bcg_quadrants(context(spark, d).scored)
+def r_bcg_quadrants(c: Context) -> DataFrame:
+    return rfm.bcg_quadrants(c.scored)
 
 
-def q_first_order(spark, d):
-    c = context(spark, d)
+def r_first_order(c: Context) -> DataFrame:
     return cohort.first_order(c.t.customers, c.t.orders, c.t.delivered, c.buckets)
 
 
-def q_star_customers(spark, d):
-    return rfm.scored_output(context(spark, d).stars)
+def r_star_customers(c: Context) -> DataFrame:
+    return rfm.scored_output(c.stars)
 
 
-def q_cohort_match_report(spark, d):
-    c = context(spark, d)
+def r_cohort_match_report(c: Context) -> DataFrame:
     return cohort.cohort_match_report(c.first_cats, c.stars)
 
 
-def q_cohort_lift(spark, d):
-    return context(spark, d).lift
+def r_cohort_lift(c: Context) -> DataFrame:
+    return c.lift
 
 
-def q_repeat_baseline(spark, d):
-    c = context(spark, d)
+def r_repeat_baseline(c: Context) -> DataFrame:
     return cohort.repeat_baseline(c.base, c.t.customers, c.t.orders, c.t.delivered, c.facts)
 
 
-def q_chi_square_statistic(spark, d):
-    return stats.chi_square_statistic(context(spark, d).lift, ["star_cnt", "one_time_cnt"])
+def r_chi_square_statistic(c: Context) -> DataFrame:
+    return stats.chi_square_statistic(c.lift, ["star_cnt", "one_time_cnt"])
 
 
-def q_chi_square_independence(spark, d):
-    return stats.chi_square_independence(context(spark, d).lift, ["star_cnt", "one_time_cnt"])
+def r_chi_square_independence(c: Context) -> DataFrame:
+    return stats.chi_square_independence(c.lift, ["star_cnt", "one_time_cnt"])
 
 
-def q_residual_report(spark, d):
-    return stats.residual_report(context(spark, d).lift)
+def r_residual_report(c: Context) -> DataFrame:
+    return stats.residual_report(c.lift)
 
 
-def q_ab_sample_size(spark, d):
-    base = q_repeat_baseline(spark, d).select(F.col("baseline_pct").alias("p1"))
+def r_ab_sample_size(c: Context) -> DataFrame:
+    base = r_repeat_baseline(c).select(F.col("baseline_pct").alias("p1"))
     return stats.ab_sample_size(base)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    name[2:]: fn for name, fn in list(globals().items()) if name.startswith("q_") and callable(fn)
+REPORTS: dict[str, Callable[[Context], DataFrame]] = {
+    name[2:]: fn for name, fn in list(globals().items()) if name.startswith("r_") and callable(fn)
 }
+
+
+def _bind(report: Callable[[Context], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return report(context(spark, sf_dir))
+    query.__name__ = report.__name__.replace("r_", "q_", 1)
+    query.__doc__ = report.__doc__
+    return query
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _bind(fn) for name, fn in REPORTS.items()}
+q_bcg_quadrants = QUERIES["bcg_quadrants"]
+
+
+def run_reports(tables: Tables, names: list[str] | None = None,
+                buckets: int | None = None) -> dict[str, DataFrame]:
+    """Every report (or the named ones) over any :class:`Tables`, e.g. from
+    :func:`shoplens.sources.csv_tables.from_csv_folder`. Shared views are
+    built once and written under the session's checkpoint folder."""
+    ctx = Context(tables, buckets=buckets, tag=f"{next(_SERIAL)}_run")
+    return {n: REPORTS[n](ctx) for n in (names or REPORTS)}
