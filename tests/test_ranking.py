@@ -101,3 +101,21 @@ def test_random_duplicates(spark, seed):
     ref2 = df.withColumn("n2", F.row_number().over(w)).withColumn("pv", F.lag("v").over(w))
     bad = got2.join(ref2, "pid").where((F.col("n") != F.col("n2")) | ~F.col("prev_v").eqNullSafe(F.col("pv")))
     assert bad.count() == 0
+
+
+@pytest.mark.parametrize("k", [4, 25])
+def test_null_keys(spark, k):
+    import random
+    rnd = random.Random(k)
+    rows = [(i, rnd.choice([None, None, 3, 5, rnd.randint(0, 30)]), rnd.randint(0, 4)) for i in range(800)]
+    df = spark.createDataFrame(rows, "pid long, t long, g long")
+    go = R.global_order(df, ["g", "t", "pid"], buckets=k)
+    got = R.partition_lag(R.partition_row_number(go, ["g"], "n"), go, ["g"], ["t"])
+    w = Window.partitionBy("g").orderBy(F.col("t").asc_nulls_first(), "pid")
+    ref = df.withColumn("n2", F.row_number().over(w)).withColumn("pt", F.lag("t").over(w))
+    bad = got.join(ref, "pid").where((F.col("n") != F.col("n2")) | ~F.col("prev_t").eqNullSafe(F.col("pt")))
+    assert bad.count() == 0
+    go2 = R.global_order(df, ["t", "pid"], ["g"], buckets=k)
+    got2 = R.range_running_sum(go2, ["t"], "g", "cum")
+    ref2 = df.withColumn("cum2", F.sum("g").over(Window.orderBy(F.col("t").asc_nulls_first())))
+    assert got2.join(ref2, "pid").where(~F.col("cum").eqNullSafe(F.col("cum2"))).count() == 0
