@@ -472,8 +472,56 @@ def r_ab_sample_size(c: Context) -> DataFrame:
     return stats.ab_sample_size(base)
 
 
+# Presentation order of the original reports (ORDER BY), with a full
+# tie-break. Only reports whose size is bounded by a small domain (stages,
+# months, categories, segments, buckets) are sorted; row-level views at
+# customer or order grain stay unsorted, a global sort of them would only
+# cost a shuffle.
+REPORT_ORDER = {
+    "funnel_stages": lambda: [F.asc("stage_order")],
+    "sequence_stats": lambda: [F.asc("order_times")],
+    "sequence_category_mix": lambda: [F.asc("order_times"), F.desc("ratio"), F.asc("category_group")],
+    "sequence_category_pivot": lambda: [F.desc_nulls_last("order_1"), F.asc("category_group")],
+    "segment_category_mix": lambda: [F.asc("pareto_segment"), F.desc("ratio"), F.asc("category_group")],
+    "segment_order_counts": lambda: [F.asc("pareto_segment"), F.asc("order_count")],
+    "structure_order_counts": lambda: [F.asc("structure_segment"), F.asc("order_count")],
+    "order_count_distribution": lambda: [F.asc("order_count")],
+    "category_orders": lambda: [F.desc("order_cnt"), F.asc("category_group")],
+    "category_rank_orders": lambda: [F.desc("order_cnt"), F.asc("category_group")],
+    "category_rank_sales": lambda: [F.desc("sales"), F.asc("category_group")],
+    "category_order_value": lambda: [F.desc("avg_sales_per_order"), F.asc("category_group")],
+    "category_item_price": lambda: [F.desc("avg_price_per_item_row"), F.asc("category_group")],
+    "region_core_share": lambda: [F.desc("sales"), F.asc("state"), F.asc("clean_city")],
+    "single_item_first_mix": lambda: [F.desc("cnt"), F.asc("category_group")],
+    "monthly_sales": lambda: [F.asc("year_m")],
+    "monthly_sales_by_type": lambda: [F.asc("year_m"), F.desc("sales"), F.asc("payment_type")],
+    "frequency_distribution": lambda: [F.asc("order_freq")],
+    "recency_bins": lambda: [F.asc("recency_bucket")],
+    "recency_bins_exploration": lambda: [F.asc("recency_bucket")],
+    "ntile_summary": lambda: [F.asc("m_bucket")],
+    "persona_distribution": lambda: [F.desc("cnt"), F.asc("persona")],
+    "persona_distribution_exploration": lambda: [F.desc("cnt"), F.asc("persona")],
+    "bcg_quadrants": lambda: [F.desc("cnt"), F.asc("bcg_quadrant")],
+    "bcg_quadrants_exploration": lambda: [F.desc("cnt"), F.asc("bcg_quadrant")],
+    "cohort_lift": lambda: [F.desc_nulls_last("lift"), F.asc("category_group")],
+    "residual_report": lambda: [F.desc("star_resid"), F.asc("category_group")],
+    "customer_type_profile": lambda: [F.asc("customer_type")],
+}
+
+
+def _ordered(name: str, fn: Callable[[Context], DataFrame]) -> Callable[[Context], DataFrame]:
+    if name not in REPORT_ORDER:
+        return fn
+
+    def report(c: Context) -> DataFrame:
+        return fn(c).orderBy(*REPORT_ORDER[name]())
+    report.__name__, report.__doc__ = fn.__name__, fn.__doc__
+    return report
+
+
 REPORTS: dict[str, Callable[[Context], DataFrame]] = {
-    name[2:]: fn for name, fn in list(globals().items()) if name.startswith("r_") and callable(fn)
+    name[2:]: _ordered(name[2:], fn) for name, fn in list(globals().items())
+    if name.startswith("r_") and callable(fn)
 }
 
 
