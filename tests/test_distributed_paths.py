@@ -42,3 +42,24 @@ def test_reports_equal(contexts):
     a = cohort.first_order(t.customers, t.orders, t.delivered, buckets=1)
     b = cohort.first_order(t.customers, t.orders, t.delivered, buckets=9)
     assert _rows(a) == _rows(b)
+
+
+def test_hot_customer_split(spark):
+    """One customer owns a third of all orders (the skew the design assumes)."""
+    from dataclasses import replace
+
+    from pyspark.sql import functions as F
+
+    base = from_star_schema(spark, SF)
+    hot = base.orders.withColumn(
+        "customer_id", F.when(F.col("order_id") % 3 == 0, F.lit(1)).otherwise(F.col("customer_id")))
+    t = replace(base, orders=hot)
+    one = Context(t, buckets=1, tag="hot_one")
+    many = Context(t, buckets=12, tag="hot_many")
+    for view in ("sequence", "curve", "scored"):
+        assert _rows(getattr(one, view)) == _rows(getattr(many, view)), view
+    seq = many.sequence
+    assert seq.where(F.col("customer_unique_id") == 1).count() == hot.where(F.col("customer_id") == 1).count()
+    a = cohort.first_order(t.customers, t.orders, t.delivered, buckets=1)
+    b = cohort.first_order(t.customers, t.orders, t.delivered, buckets=12)
+    assert _rows(a) == _rows(b)

@@ -257,3 +257,25 @@ def test_csv_edge_cases(spark, tmp_path):
     with open(sp, "w", newline="") as f:
         f.write("seller_id,zip_code_prefix,city,state\ns1,1001,x,SP\n")
     assert load_csv(spark, sp, "sellers").collect()[0].zip_code_prefix == "01001"
+
+
+def test_integrity_report_counts_violations(spark):
+    from shoplens.operators import quality
+    from shoplens.sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS
+    t = make_tables(spark,
+                    customers=[("c1", "u1", "01001", "A", "SP"), ("c1", "u1", "01001", "A", "SP")],
+                    orders=[("o1", "c1", "delivered", ts("2018-01-01 00:00:00")),
+                            ("o2", "c_missing", "delivered", ts("2018-01-02 00:00:00"))],
+                    payments=[("o1", 1, "x", money(1)), ("o9", 1, "x", money(1))],
+                    items=[("o1", 1, "p_toy", money(1)), ("o1", 2, "p_unknown", money(1))],
+                    products=PRODUCTS, dictionary=DICT)
+    tables = {"customers": t.customers, "orders": t.orders, "order_payments": t.payments,
+              "order_items": t.items, "products": t.products, "category_names_english": t.dictionary}
+    got = {(r.kind, r.table_name, r.column_name): r.violations
+           for r in quality.integrity_report(tables, FOREIGN_KEYS, PRIMARY_KEYS).collect()}
+    assert got[("pk", "customers", "customer_id")] == 1
+    assert got[("fk", "orders", "customer_id")] == 1
+    assert got[("fk", "order_payments", "order_id")] == 1
+    assert got[("fk", "order_items", "product_id")] == 1
+    assert got[("fk", "products", "product_category")] == 1      # p_x -> nao_existe
+    assert got[("pk", "orders", "order_id")] == 0
