@@ -38,7 +38,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     base = checkpoint_dir(spark)
     path = os.path.join(base, "shoplens", _run_id(), name)
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    # The written schema is passed back explicitly: types come back exactly
+    # (TIMESTAMP_NTZ stays NTZ whatever the inference settings) and no
+    # footer has to be read to infer them.
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
