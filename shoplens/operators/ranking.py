@@ -146,6 +146,9 @@ def global_order(df: DataFrame, order_cols: list[str], sum_cols: list[str] = (),
     for c in sum_cols:
         stats = stats.withColumn(f"_off_{c}", F.coalesce(F.sum(f"_sum_{c}").over(before),
                                                          F.lit(0).cast(stats.schema[f"_sum_{c}"].dataType)))
+    # k rows, read by the offsets, the totals and the boundary corrections:
+    # computed once.
+    stats = stats.persist()
     totals = stats.agg(F.sum("_cnt").alias("_n"),
                        *[F.sum(f"_sum_{c}").alias(f"_total_{c}") for c in sum_cols])
 

@@ -227,9 +227,8 @@ def r_key_uniqueness(c: Context) -> DataFrame:
 
 def r_delivered_summary(c: Context) -> DataFrame:
     t = c.t
-    return master.delivered_summary(t.customers, t.orders, c.paid, t.delivered,
-                                    c.facts).withColumn(
-        "sales", money("sales"))
+    out = master.delivered_summary(t.customers, t.orders, c.paid, t.delivered, c.facts)
+    return out.withColumn("sales", money("sales"))
 
 
 def r_customer_master(c: Context) -> DataFrame:
