@@ -78,3 +78,49 @@ def test_values(tables):
     assert f.repeat_rate == 0.6667
     months = {x.year_m: x.sales for x in r["monthly_sales"].collect()}
     assert months == {"2018-01": 100.0, "2018-06": 60.0, "2018-03": 20.0, "2018-10": 30.0, "2018-09": 500.0}
+
+
+def test_write_reports(tables, tmp_path):
+    from shoplens.plans.run import write_reports
+    out = str(tmp_path / "out")
+    paths = write_reports(run_reports(tables, ["bcg_quadrants", "cohort_lift"]), out, "csv")
+    assert sorted(os.path.basename(p) for p in paths) == ["bcg_quadrants", "cohort_lift"]
+    assert any(f.endswith(".csv") for f in os.listdir(paths[0]))
+
+
+def test_all_nine_raw_schemas_load(spark, tmp_path):
+    from shoplens.sources import schemas
+    from shoplens.sources.files import load_csv
+    samples = {
+        "geolocation": ("zip_code_prefix,latitude,longitude,city,state", "01037,-23.5456,-46.6392,sao paulo,SP"),
+        "customers": ("customer_id,customer_unique_id,zip_code_prefix,city,state", "c1,u1,01001,x,SP"),
+        "sellers": ("seller_id,zip_code_prefix,city,state", "s1,13023,campinas,SP"),
+        "orders": ("order_id,customer_id,status,purchase_timestamp,approval_timestamp,delivered_carrier_date,"
+                   "delivered_customer_date,estimated_delivery_date", "o1,c1,delivered,2017-10-02 10:56:33,,,,"),
+        "order_reviews": ("review_id,order_id,rating,review_title,review_content,creation_timestamp,answer_timestamp",
+                          'r1,o1,4,,"bom, mas ""lento""\nok",2018-01-18 00:00:00,'),
+        "order_payments": ("order_id,payment_sequential,payment_type,payment_installments,payment_value",
+                           "o1,1,credit_card,8,99.33"),
+        "category_names_english": ("product_category,product_category_eng", "beleza_saude,health_beauty"),
+        "products": ("product_id,product_category,name_length,description_length,photos_quantity,weight_g,"
+                     "length_cm,height_cm,width_cm", "p1,perfumaria,40,287,1,225,16,10,14"),
+        "order_items": ("order_id,item_id,product_id,seller_id,shipping_limit_date,price,freight_value",
+                        "o1,1,p1,s1,2017-09-19 09:45:35,58.90,13.29"),
+        "cross_tab": ("category_group,star_cnt,one_time_cnt", "Home & Living,383,25392"),
+    }
+    for table, (head, row) in samples.items():
+        p = str(tmp_path / f"{table}.csv")
+        with open(p, "w", newline="") as f:
+            f.write(head + "\n" + row + "\n")
+        df = load_csv(spark, p, table)
+        rows = df.collect()
+        assert len(rows) == 1, table
+        assert [f.name for f in df.schema.fields] == [f.name for f in schemas.TABLES[table].fields]
+        assert all(v is not None for k, v in rows[0].asDict().items()
+                   if k in head.split(",")[:2]), table
+    review = load_csv(spark, str(tmp_path / "order_reviews.csv"), "order_reviews").collect()[0]
+    assert review.review_content == 'bom, mas "lento"\nok' and review.review_title is None
+    seller = load_csv(spark, str(tmp_path / "sellers.csv"), "sellers").collect()[0]
+    assert seller.zip_code_prefix == "13023"
+    pay = load_csv(spark, str(tmp_path / "order_payments.csv"), "order_payments").collect()[0]
+    assert str(pay.payment_value) == "99.33"
