@@ -31,7 +31,10 @@ DEFAULT_FILES = {
 
 def from_csv_folder(spark: SparkSession, folder: str, files: dict[str, str] | None = None,
                     delivered: str = "delivered", as_of: str = "2018-11-12",
-                    mapping: dict[str, str] | None = None) -> Tables:
+                    mapping: dict[str, str] | None = None,
+                    city_collation: str | None = None) -> Tables:
+    """``city_collation='UNICODE_CI_AI'`` groups city names case- and
+    accent-insensitively (see :func:`shoplens.functions.text.clean_text`)."""
     names = dict(DEFAULT_FILES)
     names.update(files or {})
 
@@ -39,7 +42,7 @@ def from_csv_folder(spark: SparkSession, folder: str, files: dict[str, str] | No
         return load_csv(spark, os.path.join(folder, names[table]), table)
 
     return Tables(
-        customers=read("customers").withColumn("clean_city", clean_city("city")),
+        customers=read("customers").withColumn("clean_city", clean_city("city", city_collation)),
         orders=read("orders"),
         payments=read("order_payments"),
         items=read("order_items"),

@@ -279,3 +279,10 @@ def test_integrity_report_counts_violations(spark):
     assert got[("fk", "order_items", "product_id")] == 1
     assert got[("fk", "products", "product_category")] == 1      # p_x -> nao_existe
     assert got[("pk", "orders", "order_id")] == 0
+
+
+def test_accent_insensitive_city_option(spark):
+    df = spark.createDataFrame([("São Paulo",), ("sao paulo",), ("SAO PAULO ",), ("Rio",)], "c string")
+    binary = df.select(clean_city("c").alias("k")).distinct().count()
+    folded = df.select(clean_city("c", "UNICODE_CI_AI").alias("k")).distinct().count()
+    assert (binary, folded) == (3, 2)
