@@ -70,8 +70,3 @@ def share_within(df: DataFrame, count_col: str, partition_cols: list[str] | None
 def money(c: ColumnOrName) -> Column:
     """Money at the output edge: DECIMAL -> DOUBLE."""
     return as_double(c)
-
-
-def one_row_broadcast(df: DataFrame) -> DataFrame:
-    """Mark a frame that is one aggregate row (proven size 1) for broadcast."""
-    return F.broadcast(df)

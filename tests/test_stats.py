@@ -89,3 +89,14 @@ def test_counts_from_rows(spark):
     raw = spark.createDataFrame([("A", "STAR"), ("A", "ONE_TIME"), ("B", "ONE_TIME")], "g string, t string")
     c = {r.g: (r.STAR, r.ONE_TIME) for r in stats.counts_from_rows(raw, "g", "t", ["STAR", "ONE_TIME"]).collect()}
     assert c == {"A": (1, 1), "B": (0, 1)}
+
+
+def test_adjusted_residuals(counts):
+    n = sum(s + o for _, s, o in CROSS_TAB)
+    star_total = sum(s for _, s, _ in CROSS_TAB)
+    rows = {r.category_group: r for r in stats.residual_report(counts, adjusted=True).collect()}
+    for cat, s, o in CROSS_TAB:
+        row_total = s + o
+        e = row_total * star_total / n
+        expected = (s - e) / math.sqrt(e * (1 - row_total / n) * (1 - star_total / n))
+        assert abs(rows[cat].star_resid - expected) < 1e-9
