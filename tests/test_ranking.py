@@ -119,3 +119,13 @@ def test_null_keys(spark, k):
     got2 = R.range_running_sum(go2, ["t"], "g", "cum")
     ref2 = df.withColumn("cum2", F.sum("g").over(Window.orderBy(F.col("t").asc_nulls_first())))
     assert got2.join(ref2, "pid").where(~F.col("cum").eqNullSafe(F.col("cum2"))).count() == 0
+
+
+def test_automatic_bucket_count(skewed):
+    go = R.global_order(skewed, ["sales", "pid"], ["sales"], rows_per_bucket=100)
+    assert len(go.boundaries) > 10                       # k = ceil(2400 / 100), boundaries deduplicated
+    got = R.range_running_sum(go, ["sales"], "sales", "cum")
+    ref = (skewed.withColumn("rn", F.row_number().over(Window.orderBy("sales", "pid")))
+           .withColumn("cum2", F.sum("sales").over(Window.orderBy("sales"))))
+    j = got.select("pid", "_rn", "cum").join(ref, "pid")
+    assert j.where((F.col("_rn") != F.col("rn")) | (F.col("cum") != F.col("cum2"))).count() == 0
