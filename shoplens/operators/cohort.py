@@ -61,10 +61,10 @@ def cohort_match_report(first_cats: DataFrame, cohort: DataFrame) -> DataFrame:
     m = per.agg(F.count(F.lit(1)).alias("matched_customers"),
                 count_if(F.col("_k") > 1).alias("multi_category_customers"),
                 F.coalesce(F.sum("_k"), F.lit(0)).cast("bigint").alias("total_category_memberships"))
-    total = c.agg(F.count(F.lit(1)).alias("star_total"))
-    return total.crossJoin(m).select(
-        "star_total", "matched_customers",
-        (F.col("star_total") - F.col("matched_customers")).alias("lost_customers"),
+    total = c.agg(F.count(F.lit(1))).scalar()                   # scalar subquery
+    return m.select(
+        total.alias("star_total"), "matched_customers",
+        (total - F.col("matched_customers")).alias("lost_customers"),
         "multi_category_customers", "total_category_memberships",
         (F.col("total_category_memberships") - F.col("matched_customers")).alias("excess_from_multi"))
 
@@ -87,11 +87,11 @@ def cohort_lift(first_cats: DataFrame, cohort: DataFrame, delivered: DataFrame,
     counts = tagged.groupBy("category_group").agg(
         count_if(F.col("group_type") == "STAR").alias("star_cnt"),
         count_if(F.col("group_type") == "ONE_TIME").alias("one_time_cnt"))
-    sizes = F.broadcast(cohort.select(PERSON).agg(F.count(F.lit(1)).alias("_star_n")).crossJoin(
-        delivered.agg(F.count_if(F.col("order_freq") == 1).alias("_one_n"))))   # one row
-    star_pct = safe_ratio(F.col("star_cnt").cast("double") * 100.0, "_star_n")
-    one_pct = safe_ratio(F.col("one_time_cnt").cast("double") * 100.0, "_one_n")
-    return counts.crossJoin(sizes).select(
+    star_n = cohort.select(PERSON).agg(F.count(F.lit(1))).scalar()             # scalar subqueries
+    one_n = delivered.agg(F.count_if(F.col("order_freq") == 1)).scalar()
+    star_pct = safe_ratio(F.col("star_cnt").cast("double") * 100.0, star_n)
+    one_pct = safe_ratio(F.col("one_time_cnt").cast("double") * 100.0, one_n)
+    return counts.select(
         "category_group", "star_cnt",
         round_half_up(star_pct, digits_pct).alias("star_pct"),
         "one_time_cnt",
@@ -104,10 +104,10 @@ def repeat_baseline(base: DataFrame, customers: DataFrame, orders: DataFrame,
     """Repeat customers (``rfm_base``, paid) over all persons with a delivered
     order (paid or not)."""
     if facts is not None:
-        persons = facts.agg(F.count_if(F.col("n_delivered") >= 1).alias("_d"))
+        persons = facts.agg(F.count_if(F.col("n_delivered") >= 1)).scalar()
     else:
         o = orders.where(F.col("status") == status).select("customer_id").distinct()
         persons = (o.join(customers.select("customer_id", PERSON), "customer_id")
-                   .agg(F.count_distinct(PERSON).alias("_d")))
+                   .agg(F.count_distinct(PERSON))).scalar()
     rep = base.agg(F.count(F.lit(1)).alias("_r"))
-    return rep.crossJoin(persons).select(safe_ratio("_r", "_d").alias("baseline_pct"))
+    return rep.select(safe_ratio("_r", persons).alias("baseline_pct"))

@@ -24,10 +24,10 @@ def lorenz_curve(master: DataFrame, buckets: int | None = None) -> DataFrame:
     base = keep(master.where(F.col("delivered_order_cnt") >= 1).select(PERSON, "sales"))
     go = global_order(base, ["sales", PERSON], ["sales"], buckets=buckets)
     df = range_running_sum(go, ["sales"], "sales", "cum_sales")
-    totals = F.broadcast(go.totals.select("_n", "_total_sales"))            # one row
-    df = df.crossJoin(totals)
-    revenue_ratio = safe_ratio("cum_sales", "_total_sales")
-    customer_ratio = safe_ratio("_rn", "_n")
+    n = go.totals.select("_n").scalar()                     # scalar subqueries over
+    total = go.totals.select("_total_sales").scalar()       # the k-row bucket stats
+    revenue_ratio = safe_ratio("cum_sales", total)
+    customer_ratio = safe_ratio("_rn", n)
     out = df.select(
         PERSON,
         money("sales").alias("sales"),
@@ -35,7 +35,7 @@ def lorenz_curve(master: DataFrame, buckets: int | None = None) -> DataFrame:
         revenue_ratio.alias("revenue_ratio"),
         F.col("_rn").cast("bigint").alias("customer_cnt"),
         customer_ratio.alias("customer_ratio"),
-        F.try_divide(as_double("sales"), safe_ratio("_total_sales", "_n")).alias("lorenz_slope"),
+        F.try_divide(as_double("sales"), safe_ratio(total, n)).alias("lorenz_slope"),
         (customer_ratio - revenue_ratio).alias("distance"))
     return drop_internal(out)
 
@@ -65,13 +65,10 @@ def value_segments(curve: DataFrame, cut: float | None = None, core: float = 0.8
       'Core' from ``core`` on, 'Mid' from ``mid`` on, else 'Low'.
     """
     if cut is None:
-        cut_df = F.broadcast(lorenz_peak(curve).select(F.col("customer_ratio").alias("_cut")))
-        base = curve.crossJoin(cut_df)                  # one row
-        cut_col = F.col("_cut")
+        cut_col = lorenz_peak(curve).select("customer_ratio").scalar()   # scalar subquery
     else:
-        base = curve
         cut_col = F.lit(float(cut))
-    out = base.select(
+    out = curve.select(
         PERSON, "sales", "customer_ratio", "revenue_ratio", "lorenz_slope", "distance",
         F.when(F.col("customer_ratio") <= cut_col, F.lit(0)).otherwise(F.lit(1)).alias("structure_segment"),
         F.when(F.col("lorenz_slope") >= 1, F.lit(1)).otherwise(F.lit(0)).alias("avg_segment"),

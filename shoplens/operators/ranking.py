@@ -314,9 +314,8 @@ def with_ntile(df: DataFrame, value_col: str, id_col: str, tiles: int, out: str,
                buckets: int | None = None) -> DataFrame:
     """``NTILE(tiles) OVER (ORDER BY value_col, id_col)`` without a global window."""
     go = global_order(df, [value_col, id_col], buckets=buckets)
-    n = F.broadcast(go.totals.select("_n"))                    # one row
-    return drop_internal(go.df.crossJoin(n)
-                         .withColumn(out, ntile_from_rank(F.col("_rn"), F.col("_n"), tiles)))
+    n = go.totals.select("_n").scalar()                         # scalar subquery
+    return drop_internal(go.df.withColumn(out, ntile_from_rank(F.col("_rn"), n, tiles)))
 
 
 def exact_median(df: DataFrame, value_col: str, id_col: str, out: str = "median",
@@ -327,13 +326,12 @@ def exact_median(df: DataFrame, value_col: str, id_col: str, out: str = "median"
     (at most two) buckets holding those ranks; only their rows are sorted.
     """
     go = global_order(df, [value_col, id_col], buckets=buckets)
-    n = go.totals.select("_n")
-    lo = F.floor((F.col("_n") + 1) / 2)
-    hi = F.ceil((F.col("_n") + 1) / 2)
+    n = go.totals.select("_n").scalar()                         # scalar subquery
+    lo = F.floor((n + 1) / 2)
+    hi = F.ceil((n + 1) / 2)
     first, last = F.col("_off_cnt") + 1, F.col("_off_cnt") + F.col("_cnt")
-    targets = (go.stats.crossJoin(n)
-               .where(lo.between(first, last) | hi.between(first, last))
-               .select("_bkt", "_off_cnt", "_n"))                               # <= 2 rows
+    targets = (go.stats.where(lo.between(first, last) | hi.between(first, last))
+               .select("_bkt", "_off_cnt"))                                     # <= 2 rows
     rows = go.pre.join(F.broadcast(targets), "_bkt")
     w = Window.partitionBy("_bkt").orderBy(F.col(value_col).asc_nulls_first(), F.col(id_col).asc_nulls_first())
     pos = F.col("_off_cnt") + F.row_number().over(w)

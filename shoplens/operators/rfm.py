@@ -51,14 +51,15 @@ def frequency_distribution(base: DataFrame, digits: int = 1) -> DataFrame:
     return share_within(counts, "cnt", None, "pct", digits, scale=100.0)
 
 
-def _max_recency(base: DataFrame) -> DataFrame:
-    return F.broadcast(base.agg(F.max("last_diff_days").alias("_max_d")))     # one row
+def _max_recency(base: DataFrame):
+    """Largest recency of the base, as a scalar subquery column."""
+    return base.agg(F.max("last_diff_days").cast("bigint")).scalar()
 
 
-def _recency_case(labels, n: int) -> F.Column:
+def _recency_case(labels, n: int, max_d) -> F.Column:
     """Equal-width bins of [0, max]: bin i when days*n <= max*i (exact
     integer arithmetic; an edge belongs to the lower bin)."""
-    d, m = F.col("last_diff_days").cast("bigint"), F.col("_max_d").cast("bigint")
+    d, m = F.col("last_diff_days").cast("bigint"), max_d
     expr = None
     for i, label in enumerate(labels[:-1], start=1):
         cond = d * F.lit(n) <= m * F.lit(i)
@@ -68,7 +69,7 @@ def _recency_case(labels, n: int) -> F.Column:
 
 def recency_bins(base: DataFrame, labels=RECENCY_BUCKETS, digits: int | None = 3) -> DataFrame:
     """Counts per equal-width recency bin and their share."""
-    b = base.crossJoin(_max_recency(base)).select(_recency_case(labels, len(labels)).alias("recency_bucket"))
+    b = base.select(_recency_case(labels, len(labels), _max_recency(base)).alias("recency_bucket"))
     counts = b.groupBy("recency_bucket").agg(F.count(F.lit(1)).alias("cnt"))
     return share_within(counts, "cnt", None, "pct", digits)
 
@@ -78,7 +79,7 @@ def mean_median(base: DataFrame, col: str = "total_sales", buckets: int | None =
     b = keep(base.select(PERSON, col))
     mean = b.agg(exact_avg(col).alias("sales_avg"))
     med = exact_median(b, col, PERSON, "sales_median", buckets=buckets)
-    return mean.crossJoin(med)                                # 1 x 1 rows
+    return mean.select("sales_avg", med.scalar().alias("sales_median"))   # scalar subquery
 
 
 def with_m_bucket(base: DataFrame, tiles: int = 4, buckets: int | None = None) -> DataFrame:
@@ -99,8 +100,8 @@ def ntile_summary(base: DataFrame, tiles: int = 4, buckets: int | None = None) -
 
 def rfm_scored(base: DataFrame, buckets: int | None = None) -> DataFrame:
     """R, F and M labels per repeat customer, and ``persona`` = R-F-M."""
-    b = with_m_bucket(base, 4, buckets).crossJoin(_max_recency(base))
-    r = _recency_case(R_LABELS, len(R_LABELS))
+    b = with_m_bucket(base, 4, buckets)
+    r = _recency_case(R_LABELS, len(R_LABELS), _max_recency(base))
     f = (F.when(F.col("order_freq") == 2, F.lit(F_LABELS[0]))
          .when(F.col("order_freq").between(3, 4), F.lit(F_LABELS[1]))
          .otherwise(F.lit(F_LABELS[2])))

@@ -105,11 +105,12 @@ def counts_from_rows(df: DataFrame, row_col: str, col_col: str, levels: list[str
 
 
 def _with_expected(counts: DataFrame, count_cols: list[str]) -> DataFrame:
-    totals = counts.agg(*[F.sum(c).cast("double").alias(f"_ct_{c}") for c in count_cols])
-    grand = sum((F.col(f"_ct_{c}") for c in count_cols), F.lit(0.0))
-    totals = F.broadcast(totals.withColumn("_grand", grand))                    # one row
+    # column totals as scalar subqueries (one aggregate, no join)
+    col_totals = {c: counts.agg(F.sum(c).cast("double")).scalar() for c in count_cols}
+    grand = sum((col_totals[c] for c in count_cols), F.lit(0.0))
     row_total = sum((F.col(c).cast("double") for c in count_cols), F.lit(0.0))
-    df = counts.crossJoin(totals).withColumn("_rt", row_total)
+    df = counts.select("*", *[col_totals[c].alias(f"_ct_{c}") for c in count_cols],
+                       grand.alias("_grand"), row_total.alias("_rt"))
     for c in count_cols:
         df = df.withColumn(f"_e_{c}", F.try_divide(F.col("_rt") * F.col(f"_ct_{c}"), F.col("_grand")))
     return df
@@ -174,8 +175,6 @@ def ab_sample_size(baselines: DataFrame, p1_col: str = "p1",
     (``exact=True``, both tails) or d = z_{1-alpha/2} + z_power (closed form).
     """
     d = two_sided_power_root(alpha, power) if exact else (norm_ppf(1 - alpha / 2) + norm_ppf(power))
-    spark = baselines.sparkSession
-    lift_df = F.broadcast(spark.createDataFrame([(float(x),) for x in lifts], "relative_lift double"))
     p1 = F.col(p1_col).cast("double")
     p2 = p1 * (F.lit(1.0) + F.col("relative_lift"))
     valid = (p1 >= 0) & (p1 <= 1) & (p2 >= 0) & (p2 <= 1)          # else undefined: NULL
@@ -183,6 +182,7 @@ def ab_sample_size(baselines: DataFrame, p1_col: str = "p1",
     ratio = F.try_divide(F.lit(d), h)
     n = F.ceil(F.lit(2.0) * (ratio * ratio)).cast("bigint")
     eff = h if effect_digits is None else round_half_up(h, effect_digits)
-    return (baselines.crossJoin(lift_df)
+    lift_values = F.array(*[F.lit(float(x)) for x in lifts])
+    return (baselines.withColumn("relative_lift", F.explode(lift_values))
             .select(p1.alias("p1"), "relative_lift", p2.alias("p2"), eff.alias("effect_size"),
                     n.alias("n_per_group"), (n * 2).alias("n_total")))
