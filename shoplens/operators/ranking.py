@@ -5,9 +5,9 @@ A window such as ``ROW_NUMBER() OVER (ORDER BY sales)`` puts every row into a
 single task (Spark plans ``SinglePartition``). ``global_order`` computes the
 same numbers in parallel:
 
-1. draw a bounded sample of the full ordering key (a fixed number of rows per
-   bucket, like Spark's own range partitioner) and take ``k-1`` boundary
-   tuples from it;
+1. sample the full ordering key (a bounded number of rows: ``40 * k``, at
+   most two million), sort the sample and keep every ``S/k``-th key as a
+   boundary, inside Spark; only the ``k-1`` boundary tuples reach the driver;
 2. ``_bkt`` = number of boundary tuples <= the row's key tuple. This is a pure
    function of the row (stable under task retries) and, because the key
    includes a unique tie-breaker, one very frequent value is spread over
@@ -19,11 +19,14 @@ same numbers in parallel:
 
 Groups of equal values that straddle a bucket boundary (RANGE peers,
 partition groups for per-customer sequences) are exactly the groups whose key
-prefix equals a boundary prefix; at most ``k`` of them exist, and they are
-fixed from a small aggregate over just those groups.
-
-The bucket lookup is a two-level search over the boundaries written as struct
-literals (about ``2*sqrt(k)`` struct comparisons per row, all JVM-side).
+prefix equals a boundary prefix; they are corrected from per-bucket
+aggregates (see below).
+
+The bucket lookup is a two-level search: about ``sqrt(k)`` coarse boundaries
+are struct literals in the expression, the fine boundaries of each coarse
+range come from a broadcast table of ``sqrt(k)`` array rows. Per row that is
+about ``2*sqrt(k)`` struct comparisons (JVM-side), and the plan size does not
+grow with ``k``.
 """
 
 from __future__ import annotations
@@ -36,8 +39,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DEFAULT_ROWS_PER_BUCKET = 1_000_000
-DEFAULT_MAX_BUCKETS = 4096
+DEFAULT_MAX_BUCKETS = 65536
 SAMPLE_PER_BUCKET = 40
+MAX_SAMPLE_ROWS = 2_000_000        # sorted in one task to pick the boundaries
+LITERAL_BOUNDARIES = 256           # up to this many boundaries are inlined as literals
 
 
 @dataclass
@@ -62,56 +67,91 @@ class GlobalOrder:
     dtypes: dict
 
 
+def _needs_string_roundtrip(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.DecimalType, T.TimestampType, T.TimestampNTZType, T.DateType))
+
+
 def _literal(value, dtype: T.DataType) -> Column:
     if value is None:
         return F.lit(None).cast(dtype)
     return F.lit(value).cast(dtype)
 
 
-def _needs_string_roundtrip(dtype: T.DataType) -> bool:
-    return isinstance(dtype, (T.DecimalType, T.TimestampType, T.TimestampNTZType, T.DateType))
+def _struct_types(cols: list[str], dtypes: dict) -> tuple[T.StructType, T.StructType]:
+    """(transport type, typed type) of a key struct: decimals and datetimes
+    travel as strings (exact round trip) and are cast back in Spark."""
+    raw = T.StructType([T.StructField(c, T.StringType() if _needs_string_roundtrip(dtypes[c])
+                                      else dtypes[c], True) for c in cols])
+    typed = T.StructType([T.StructField(c, dtypes[c], True) for c in cols])
+    return raw, typed
 
 
 def _sample_boundaries(df: DataFrame, order_cols: list[str], dtypes: dict, k: int, n: int,
                        sample_per_bucket: int, seed: int) -> list[tuple]:
-    """``k-1`` boundary tuples from a bounded, Spark-sorted sample of the key."""
+    """``k-1`` boundary tuples: every ``S/k``-th key of a sorted sample of
+    ``S`` keys. The sample is sorted by Spark (bounded: at most
+    ``MAX_SAMPLE_ROWS`` rows in one task); only the boundaries are collected."""
     if k <= 1 or n == 0:
         return []
-    target = k * sample_per_bucket
+    target = min(MAX_SAMPLE_ROWS, k * sample_per_bucket)
     fraction = min(1.0, target / float(n))
     sample = df.select(*order_cols).sample(withReplacement=False, fraction=fraction, seed=seed)
-    # Sort with Spark's own ordering; literal values go through strings for
-    # decimals and datetimes so they convert back exactly.
-    rows = (sample.orderBy(*[F.col(c).asc_nulls_first() for c in order_cols])
+    order = [F.col(c).asc_nulls_first() for c in order_cols]
+    ranked = sample.select(*order_cols,
+                           F.row_number().over(Window.orderBy(*order)).alias("_r"),
+                           F.count(F.lit(1)).over(Window.partitionBy()).alias("_s"))
+    # row r (1-based) is the boundary for i = ceil((r-1)k/s) when i*s < r*k, 1 <= i < k
+    r, s = F.col("_r").cast("double"), F.col("_s").cast("double")
+    i = F.ceil((r - 1) * k / s)
+    picked = ranked.where((i * s < r * k) & (i >= 1) & (i <= k - 1))
+    rows = (picked.orderBy("_r")
             .select(*[(F.col(c).cast("string") if _needs_string_roundtrip(dtypes[c]) else F.col(c)).alias(c)
                       for c in order_cols])
-            .collect())
-    s = len(rows)
-    if s == 0:
-        return []
+            .collect())                                        # <= k-1 rows
     out: list[tuple] = []
-    for i in range(1, k):
-        b = tuple(rows[min(s - 1, (i * s) // k)])
+    for row in rows:
+        b = tuple(row)
         if not out or out[-1] != b:
             out.append(b)
     return out
 
 
 def bucket_expr(boundaries: list[tuple], order_cols: list[str], dtypes: dict) -> Column:
-    """Number of boundary tuples <= struct(order_cols), by a two-level search."""
+    """Number of boundary tuples <= struct(order_cols), all boundaries inlined
+    (for short boundary lists; see :func:`assign_buckets`)."""
     if not boundaries:
         return F.lit(0)
     key = F.struct(*[F.col(c).alias(c) for c in order_cols])
-    lits = [F.struct(*[_literal(v, dtypes[c]).alias(c) for v, c in zip(b, order_cols)])
-            for b in boundaries]
-    m = len(lits)
-    g = max(1, math.isqrt(m - 1) + 1)            # chunk size ~ sqrt(m)
-    chunks = [lits[i:i + g] for i in range(0, m, g)]
-    firsts = F.array(*[ch[0] for ch in chunks])
-    nested = F.array(*[F.array(*ch) for ch in chunks])
-    c = F.size(F.filter(firsts, lambda x: x <= key))
-    inner = F.size(F.filter(F.element_at(nested, F.greatest(c, F.lit(1))), lambda x: x <= key))
-    return F.when(c == 0, F.lit(0)).otherwise((c - 1) * F.lit(g) + inner)
+    lits = F.array(*[F.struct(*[_literal(v, dtypes[c]).alias(c) for v, c in zip(b, order_cols)])
+                     for b in boundaries])
+    return F.size(F.filter(lits, lambda x: x <= key))
+
+
+def assign_buckets(df: DataFrame, boundaries: list[tuple], order_cols: list[str],
+                   dtypes: dict) -> DataFrame:
+    """``df`` + ``_bkt``. Short boundary lists are inlined; long ones use
+    about ``sqrt(m)`` inlined coarse boundaries plus a broadcast table of the
+    fine boundaries of each coarse range (``sqrt(m)`` rows of ``sqrt(m)``)."""
+    m = len(boundaries)
+    if m <= LITERAL_BOUNDARIES:
+        return df.withColumn("_bkt", bucket_expr(boundaries, order_cols, dtypes))
+    g = math.isqrt(m - 1) + 1
+    chunks = [boundaries[i:i + g] for i in range(0, m, g)]
+    key = F.struct(*[F.col(c).alias(c) for c in order_cols])
+    firsts = F.array(*[F.struct(*[_literal(v, dtypes[c]).alias(c) for v, c in zip(ch[0], order_cols)])
+                       for ch in chunks])
+    raw, typed = _struct_types(order_cols, dtypes)
+    schema = T.StructType([T.StructField("_c", T.IntegerType(), False),
+                           T.StructField("_fine", T.ArrayType(raw), False)])
+    fine = (df.sparkSession.createDataFrame([(j + 1, list(ch)) for j, ch in enumerate(chunks)], schema)
+            .select("_c", F.col("_fine").cast(T.ArrayType(typed)).alias("_fine")))
+    coarse = F.size(F.filter(firsts, lambda x: x <= key))
+    return (df.withColumn("_c", coarse)
+            .join(F.broadcast(fine), "_c", "left")                         # sqrt(m) rows
+            .withColumn("_bkt", F.when(F.col("_c") == 0, F.lit(0))
+                        .otherwise((F.col("_c") - 1) * F.lit(g)
+                                   + F.size(F.filter("_fine", lambda x: x <= key))))
+            .drop("_c", "_fine"))
 
 
 def choose_buckets(n: int, buckets: int | None, rows_per_bucket: int, max_buckets: int) -> int:
@@ -137,7 +177,7 @@ def global_order(df: DataFrame, order_cols: list[str], sum_cols: list[str] = (),
     n = df.count() if n_rows is None and buckets != 1 else (n_rows or 0)
     k = choose_buckets(n, buckets, rows_per_bucket, max_buckets)
     boundaries = _sample_boundaries(df, order_cols, dtypes, k, n, sample_per_bucket, seed)
-    b = df.withColumn("_bkt", bucket_expr(boundaries, order_cols, dtypes))
+    b = assign_buckets(df, boundaries, order_cols, dtypes)
 
     stats = b.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_cnt"),
                                   *[F.sum(c).alias(f"_sum_{c}") for c in sum_cols])
@@ -178,13 +218,24 @@ def global_order(df: DataFrame, order_cols: list[str], sum_cols: list[str] = (),
 # list. The windowed rows are computed once.
 # ---------------------------------------------------------------------------
 
-def _prefix_parts(go: GlobalOrder, p: int):
+def _prefix_frame(go: GlobalOrder, p: int) -> tuple[list[tuple], DataFrame]:
+    """Boundary prefixes ``P_i = B_i[:p]`` and a table with, per bucket b,
+    its lower boundary prefix ``_low`` (P_b, b >= 1) and its upper one
+    ``_high`` (P_{b+1}, b < m): m + 1 rows, broadcast where used."""
     cols = go.order_cols[:p]
     prefixes = [tuple(b[:p]) for b in go.boundaries]
-    arr = F.array(*[F.struct(*[_literal(v, go.dtypes[c]).alias(c) for v, c in zip(t, cols)])
-                    for t in prefixes])
-    key = F.struct(*[F.col(c).alias(c) for c in cols])
-    return prefixes, arr, key
+    m = len(prefixes)
+    raw, typed = _struct_types(cols, go.dtypes)
+    schema = T.StructType([T.StructField("_bkt", T.IntegerType(), False),
+                           T.StructField("_low", raw, True), T.StructField("_high", raw, True)])
+    rows = [(b, prefixes[b - 1] if b >= 1 else None, prefixes[b] if b < m else None) for b in range(m + 1)]
+    frame = go.df.sparkSession.createDataFrame(rows, schema).select(
+        "_bkt", F.col("_low").cast(typed).alias("_low"), F.col("_high").cast(typed).alias("_high"))
+    return prefixes, frame
+
+
+def _key(cols: list[str]) -> Column:
+    return F.struct(*[F.col(c).alias(c) for c in cols])
 
 
 def _index_frame(go: GlobalOrder, pairs: list[tuple[int, int]], names: tuple[str, str]) -> DataFrame:
@@ -204,10 +255,12 @@ def range_running_sum(go: GlobalOrder, peer_cols: list[str], c: str, out: str) -
     m = len(go.boundaries)
     if m == 0:
         return df.withColumnRenamed("_range_local", out)
-    prefixes, arr, key = _prefix_parts(go, p)
+    prefixes, pf = _prefix_frame(go, p)
+    key = _key(peer_cols)
     # sum of c over the rows of bucket b whose prefix equals its lower boundary prefix
-    low = key.eqNullSafe(F.try_element_at(arr, F.greatest(F.col("_bkt"), F.lit(1)))) & (F.col("_bkt") >= 1)
-    lowsum = go.pre.groupBy("_bkt").agg(F.sum(F.when(low, F.col(c))).alias("_lowsum"))
+    low = key.eqNullSafe(F.col("_low"))
+    lowsum = (go.pre.join(F.broadcast(pf.select("_bkt", "_low")), "_bkt")
+              .groupBy("_bkt").agg(F.sum(F.when(low, F.col(c))).alias("_lowsum")))
     # rows of bucket b with prefix P_{b+1} take the value at the end of their
     # group: offset + lowsum of the last bucket whose lower prefix is P_{b+1}
     last_of = {}
@@ -219,11 +272,12 @@ def range_running_sum(go: GlobalOrder, peer_cols: list[str], c: str, out: str) -
            .join(lowsum.select(F.col("_bkt").alias("_src"), "_lowsum"), "_src", "left"))
     fix = idx.join(src, "_src", "left").select(
         "_bkt", (F.col("_src_off") + F.coalesce(F.col("_lowsum"), F.lit(0))).alias("_range_fix"))
-    high = key.eqNullSafe(F.try_element_at(arr, F.col("_bkt") + 1))
+    high = key.eqNullSafe(F.col("_high"))
     return (df.join(F.broadcast(fix), "_bkt", "left")                       # <= k rows
+            .join(F.broadcast(pf.select("_bkt", "_high")), "_bkt", "left")
             .withColumn(out, F.when(high & F.col("_range_fix").isNotNull(), F.col("_range_fix"))
                         .otherwise(F.col("_range_local")).cast(df.schema["_range_local"].dataType))
-            .drop("_range_fix", "_range_local"))
+            .drop("_range_fix", "_range_local", "_high"))
 
 
 def partition_row_number(go: GlobalOrder, part_cols: list[str], out: str) -> DataFrame:
@@ -236,10 +290,12 @@ def partition_row_number(go: GlobalOrder, part_cols: list[str], out: str) -> Dat
     m = len(go.boundaries)
     if m == 0:
         return df.withColumnRenamed("_prn_local", out)
-    prefixes, arr, key = _prefix_parts(go, p)
+    prefixes, pf = _prefix_frame(go, p)
+    key = _key(part_cols)
     # rows of bucket b that belong to the group continuing into bucket b+1
-    high = key.eqNullSafe(F.try_element_at(arr, F.col("_bkt") + 1))
-    cnt_high = go.pre.groupBy("_bkt").agg(F.count(F.when(high, F.lit(1))).alias("_cnt_high"))
+    high = key.eqNullSafe(F.col("_high"))
+    cnt_high = (go.pre.join(F.broadcast(pf.select("_bkt", "_high")), "_bkt")
+                .groupBy("_bkt").agg(F.count(F.when(high, F.lit(1))).alias("_cnt_high")))
     first_of = {}
     for i, t in enumerate(prefixes):
         first_of.setdefault(t, i)
@@ -254,11 +310,12 @@ def partition_row_number(go: GlobalOrder, part_cols: list[str], out: str) -> Dat
             .join(cnt_high.select(F.col("_bkt").alias("_first"), "_cnt_high"), "_first", "left")
             .select("_bkt", (F.col("_off_b") - F.col("_off_f1") + F.coalesce(F.col("_cnt_high"), F.lit(0)))
                     .alias("_cont")))
-    low = key.eqNullSafe(F.try_element_at(arr, F.greatest(F.col("_bkt"), F.lit(1)))) & (F.col("_bkt") >= 1)
+    low = key.eqNullSafe(F.col("_low"))
     return (df.join(F.broadcast(cont), "_bkt", "left")                      # <= k rows
+            .join(F.broadcast(pf.select("_bkt", "_low")), "_bkt", "left")
             .withColumn(out, F.when(low & F.col("_cont").isNotNull(), F.col("_prn_local") + F.col("_cont"))
                         .otherwise(F.col("_prn_local")))
-            .drop("_cont", "_prn_local"))
+            .drop("_cont", "_prn_local", "_low"))
 
 
 def partition_lag(df: DataFrame, go: GlobalOrder, part_cols: list[str], value_cols: list[str],

@@ -20,7 +20,7 @@ def skewed(spark):
         (F.col("id") * 31 % 101).alias("t")).cache()
 
 
-@pytest.mark.parametrize("buckets", [1, 5, 16, 60])
+@pytest.mark.parametrize("buckets", [1, 5, 16, 60, 300])
 def test_row_number_and_range_sum(skewed, buckets):
     go = R.global_order(skewed, ["sales", "pid"], ["sales"], buckets=buckets)
     got = R.range_running_sum(go, ["sales"], "sales", "cum")
@@ -34,7 +34,7 @@ def test_row_number_and_range_sum(skewed, buckets):
         assert len(sizes) > 1 and max(sizes) < 2400 * 0.6   # the hot value is split
 
 
-@pytest.mark.parametrize("buckets", [1, 7, 45])
+@pytest.mark.parametrize("buckets", [1, 7, 45, 400])
 def test_partitioned_sequence(skewed, buckets):
     go = R.global_order(skewed, ["cust", "t", "pid"], buckets=buckets)
     got = R.partition_lag(R.partition_row_number(go, ["cust"], "n"), go, ["cust"], ["t", "sales"])
@@ -89,7 +89,7 @@ def test_random_duplicates(spark, seed):
     rnd = random.Random(seed)
     rows = [(i, rnd.choice([0, 1, 1, 1, 2, 3, rnd.randint(0, 40)]), rnd.randint(0, 5)) for i in range(900)]
     df = spark.createDataFrame(rows, "pid long, v long, g long")
-    k = rnd.choice([3, 11, 30])
+    k = rnd.choice([3, 11, 30, 280])
     go = R.global_order(df, ["v", "pid"], ["v"], buckets=k)
     got = R.range_running_sum(go, ["v"], "v", "cum")
     ref = (df.withColumn("rn", F.row_number().over(Window.orderBy("v", "pid")))
