@@ -27,12 +27,24 @@ def contexts(spark):
     return one, many
 
 
+@pytest.fixture(scope="module")
+def lots(spark):
+    # more than 256 boundaries: the two-level lookup with the broadcast fine table
+    return Context(from_star_schema(spark, SF), buckets=300, tag="dp_lots")
+
+
 @pytest.mark.parametrize("view", ["curve", "sequence", "scored", "exploration_scored"])
 def test_views_equal(contexts, view):
     one, many = contexts
     assert _rows(getattr(one, view)) == _rows(getattr(many, view))
 
 
+@pytest.mark.parametrize("view", ["curve", "sequence"])
+def test_views_equal_many_buckets(contexts, lots, view):
+    one, _ = contexts
+    assert _rows(getattr(one, view)) == _rows(getattr(lots, view))
+
+
 def test_reports_equal(contexts):
     one, many = contexts
     assert _rows(lorenz.lorenz_peak(one.curve)) == _rows(lorenz.lorenz_peak(many.curve))
