@@ -22,11 +22,11 @@ partition groups for per-customer sequences) are exactly the groups whose key
 prefix equals a boundary prefix; they are corrected from per-bucket
 aggregates (see below).
 
-The bucket lookup is a two-level search: about ``sqrt(k)`` coarse boundaries
-are struct literals in the expression, the fine boundaries of each coarse
-range come from a broadcast table of ``sqrt(k)`` array rows. Per row that is
-about ``2*sqrt(k)`` struct comparisons (JVM-side), and the plan size does not
-grow with ``k``.
+The bucket lookup is a search tree of branching ``g <= 64``: the root's
+entries are struct literals in the expression, each further level is a
+broadcast table of arrays keyed by the node. Per row that is at most ``g``
+struct comparisons per level (JVM-side; about 3 x 41 at 65536 buckets), and
+the plan size does not grow with ``k``.
 """
 
 from __future__ import annotations
@@ -42,7 +42,8 @@ DEFAULT_ROWS_PER_BUCKET = 1_000_000
 DEFAULT_MAX_BUCKETS = 65536
 SAMPLE_PER_BUCKET = 40
 MAX_SAMPLE_ROWS = 2_000_000        # sorted in one task to pick the boundaries
-LITERAL_BOUNDARIES = 256           # up to this many boundaries are inlined as literals
+LITERAL_BOUNDARIES = 64            # up to this many boundaries are inlined as literals
+DEFAULT_FANOUT = 64                # entries per node of the bucket search tree
 
 
 @dataclass
@@ -127,31 +128,53 @@ def bucket_expr(boundaries: list[tuple], order_cols: list[str], dtypes: dict) ->
     return F.size(F.filter(lits, lambda x: x <= key))
 
 
+def _levels(m: int, fanout: int) -> tuple[int, int]:
+    """(levels, branching) of a search tree over ``m`` boundaries whose nodes
+    hold at most ``fanout`` entries."""
+    levels = 2
+    while math.ceil(m ** (1.0 / levels)) > fanout:
+        levels += 1
+    g = math.ceil(m ** (1.0 / levels))
+    while g ** levels < m:                   # guard against float rounding
+        g += 1
+    return levels, g
+
+
 def assign_buckets(df: DataFrame, boundaries: list[tuple], order_cols: list[str],
-                   dtypes: dict) -> DataFrame:
-    """``df`` + ``_bkt``. Short boundary lists are inlined; long ones use
-    about ``sqrt(m)`` inlined coarse boundaries plus a broadcast table of the
-    fine boundaries of each coarse range (``sqrt(m)`` rows of ``sqrt(m)``)."""
+                   dtypes: dict, fanout: int = DEFAULT_FANOUT) -> DataFrame:
+    """``df`` + ``_bkt``. Short boundary lists are inlined. Long ones use a
+    search tree of branching ``g`` (<= ``fanout``): the root's entries are
+    struct literals, every further level is a broadcast table keyed by the
+    index of the node's first boundary, holding the node's child entries
+    (at most ``m / g`` rows, arrays of at most ``g``). A row compares itself
+    with at most ``g`` entries per level; the plan holds at most ``g``
+    literals whatever ``m`` is."""
     m = len(boundaries)
     if m <= LITERAL_BOUNDARIES:
         return df.withColumn("_bkt", bucket_expr(boundaries, order_cols, dtypes))
-    g = math.isqrt(m - 1) + 1
-    chunks = [boundaries[i:i + g] for i in range(0, m, g)]
+    levels, g = _levels(m, fanout)
     key = F.struct(*[F.col(c).alias(c) for c in order_cols])
-    firsts = F.array(*[F.struct(*[_literal(v, dtypes[c]).alias(c) for v, c in zip(ch[0], order_cols)])
-                       for ch in chunks])
     raw, typed = _struct_types(order_cols, dtypes)
-    schema = T.StructType([T.StructField("_c", T.IntegerType(), False),
-                           T.StructField("_fine", T.ArrayType(raw), False)])
-    fine = (df.sparkSession.createDataFrame([(j + 1, list(ch)) for j, ch in enumerate(chunks)], schema)
-            .select("_c", F.col("_fine").cast(T.ArrayType(typed)).alias("_fine")))
-    coarse = F.size(F.filter(firsts, lambda x: x <= key))
-    return (df.withColumn("_c", coarse)
-            .join(F.broadcast(fine), "_c", "left")                         # sqrt(m) rows
-            .withColumn("_bkt", F.when(F.col("_c") == 0, F.lit(0))
-                        .otherwise((F.col("_c") - 1) * F.lit(g)
-                                   + F.size(F.filter("_fine", lambda x: x <= key))))
-            .drop("_c", "_fine"))
+    span = g ** (levels - 1)                 # boundaries covered by one root entry
+    root = F.array(*[F.struct(*[_literal(v, dtypes[c]).alias(c) for v, c in zip(boundaries[j], order_cols)])
+                     for j in range(0, m, span)])
+    c = F.size(F.filter(root, lambda x: x <= key))
+    # _o: index of the first boundary of the current node (-1: key below all boundaries)
+    out = df.withColumn("_o", F.when(c == 0, F.lit(-1)).otherwise((c - 1) * F.lit(span)))
+    schema = T.StructType([T.StructField("_o", T.IntegerType(), False),
+                           T.StructField("_arr", T.ArrayType(raw), False)])
+    for level in range(2, levels + 1):
+        child = g ** (levels - level)         # boundaries covered by one child entry
+        rows = [(o, [boundaries[j] for j in range(o, min(o + span, m), child)]) for o in range(0, m, span)]
+        table = (df.sparkSession.createDataFrame(rows, schema)
+                 .select("_o", F.col("_arr").cast(T.ArrayType(typed)).alias("_arr")))
+        cnt = F.size(F.filter("_arr", lambda x: x <= key))
+        out = (out.join(F.broadcast(table), "_o", "left")               # <= m / g rows
+               .withColumn("_o", F.when(F.col("_o") < 0, F.lit(-1))
+                           .otherwise(F.col("_o") + (cnt - 1) * F.lit(child)))
+               .drop("_arr"))
+        span = child
+    return out.withColumn("_bkt", (F.col("_o") + 1).cast("int")).drop("_o")
 
 
 def choose_buckets(n: int, buckets: int | None, rows_per_bucket: int, max_buckets: int) -> int:
@@ -163,7 +186,7 @@ def choose_buckets(n: int, buckets: int | None, rows_per_bucket: int, max_bucket
 def global_order(df: DataFrame, order_cols: list[str], sum_cols: list[str] = (),
                  buckets: int | None = None, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
                  max_buckets: int = DEFAULT_MAX_BUCKETS, sample_per_bucket: int = SAMPLE_PER_BUCKET,
-                 seed: int = 7, n_rows: int | None = None) -> GlobalOrder:
+                 seed: int = 7, n_rows: int | None = None, fanout: int = DEFAULT_FANOUT) -> GlobalOrder:
     """Global ascending order over ``order_cols`` (NULLs first), computed in buckets.
 
     ``order_cols`` must be a unique key of ``df`` (add an id as the last
@@ -177,7 +200,7 @@ def global_order(df: DataFrame, order_cols: list[str], sum_cols: list[str] = (),
     n = df.count() if n_rows is None and buckets != 1 else (n_rows or 0)
     k = choose_buckets(n, buckets, rows_per_bucket, max_buckets)
     boundaries = _sample_boundaries(df, order_cols, dtypes, k, n, sample_per_bucket, seed)
-    b = assign_buckets(df, boundaries, order_cols, dtypes)
+    b = assign_buckets(df, boundaries, order_cols, dtypes, fanout)
 
     stats = b.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_cnt"),
                                   *[F.sum(c).alias(f"_sum_{c}") for c in sum_cols])
