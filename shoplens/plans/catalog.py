@@ -244,6 +244,7 @@ def r_integrity_report(c: Context) -> DataFrame:
     tables = {"customers": t.customers, "orders": t.orders, "order_payments": t.payments,
               "order_items": t.items, "products": t.products,
               "category_names_english": c.dictionary}
+    tables.update(t.extra.get("raw_tables", {}))     # sellers, reviews when loaded
     return quality.integrity_report(tables, FOREIGN_KEYS, PRIMARY_KEYS)
 
 

@@ -26,7 +26,12 @@ DEFAULT_FILES = {
     "order_items": "order_items.csv",
     "products": "products.csv",
     "category_names_english": "category_names_english.csv",
+    # optional: only the integrity report reads them
+    "sellers": "sellers.csv",
+    "order_reviews": "order_reviews.csv",
+    "geolocation": "geolocation.csv",
 }
+OPTIONAL = ("sellers", "order_reviews", "geolocation")
 
 
 def from_csv_folder(spark: SparkSession, folder: str, files: dict[str, str] | None = None,
@@ -41,6 +46,7 @@ def from_csv_folder(spark: SparkSession, folder: str, files: dict[str, str] | No
     def read(table: str):
         return load_csv(spark, os.path.join(folder, names[table]), table)
 
+    optional = {t: read(t) for t in OPTIONAL if os.path.exists(os.path.join(folder, names[t]))}
     return Tables(
         customers=read("customers").withColumn("clean_city", clean_city("city", city_collation)),
         orders=read("orders"),
@@ -50,4 +56,5 @@ def from_csv_folder(spark: SparkSession, folder: str, files: dict[str, str] | No
         dictionary=map_category(read("category_names_english"), mapping),
         delivered=delivered,
         as_of=as_of,
+        extra={"raw_tables": optional},
     )

@@ -57,6 +57,10 @@ def tables(spark, tmp_path_factory):
                ("p3", "sem_dicionario", "", "", "", "", "", "", "")])
     _write(d, "category_names_english.csv", "product_category,product_category_eng", [
         ("cama_mesa_banho", "bed_bath_table"), ("brinquedos", "toys")])
+    _write(d, "sellers.csv", "seller_id,zip_code_prefix,city,state", [("s1", "1001", "x", "SP")])
+    _write(d, "order_reviews.csv",
+           "review_id,order_id,rating,review_title,review_content,creation_timestamp,answer_timestamp",
+           [("r1", "o1", "5", "", "", "", ""), ("r2", "o_missing", "1", "", "", "", "")])
     return from_csv_folder(spark, d)
 
 
@@ -124,3 +128,12 @@ def test_all_nine_raw_schemas_load(spark, tmp_path):
     assert seller.zip_code_prefix == "13023"
     pay = load_csv(spark, str(tmp_path / "order_payments.csv"), "order_payments").collect()[0]
     assert str(pay.payment_value) == "99.33"
+
+
+def test_integrity_includes_optional_tables(tables):
+    got = {(r.kind, r.table_name, r.column_name): r.violations
+           for r in run_reports(tables, ["integrity_report"])["integrity_report"].collect()}
+    assert got[("fk", "order_items", "seller_id")] == 2          # the two item rows of seller s2
+    assert got[("fk", "order_reviews", "order_id")] == 1
+    assert got[("pk", "sellers", "seller_id")] == 0
+    assert got[("fk", "products", "product_category")] == 1      # sem_dicionario
