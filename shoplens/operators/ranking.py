@@ -190,7 +190,11 @@ def global_order(df: DataFrame, order_cols: list[str], sum_cols: list[str] = (),
     """Global ascending order over ``order_cols`` (NULLs first), computed in buckets.
 
     ``order_cols`` must be a unique key of ``df`` (add an id as the last
-    column). ``df`` is read several times (count, sample, stats, result):
+    column): rows with the same full key are indistinguishable, so no pure
+    function of the row could split a group of such copies. Callers here
+    order by aggregated persons or by the declared order key, and
+    :func:`shoplens.operators.quality.integrity_report` reports key
+    violations. ``df`` is read several times (count, sample, stats, result):
     persist it first if it is costly. ``buckets=None`` picks
     ``ceil(rows / rows_per_bucket)`` (capped), so small inputs use one bucket.
     """

@@ -34,7 +34,9 @@ def order_sequence(master: DataFrame, customers: DataFrame, orders: DataFrame,
 
     Unpaid orders stay with NULL sales (left join). The numbering and the
     lags come from :func:`global_order` over (person, time, order id), so a
-    person with a huge number of orders is split over several tasks.
+    person with a huge number of orders is split over several tasks. Relies
+    on ``order_id`` being the key of ``orders`` (checked by the integrity
+    report), which makes (person, time, order id) unique.
     """
     o = repeat_customer_orders(master, customers, orders, status)
     o = (o.join(order_payment_totals(payments), "order_id", "left")
