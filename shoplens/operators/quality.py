@@ -30,16 +30,19 @@ def distinct_values(df: DataFrame, cols: list[str], where=None) -> DataFrame:
     return df.select(*cols).distinct()
 
 
-def attribute_drift(df: DataFrame, key: str, cols: list[str], suffix: str = "_cnt") -> DataFrame:
-    """Keys whose rows disagree on any of ``cols`` (distinct count > 1)."""
-    g = df.groupBy(key).agg(*[F.count_distinct(c).alias(c + suffix) for c in cols])
-    cond = reduce(lambda a, b: a | b, [F.col(c + suffix) > 1 for c in cols])
-    return g.where(cond)
+def attribute_drift(df: DataFrame, key: str, cols: list[str], suffix: str = "_cnt",
+                    names: dict[str, str] | None = None) -> DataFrame:
+    """Keys whose rows disagree on any of ``cols`` (distinct count > 1).
+    Output columns are ``<col><suffix>`` unless renamed by ``names``."""
+    names = names or {}
+    out = [names.get(c, c + suffix) for c in cols]
+    g = df.groupBy(key).agg(*[F.count_distinct(c).alias(o) for c, o in zip(cols, out)])
+    return g.where(reduce(lambda a, b: a | b, [F.col(o) > 1 for o in out]))
 
 
-def key_uniqueness(df: DataFrame, key: str) -> DataFrame:
+def key_uniqueness(df: DataFrame, key: str, unique_col: str = "unique_key_cnt") -> DataFrame:
     """Rows versus distinct keys (equal when the key is unique)."""
-    return df.agg(F.count(F.lit(1)).alias("row_cnt"), F.count_distinct(key).alias("unique_key_cnt"))
+    return df.agg(F.count(F.lit(1)).alias("row_cnt"), F.count_distinct(key).alias(unique_col))
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -201,7 +201,8 @@ def r_attribute_drift(c: Context) -> DataFrame:
     """Persons whose customer rows disagree on state, city or zip."""
     if c.t.extra.get("drift_on_orders"):
         return quality.attribute_drift(c.t.orders, "customer_id", ["status", "priority"])
-    return quality.attribute_drift(c.t.customers, PERSON, ["state", "clean_city", "zip_code_prefix"])
+    return quality.attribute_drift(c.t.customers, PERSON, ["state", "clean_city", "zip_code_prefix"],
+                                   names={"clean_city": "city_cnt", "zip_code_prefix": "zip_cnt"})
 
 
 def r_latest_row_per_key(c: Context) -> DataFrame:
@@ -222,7 +223,7 @@ def r_one_customer(c: Context) -> DataFrame:
 
 
 def r_key_uniqueness(c: Context) -> DataFrame:
-    return quality.key_uniqueness(c.master, PERSON)
+    return quality.key_uniqueness(c.master, PERSON, "unique_customer_cnt")
 
 
 def r_delivered_summary(c: Context) -> DataFrame:

@@ -40,6 +40,7 @@ def test_key_uniqueness_and_duplicates(spark):
     df = _customers(spark)
     r = quality.key_uniqueness(df, "customer_unique_id").collect()[0]
     assert (r.row_cnt, r.unique_key_cnt) == (5, 3)
+    assert quality.key_uniqueness(df, "customer_unique_id", "unique_customer_cnt").columns == ["row_cnt", "unique_customer_cnt"]
     dups = {x.customer_unique_id: x.cnt for x in quality.duplicate_keys(df, ["customer_unique_id"]).collect()}
     assert dups == {"u1": 2, "u3": 2}
 
@@ -54,3 +55,10 @@ def test_mapping_cardinality(spark):
     df = spark.createDataFrame([("toys", "S"), ("cool_stuff", "S"), ("baby", "B")], "clean_category string, category_group string")
     r = quality.mapping_cardinality(df, ["clean_category", "category_group"]).collect()[0]
     assert (r.clean_category_cnt, r.category_group_cnt) == (3, 2)
+
+
+def test_attribute_drift_original_names(spark):
+    got = quality.attribute_drift(_customers(spark), "customer_unique_id", ["state", "clean_city", "zip_code_prefix"],
+                                  names={"clean_city": "city_cnt", "zip_code_prefix": "zip_cnt"})
+    assert got.columns == ["customer_unique_id", "state_cnt", "city_cnt", "zip_cnt"]
+    assert [tuple(r) for r in got.collect()] == [("u3", 1, 1, 2)]
