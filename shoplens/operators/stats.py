@@ -116,6 +116,15 @@ def _with_expected(counts: DataFrame, count_cols: list[str]) -> DataFrame:
     return df
 
 
+def expected_counts(counts: DataFrame, count_cols: list[str], label_col: str = "category_group",
+                    suffix: str = "_expected") -> DataFrame:
+    """Expected frequencies under independence, row total x column total /
+    grand total, one column per cohort (the table the test compares with)."""
+    df = _with_expected(counts, count_cols)
+    return df.select(label_col, *[F.col(f"_e_{c}").alias(c.replace("_cnt", "") + suffix)
+                                  for c in count_cols])
+
+
 def chi_square_statistic(counts: DataFrame, count_cols: list[str]) -> DataFrame:
     """chi2 = sum (observed - expected)^2 / expected; dof = (rows-1)(cols-1).
     No continuity correction (it only applies to 2x2 tables)."""

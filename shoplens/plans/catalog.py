@@ -460,6 +460,10 @@ def r_chi_square_statistic(c: Context) -> DataFrame:
     return stats.chi_square_statistic(c.lift, ["star_cnt", "one_time_cnt"])
 
 
+def r_chi_square_expected(c: Context) -> DataFrame:
+    return stats.expected_counts(c.lift, ["star_cnt", "one_time_cnt"])
+
+
 def r_chi_square_independence(c: Context) -> DataFrame:
     return stats.chi_square_independence(c.lift, ["star_cnt", "one_time_cnt"])
 

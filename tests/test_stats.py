@@ -100,3 +100,10 @@ def test_adjusted_residuals(counts):
         e = row_total * star_total / n
         expected = (s - e) / math.sqrt(e * (1 - row_total / n) * (1 - star_total / n))
         assert abs(rows[cat].star_resid - expected) < 1e-9
+
+
+def test_expected_counts(counts):
+    rows = {r.category_group: r for r in stats.expected_counts(counts, ["star_cnt", "one_time_cnt"]).collect()}
+    assert abs(rows["Home & Living"].star_expected - 301.681) < 1e-3
+    total = sum(r.star_expected + r.one_time_expected for r in rows.values())
+    assert abs(total - sum(s + o for _, s, o in CROSS_TAB)) < 1e-6
