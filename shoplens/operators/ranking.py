@@ -32,6 +32,7 @@ the plan size does not grow with ``k``.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -424,6 +425,10 @@ def exact_median(df: DataFrame, value_col: str, id_col: str, out: str = "median"
                                 F.count(value_col).cast("double")).alias(out))
 
 
+_INTERNAL = re.compile(r"^_(bkt|lrn|rn|off_\w+|run_\w+|lrun_\w+|range_\w+|prn_\w+|cont|low|high|prev\w*)$")
+
+
 def drop_internal(df: DataFrame) -> DataFrame:
-    """Drop the helper columns (names starting with an underscore)."""
-    return df.drop(*[c for c in df.columns if c.startswith("_")])
+    """Drop the helper columns this module adds (``_bkt``, ``_rn``, offsets,
+    running sums, ...); other columns, even with a leading underscore, stay."""
+    return df.drop(*[c for c in df.columns if _INTERNAL.match(c)])

@@ -144,3 +144,10 @@ def test_deep_search_tree(skewed, fanout, buckets):
     # buckets are exactly "number of boundaries <= key": compare with the inlined lookup
     inline = skewed.withColumn("_b2", R.bucket_expr(go.boundaries, ["sales", "pid"], go.dtypes))
     assert j.join(inline.select("pid", "_b2"), "pid").where(F.col("_bkt") != F.col("_b2")).count() == 0
+
+
+def test_user_underscore_columns_survive(spark):
+    df = spark.range(0, 50).select(F.col("id").alias("pid"), (F.col("id") % 7).alias("v"),
+                                   F.lit("keep").alias("_user_col"))
+    out = R.with_ntile(df, "v", "pid", 4, "m", buckets=3)
+    assert out.columns == ["pid", "v", "_user_col", "m"]
