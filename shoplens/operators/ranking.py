@@ -202,13 +202,31 @@ def global_order(df: DataFrame, order_cols: list[str], sum_cols: list[str] = (),
     order_cols = list(order_cols)
     sum_cols = list(sum_cols)
     dtypes = {f.name: f.dataType for f in df.schema.fields}
-    n = df.count() if n_rows is None and buckets != 1 else (n_rows or 0)
+
+    def bucket_stats(frame: DataFrame) -> DataFrame:
+        return frame.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_cnt"),
+                                         *[F.sum(c).alias(f"_sum_{c}") for c in sum_cols])
+
+    one = df.withColumn("_bkt", F.lit(0))
+    first = None
+    if n_rows is not None:
+        n = n_rows
+    elif buckets is not None and buckets <= 1:
+        n = 0                                   # one bucket: no count needed
+    else:
+        # the single-bucket statistics give the row count; when one bucket
+        # is enough (small inputs) they are the final statistics as well
+        first = bucket_stats(one).persist()
+        row = first.first()
+        n = int(row["_cnt"]) if row is not None else 0
     k = choose_buckets(n, buckets, rows_per_bucket, max_buckets)
     boundaries = _sample_boundaries(df, order_cols, dtypes, k, n, sample_per_bucket, seed)
-    b = assign_buckets(df, boundaries, order_cols, dtypes, fanout)
-
-    stats = b.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_cnt"),
-                                  *[F.sum(c).alias(f"_sum_{c}") for c in sum_cols])
+    if boundaries:
+        b = assign_buckets(df, boundaries, order_cols, dtypes, fanout)
+        stats = bucket_stats(b)
+    else:
+        b = one
+        stats = first if first is not None else bucket_stats(one)
     before = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)  # <= k rows
     stats = stats.withColumn("_off_cnt", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
     for c in sum_cols:
