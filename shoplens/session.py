@@ -56,7 +56,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
             return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = _SCRATCH.setdefault(id(spark), tempfile.mkdtemp(prefix="shoplens-ckpt-"))
+        if id(spark) not in _SCRATCH:
+            _SCRATCH[id(spark)] = tempfile.mkdtemp(prefix="shoplens-ckpt-")
+        configured = _SCRATCH[id(spark)]
     if sc is None:
         return configured
     sc.setCheckpointDir(configured)
