@@ -46,7 +46,11 @@ def main() -> None:
     total = round(time.time() - t_all, 3)
     release()
     reset_contexts()
-    sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    sf_name = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
+    try:
+        sf: float | str = float(sf_name)
+    except ValueError:
+        sf = sf_name
     print(json.dumps({"metric": "all_queries_total", "value": total, "unit": "sec",
                       "queries": times, "sf": sf, "cpus": cpus}))
 
