@@ -169,11 +169,13 @@ def _delivered_out(v: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def r_category_dictionary(c: Context) -> DataFrame:
+    """Category dictionary with cleaned names and groups."""
     return c.dictionary.select(
         "product_category", "product_category_eng", "clean_category", "category_group")
 
 
 def r_clean_city(c: Context) -> DataFrame:
+    """Customers' cleaned city names."""
     return c.t.customers.select("customer_id", "city", "clean_city")
 
 
@@ -219,28 +221,34 @@ def r_latest_row_per_key(c: Context) -> DataFrame:
 
 
 def r_one_customer(c: Context) -> DataFrame:
+    """One row per person: latest address, order count, first and last order."""
     return master.one_customer(c.t.customers, c.t.orders, c.facts)
 
 
 def r_key_uniqueness(c: Context) -> DataFrame:
+    """Rows versus distinct persons of the customer master."""
     return quality.key_uniqueness(c.master, PERSON, "unique_customer_cnt")
 
 
 def r_delivered_summary(c: Context) -> DataFrame:
+    """Paid delivered orders and sales per person."""
     t = c.t
     out = master.delivered_summary(t.customers, t.orders, c.paid, t.delivered, c.facts)
     return out.withColumn("sales", money("sales"))
 
 
 def r_customer_master(c: Context) -> DataFrame:
+    """Customer master with active / repeat / interest flags."""
     return _master_out(c.master)
 
 
 def r_flag_domain(c: Context) -> DataFrame:
+    """Values taken by the interest flag."""
     return quality.distinct_values(c.master, ["interest_customer"])
 
 
 def r_integrity_report(c: Context) -> DataFrame:
+    """Declared primary and foreign keys: violating rows per constraint."""
     t = c.t
     tables = {"customers": t.customers, "orders": t.orders, "order_payments": t.payments,
               "order_items": t.items, "products": t.products,
@@ -250,229 +258,283 @@ def r_integrity_report(c: Context) -> DataFrame:
 
 
 def r_funnel_rates(c: Context) -> DataFrame:
+    """Funnel counts and conversion rates."""
     return funnel.funnel_rates(c.master)
 
 
 def r_funnel_stages(c: Context) -> DataFrame:
+    """Funnel as four stage rows."""
     return funnel.funnel_stages(c.master)
 
 
 def r_order_sequence(c: Context) -> DataFrame:
+    """Every order of a repeat customer, numbered, with the previous order."""
     return sequence.sequence_output(c.sequence)
 
 
 def r_sequence_stats(c: Context) -> DataFrame:
+    """Per order number: count, gap to the previous order, mean sales."""
     return sequence.sequence_stats(c.sequence)
 
 
 def r_sequence_category_mix(c: Context) -> DataFrame:
+    """Category share per order number 1-4 (known categories)."""
     return sequence.sequence_category_mix(c.sequence, c.t.items, c.t.products, c.dictionary,
                                           summary=c.order_groups)
 
 
 def r_sequence_category_pivot(c: Context) -> DataFrame:
+    """Category x order number 1-4 of unrounded shares, unknown kept."""
     return sequence.sequence_category_pivot(c.sequence, c.t.items, c.t.products, c.dictionary,
                                             summary=c.order_groups)
 
 
 def r_lorenz_curve(c: Context) -> DataFrame:
+    """Lorenz curve of customer sales."""
     return c.curve
 
 
 def r_lorenz_peak(c: Context) -> DataFrame:
+    """Point of the Lorenz curve farthest from the diagonal."""
     return lorenz.lorenz_peak(c.curve)
 
 
 def r_value_segments(c: Context) -> DataFrame:
+    """Structure, average and Pareto segments per customer."""
     return c.segments
 
 
 def r_segment_category_mix(c: Context) -> DataFrame:
+    """Category share per Pareto segment."""
     return segments.segment_category_mix(c.segments, c.t.customers, c.t.orders, c.t.items,
                                          c.t.products, c.dictionary, "pareto_segment",
                                          summary=c.order_groups)
 
 
 def r_segment_order_counts(c: Context) -> DataFrame:
+    """Order-count distribution per Pareto segment."""
     return segments.segment_order_counts(c.segments, c.t.customers, c.t.orders, "pareto_segment",
                                          facts=c.facts)
 
 
 def r_structure_order_counts(c: Context) -> DataFrame:
+    """Order-count distribution per structure segment."""
     return segments.segment_order_counts(c.segments, c.t.customers, c.t.orders, "structure_segment",
                                          facts=c.facts)
 
 
 def r_order_count_distribution(c: Context) -> DataFrame:
+    """Delivered-order-count distribution over all delivered customers."""
     return segments.order_count_distribution(c.master, c.t.customers, c.t.orders, c.t.delivered,
                                              facts=c.facts)
 
 
 def r_order_product(c: Context) -> DataFrame:
+    """Item rows with their category."""
     return c.order_product.withColumn("price", money("price"))
 
 
 def r_category_orders(c: Context) -> DataFrame:
+    """Distinct orders per category group."""
     return category.category_orders(c.order_groups)
 
 
 def r_mapping_cardinality(c: Context) -> DataFrame:
+    """Distinct cleaned categories versus groups among sold items."""
     return quality.mapping_cardinality(c.order_product, ["clean_category", "category_group"])
 
 
 def r_category_rank_orders(c: Context) -> DataFrame:
+    """Category groups dense-ranked by orders."""
     return category.category_rank(c.order_groups, "order_cnt")
 
 
 def r_category_rank_sales(c: Context) -> DataFrame:
+    """Category groups dense-ranked by sales."""
     return category.category_rank(c.order_groups, "sales")
 
 
 def r_category_order_value(c: Context) -> DataFrame:
+    """Sales per order by category group, with ranks."""
     return category.category_order_value(c.order_groups)
 
 
 def r_category_item_price(c: Context) -> DataFrame:
+    """Price per item row by category group, with ranks."""
     return category.category_item_price(c.order_groups)
 
 
 def r_region_core_share(c: Context) -> DataFrame:
+    """Core and above-average customer share per state and city."""
     return segments.region_core_share(c.segments, c.master)
 
 
 def r_first_order_items(c: Context) -> DataFrame:
+    """Items of each person's first delivered order."""
     return c.first_items
 
 
 def r_single_item_first_mix(c: Context) -> DataFrame:
+    """Category share of single-item first orders."""
     return first_purchase.single_item_first_mix(c.first_items)
 
 
 def r_total_sales(c: Context) -> DataFrame:
+    """Total delivered sales."""
     return trend.total_sales(c.t.orders, c.paid, c.t.delivered)
 
 
 def r_monthly_sales(c: Context) -> DataFrame:
+    """Delivered sales per month."""
     return trend.monthly_sales(c.t.orders, c.paid, c.t.delivered)
 
 
 def r_monthly_sales_by_type(c: Context) -> DataFrame:
+    """Delivered sales per month and payment type."""
     t = c.t
     return trend.monthly_sales_by_type(t.orders, t.payments, t.delivered)
 
 
 def r_order_status_totals(c: Context) -> DataFrame:
+    """All orders and delivered orders."""
     t = c.t
     return trend.order_status_totals(t.orders, t.delivered)
 
 
 def r_customer_delivered_orders(c: Context) -> DataFrame:
+    """Per person: paid delivered orders, last order, recency, sales."""
     return _delivered_out(c.delivered)
 
 
 def r_one_time_count(c: Context) -> DataFrame:
+    """Customers with exactly one paid delivered order."""
     return rfm.one_time_count(c.delivered)
 
 
 def r_one_time_delivered_orders(c: Context) -> DataFrame:
+    """Delivered orders of persons with fewer than two of them."""
     return rfm.one_time_delivered_orders(c.t.customers, c.t.orders, c.t.delivered, c.facts)
 
 
 def r_customer_type_profile(c: Context) -> DataFrame:
+    """One-time versus repeat customers: size, sales, frequency, recency."""
     return rfm.customer_type_profile(c.delivered)
 
 
 def r_rfm_base(c: Context) -> DataFrame:
+    """Repeat customers (two or more paid delivered orders)."""
     return _delivered_out(c.base)
 
 
 def r_rfm_exploration_base(c: Context) -> DataFrame:
+    """Repeat customers by the exploratory rule (before the payment join)."""
     return _delivered_out(rfm.rfm_exploration_base(c.delivered, c.t.customers, c.t.orders, c.t.delivered,
                                                    2, c.facts))
 
 
 def r_recency_bins_exploration(c: Context) -> DataFrame:
+    """Equal-width recency bins, exploratory base, unrounded shares."""
     return rfm.recency_bins(rfm.delivered_recency(c.t.customers, c.t.orders, c.t.as_of, c.t.delivered,
                                                   2, c.facts), digits=None)
 
 
 def r_rfm_exploration_scored(c: Context) -> DataFrame:
+    """R/F/M labels and personas on the exploratory base."""
     return rfm.scored_output(c.exploration_scored)
 
 
 def r_persona_distribution_exploration(c: Context) -> DataFrame:
+    """Persona counts on the exploratory base."""
     return rfm.persona_distribution(c.exploration_scored)
 
 
 def r_bcg_quadrants_exploration(c: Context) -> DataFrame:
+    """BCG quadrants on the exploratory base."""
     return rfm.bcg_quadrants(c.exploration_scored)
 
 
 def r_frequency_distribution(c: Context) -> DataFrame:
+    """Repeat customers per order frequency."""
     return rfm.frequency_distribution(c.base)
 
 
 def r_recency_bins(c: Context) -> DataFrame:
+    """Repeat customers per equal-width recency bin."""
     return rfm.recency_bins(c.base)
 
 
 def r_mean_median(c: Context) -> DataFrame:
+    """Mean and exact median of repeat customers' sales."""
     return rfm.mean_median(c.base, buckets=c.buckets)
 
 
 def r_ntile_summary(c: Context) -> DataFrame:
+    """Size and sales range of each sales quartile."""
     return rfm.ntile_summary(c.scored)
 
 
 def r_rfm_scored(c: Context) -> DataFrame:
+    """R/F/M labels and persona per repeat customer."""
     return rfm.scored_output(c.scored)
 
 
 def r_persona_distribution(c: Context) -> DataFrame:
+    """Repeat customers per persona."""
     return rfm.persona_distribution(c.scored)
 
 
 def r_bcg_quadrants(c: Context) -> DataFrame:
+    """Repeat customers per BCG quadrant, with mean frequency."""
     return rfm.bcg_quadrants(c.scored)
 
 
 def r_first_order(c: Context) -> DataFrame:
+    """Delivered orders numbered per person."""
     return cohort.first_order(c.t.customers, c.t.orders, c.t.delivered, c.buckets)
 
 
 def r_star_customers(c: Context) -> DataFrame:
+    """The STAR cohort (recent and high value)."""
     return rfm.scored_output(c.stars)
 
 
 def r_cohort_match_report(c: Context) -> DataFrame:
+    """How the STAR cohort maps onto first-purchase categories."""
     return cohort.cohort_match_report(c.first_cats, c.stars)
 
 
 def r_cohort_lift(c: Context) -> DataFrame:
+    """First-purchase category lift of STAR versus one-time customers."""
     return c.lift
 
 
 def r_repeat_baseline(c: Context) -> DataFrame:
+    """Repeat customers over all delivered customers."""
     return cohort.repeat_baseline(c.base, c.t.customers, c.t.orders, c.t.delivered, c.facts)
 
 
 def r_chi_square_statistic(c: Context) -> DataFrame:
+    """Chi-square statistic and degrees of freedom of the lift table."""
     return stats.chi_square_statistic(c.lift, ["star_cnt", "one_time_cnt"])
 
 
 def r_chi_square_expected(c: Context) -> DataFrame:
+    """Expected frequencies of the lift table under independence."""
     return stats.expected_counts(c.lift, ["star_cnt", "one_time_cnt"])
 
 
 def r_chi_square_independence(c: Context) -> DataFrame:
+    """Chi-square statistic, degrees of freedom and p-value."""
     return stats.chi_square_independence(c.lift, ["star_cnt", "one_time_cnt"])
 
 
 def r_residual_report(c: Context) -> DataFrame:
+    """Residuals per category and the Bonferroni flag."""
     return stats.residual_report(c.lift)
 
 
 def r_ab_sample_size(c: Context) -> DataFrame:
+    """A/B sample sizes per relative lift of the repeat baseline."""
     base = r_repeat_baseline(c).select(F.col("baseline_pct").alias("p1"))
     return stats.ab_sample_size(base)
 
