@@ -39,11 +39,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shoplens.plans.cache import keep
+
 DEFAULT_ROWS_PER_BUCKET = 1_000_000
 DEFAULT_MAX_BUCKETS = 65536
 SAMPLE_PER_BUCKET = 40
 MAX_SAMPLE_ROWS = 2_000_000        # sorted in one task to pick the boundaries
-LITERAL_BOUNDARIES = 64            # up to this many boundaries are inlined as literals
+LITERAL_BOUNDARIES = 16            # up to this many boundaries are inlined as literals
 DEFAULT_FANOUT = 64                # entries per node of the bucket search tree
 
 
@@ -222,7 +224,9 @@ def global_order(df: DataFrame, order_cols: list[str], sum_cols: list[str] = (),
     k = choose_buckets(n, buckets, rows_per_bucket, max_buckets)
     boundaries = _sample_boundaries(df, order_cols, dtypes, k, n, sample_per_bucket, seed)
     if boundaries:
-        b = assign_buckets(df, boundaries, order_cols, dtypes, fanout)
+        # the lookup runs once: the bucketed rows feed the statistics, the
+        # boundary corrections and the window
+        b = keep(assign_buckets(df, boundaries, order_cols, dtypes, fanout))
         stats = bucket_stats(b)
     else:
         b = one
