@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import quality, secrets, warc
+from shoplens.llm import mixing, packing, pii, quality, secrets, warc
 from shoplens.llm.common import read_table, stage_table
 
 
@@ -30,6 +30,38 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return _span_digest(docs.select("doc_id", pii.find_pii("text").alias("s")), "s", pii.BASE_KINDS)
+
+
+MIX_LEVELS = ("domain", "lang", "source")
+MIX_DOMAINS = 4
+
+
+def mix_weights() -> dict[str, Column]:
+    """Target weights of the production mix, whole numbers per node of a level."""
+    lang, domain = F.col("lang"), F.col("domain")
+    return {"domain": F.when(domain == "d0", 4).when(domain == "d1", 3).when(domain == "d2", 2).otherwise(1),
+            "lang": F.when(lang == "en", 5).when(lang.isin("de", "fr"), 2).otherwise(1)}
+
+
+def domain_of(source: Column) -> Column:
+    """Domain of a source; sources are dealt to domains by a checksum of their name."""
+    return F.concat(F.lit("d"), F.pmod(F.crc32(F.coalesce(source, F.lit("")).cast("binary")), F.lit(MIX_DOMAINS)))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of all tokens, mixed to the target weights from at most two epochs a leaf."""
+    docs = read_table(spark, sf_dir, "documents").select(
+        "doc_id", domain_of(F.col("source")).alias("domain"), "lang", "source",
+        mixing.count_tokens("text").alias("tokens"))
+    docs = stage_table(docs, "mix_docs")
+    made = mixing.plan(docs, MIX_LEVELS, 0.5, mix_weights())
+    return mixing.take(docs, made, MIX_LEVELS)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -37,6 +69,19 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
                         ("assign", "access", "hex"))
 
 
+def tokenizer_path() -> str:
+    """Place of the production tokenizer file on this machine."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of 1024 ids."""
+    pieces = packing.pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
+                         "sequence_id", "offset")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base verdict and posterior verdict of every document."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -48,5 +93,6 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (~quality.base_failed() & (p >= 0.5)).alias("kept"), F.round(p, 6).alias("p_quality"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op5_secrets": op5_secrets, "op7_quality": op7_quality}
+QUERIES = {"op1_warc": op1_warc, "op2_pii": op2_pii, "op4_mixing": op4_mixing, "op6_packing": op6_packing,
+           "op5_secrets": op5_secrets, "op7_quality": op7_quality}
 ORACLE_SQL: dict[str, str] = {}
