@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import mixing, packing, pii, quality, secrets, warc
+from shoplens.llm import minhash, mixing, packing, pii, quality, secrets, warc
 from shoplens.llm.common import read_table, stage_table
 
 
@@ -36,6 +36,13 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digest(docs.select("doc_id", pii.find_pii("text").alias("s")), "s", pii.BASE_KINDS)
 
 
+def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document: 2-word shingles, 0.8 or more."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = minhash.components(docs, k=2, percent=80)
+    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
 MIX_LEVELS = ("domain", "lang", "source")
 MIX_DOMAINS = 4
 
@@ -93,6 +100,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (~quality.base_failed() & (p >= 0.5)).alias("kept"), F.round(p, 6).alias("p_quality"))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_pii": op2_pii, "op4_mixing": op4_mixing, "op6_packing": op6_packing,
+QUERIES = {"op1_warc": op1_warc, "op2_pii": op2_pii, "op3_minhash": op3_minhash,
+           "op4_mixing": op4_mixing, "op6_packing": op6_packing,
            "op5_secrets": op5_secrets, "op7_quality": op7_quality}
 ORACLE_SQL: dict[str, str] = {}
