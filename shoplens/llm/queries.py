@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import minhash, mixing, packing, pii, quality, secrets, warc
+from shoplens.llm import minhash, mixing, packing, pii, quality, secrets, suffix_dedup, warc
 from shoplens.llm.common import read_table, stage_table
 
 
@@ -100,7 +100,15 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (~quality.base_failed() & (p >= 0.5)).alias("kept"), F.round(p, 6).alias("p_quality"))
 
 
+def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document less its 50-byte strings of earlier documents."""
+    out = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, x: acc + x["end"] - x["start"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {"op1_warc": op1_warc, "op2_pii": op2_pii, "op3_minhash": op3_minhash,
            "op4_mixing": op4_mixing, "op6_packing": op6_packing,
-           "op5_secrets": op5_secrets, "op7_quality": op7_quality}
+           "op5_secrets": op5_secrets, "op7_quality": op7_quality, "op9_suffix": op9_suffix}
 ORACLE_SQL: dict[str, str] = {}
