@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import minhash, mixing, packing, pii, quality, secrets, suffix_dedup, warc
+from shoplens.llm import ann, licenses, minhash, mixing, packing, pii, quality, secrets, suffix_dedup, warc
 from shoplens.llm.common import read_table, stage_table
 
 
@@ -100,6 +100,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (~quality.base_failed() & (p >= 0.5)).alias("kept"), F.round(p, 6).alias("p_quality"))
 
 
+def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License passages of every document."""
+    return licenses.find_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document less its 50-byte strings of earlier documents."""
     out = suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
@@ -108,7 +113,14 @@ def op9_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest found of every vector whose id is divisible by 100."""
+    vectors = read_table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0), k=10)
+
+
 QUERIES = {"op1_warc": op1_warc, "op2_pii": op2_pii, "op3_minhash": op3_minhash,
            "op4_mixing": op4_mixing, "op6_packing": op6_packing,
-           "op5_secrets": op5_secrets, "op7_quality": op7_quality, "op9_suffix": op9_suffix}
+           "op5_secrets": op5_secrets, "op7_quality": op7_quality, "op8_licenses": op8_licenses,
+           "op9_suffix": op9_suffix, "op10_ann": op10_ann}
 ORACLE_SQL: dict[str, str] = {}
