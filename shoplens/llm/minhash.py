@@ -40,6 +40,7 @@ from shoplens.llm.common import (
     SET_BITS,
     connected_components,
     doc_chunks,
+    fresh,
     mix64,
     salted_join,
     shingle_sets,
@@ -226,8 +227,9 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col:
     """The rows of ``docs`` whose id is their group's smallest, columns
     unchanged; of rows that repeat such an id one stays."""
     found = stage_table(components(docs, k, percent, id_col, text_col), "components")
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    name, = fresh(docs, "_gone")
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct()
+    kept = docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]) \
             .unionByName(kept.where(F.col(id_col).isNull()))

@@ -32,7 +32,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import WORD, salted_join, stage_table
+from shoplens.llm.common import WORD, all_columns, fresh, salted_join, stage_table
 
 BIG = "decimal(38,0)"
 
@@ -122,6 +122,11 @@ def _range_of(place: Column, ranges: Column) -> Column:
     return F.shiftright(F.shiftright(place, 29) * ranges, 31)
 
 
+def _leaf_key(levels: Sequence[Column | str]) -> Column:
+    cols = [F.col(c) if isinstance(c, str) else c for c in levels]
+    return F.xxhash64(*cols, *[c.isNull() for c in cols])
+
+
 def plan(docs: DataFrame, levels: Sequence[str], budget: int | float, weights: dict[str, Column] | None = None,
          max_epochs: int = 2, seed: int = 17, id_col: str = "doc_id", tokens: str = "tokens",
          range_rows: int = 4096) -> DataFrame:
@@ -140,7 +145,7 @@ def plan(docs: DataFrame, levels: Sequence[str], budget: int | float, weights: d
         have = leaves.agg(F.sum("tokens")).first()[0] or 0
         budget = int(have * int(budget * 1_000_000) // 1_000_000)
     alloc = leaf_budgets(leaves, levels, budget, weights, max_epochs)
-    key = F.xxhash64(*levels, *[F.col(c).isNull() for c in levels])
+    key = _leaf_key(levels)
     base = stage_table(
         leaves.withColumn("_leaf", key).join(alloc.select(key.alias("_leaf"), "budget"), "_leaf")
         .withColumn("full", _div(F.col("budget"), F.col("tokens")).cast("long"))
@@ -166,32 +171,62 @@ def plan(docs: DataFrame, levels: Sequence[str], budget: int | float, weights: d
                                   F.col("_range").alias("cut_range"), "cut_place", "cut_id", "cut_tokens"), "mix_full")
 
 
-def take(docs: DataFrame, made: DataFrame, levels: Sequence[str], seed: int = 17, id_col: str = "doc_id",
-         tokens: str = "tokens") -> DataFrame:
-    """Rows of ``docs`` that a plan takes, once per epoch, with ``epoch`` (from
-    0) and ``taken`` (tokens from the start of the text)."""
-    key = F.xxhash64(*levels, *[F.col(c).isNull() for c in levels])
-    small = made.drop(*levels, "tokens")
-    rows = docs.withColumn("_leaf", key).where(F.col(tokens) > 0)
-    rows = salted_join(rows, small, ["_leaf"], F.coalesce(F.col(id_col), F.lit(-1)))
-    place = _place(seed, F.col("full"), F.col(id_col))
-    bits = _range_of(place, F.col("_ranges"))
-    before = (bits < F.col("cut_range")) | ((bits == F.col("cut_range")) & (
-        (place < F.col("cut_place")) | ((place == F.col("cut_place")) & (
-            F.coalesce(F.col(id_col) < F.col("cut_id"), F.col(id_col).isNull() & F.col("cut_id").isNotNull())))))
-    at_cut = (place == F.col("cut_place")) & F.col(id_col).eqNullSafe(F.col("cut_id"))
-    last = F.when(F.col("cut_tokens").isNull(), F.lit(0)) \
-        .when(at_cut, F.least(F.col("cut_tokens"), F.col(tokens))).when(before, F.col(tokens)).otherwise(F.lit(0))
-    rows = rows.withColumn("_last", last.cast("long"))
-    full = F.when(F.col("full") > 0, F.sequence(F.lit(0).cast("long"), F.col("full") - 1)) \
+def take(docs: DataFrame, made: DataFrame, levels: Sequence[Column | str], seed: int = 17, id_col: str = "doc_id",
+         tokens: str = "tokens", epoch_col: str = "epoch", taken_col: str = "taken") -> DataFrame:
+    """Rows of ``docs`` that a plan takes, once per epoch, with ``epoch_col``
+    (from 0) and ``taken_col`` (tokens from the start of the text)."""
+    leaf, full, ranges, cut_range, cut_place, cut_id, cut_tokens, last = fresh(
+        docs, "_leaf", "_full", "_ranges", "_cut_range", "_cut_place", "_cut_id", "_cut_tokens", "_last")
+    small = made.select(F.col("_leaf").alias(leaf), F.col("full").alias(full), F.col("_ranges").alias(ranges),
+                        F.col("cut_range").alias(cut_range), F.col("cut_place").alias(cut_place),
+                        F.col("cut_id").alias(cut_id), F.col("cut_tokens").alias(cut_tokens))
+    t, doc = F.col(tokens), F.col(id_col)
+    rows = docs.withColumn(leaf, _leaf_key(levels)).where(t > 0)
+    rows = salted_join(rows, small, [leaf], F.coalesce(doc, F.lit(-1)))
+    place = _place(seed, F.col(full), doc)
+    part = _range_of(place, F.col(ranges))
+    smaller = F.when(doc.isNull(), F.col(cut_id).isNotNull()).otherwise(F.coalesce(doc < F.col(cut_id), F.lit(False)))
+    before = (part < F.col(cut_range)) | ((part == F.col(cut_range)) & (
+        (place < F.col(cut_place)) | ((place == F.col(cut_place)) & smaller)))
+    at_cut = (place == F.col(cut_place)) & doc.eqNullSafe(F.col(cut_id))
+    rest = F.when(F.col(cut_tokens).isNull(), F.lit(0)).when(at_cut, F.least(F.col(cut_tokens), t)) \
+        .when(before, t).otherwise(F.lit(0))
+    rows = rows.withColumn(last, rest.cast("long"))
+    whole = F.when(F.col(full) > 0, F.sequence(F.lit(0).cast("long"), F.col(full) - 1)) \
         .otherwise(F.array().cast("array<bigint>"))
-    epochs = F.when(F.col("_last") > 0, F.concat(full, F.array(F.col("full")))).otherwise(full)
-    rows = rows.withColumn("epoch", F.explode(epochs))
-    out = rows.withColumn("taken", F.when(F.col("epoch") < F.col("full"), F.col(tokens)).otherwise(F.col("_last")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "epoch", "taken")
+    epochs = F.when(F.col(last) > 0, F.concat(whole, F.array(F.col(full)))).otherwise(whole)
+    rows = rows.withColumn(epoch_col, F.explode(epochs))
+    out = rows.withColumn(taken_col, F.when(F.col(epoch_col) < F.col(full), t).otherwise(F.col(last)))
+    return out.select(*all_columns(docs), epoch_col, taken_col)
+
+
+def mix(docs: DataFrame, levels: dict[str, Column], budget: int | float, weights: dict[str, Column] | None = None,
+        max_epochs: int = 2, seed: int = 17, id_col: str = "doc_id", text_col: str = "text",
+        chars_col: str = "n_chars") -> DataFrame:
+    """The mixed documents themselves, columns unchanged: one row per epoch a
+    document is taken in, the text of a cut one ended after its last token
+    (and its length column, where present, brought up to date).
+
+    ``levels`` maps level names, as ``weights`` uses them, to their columns."""
+    tokens, epoch, taken = fresh(docs, "_tokens", "_epoch", "_taken")
+    count = count_tokens(text_col)
+    narrow = docs.select(*[c.alias(k) for k, c in levels.items()], F.col(id_col).alias("_unit"), count.alias("_count"))
+    made = plan(narrow, list(levels), budget, weights, max_epochs, seed, "_unit", "_count")
+    got = take(docs.withColumn(tokens, count), made, list(levels.values()), seed, id_col, tokens, epoch, taken)
+    text = text_prefix(F.col(text_col), F.col(taken), F.col(tokens))
+    cut = F.col(taken) < F.col(tokens)
+    cols = []
+    for c in docs.columns:
+        if c == text_col:
+            cols.append(text.alias(c))
+        elif c == chars_col:
+            cols.append(F.when(cut, F.length(text).cast("long")).otherwise(F.col(c)).alias(c))
+        else:
+            cols.append(F.col(f"`{c}`"))
+    return got.select(*cols)
 
 
 def text_prefix(text: Column, taken: Column, tokens: Column) -> Column:
     """``text`` up to the end of its ``taken``-th word; whole if it has no more."""
     pattern = F.concat(F.lit(r"^(?:[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++){"), taken.cast("string"), F.lit("}+"))
-    return F.when(taken < tokens, F.regexp_extract(text, pattern, 0)).otherwise(text)
+    return F.when(taken < tokens, F.call_function("regexp_extract", text, pattern, F.lit(0))).otherwise(text)

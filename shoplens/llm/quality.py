@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import IS_SPACE, doc_chunks, prefix_hash, range_hash, word_hashes
+from shoplens.llm.common import IS_SPACE, all_columns, doc_chunks, fresh, prefix_hash, range_hash, word_hashes
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters",
           "n_upper", "n_ends", "n_bare", "n_marked")
@@ -201,12 +201,6 @@ def base_failed(col: str = "_q") -> Column:
     return (w < 50) | (F.col(f"{col}.n_repeat_words") * 100 > w * 50)
 
 
-def score(docs: DataFrame, model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with ``_q`` (counts), ``_p`` (posterior) and ``_keep``."""
-    out = docs.withColumn("_q", count_text(text_col)).withColumn("_p", posterior(model))
-    return out.withColumn("_keep", ~base_failed() & (F.col("_p") >= threshold))
-
-
 def fit(docs: DataFrame, text_col: str = "text"):
     """Model of the vote counts of all rows of ``docs``."""
     return fit_votes(vote_table(docs.select(count_text(text_col).alias("_q"))))
@@ -214,5 +208,7 @@ def fit(docs: DataFrame, text_col: str = "text"):
 
 def keep_good(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that the rules accept, columns unchanged."""
-    out = score(docs, fit(docs, text_col), text_col, threshold).where("_keep")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    q, = fresh(docs, "_q")
+    model = fit(docs, text_col)
+    out = docs.withColumn(q, count_text(text_col)).where(~base_failed(q) & (posterior(model, q) >= threshold))
+    return out.select(*all_columns(docs))

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import char_starts, doc_chunks
+from shoplens.llm.common import char_starts, doc_chunks, fresh
 
 KINDS = ("assign", "access", "hex", "entropy")
 SPANS = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
@@ -181,14 +181,15 @@ def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
 def redact_secrets(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """``docs`` with secrets masked and, where present, the length column
     brought up to date; every row is kept."""
-    out = docs.withColumn("_spans", find_secrets(text_col))
-    out = out.withColumn("_hit", F.size("_spans") > 0).withColumn("_new", redact(F.col(text_col), F.col("_spans")))
+    spans, new = fresh(docs, "_spans", "_new")
+    out = docs.withColumn(spans, find_secrets(text_col))
+    out = out.withColumn(new, redact(F.col(text_col), F.col(spans)))
     cols = []
     for c in docs.columns:
         if c == text_col:
-            cols.append(F.col("_new").alias(c))
+            cols.append(F.col(new).alias(c))
         elif c == chars_col:
-            cols.append(F.when(F.col("_hit"), F.length("_new").cast("long")).otherwise(F.col(c)).alias(c))
+            cols.append(F.when(F.size(spans) > 0, F.length(new).cast("long")).otherwise(F.col(c)).alias(c))
         else:
             cols.append(F.col(f"`{c}`"))
     return out.select(*cols)
