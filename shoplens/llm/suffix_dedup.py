@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from shoplens.llm.common import doc_chunks, mix64, powers, prefix_hash, range_hash, salted_join, stage_table
 
-WIDTH, GRAM, CHUNK, SLICE = 50, 24, 8 << 20, 1 << 20
+WIDTH, GRAM, CHUNK, SLICE, WINDOWS = 50, 24, 4 << 20, 1 << 19, 1 << 17
 NO_ID = np.int64(2**63 - 1)
 COPY, SHARED, OWNERS, TEXT = 0, 1, 2, 9         # kinds of the rows a chunk meets, texts last
 
@@ -236,17 +236,16 @@ class Suffixes:
         return same
 
 
-def window_owners(data: np.ndarray, start: np.ndarray, count: np.ndarray, group: np.ndarray, doc: np.ndarray,
-                  width: int) -> np.ndarray:
+def window_owners(s: Suffixes, start: np.ndarray, count: np.ndarray, group: np.ndarray, doc: np.ndarray
+                  ) -> np.ndarray:
     """Smallest document of each window's equals within its group; runs are
     given by first byte, windows, group (contiguous) and document."""
     at, g, d = _ranges(start, count), np.repeat(group, count), np.repeat(doc, count)
-    s = Suffixes(data, width)
     order = s.sort(at, g)
     a, b = at[order[:-1]], at[order[1:]]
     same = (g[order[:-1]] == g[order[1:]])
     near = np.flatnonzero(same)
-    eq = s.common(a[near], b[near]) >= width
+    eq = s.common(a[near], b[near]) >= s.width
     near = near[eq]
     near = near[s.equal_bytes(a[near], b[near])]           # collision verification
     joined = np.zeros(len(order), bool)
@@ -481,15 +480,15 @@ def part_owners(anchor, count, low, data, width: int):
     mixed, g = real[many], group[many]
     cut = _heads(g)
     size = np.cumsum(count[mixed])
-    at = 0
-    while at < len(mixed):                           # whole groups, about a million windows at a time
+    at, suffixes = 0, Suffixes(data, width)
+    while at < len(mixed):                           # whole groups, about WINDOWS windows at a time
         base = size[at] - count[mixed[at]]
-        stop = int(np.searchsorted(size, base + (1 << 20), "right"))
+        stop = int(np.searchsorted(size, base + WINDOWS, "right"))
         later = cut[cut > at]
         end = int(later[later <= stop][-1]) if (later <= stop).any() else int(later[0]) if len(later) else len(mixed)
         end = len(mixed) if stop >= len(mixed) else end
         rows = mixed[at:end]
-        own = window_owners(data, start[rows], count[rows], g[at:end], doc[rows], width)
+        own = window_owners(suffixes, start[rows], count[rows], g[at:end], doc[rows])
         r = np.repeat(rows, count[rows])
         t = _ranges(np.zeros(len(rows), np.int64), count[rows])
         head = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (own[1:] != own[:-1]))))
