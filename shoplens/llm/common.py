@@ -93,21 +93,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while live.limit(1).count():
         both = live.unionByName(live.select(F.col("v").alias("u"), F.col("u").alias("v")))
         step = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p"))
-        step = stage_table(step, "cc_step")
         # one pointer jump: p(p(u))
         hop = step.select(F.col("u").alias("p"), F.col("p").alias("pp"))
-        step = stage_table(salted_join(step, hop, ["p"], F.col("u"))
+        step = stage_table(salted_join(step, hop, ["p"], F.col("u"), 4)
                            .select("u", F.least("p", "pp").alias("p")), "cc_jump")
         if result is None:
             result = step.select(F.col("u").alias("node"), F.col("p").alias("component"))
         else:
-            nxt = step.select(F.col("u").alias("component"), F.col("p").alias("_to"))
-            result = salted_join(result, nxt, ["component"], F.col("node"), how="left") \
-                .select("node", F.coalesce("_to", "component").alias("component"))
-        result = stage_table(result, "cc_labels")
+            result = stage_table(relabel(result, step.withColumnRenamed("u", "node").withColumnRenamed("p", "component"),
+                                         F.col("node")), "cc_labels")
         left = step.select("u", F.col("p").alias("pu"))
         right = step.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        live = salted_join(salted_join(live, left, ["u"], F.col("v")), right, ["v"], F.col("u"))
+        live = salted_join(salted_join(live, left, ["u"], F.col("v"), 4), right, ["v"], F.col("u"), 4)
         live = stage_table(live.where("pu != pv").select(F.col("pu").alias("u"), F.col("pv").alias("v"))
                            .distinct(), "cc_edges")
     if result is None:
@@ -115,6 +112,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return result
 
 
+def relabel(rows: DataFrame, labels: DataFrame, spread: Column, column: str = "component") -> DataFrame:
+    """``rows`` with the labels in ``column`` replaced where ``labels`` (node,
+    component) knows better."""
+    to, = fresh(rows, "_to")
+    new = labels.select(F.col("node").alias(column), F.col("component").alias(to))
+    return salted_join(rows, new, [column], spread, 4, how="left") \
+        .withColumn(column, F.coalesce(to, column)).select(*rows.columns)
+
+
 # ---------------------------------------------------------------------------
 # numpy kernels
 # ---------------------------------------------------------------------------

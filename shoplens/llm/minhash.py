@@ -14,13 +14,13 @@ probability (1 - 0.8**4)**32, below 5e-8.
 
 Verification: documents with equal shingle sets are one class, represented by
 their smallest id. In each bucket every representative is compared with one
-centre on the full sets; confirmed links give components. Buckets whose
-members are then still in several components get further centres, drawn from
-those outside the largest part, and when the pairs that remain are few against
-the members (or centres stop joining anything) all of them are compared. So
-every pair that shares a key is confirmed, refuted, or already connected, and
-no bucket is expanded into all its pairs as long as centres connect it. All
-comparisons of one centre are dealt to groups of at most ``GROUP`` members.
+centre, the smallest id, on the full sets; confirmed links give components.
+Members of buckets that are then still in several components are compared with
+each other where they share one of their rarest shingles, which every pair at
+the threshold does (prefix filtering): so every pair that shares a key is
+confirmed, refuted, or already connected, and no bucket is expanded into all
+its pairs. All comparisons of one centre are dealt to groups of about
+``GROUP`` members.
 
 Defined cases: a null or empty text, or one without words, has the empty set,
 is linked with nothing and is its own component; a text of fewer words than a
@@ -33,7 +33,7 @@ links; an empty table gives an empty result; extra columns are ignored by
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.llm.common import (
@@ -42,6 +42,7 @@ from shoplens.llm.common import (
     doc_chunks,
     fresh,
     mix64,
+    relabel,
     salted_join,
     shingle_sets,
     stage_table,
@@ -118,7 +119,7 @@ def confirm_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int = 80)
     The pairs of one centre ``c`` are dealt to groups of about ``GROUP``
     members; each group reads its centre's text once and streams the others."""
     count = pairs.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("_g"))
-    dealt = salted_join(pairs, count, ["c"], F.col("a")).select(
+    dealt = salted_join(pairs, count, ["c"], F.col("a"), 4).select(
         "a", "c", F.pmod(F.xxhash64("a"), F.col("_g")).cast("int").alias("g"))
     need = dealt.select(F.col("a").alias("doc_id"), "c", "g", F.lit(1).alias("role")).unionByName(
         dealt.select(F.col("c").alias("doc_id"), "c", "g", F.lit(0).alias("role")).distinct())
@@ -149,8 +150,62 @@ def confirm_pairs(pairs: DataFrame, texts: DataFrame, k: int, percent: int = 80)
     return sent.mapInArrow(run, "a long, c long").distinct()
 
 
-def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
-               star_rounds: int = 6) -> DataFrame:
+def split_groups(rows: DataFrame) -> DataFrame:
+    """Rows (key, a, n, l) of the keys that hold several components ``l``, with
+    the key's largest component as ``main``."""
+    parts = rows.groupBy("key", "l").agg(F.count(F.lit(1)).alias("m"))
+    by_key = parts.groupBy("key").agg(F.max(F.struct("m", "l")).alias("top"), F.count(F.lit(1)).alias("parts")) \
+        .where("parts > 1").select("key", F.col("top.l").alias("main"))
+    return salted_join(rows, by_key, ["key"], F.col("a"), 4)
+
+
+def rare_shingles(rows: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Rows (key, a, n, l) for the rarest shingles ``key`` of each document ``a``.
+
+    Shingles are ordered by how many of these documents have them. Two sets
+    that reach ``percent`` share one of their first n - ceil(percent * n / 100)
+    + 1 shingles, whatever the order; the rarest first keeps passages that many
+    documents share out of the comparison."""
+    def run(batches):
+        import pyarrow as pa
+        for b in batches:
+            ids = b.column(0).to_numpy()
+            for i, _, data, off in doc_chunks(None, b.column(1)):
+                doc, h = shingle_sets(data, off, k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i + doc]), pa.array(h.astype(np.int64))], ["a", "key"])
+
+    mine = texts.join(rows.select(F.col("a").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+    all_of = stage_table(mine.mapInArrow(run, "a long, key long"), "rest_sets")
+    often = all_of.groupBy("key").agg(F.count(F.lit(1)).alias("f"))
+    by = Window.partitionBy("a").orderBy("f", "key")
+    ranked = salted_join(all_of, often, ["key"], F.col("a"), 4).withColumn("r", F.row_number().over(by))
+    first = ranked.join(rows, "a").where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    return stage_table(first.where("f > 1").select("key", "a", "n", "l", "r"), "rare")
+
+
+def compare_rare(tokens: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (x, y) of documents in different components that can still
+    reach ``percent``, from rows (key, a, n, l, r, main).
+
+    The first shingle two sets share has places r and cr in their orders, so
+    the intersection is at most min(n - r, cn - cr) + 1, and it must be
+    percent / (100 + percent) of n + cn. For the smaller set this leaves only
+    its first n - ceil(2 percent n / (100 + percent)) + 1 shingles."""
+    short = F.col("r") <= F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1
+    small, other = tokens.where(short), F.col("l") != F.col("main")
+
+    def meet(smaller: DataFrame, larger: DataFrame) -> DataFrame:
+        left = smaller.select("key", *[F.col(c).alias(f"c{c}") for c in ("a", "n", "l", "r")])
+        both = salted_join(larger.select("key", "a", "n", "l", "r"), left, ["key"], F.col("a"), 4)
+        bound = F.least(F.col("n") - F.col("r"), F.col("cn") - F.col("cr")) + 1
+        both = both.where("l != cl and (cn < n or cn = n and ca < a)").where(F.col("cn") * 100 >= F.col("n") * percent) \
+            .where(bound * (100 + percent) >= (F.col("n") + F.col("cn")) * percent)
+        return both.select(F.least("a", "ca").alias("x"), F.greatest("a", "ca").alias("y"))
+    return meet(small.where(other), tokens).unionByName(meet(small.where(~other), tokens.where(other))).distinct()
+
+
+def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text"
+               ) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``; links reach
     100 * intersection >= percent * union of distinct k-word shingles."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -163,62 +218,47 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
                       ["doc_id", "s1", "s2", "n_shingles"], "left_semi")
     members = keyed.dropDuplicates(["doc_id", "s1", "s2"]).select(
         F.col("doc_id").alias("a"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    size = members.groupBy("key").agg(F.count(F.lit(1)).alias("_m"), F.min(F.struct("a", "n")).alias("_c")) \
-        .where("_m > 1")
-    buckets = stage_table(salted_join(members, size, ["key"], F.col("a")).select(
+    size = members.groupBy("key").agg(
+        F.count(F.lit(1)).alias("_m"), F.min(F.struct("a", "n")).alias("_c"),
+        F.bit_xor(F.xxhash64("a")).alias("_x"), F.bit_xor(F.xxhash64("a", F.lit(1))).alias("_y")).where("_m > 1")
+    # of buckets with the same members one is enough
+    size = size.groupBy("_m", "_x", "_y", "_c").agg(F.min("key").alias("key")).select("key", "_c")
+    buckets = stage_table(salted_join(members, size, ["key"], F.col("a"), 4).select(
         "key", "a", "n", F.col("_c.a").alias("c"), F.col("_c.n").alias("cn")), "buckets")
 
     def near(x: str, y: str) -> str:            # sets whose sizes alone refute a link
         return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
     pairs = buckets.where("a != c").where(near("n", "cn")).select("a", "c").distinct()
     pairs = stage_table(pairs, "star")
-    ids = buckets.select(F.col("a").alias("doc_id")).distinct()
-    texts = stage_table(rows.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near_texts")
-    links = stage_table(confirm_pairs(pairs, texts, k, percent), "links")
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("c").alias("doc_id")))
+    # a pair that is compared later needs its members' texts too
+    more = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("_m")).where("_m > 2").select("key")
+    ids = ids.unionByName(salted_join(buckets, more, ["key"], F.col("a"), 4).select(F.col("a").alias("doc_id")))
+    texts = stage_table(rows.join(ids.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near_texts")
+    label = stage_table(connected_components(confirm_pairs(pairs, texts, k, percent), "a", "c"), "labels")
+
+    # All members were compared with their bucket's centre. What is left are pairs of other members in
+    # different components: only buckets that have such pairs go on.
+    cur = salted_join(buckets.where("a != c").select("key", "a", "n"), label.withColumnRenamed("node", "a"), ["a"],
+                      F.col("key"), 4, how="left").withColumn("l", F.coalesce("component", "a")).drop("component")
+    rest = stage_table(split_groups(cur).select("a", "n", "l").distinct(), "rest")
+    tokens = split_groups(rare_shingles(rest, texts, k, percent))
+    new = compare_rare(tokens, percent)
     done = pairs.select(F.least("a", "c").alias("x"), F.greatest("a", "c").alias("y"))
-    for turn in range(star_rounds + 1):
-        label = connected_components(links, "a", "c")
-        cur = salted_join(buckets.select("key", "a", "n"), label.withColumnRenamed("node", "a"), ["a"], F.col("key"),
-                          how="left").withColumn("l", F.coalesce("component", "a")).drop("component")
-        cur = stage_table(cur, "labelled")
-        parts = cur.groupBy("key", "l").agg(F.count(F.lit(1)).alias("m"))
-        by_key = parts.groupBy("key").agg(F.sum("m").alias("all"), F.max(F.struct("m", "l")).alias("top"),
-                                          F.count(F.lit(1)).alias("parts")).where("parts > 1")
-        by_key = by_key.select("key", "all", F.col("top.l").alias("main"),
-                               (F.col("all") - F.col("top.m")).alias("rest"))
-        split = stage_table(salted_join(cur, by_key, ["key"], F.col("a")), "split")
-        work = split.agg(F.sum(F.when(F.col("l") != F.col("main"), F.col("all"))), F.count(F.lit(1))).first()
-        if not work[0]:
-            break
-        others = split.where("l != main")
-        last = turn == star_rounds or work[0] <= 8 * work[1]
-        if last:
-            left = others.select("key", F.col("a").alias("c"), F.col("n").alias("cn"), F.col("l").alias("cl"))
-        else:
-            pick = F.min(F.struct(F.xxhash64("a", F.lit(turn)), "a", "n", "l"))
-            left = others.groupBy("key").agg(pick.alias("p")).select(
-                "key", F.col("p.a").alias("c"), F.col("p.n").alias("cn"), F.col("p.l").alias("cl"))
-        new = salted_join(split.select("key", "a", "n", "l"), left, ["key"], F.col("a")) \
-            .where("l != cl and a != c").where(near("n", "cn")) \
-            .select(F.least("a", "c").alias("x"), F.greatest("a", "c").alias("y")).distinct()
-        new = stage_table(new.join(done, ["x", "y"], "left_anti"), "pairs")
-        more = stage_table(confirm_pairs(new.select(F.col("x").alias("a"), F.col("y").alias("c")), texts, k, percent),
-                           "links")
-        links = links.unionByName(more)
-        done = done.unionByName(new)
-        if last:
-            break
-    label = connected_components(links, "a", "c")
-    # classes back to rows; members of one class and rows of one id are linked
-    named = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left") \
+    new = stage_table(new.join(done, ["x", "y"], "left_anti"), "pairs")
+    links = confirm_pairs(new.select(F.col("x").alias("a"), F.col("y").alias("c")), texts, k, percent)
+    # new links join components: contract them by their labels
+    ends = relabel(relabel(links, label, F.col("c"), "a"), label, F.col("a"), "c")
+    joined = connected_components(ends, "a", "c")
+    label = stage_table(relabel(label, joined, F.col("node")).unionByName(
+        joined.join(label.select("node"), "node", "left_anti")), "labels")
+    # classes back to rows; rows of one class, and the class's own links, by its smallest id
+    named = reps.join(label.withColumnRenamed("node", "rep"), "rep", "left").where("_n > 1 or component is not null") \
         .select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    many = named.join(reps.where("_n > 1 or rep is null").select("s1", "s2", "n_shingles"),
-                      ["s1", "s2", "n_shingles"], "left_semi")
-    single = label.withColumnRenamed("node", "doc_id")
-    out = salted_join(sk.select("doc_id", "n_shingles", "s1", "s2"), many, ["s1", "s2", "n_shingles"],
-                      F.coalesce("doc_id", F.lit(-1)), how="left")
-    out = out.join(single.withColumnRenamed("component", "_own"), "doc_id", "left")
-    own = F.when(F.col("n_shingles") > 0, F.coalesce("component", "_own", "doc_id")).otherwise(F.col("doc_id"))
+    out = salted_join(sk.select("doc_id", "n_shingles", "s1", "s2"), named, ["s1", "s2", "n_shingles"],
+                      F.coalesce("doc_id", F.lit(-1)), 4, how="left")
+    own = F.when(F.col("doc_id").isNull(), F.col("doc_id")).when(
+        F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
 
 

@@ -57,7 +57,7 @@ def iban_valid(m: Column) -> Column:
 
 def valid(kind: str, m: Column) -> Column:
     if kind == "ip":
-        part = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2}+)"
+        part = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2}+)"
         return m.rlike(rf"^{part}(?:\.{part}){{3}}$")
     if kind == "card":
         d = _digits(m)
