@@ -126,7 +126,8 @@ def runs_of(data: np.ndarray, off: np.ndarray, width: int, gram: int):
     low, doc = low[inside], doc[inside]
     head = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (doc[1:] != doc[:-1]))))
     count = np.diff(np.append(head, len(inside)))
-    first, anchor, doc = inside[head], low[head], doc[head]
+    # smallest hashes crowd at the low end; mixed once more they spread evenly over parts
+    first, anchor, doc = inside[head], mix64(low[head]), doc[head]
     key = mix64(anchor ^ range_hash(prefix, first, first + count + width - 1))
     return anchor, first, count, doc, key
 
