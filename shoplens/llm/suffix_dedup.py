@@ -170,6 +170,9 @@ class Suffixes:
         self.data, self.width = data, width
         self.prefix = prefix_hash(data)
         self.power = powers(len(data))[0]
+        self.eight = np.zeros(len(data) + 1, np.uint64)      # the next eight bytes as a number
+        for i in range(min(8, width)):
+            self.eight[:len(data) - i] |= data[i:].astype(np.uint64) << np.uint64(56 - 8 * i)
         self.steps = [1 << i for i in range(width.bit_length() - 1, -1, -1)]
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -185,12 +188,18 @@ class Suffixes:
         return got
 
     def before(self, a: np.ndarray, b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
-        """Whether suffix a sorts before b (or is equal, where asked)."""
-        n = self.common(a, b)
-        end = n >= self.width
-        top = len(self.data) - 1
-        x, y = self.data[np.minimum(a + n, top)], self.data[np.minimum(b + n, top)]
-        return np.where(end, or_equal, x < y)
+        """Whether suffix a sorts before b (or is equal, where asked). The
+        common extension is only searched where the first bytes are equal."""
+        p, q = self.eight[a], self.eight[b]
+        out = p < q
+        tie = np.flatnonzero(p == q)
+        if len(tie):
+            a, b = a[tie], b[tie]
+            n = self.common(a, b)
+            top = len(self.data) - 1
+            x, y = self.data[np.minimum(a + n, top)], self.data[np.minimum(b + n, top)]
+            out[tie] = np.where(n >= self.width, or_equal[tie], x < y)
+        return out
 
     def sort(self, at: np.ndarray, group: np.ndarray) -> np.ndarray:
         """Order of the suffixes at ``at`` within each (contiguous) group.
