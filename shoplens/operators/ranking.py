@@ -3,50 +3,36 @@ without a window that has no PARTITION BY.
 
 A window such as ``ROW_NUMBER() OVER (ORDER BY sales)`` puts every row into a
 single task (Spark plans ``SinglePartition``). ``global_order`` computes the
-same numbers in parallel:
-
-1. sample the full ordering key (a bounded number of rows: ``40 * k``, at
-   most two million), sort the sample and keep every ``S/k``-th key as a
-   boundary, inside Spark; only the ``k-1`` boundary tuples reach the driver;
-2. ``_bkt`` = number of boundary tuples <= the row's key tuple. This is a pure
-   function of the row (stable under task retries) and, because the key
-   includes a unique tie-breaker, one very frequent value is spread over
-   several buckets instead of landing in one task;
-3. per-bucket counts/sums (at most ``k`` rows) give prefix offsets, broadcast
-   back (size bound: ``k``);
+same numbers in parallel, with one plan at every size:
+
+1. ``repartitionByRange`` on the full ordering key deals the rows to buckets.
+   The key ends in a unique tie-breaker, so one very frequent value is spread
+   over several buckets;
+2. the rows are written once, with their bucket number, to shared storage:
+   from there on the bucket of a row is data and cannot change when a task is
+   run again;
+3. per-bucket counts, sums and end keys (one row a bucket) give prefix offsets;
 4. inside each bucket an ordinary window ``PARTITION BY _bkt ORDER BY key``
    gives local row numbers / running sums; adding the offset makes them global.
 
-Groups of equal values that straddle a bucket boundary (RANGE peers,
-partition groups for per-customer sequences) are exactly the groups whose key
-prefix equals a boundary prefix; they are corrected from per-bucket
+Groups of equal values that straddle buckets (RANGE peers, partition groups
+for per-customer sequences) are those whose key prefix is the last of one
+bucket and the first of a later one; they are corrected from per-bucket
 aggregates (see below).
-
-The bucket lookup is a search tree of branching ``g <= 64``: the root's
-entries are struct literals in the expression, each further level is a
-broadcast table of arrays keyed by the node. Per row that is at most ``g``
-struct comparisons per level (JVM-side; about 3 x 41 at 65536 buckets), and
-the plan size does not grow with ``k``.
 """
 
 from __future__ import annotations
 
-import math
 import re
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from shoplens.plans.cache import keep
+from shoplens.plans.cache import keep, materialize
 
-DEFAULT_ROWS_PER_BUCKET = 1_000_000
-DEFAULT_MAX_BUCKETS = 65536
-SAMPLE_PER_BUCKET = 40
-MAX_SAMPLE_ROWS = 2_000_000        # sorted in one task to pick the boundaries
-LITERAL_BOUNDARIES = 16            # up to this many boundaries are inlined as literals
-DEFAULT_FANOUT = 64                # entries per node of the bucket search tree
+ROWS_PER_BUCKET = 1_000_000
 
 
 @dataclass
@@ -57,7 +43,8 @@ class GlobalOrder:
     ``_rn`` (global 1-based row number), ``_run_<c>`` (global ROWS running sum
     of each requested column, up to and including the row), and the bucket
     offsets ``_off_cnt``, ``_off_<c>``. Drop them with :func:`drop_internal`.
-    ``stats``: one row per bucket (``_bkt, _cnt, _off_cnt, _sum_<c>, _off_<c>``).
+    ``stats``: one row per non-empty bucket (``_bkt, _cnt, _off_cnt, _sum_<c>,
+    _off_<c>``, first and last key ``_lo`` and ``_hi``).
     ``totals``: one row (``_n, _total_<c>``).
     """
 
@@ -65,180 +52,45 @@ class GlobalOrder:
     pre: DataFrame          # input + _bkt, before any window (for per-bucket aggregates)
     stats: DataFrame
     totals: DataFrame
-    boundaries: list[tuple]
     order_cols: list[str]
     sum_cols: list[str]
-    dtypes: dict
-
-
-def _needs_string_roundtrip(dtype: T.DataType) -> bool:
-    return isinstance(dtype, (T.DecimalType, T.TimestampType, T.TimestampNTZType, T.DateType))
-
-
-def _literal(value, dtype: T.DataType) -> Column:
-    if value is None:
-        return F.lit(None).cast(dtype)
-    return F.lit(value).cast(dtype)
-
-
-def _struct_types(cols: list[str], dtypes: dict) -> tuple[T.StructType, T.StructType]:
-    """(transport type, typed type) of a key struct: decimals and datetimes
-    travel as strings (exact round trip) and are cast back in Spark."""
-    raw = T.StructType([T.StructField(c, T.StringType() if _needs_string_roundtrip(dtypes[c])
-                                      else dtypes[c], True) for c in cols])
-    typed = T.StructType([T.StructField(c, dtypes[c], True) for c in cols])
-    return raw, typed
-
-
-def _sample_boundaries(df: DataFrame, order_cols: list[str], dtypes: dict, k: int, n: int,
-                       sample_per_bucket: int, seed: int) -> list[tuple]:
-    """``k-1`` boundary tuples: every ``S/k``-th key of a sorted sample of
-    ``S`` keys. The sample is sorted by Spark (bounded: at most
-    ``MAX_SAMPLE_ROWS`` rows in one task); only the boundaries are collected."""
-    if k <= 1 or n == 0:
-        return []
-    target = min(MAX_SAMPLE_ROWS, k * sample_per_bucket)
-    fraction = min(1.0, target / float(n))
-    sample = df.select(*order_cols).sample(withReplacement=False, fraction=fraction, seed=seed)
-    order = [F.col(c).asc_nulls_first() for c in order_cols]
-    ranked = sample.select(*order_cols,
-                           F.row_number().over(Window.orderBy(*order)).alias("_r"),
-                           F.count(F.lit(1)).over(Window.partitionBy()).alias("_s"))
-    # row r (1-based) is the boundary for i = ceil((r-1)k/s) when i*s < r*k, 1 <= i < k
-    r, s = F.col("_r").cast("double"), F.col("_s").cast("double")
-    i = F.ceil((r - 1) * k / s)
-    picked = ranked.where((i * s < r * k) & (i >= 1) & (i <= k - 1))
-    rows = (picked.orderBy("_r")
-            .select(*[(F.col(c).cast("string") if _needs_string_roundtrip(dtypes[c]) else F.col(c)).alias(c)
-                      for c in order_cols])
-            .collect())                                        # <= k-1 rows
-    out: list[tuple] = []
-    for row in rows:
-        b = tuple(row)
-        if not out or out[-1] != b:
-            out.append(b)
-    return out
-
-
-def bucket_expr(boundaries: list[tuple], order_cols: list[str], dtypes: dict) -> Column:
-    """Number of boundary tuples <= struct(order_cols), all boundaries inlined
-    (for short boundary lists; see :func:`assign_buckets`)."""
-    if not boundaries:
-        return F.lit(0)
-    key = F.struct(*[F.col(c).alias(c) for c in order_cols])
-    lits = F.array(*[F.struct(*[_literal(v, dtypes[c]).alias(c) for v, c in zip(b, order_cols)])
-                     for b in boundaries])
-    return F.size(F.filter(lits, lambda x: x <= key))
-
-
-def _levels(m: int, fanout: int) -> tuple[int, int]:
-    """(levels, branching) of a search tree over ``m`` boundaries whose nodes
-    hold at most ``fanout`` entries."""
-    levels = 2
-    while math.ceil(m ** (1.0 / levels)) > fanout:
-        levels += 1
-    g = math.ceil(m ** (1.0 / levels))
-    while g ** levels < m:                   # guard against float rounding
-        g += 1
-    return levels, g
-
-
-def assign_buckets(df: DataFrame, boundaries: list[tuple], order_cols: list[str],
-                   dtypes: dict, fanout: int = DEFAULT_FANOUT) -> DataFrame:
-    """``df`` + ``_bkt``. Short boundary lists are inlined. Long ones use a
-    search tree of branching ``g`` (<= ``fanout``): the root's entries are
-    struct literals, every further level is a broadcast table keyed by the
-    index of the node's first boundary, holding the node's child entries
-    (at most ``m / g`` rows, arrays of at most ``g``). A row compares itself
-    with at most ``g`` entries per level; the plan holds at most ``g``
-    literals whatever ``m`` is."""
-    m = len(boundaries)
-    if m <= LITERAL_BOUNDARIES:
-        return df.withColumn("_bkt", bucket_expr(boundaries, order_cols, dtypes))
-    levels, g = _levels(m, fanout)
-    key = F.struct(*[F.col(c).alias(c) for c in order_cols])
-    raw, typed = _struct_types(order_cols, dtypes)
-    span = g ** (levels - 1)                 # boundaries covered by one root entry
-    root = F.array(*[F.struct(*[_literal(v, dtypes[c]).alias(c) for v, c in zip(boundaries[j], order_cols)])
-                     for j in range(0, m, span)])
-    c = F.size(F.filter(root, lambda x: x <= key))
-    # _o: index of the first boundary of the current node (-1: key below all boundaries)
-    out = df.withColumn("_o", F.when(c == 0, F.lit(-1)).otherwise((c - 1) * F.lit(span)))
-    schema = T.StructType([T.StructField("_o", T.IntegerType(), False),
-                           T.StructField("_arr", T.ArrayType(raw), False)])
-    for level in range(2, levels + 1):
-        child = g ** (levels - level)         # boundaries covered by one child entry
-        rows = [(o, [boundaries[j] for j in range(o, min(o + span, m), child)]) for o in range(0, m, span)]
-        table = (df.sparkSession.createDataFrame(rows, schema)
-                 .select("_o", F.col("_arr").cast(T.ArrayType(typed)).alias("_arr")))
-        cnt = F.size(F.filter("_arr", lambda x: x <= key))
-        out = (out.join(F.broadcast(table), "_o", "left")               # <= m / g rows
-               .withColumn("_o", F.when(F.col("_o") < 0, F.lit(-1))
-                           .otherwise(F.col("_o") + (cnt - 1) * F.lit(child)))
-               .drop("_arr"))
-        span = child
-    return out.withColumn("_bkt", (F.col("_o") + 1).cast("int")).drop("_o")
-
-
-def choose_buckets(n: int, buckets: int | None, rows_per_bucket: int, max_buckets: int) -> int:
-    if buckets is not None:
-        return max(1, int(buckets))
-    return max(1, min(max_buckets, math.ceil(n / float(rows_per_bucket))))
+
+
+def _key(cols: list[str]) -> Column:
+    return F.struct(*[F.col(c).alias(c) for c in cols])
+
+
+def choose_buckets(spark, rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """One bucket per ``rows_per_bucket`` rows, at least the session's shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // rows_per_bucket))
 
 
 def global_order(df: DataFrame, order_cols: list[str], sum_cols: list[str] = (),
-                 buckets: int | None = None, rows_per_bucket: int = DEFAULT_ROWS_PER_BUCKET,
-                 max_buckets: int = DEFAULT_MAX_BUCKETS, sample_per_bucket: int = SAMPLE_PER_BUCKET,
-                 seed: int = 7, n_rows: int | None = None, fanout: int = DEFAULT_FANOUT) -> GlobalOrder:
+                 buckets: int | None = None, rows_per_bucket: int = ROWS_PER_BUCKET) -> GlobalOrder:
     """Global ascending order over ``order_cols`` (NULLs first), computed in buckets.
 
     ``order_cols`` must be a unique key of ``df`` (add an id as the last
-    column): rows with the same full key are indistinguishable, so no pure
-    function of the row could split a group of such copies. Callers here
-    order by aggregated persons or by the declared order key, and
+    column): rows with the same full key are indistinguishable, so no range
+    could split a group of such copies. Callers here order by aggregated
+    persons or by the declared order key, and
     :func:`shoplens.operators.quality.integrity_report` reports key
-    violations. ``df`` is read several times (count, sample, stats, result):
-    persist it first if it is costly. ``buckets=None`` picks
-    ``ceil(rows / rows_per_bucket)`` (capped), so small inputs use one bucket.
+    violations. ``df`` is read for its count (unless ``buckets`` is given), for
+    the range sample and for the write.
     """
-    order_cols = list(order_cols)
-    sum_cols = list(sum_cols)
-    dtypes = {f.name: f.dataType for f in df.schema.fields}
-
-    def bucket_stats(frame: DataFrame) -> DataFrame:
-        return frame.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_cnt"),
-                                         *[F.sum(c).alias(f"_sum_{c}") for c in sum_cols])
-
-    one = df.withColumn("_bkt", F.lit(0))
-    first = None
-    if n_rows is not None:
-        n = n_rows
-    elif buckets is not None and buckets <= 1:
-        n = 0                                   # one bucket: no count needed
-    else:
-        # the single-bucket statistics give the row count; when one bucket
-        # is enough (small inputs) they are the final statistics as well
-        first = bucket_stats(one).persist()
-        row = first.first()
-        n = int(row["_cnt"]) if row is not None else 0
-    k = choose_buckets(n, buckets, rows_per_bucket, max_buckets)
-    boundaries = _sample_boundaries(df, order_cols, dtypes, k, n, sample_per_bucket, seed)
-    if boundaries:
-        # the lookup runs once: the bucketed rows feed the statistics, the
-        # boundary corrections and the window
-        b = keep(assign_buckets(df, boundaries, order_cols, dtypes, fanout))
-        stats = bucket_stats(b)
-    else:
-        b = one
-        stats = first if first is not None else bucket_stats(one)
+    order_cols, sum_cols = list(order_cols), list(sum_cols)
+    k = buckets or choose_buckets(df.sparkSession, df.count(), rows_per_bucket)
+    ranged = df.repartitionByRange(k, *[F.col(c).asc_nulls_first() for c in order_cols])
+    b = materialize(ranged.withColumn("_bkt", F.spark_partition_id()), f"order_{uuid.uuid4().hex[:12]}")
+    key = _key(order_cols)
+    stats = b.groupBy("_bkt").agg(F.count(F.lit(1)).alias("_cnt"), F.min(key).alias("_lo"), F.max(key).alias("_hi"),
+                                  *[F.sum(c).alias(f"_sum_{c}") for c in sum_cols])
     before = Window.orderBy("_bkt").rowsBetween(Window.unboundedPreceding, -1)  # <= k rows
     stats = stats.withColumn("_off_cnt", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
     for c in sum_cols:
         stats = stats.withColumn(f"_off_{c}", F.coalesce(F.sum(f"_sum_{c}").over(before),
                                                          F.lit(0).cast(stats.schema[f"_sum_{c}"].dataType)))
-    # k rows, read by the offsets, the totals and the boundary corrections:
-    # computed once.
-    stats = stats.persist()
+    # k rows, read by the offsets, the totals and the corrections: computed once.
+    stats = keep(stats)
     totals = stats.agg(F.sum("_cnt").alias("_n"),
                        *[F.sum(f"_sum_{c}").alias(f"_total_{c}") for c in sum_cols])
 
@@ -247,50 +99,37 @@ def global_order(df: DataFrame, order_cols: list[str], sum_cols: list[str] = (),
     ranked = b.withColumn("_lrn", F.row_number().over(w))
     for c in sum_cols:
         ranked = ranked.withColumn(f"_lrun_{c}", F.sum(c).over(rows_w))
-    offsets = F.broadcast(stats.select("_bkt", "_off_cnt", *[f"_off_{c}" for c in sum_cols]))
-    ranked = ranked.join(offsets, "_bkt").withColumn("_rn", F.col("_off_cnt") + F.col("_lrn"))
+    ranked = _with_bucket(ranked, stats.select("_bkt", "_off_cnt", *[f"_off_{c}" for c in sum_cols])) \
+        .withColumn("_rn", F.col("_off_cnt") + F.col("_lrn"))
     for c in sum_cols:
         ranked = ranked.withColumn(f"_run_{c}", F.col(f"_off_{c}") + F.col(f"_lrun_{c}"))
     ranked = ranked.drop(*[f"_lrun_{c}" for c in sum_cols])
-    return GlobalOrder(ranked, b, stats, totals, boundaries, order_cols, sum_cols, dtypes)
+    return GlobalOrder(ranked, b, stats, totals, order_cols, sum_cols)
+
+
+def _with_bucket(df: DataFrame, per_bucket: DataFrame) -> DataFrame:
+    """Rows with columns of their bucket (one row per bucket: rows / ROWS_PER_BUCKET
+    of them). The rows are already together by ``_bkt`` for their window, so
+    this needs no further shuffle of them, whichever join is picked."""
+    return df.join(per_bucket, "_bkt", "left")
 
 
 # ---------------------------------------------------------------------------
-# groups that may straddle bucket boundaries
+# groups that straddle buckets
 #
-# Boundaries B_1 < ... < B_m (key tuples); bucket b holds keys in [B_b, B_{b+1}).
-# For a key prefix of length p let P_i = B_i[:p]. A group of rows with equal
-# prefix g can only continue from bucket b into b+1 when g == P_{b+1}; it then
-# fills every bucket up to the last one whose lower boundary prefix is g. The
-# corrections below are therefore functions of the bucket number, taken from
-# per-bucket aggregates over the rows *before* the window (map-side partial
-# aggregation, at most k rows shuffled) and index arithmetic on the boundary
-# list. The windowed rows are computed once.
+# For a key prefix of length p let lo(b) and hi(b) be the prefixes of the first
+# and last key of bucket b. Buckets are ordered, so a group g that leaves
+# bucket b has hi(b) = g = lo(c) for a later bucket c, and every bucket between
+# holds g alone. The corrections below are functions of the bucket, taken from
+# per-bucket aggregates (map-side partial aggregation, one row a bucket).
 # ---------------------------------------------------------------------------
 
-def _prefix_frame(go: GlobalOrder, p: int) -> tuple[list[tuple], DataFrame]:
-    """Boundary prefixes ``P_i = B_i[:p]`` and a table with, per bucket b,
-    its lower boundary prefix ``_low`` (P_b, b >= 1) and its upper one
-    ``_high`` (P_{b+1}, b < m): m + 1 rows, broadcast where used."""
-    cols = go.order_cols[:p]
-    prefixes = [tuple(b[:p]) for b in go.boundaries]
-    m = len(prefixes)
-    raw, typed = _struct_types(cols, go.dtypes)
-    schema = T.StructType([T.StructField("_bkt", T.IntegerType(), False),
-                           T.StructField("_low", raw, True), T.StructField("_high", raw, True)])
-    rows = [(b, prefixes[b - 1] if b >= 1 else None, prefixes[b] if b < m else None) for b in range(m + 1)]
-    frame = go.df.sparkSession.createDataFrame(rows, schema).select(
-        "_bkt", F.col("_low").cast(typed).alias("_low"), F.col("_high").cast(typed).alias("_high"))
-    return prefixes, frame
-
-
-def _key(cols: list[str]) -> Column:
-    return F.struct(*[F.col(c).alias(c) for c in cols])
-
-
-def _index_frame(go: GlobalOrder, pairs: list[tuple[int, int]], names: tuple[str, str]) -> DataFrame:
-    spark = go.df.sparkSession
-    return spark.createDataFrame(pairs, f"{names[0]} int, {names[1]} int")
+def _edges(go: GlobalOrder, p: int) -> DataFrame:
+    """Per bucket: the prefixes ``_low`` and ``_high`` of its end keys."""
+    def prefix(name: str) -> Column:
+        return F.struct(*[F.col(f"{name}.{c}").alias(c) for c in go.order_cols[:p]])
+    return go.stats.select("_bkt", "_cnt", "_off_cnt", *[f"_off_{c}" for c in go.sum_cols],
+                           prefix("_lo").alias("_low"), prefix("_hi").alias("_high"))
 
 
 def range_running_sum(go: GlobalOrder, peer_cols: list[str], c: str, out: str) -> DataFrame:
@@ -302,30 +141,18 @@ def range_running_sum(go: GlobalOrder, peer_cols: list[str], c: str, out: str) -
     assert go.order_cols[:p] == list(peer_cols)
     w = Window.partitionBy("_bkt").orderBy(*[F.col(x).asc_nulls_first() for x in peer_cols])
     df = go.df.withColumn("_range_local", F.col(f"_off_{c}") + F.sum(c).over(w))   # RANGE frame
-    m = len(go.boundaries)
-    if m == 0:
-        return df.withColumnRenamed("_range_local", out)
-    prefixes, pf = _prefix_frame(go, p)
-    key = _key(peer_cols)
-    # sum of c over the rows of bucket b whose prefix equals its lower boundary prefix
-    low = key.eqNullSafe(F.col("_low"))
-    lowsum = (go.pre.join(F.broadcast(pf.select("_bkt", "_low")), "_bkt")
-              .groupBy("_bkt").agg(F.sum(F.when(low, F.col(c))).alias("_lowsum")))
-    # rows of bucket b with prefix P_{b+1} take the value at the end of their
-    # group: offset + lowsum of the last bucket whose lower prefix is P_{b+1}
-    last_of = {}
-    for i, t in enumerate(prefixes):
-        last_of[t] = i + 1
-    pairs = [(b, last_of[prefixes[b]]) for b in range(m)]
-    idx = _index_frame(go, pairs, ("_bkt", "_src"))
-    src = (go.stats.select(F.col("_bkt").alias("_src"), F.col(f"_off_{c}").alias("_src_off"))
-           .join(lowsum.select(F.col("_bkt").alias("_src"), "_lowsum"), "_src", "left"))
-    fix = idx.join(src, "_src", "left").select(
-        "_bkt", (F.col("_src_off") + F.coalesce(F.col("_lowsum"), F.lit(0))).alias("_range_fix"))
-    high = key.eqNullSafe(F.col("_high"))
-    return (df.join(F.broadcast(fix), "_bkt", "left")                       # <= k rows
-            .join(F.broadcast(pf.select("_bkt", "_high")), "_bkt", "left")
-            .withColumn(out, F.when(high & F.col("_range_fix").isNotNull(), F.col("_range_fix"))
+    edges, key = _edges(go, p), _key(list(peer_cols))
+    # sum of c over the rows of a bucket whose prefix is its first
+    low = _with_bucket(go.pre, edges.select("_bkt", "_low")).groupBy("_bkt").agg(
+        F.sum(F.when(key.eqNullSafe(F.col("_low")), F.col(c))).alias("_lowsum"))
+    # the last bucket that starts with g holds the end of g
+    last = edges.join(low, "_bkt").groupBy("_low").agg(F.max(F.struct(
+        "_bkt", (F.col(f"_off_{c}") + F.coalesce("_lowsum", F.lit(0))).alias("_end"))).alias("_last"))
+    fix = edges.select("_bkt", "_high").join(last, F.col("_high").eqNullSafe(F.col("_low"))) \
+        .where("_last._bkt > _bkt").select("_bkt", "_high", F.col("_last._end").alias("_range_fix"))
+    return (_with_bucket(df, fix)
+            .withColumn(out, F.when(key.eqNullSafe(F.col("_high")) & F.col("_range_fix").isNotNull(),
+                                    F.col("_range_fix"))
                         .otherwise(F.col("_range_local")).cast(df.schema["_range_local"].dataType))
             .drop("_range_fix", "_range_local", "_high"))
 
@@ -337,33 +164,17 @@ def partition_row_number(go: GlobalOrder, part_cols: list[str], out: str) -> Dat
     rest = go.order_cols[p:]
     w = Window.partitionBy("_bkt", *part_cols).orderBy(*[F.col(x).asc_nulls_first() for x in rest])
     df = go.df.withColumn("_prn_local", F.row_number().over(w))
-    m = len(go.boundaries)
-    if m == 0:
-        return df.withColumnRenamed("_prn_local", out)
-    prefixes, pf = _prefix_frame(go, p)
-    key = _key(part_cols)
-    # rows of bucket b that belong to the group continuing into bucket b+1
-    high = key.eqNullSafe(F.col("_high"))
-    cnt_high = (go.pre.join(F.broadcast(pf.select("_bkt", "_high")), "_bkt")
-                .groupBy("_bkt").agg(F.count(F.when(high, F.lit(1))).alias("_cnt_high")))
-    first_of = {}
-    for i, t in enumerate(prefixes):
-        first_of.setdefault(t, i)
-    # bucket b >= 1 with lower prefix g = P_b: earlier rows of g are the tail of
-    # bucket first(g) plus every bucket strictly between first(g) and b
-    pairs = [(b, first_of[prefixes[b - 1]]) for b in range(1, m + 1)]
-    idx = _index_frame(go, pairs, ("_bkt", "_first"))
-    off = go.stats.select("_bkt", "_off_cnt")
-    cont = (idx.join(off.select("_bkt", F.col("_off_cnt").alias("_off_b")), "_bkt", "left")
-            .join(off.select((F.col("_bkt") - 1).alias("_first"), F.col("_off_cnt").alias("_off_f1")),
-                  "_first", "left")
-            .join(cnt_high.select(F.col("_bkt").alias("_first"), "_cnt_high"), "_first", "left")
-            .select("_bkt", (F.col("_off_b") - F.col("_off_f1") + F.coalesce(F.col("_cnt_high"), F.lit(0)))
-                    .alias("_cont")))
-    low = key.eqNullSafe(F.col("_low"))
-    return (df.join(F.broadcast(cont), "_bkt", "left")                      # <= k rows
-            .join(F.broadcast(pf.select("_bkt", "_low")), "_bkt", "left")
-            .withColumn(out, F.when(low & F.col("_cont").isNotNull(), F.col("_prn_local") + F.col("_cont"))
+    edges, key = _edges(go, p), _key(list(part_cols))
+    # rows before the group that a bucket ends with: where that group starts
+    high = _with_bucket(go.pre, edges.select("_bkt", "_high")).groupBy("_bkt").agg(
+        F.count(F.when(key.eqNullSafe(F.col("_high")), F.lit(1))).alias("_cnt_high"))
+    first = edges.join(high, "_bkt").groupBy("_high").agg(F.min(F.struct(
+        "_bkt", (F.col("_off_cnt") + F.col("_cnt") - F.col("_cnt_high")).alias("_start"))).alias("_first"))
+    cont = edges.select("_bkt", "_low", "_off_cnt").join(first, F.col("_low").eqNullSafe(F.col("_high"))) \
+        .where("_first._bkt < _bkt").select("_bkt", "_low", (F.col("_off_cnt") - F.col("_first._start")).alias("_cont"))
+    return (_with_bucket(df, cont)
+            .withColumn(out, F.when(key.eqNullSafe(F.col("_low")) & F.col("_cont").isNotNull(),
+                                    F.col("_prn_local") + F.col("_cont"))
                         .otherwise(F.col("_prn_local")))
             .drop("_cont", "_prn_local", "_low"))
 
@@ -381,17 +192,14 @@ def partition_lag(df: DataFrame, go: GlobalOrder, part_cols: list[str], value_co
     w = Window.partitionBy("_bkt").orderBy(*[F.col(x).asc_nulls_first() for x in go.order_cols])
     row = F.struct(*[F.col(x).alias(x) for x in fields])
     df = df.withColumn("_prev", F.lag(row).over(w))
-    if go.boundaries:
-        keyed = F.struct(*[F.col(x).alias(f"_k{i}") for i, x in enumerate(go.order_cols)],
-                         row.alias("_row"))
-        last = go.pre.groupBy("_bkt").agg(F.max(keyed)["_row"].alias("_last"))
-        prev_last = last.select(
-            F.lead("_bkt").over(Window.orderBy("_bkt")).alias("_bkt"),      # <= k rows
-            F.col("_last").alias("_prev_bkt_last"))
-        df = (df.join(F.broadcast(prev_last.where(F.col("_bkt").isNotNull())), "_bkt", "left")
-              .withColumn("_prev", F.when(F.col("_lrn") == 1, F.col("_prev_bkt_last"))
-                          .otherwise(F.col("_prev")))
-              .drop("_prev_bkt_last"))
+    keyed = F.struct(*[F.col(x).alias(f"_k{i}") for i, x in enumerate(go.order_cols)], row.alias("_row"))
+    last = go.pre.groupBy("_bkt").agg(F.max(keyed)["_row"].alias("_last"))
+    prev_last = last.select(
+        F.lead("_bkt").over(Window.orderBy("_bkt")).alias("_bkt"),      # <= k rows
+        F.col("_last").alias("_prev_bkt_last")).where(F.col("_bkt").isNotNull())
+    df = (_with_bucket(df, prev_last)
+          .withColumn("_prev", F.when(F.col("_lrn") == 1, F.col("_prev_bkt_last")).otherwise(F.col("_prev")))
+          .drop("_prev_bkt_last"))
     same = F.lit(True)
     for p in part_cols:
         same = same & F.col("_prev")[p].eqNullSafe(F.col(p))
@@ -439,7 +247,7 @@ def exact_median(df: DataFrame, value_col: str, id_col: str, out: str = "median"
     first, last = F.col("_off_cnt") + 1, F.col("_off_cnt") + F.col("_cnt")
     targets = (go.stats.where(lo.between(first, last) | hi.between(first, last))
                .select("_bkt", "_off_cnt"))                                     # <= 2 rows
-    rows = go.pre.join(F.broadcast(targets), "_bkt")
+    rows = go.pre.join(F.broadcast(targets), "_bkt")          # two rows at most
     w = Window.partitionBy("_bkt").orderBy(F.col(value_col).asc_nulls_first(), F.col(id_col).asc_nulls_first())
     pos = F.col("_off_cnt") + F.row_number().over(w)
     mid = rows.withColumn("_pos", pos).where((F.col("_pos") == lo) | (F.col("_pos") == hi))

@@ -19,7 +19,8 @@ import os
 import uuid
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
 
 from shoplens.session import checkpoint_dir
 
@@ -33,21 +34,26 @@ def keep(df: DataFrame) -> DataFrame:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to ``<checkpoint dir>/shoplens/<run>/<name>`` and read it back."""
+    """Write ``df`` to ``<checkpoint dir>/shoplens/<run>/<name>`` and read it back.
+
+    The rows read back must be as many as were written: fewer means that the
+    folder is not shared between the executors and this process."""
     spark = df.sparkSession
     base = checkpoint_dir(spark)
     path = os.path.join(base, "shoplens", _run_id(), name)
-    df.write.mode("overwrite").parquet(path)
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
     # The written schema is passed back explicitly: types come back exactly
     # (TIMESTAMP_NTZ stays NTZ whatever the inference settings) and no
     # footer has to be read to infer them.
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _check_rows(seen.get["rows"], back.count(), path)
+    return back
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (lineage cut) of an arbitrary frame."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def _check_rows(written: int, found: int, path: str) -> None:
+    if found != written:
+        raise RuntimeError(f"{written} rows were written to {path}, {found} are there: is the folder shared?")
 
 
 _RUN = []

@@ -43,8 +43,10 @@ def get_spark(master: str = "local[8]", shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder of the session.
 
-    Uses ``spark.checkpoint.dir`` when the cluster names one (shared storage);
-    only when it is unset (local tests) a fresh scratch folder is created.
+    Uses ``spark.checkpoint.dir`` where the cluster names one (shared
+    storage). Only a session on this machine alone (a ``local`` master) may go
+    without: it gets one scratch folder. Anywhere else executors would write
+    to their own disks and later reads would find nothing, so that is an error.
     """
     try:
         sc = spark.sparkContext
@@ -56,6 +58,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
             return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        master = spark.conf.get("spark.master", None) if sc is None else sc.master
+        if not is_local(master):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all "
+                               "executors share")
         if id(spark) not in _SCRATCH:
             _SCRATCH[id(spark)] = tempfile.mkdtemp(prefix="shoplens-ckpt-")
         configured = _SCRATCH[id(spark)]
@@ -65,4 +71,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def is_local(master: str | None) -> bool:
+    """Whether driver and executors are one process: ``local`` or ``local[...]``."""
+    return master == "local" or (master or "").startswith("local[")
+
+
 _SCRATCH: dict[int, str] = {}
