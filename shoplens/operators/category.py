@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoplens.functions.common import money, round_half_up, safe_ratio
+from shoplens.functions.common import money, rounded_ratio
 
 UNKNOWN = "Unknown"
 
@@ -100,27 +100,27 @@ def category_rank(op: DataFrame, measure: str = "order_cnt") -> DataFrame:
 def category_order_value(op: DataFrame) -> DataFrame:
     """Sales per distinct order, with RANK by that value, by orders and by sales."""
     s = _summary(op)
-    s = s.select("category_group", "order_cnt", money("_sales").alias("sales"),
-                 round_half_up(safe_ratio(F.col("_sales"), F.col("order_cnt")), 2)
+    s = s.select("category_group", "order_cnt", "_sales", money("_sales").alias("sales"),
+                 rounded_ratio(F.col("_sales"), F.col("order_cnt"), 2)
                  .alias("avg_sales_per_order"))
     return s.select(
         "*",
         F.rank().over(Window.orderBy(F.desc("avg_sales_per_order"))).cast("bigint").alias("avg_order_value_rnk"),
         F.rank().over(Window.orderBy(F.desc("order_cnt"))).cast("bigint").alias("order_cnt_rnk"),
-        F.rank().over(Window.orderBy(F.desc("sales"))).cast("bigint").alias("sales_rnk"))
+        F.rank().over(Window.orderBy(F.desc("_sales"))).cast("bigint").alias("sales_rnk")).drop("_sales")
 
 
 def category_item_price(op: DataFrame) -> DataFrame:
     """Average price per item row, with RANK by it, by orders and by sales."""
     s = _summary(op)
-    s = s.select("category_group", "order_cnt", "item_cnt", money("_sales").alias("sales"),
-                 round_half_up(safe_ratio(F.col("_sales"), F.col("item_cnt")), 2)
+    s = s.select("category_group", "order_cnt", "item_cnt", "_sales", money("_sales").alias("sales"),
+                 rounded_ratio(F.col("_sales"), F.col("item_cnt"), 2)
                  .alias("avg_price_per_item_row"))
     return s.select(
         "*",
         F.rank().over(Window.orderBy(F.desc("avg_price_per_item_row"))).cast("bigint").alias("item_price_rnk"),
         F.rank().over(Window.orderBy(F.desc("order_cnt"))).cast("bigint").alias("order_cnt_rnk"),
-        F.rank().over(Window.orderBy(F.desc("sales"))).cast("bigint").alias("sales_rnk"))
+        F.rank().over(Window.orderBy(F.desc("_sales"))).cast("bigint").alias("sales_rnk")).drop("_sales")
 
 
 def order_category_counts(items: DataFrame, products: DataFrame, dictionary: DataFrame,

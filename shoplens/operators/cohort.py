@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.functions.common import count_if, round_half_up, safe_ratio
+from shoplens.functions.common import count_if, rounded_ratio, safe_ratio
 from shoplens.operators.category import order_group_summary
 from shoplens.operators.first_purchase import first_delivered_order
 from shoplens.operators.master import PERSON
@@ -89,14 +89,12 @@ def cohort_lift(first_cats: DataFrame, cohort: DataFrame, delivered: DataFrame,
         count_if(F.col("group_type") == "ONE_TIME").alias("one_time_cnt"))
     star_n = cohort.select(PERSON).agg(F.count(F.lit(1))).scalar()             # scalar subqueries
     one_n = delivered.agg(F.count_if(F.col("order_freq") == 1)).scalar()
-    star_pct = safe_ratio(F.col("star_cnt").cast("double") * 100.0, star_n)
-    one_pct = safe_ratio(F.col("one_time_cnt").cast("double") * 100.0, one_n)
     return counts.select(
         "category_group", "star_cnt",
-        round_half_up(star_pct, digits_pct).alias("star_pct"),
+        rounded_ratio("star_cnt", star_n, digits_pct, 100).alias("star_pct"),
         "one_time_cnt",
-        round_half_up(one_pct, digits_pct).alias("one_time_pct"),
-        round_half_up(F.try_divide(star_pct, F.when(one_pct != 0, one_pct)), digits_lift).alias("lift"))
+        rounded_ratio("one_time_cnt", one_n, digits_pct, 100).alias("one_time_pct"),
+        rounded_ratio(F.col("star_cnt") * one_n, F.col("one_time_cnt") * star_n, digits_lift).alias("lift"))
 
 
 def repeat_baseline(base: DataFrame, customers: DataFrame, orders: DataFrame,

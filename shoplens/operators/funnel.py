@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.functions.common import round_half_up, safe_ratio
+from shoplens.functions.common import rounded_ratio
 
 STAGES = (("order_customers", 1), ("delivered_customers", 2),
           ("repeat_attempt_customers", 3), ("repeat_customers", 4))
@@ -23,13 +23,13 @@ def funnel_rates(master: DataFrame, digits: int = 4) -> DataFrame:
         F.sum("interest_customer").cast("bigint").alias("repeated_attempt_customer_cnt"))
     return agg.select(
         "*",
-        round_half_up(safe_ratio("delivered_customer_cnt", "order_customer_cnt"), digits)
+        rounded_ratio("delivered_customer_cnt", "order_customer_cnt", digits)
         .alias("delivered_customer_rate"),
-        round_half_up(safe_ratio("repeat_customer_cnt", "delivered_customer_cnt"), digits)
+        rounded_ratio("repeat_customer_cnt", "delivered_customer_cnt", digits)
         .alias("repeat_rate"),
-        round_half_up(safe_ratio("repeated_attempt_customer_cnt", "order_customer_cnt"), digits)
+        rounded_ratio("repeated_attempt_customer_cnt", "order_customer_cnt", digits)
         .alias("repeated_attempt_rate"),
-        round_half_up(safe_ratio("repeat_customer_cnt", "repeated_attempt_customer_cnt"), digits)
+        rounded_ratio("repeat_customer_cnt", "repeated_attempt_customer_cnt", digits)
         .alias("interest_to_repeat_rate"))
 
 

@@ -19,6 +19,9 @@ def lorenz_curve(master: DataFrame, buckets: int | None = None) -> DataFrame:
       (ties broken by person id); ``customer_ratio`` = customer_cnt / N;
     * ``lorenz_slope`` = sales / mean sales; ``distance`` = customer_ratio - revenue_ratio.
 
+    Money stays DECIMAL, with the totals ``total_sales`` and ``person_cnt`` on
+    every row for exact comparisons; :func:`curve_output` is the report.
+
     No single-partition window: see :mod:`shoplens.operators.ranking`.
     """
     base = keep(master.where(F.col("delivered_order_cnt") >= 1).select(PERSON, "sales"))
@@ -30,8 +33,7 @@ def lorenz_curve(master: DataFrame, buckets: int | None = None) -> DataFrame:
     customer_ratio = safe_ratio("_rn", n)
     out = df.select(
         PERSON,
-        money("sales").alias("sales"),
-        money("cum_sales").alias("cum_sales"),
+        "sales", "cum_sales", total.alias("total_sales"), n.alias("person_cnt"),
         revenue_ratio.alias("revenue_ratio"),
         F.col("_rn").cast("bigint").alias("customer_cnt"),
         customer_ratio.alias("customer_ratio"),
@@ -40,13 +42,19 @@ def lorenz_curve(master: DataFrame, buckets: int | None = None) -> DataFrame:
     return drop_internal(out)
 
 
+def curve_output(curve: DataFrame) -> DataFrame:
+    """The curve with money as DOUBLE, without the totals."""
+    return curve.withColumns({"sales": money("sales"), "cum_sales": money("cum_sales")}) \
+        .drop("total_sales", "person_cnt")
+
+
 def lorenz_peak(curve: DataFrame) -> DataFrame:
     """The customer where the curve is farthest below the diagonal
     (largest ``distance``; ties go to the smaller ``customer_cnt``).
     One aggregate row, computed with partial aggregation."""
     best = curve.agg(F.max(F.struct(
         F.col("distance").alias("distance"), (-F.col("customer_cnt")).alias("neg_cnt"),
-        F.col(PERSON).alias(PERSON), F.col("sales").alias("sales"),
+        F.col(PERSON).alias(PERSON), money("sales").alias("sales"),
         F.col("customer_ratio").alias("customer_ratio"), F.col("revenue_ratio").alias("revenue_ratio"),
         F.col("lorenz_slope").alias("lorenz_slope"))).alias("b"))
     return best.where(F.col("b").isNotNull()).select(
@@ -63,15 +71,20 @@ def value_segments(curve: DataFrame, cut: float | None = None, core: float = 0.8
     * ``avg_segment``: 1 if sales >= mean sales;
     * ``pareto_segment`` on the ascending cumulative revenue share:
       'Core' from ``core`` on, 'Mid' from ``mid`` on, else 'Low'.
+
+    The last two compare DECIMAL products, so exact hits count as reached.
     """
+    def reached(share: float) -> F.Column:
+        parts = F.lit(round(share * 10_000)).cast("decimal(5,0)")
+        return F.col("cum_sales") * F.lit(10_000) >= F.col("total_sales") * parts
     if cut is None:
         cut_col = lorenz_peak(curve).select("customer_ratio").scalar()   # scalar subquery
     else:
         cut_col = F.lit(float(cut))
     out = curve.select(
-        PERSON, "sales", "customer_ratio", "revenue_ratio", "lorenz_slope", "distance",
+        PERSON, money("sales").alias("sales"), "customer_ratio", "revenue_ratio", "lorenz_slope", "distance",
         F.when(F.col("customer_ratio") <= cut_col, F.lit(0)).otherwise(F.lit(1)).alias("structure_segment"),
-        F.when(F.col("lorenz_slope") >= 1, F.lit(1)).otherwise(F.lit(0)).alias("avg_segment"),
-        F.when(F.col("revenue_ratio") >= core, F.lit("Core"))
-        .when(F.col("revenue_ratio") >= mid, F.lit("Mid")).otherwise(F.lit("Low")).alias("pareto_segment"))
+        F.when(F.col("sales") * F.col("person_cnt") >= F.col("total_sales"), F.lit(1)).otherwise(F.lit(0)).alias("avg_segment"),
+        F.when(reached(core), F.lit("Core"))
+        .when(reached(mid), F.lit("Mid")).otherwise(F.lit("Low")).alias("pareto_segment"))
     return out

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.functions.common import exact_avg, money, round_half_up, safe_ratio, share_within
+from shoplens.functions.common import exact_avg, money, rounded_avg, safe_ratio, share_within
 from shoplens.operators.master import PERSON
 from shoplens.operators.ranking import exact_median, with_ntile
 from shoplens.plans.cache import keep
@@ -35,9 +35,9 @@ def customer_type_profile(v: DataFrame, repeat_label: str = REPEAT_LABEL,
     t = F.when(F.col("order_freq") > 1, F.lit(repeat_label)).otherwise(F.lit(one_time_label))
     return v.groupBy(t.alias("customer_type")).agg(
         F.count(F.lit(1)).alias("customer_cnt"),
-        round_half_up(exact_avg("total_sales"), 0).alias("avg_sales"),
-        round_half_up(exact_avg("order_freq"), 2).alias("avg_order_freq"),
-        round_half_up(exact_avg("last_diff_days"), 0).alias("avg_recency"))
+        rounded_avg("total_sales", 0).alias("avg_sales"),
+        rounded_avg("order_freq", 2).alias("avg_order_freq"),
+        rounded_avg("last_diff_days", 0).alias("avg_recency"))
 
 
 def rfm_base(v: DataFrame, min_orders: int = 2) -> DataFrame:
@@ -48,7 +48,7 @@ def rfm_base(v: DataFrame, min_orders: int = 2) -> DataFrame:
 
 def frequency_distribution(base: DataFrame, digits: int = 1) -> DataFrame:
     counts = base.groupBy("order_freq").agg(F.count(F.lit(1)).alias("cnt"))
-    return share_within(counts, "cnt", None, "pct", digits, scale=100.0)
+    return share_within(counts, "cnt", None, "pct", digits, scale=100)
 
 
 def _max_recency(base: DataFrame):
@@ -95,7 +95,7 @@ def ntile_summary(base: DataFrame, tiles: int = 4, buckets: int | None = None) -
         F.count(F.lit(1)).alias("cnt"),
         money(F.min("total_sales")).alias("min_sales"),
         money(F.max("total_sales")).alias("max_sales"),
-        round_half_up(exact_avg("total_sales"), 0).alias("avg_sales"))
+        rounded_avg("total_sales", 0).alias("avg_sales"))
 
 
 def rfm_scored(base: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -136,7 +136,7 @@ def bcg_quadrants(scored: DataFrame) -> DataFrame:
     STAR, QUESTION_MARK, CASH_COW, DOG, with mean order count."""
     return scored.groupBy(bcg_quadrant_col().alias("bcg_quadrant")).agg(
         F.count(F.lit(1)).alias("cnt"),
-        round_half_up(exact_avg("order_freq"), 2).alias("avg_f"))
+        rounded_avg("order_freq", 2).alias("avg_f"))
 
 
 def one_time_delivered_orders(customers: DataFrame, orders: DataFrame,

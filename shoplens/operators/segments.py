@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.functions.common import money, round_half_up, safe_ratio, share_within
+from shoplens.functions.common import money, rounded_ratio, share_within
 from shoplens.operators.category import order_category_counts
 from shoplens.operators.master import PERSON
 
@@ -78,7 +78,7 @@ def region_core_share(segments: DataFrame, master: DataFrame, digits: int = 4) -
         F.sum("sales").alias("_sales"))
     return g.select(
         "state", "clean_city", "core_cnt",
-        round_half_up(safe_ratio("core_cnt", "_n"), digits).alias("core_ratio"),
+        rounded_ratio("core_cnt", "_n", digits).alias("core_ratio"),
         "above_avg_cnt",
-        round_half_up(safe_ratio("above_avg_cnt", "_n"), digits).alias("above_avg_ratio"),
+        rounded_ratio("above_avg_cnt", "_n", digits).alias("above_avg_ratio"),
         money("_sales").alias("sales"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.functions.common import exact_avg, money, round_half_up, share_within
+from shoplens.functions.common import money, rounded_avg, share_within
 from shoplens.operators.category import order_category_counts
 from shoplens.operators.master import PERSON, order_payment_totals
 from shoplens.operators.ranking import (drop_internal, global_order, partition_lag,
@@ -60,10 +60,10 @@ def sequence_stats(seq: DataFrame) -> DataFrame:
     (the first order has none), average order sales."""
     return seq.groupBy("order_times").agg(
         F.count(F.lit(1)).alias("order_cnt"),
-        round_half_up(exact_avg("days_from_prev_order"), 2).alias("avg_days_from_prev_order"),
+        rounded_avg("days_from_prev_order", 2).alias("avg_days_from_prev_order"),
         F.min("days_from_prev_order").alias("min_days_from_prev_order"),
         F.max("days_from_prev_order").alias("max_days_from_prev_order"),
-        round_half_up(exact_avg("order_sales"), 2).alias("avg_order_sales"))
+        rounded_avg("order_sales", 2).alias("avg_order_sales"))
 
 
 def _sequence_category_counts(seq: DataFrame, items: DataFrame, products: DataFrame,

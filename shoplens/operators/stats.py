@@ -145,7 +145,8 @@ def chi_square_independence(counts: DataFrame, count_cols: list[str]) -> DataFra
     s = chi_square_statistic(counts, count_cols)
     row = s.first()                                            # one row: two scalars
     p = None if row is None or row["chi2"] is None else chi2_sf(float(row["chi2"]), float(row["dof"]))
-    return s.withColumn("p_value", F.lit(p).cast("double"))
+    # rounded: the tail is a sum of doubles
+    return s.withColumn("p_value", round_half_up(F.lit(p).cast("double"), 10))
 
 
 def residual_report(counts: DataFrame, label_col: str = "category_group",

@@ -291,7 +291,7 @@ def r_sequence_category_pivot(c: Context) -> DataFrame:
 
 def r_lorenz_curve(c: Context) -> DataFrame:
     """Lorenz curve of customer sales."""
-    return c.curve
+    return lorenz.curve_output(c.curve)
 
 
 def r_lorenz_peak(c: Context) -> DataFrame:
@@ -463,6 +463,21 @@ def r_recency_bins(c: Context) -> DataFrame:
     return rfm.recency_bins(c.base)
 
 
+def r_frequency_distribution_exploration(c: Context) -> DataFrame:
+    """Order frequency on the exploratory base (repeat decided before the payment join)."""
+    return rfm.frequency_distribution(c.exploration_scored)
+
+
+def r_mean_median_exploration(c: Context) -> DataFrame:
+    """Mean and exact median of sales on the exploratory base."""
+    return rfm.mean_median(c.exploration_scored, buckets=c.buckets)
+
+
+def r_ntile_summary_exploration(c: Context) -> DataFrame:
+    """Sales quartiles of the exploratory base."""
+    return rfm.ntile_summary(c.exploration_scored)
+
+
 def r_mean_median(c: Context) -> DataFrame:
     """Mean and exact median of repeat customers' sales."""
     return rfm.mean_median(c.base, buckets=c.buckets)
@@ -563,9 +578,11 @@ REPORT_ORDER = {
     "monthly_sales": lambda: [F.asc("year_m")],
     "monthly_sales_by_type": lambda: [F.asc("year_m"), F.desc("sales"), F.asc("payment_type")],
     "frequency_distribution": lambda: [F.asc("order_freq")],
+    "frequency_distribution_exploration": lambda: [F.asc("order_freq")],
     "recency_bins": lambda: [F.asc("recency_bucket")],
     "recency_bins_exploration": lambda: [F.asc("recency_bucket")],
     "ntile_summary": lambda: [F.asc("m_bucket")],
+    "ntile_summary_exploration": lambda: [F.asc("m_bucket")],
     "persona_distribution": lambda: [F.desc("cnt"), F.asc("persona")],
     "persona_distribution_exploration": lambda: [F.desc("cnt"), F.asc("persona")],
     "bcg_quadrants": lambda: [F.desc("cnt"), F.asc("bcg_quadrant")],
