@@ -6,22 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.functions.common import money, rounded_ratio
+from shoplens.functions.joins import spread_join
 
 UNKNOWN = "Unknown"
 
 
 def product_categories(products: DataFrame, dictionary: DataFrame, unknown: str = "drop",
-                       broadcast_dictionary: bool = True) -> DataFrame:
+                       ) -> DataFrame:
     """``product_id -> product_category, product_category_eng, clean_category, category_group``.
 
     ``unknown='drop'``: products whose category is not in the dictionary are
     dropped (inner join); ``'keep'``: kept with group ``'Unknown'``.
-    The dictionary is a category catalogue (tens of rows) and is broadcast;
-    set ``broadcast_dictionary=False`` for a catalogue of unbounded size.
+    Whether the dictionary is broadcast is left to its size.
     """
     d = dictionary.select("product_category", "product_category_eng", "clean_category", "category_group")
-    if broadcast_dictionary:
-        d = F.broadcast(d)
     p = products.select("product_id", "product_category")
     if unknown == "drop":
         return p.join(d, "product_category")
@@ -34,11 +32,9 @@ def product_categories(products: DataFrame, dictionary: DataFrame, unknown: str
 def item_categories(items: DataFrame, products: DataFrame, dictionary: DataFrame,
                     unknown: str = "drop") -> DataFrame:
     """Item rows with their category (one row per item row; an order can
-    have several). The product side is left to Spark's size-checked join
-    choice (broadcast below the threshold, sort-merge with AQE skew handling
-    above it)."""
+    have several). Items of one product are spread over several tasks."""
     pc = product_categories(products, dictionary, unknown)
-    return items.select("order_id", "product_id", "price").join(pc, "product_id")
+    return spread_join(items.select("order_id", "product_id", "price"), pc, "product_id", F.col("order_id"))
 
 
 def order_product(items: DataFrame, products: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -53,10 +49,9 @@ def order_group_summary(items: DataFrame, products: DataFrame, dictionary: DataF
     dictionary). Far smaller than the item table (one row per order and
     group); every category report below aggregates this instead of the items.
     """
-    d = F.broadcast(dictionary.select("product_category", "category_group")
-                    .withColumn("_known", F.lit(True)))
+    d = dictionary.select("product_category", "category_group").withColumn("_known", F.lit(True))
     pc = products.select("product_id", "product_category").join(d, "product_category", "left")
-    rows = items.select("order_id", "product_id", "price").join(pc, "product_id")
+    rows = spread_join(items.select("order_id", "product_id", "price"), pc, "product_id", F.col("order_id"))
     return (rows.groupBy("order_id", F.coalesce(F.col("category_group"), F.lit(UNKNOWN)).alias("category_group"),
                          F.coalesce(F.col("_known"), F.lit(False)).alias("_known"))
             .agg(F.count(F.lit(1)).alias("_items"), F.sum("price").alias("_sales")))

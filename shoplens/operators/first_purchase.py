@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.functions.common import share_within
+from shoplens.functions.joins import spread_join
 from shoplens.operators.category import product_categories
 from shoplens.operators.master import PERSON
 
@@ -36,8 +37,8 @@ def first_order_items(customers: DataFrame, orders: DataFrame, items: DataFrame,
     """Items of each person's first delivered order with a known category."""
     fo = first_delivered_order(customers, orders, status, facts)
     pc = product_categories(products, dictionary, "drop")
-    return (fo.join(items.select("order_id", "product_id"), "order_id")
-            .join(pc, "product_id")
+    bought = fo.join(items.select("order_id", "product_id"), "order_id")
+    return (spread_join(bought, pc, "product_id", F.col("order_id"))
             .select(PERSON, "first_day", "order_id", "product_id", "product_category",
                     "clean_category", "category_group"))
 

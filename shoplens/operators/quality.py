@@ -70,11 +70,16 @@ def orphan_count(child: DataFrame, parent: DataFrame, child_col: str, parent_col
             .agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("violations")))
 
 
-def integrity_report(tables: dict[str, DataFrame], foreign_keys, primary_keys) -> DataFrame:
+def integrity_report(tables: dict[str, DataFrame], foreign_keys, primary_keys,
+                     rejects: dict[str, DataFrame] | None = None) -> DataFrame:
     """One row per declared constraint: ``kind`` ('pk' or 'fk'), table,
     column, referenced table/column, and the number of violating rows
-    (duplicate key rows beyond the first, or orphan rows)."""
-    parts = []
+    (duplicate key rows beyond the first, or orphan rows). ``rejects`` adds a
+    row of kind 'reject' per raw table: its records that do not fit the schema."""
+    none = F.lit(None).cast("string")
+    parts = [r.select(F.lit("reject").alias("kind"), F.lit(t).alias("table_name"), none.alias("column_name"),
+                      none.alias("ref_table"), none.alias("ref_column"), F.col("rejected").alias("violations"))
+             for t, r in (rejects or {}).items()]
     for table, cols in primary_keys.items():
         if table not in tables:
             continue

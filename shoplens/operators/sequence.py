@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.functions.common import money, rounded_avg, share_within
+from shoplens.functions.joins import spread_join
 from shoplens.operators.category import order_category_counts
 from shoplens.operators.master import PERSON, order_payment_totals
 from shoplens.operators.ranking import (drop_internal, global_order, partition_lag,
@@ -23,7 +24,8 @@ def repeat_customer_orders(master: DataFrame, customers: DataFrame, orders: Data
     o = orders
     if status is not None:
         o = o.where(F.col("status") == status)
-    return o.select("order_id", "customer_id", "purchase_timestamp", "status").join(ids, "customer_id")
+    return spread_join(o.select("order_id", "customer_id", "purchase_timestamp", "status"), ids, "customer_id",
+                       F.col("order_id"))
 
 
 def order_sequence(master: DataFrame, customers: DataFrame, orders: DataFrame,

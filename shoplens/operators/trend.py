@@ -32,11 +32,9 @@ def monthly_sales(orders: DataFrame, payments: DataFrame, status: str = "deliver
 def monthly_sales_by_type(orders: DataFrame, payments: DataFrame,
                           status: str = "delivered") -> DataFrame:
     """Delivered sales per month and payment type."""
-    per_order = (payments.groupBy("order_id", "payment_type")
-                 .agg(F.sum("payment_value").alias("_v")))
-    j = _delivered(orders, status).join(per_order, "order_id")
+    j = payments.select("order_id", "payment_type", "payment_value").join(_delivered(orders, status), "order_id")
     return (j.groupBy(F.date_format("purchase_timestamp", "yyyy-MM").alias("year_m"), "payment_type")
-            .agg(money(F.sum("_v")).alias("sales")))
+            .agg(money(F.sum("payment_value")).alias("sales")))
 
 
 def order_status_totals(orders: DataFrame, status: str = "delivered") -> DataFrame:

@@ -47,7 +47,7 @@ class Context:
     # -- views of the reference, in build order --------------------------------
     @property
     def dictionary(self) -> DataFrame:
-        return self._get("dictionary", lambda: self.t.dictionary)
+        return self._get("dictionary", lambda: self.t.dictionary, persist=False)
 
     @property
     def paid(self) -> DataFrame:            # payments summed per order (1 row per order)
@@ -135,21 +135,36 @@ class Context:
 
 
 _CONTEXTS: dict[tuple, Context] = {}
+_STATES: dict[tuple, tuple] = {}
 _SERIAL = itertools.count()
 
 
 def context(spark: SparkSession, sf_dir: str, buckets: int | None = None) -> Context:
-    """The shared views over one data folder. ``buckets`` forces the bucket
-    count of the distributed orderings (None: chosen from the row count)."""
-    key = (id(spark), sf_dir, buckets)
-    if key not in _CONTEXTS:
+    """The shared views over one data folder as it is now: a folder whose files
+    changed gets new views. ``buckets`` forces the bucket count of the
+    distributed orderings (None: chosen from the row count)."""
+    key, state = (id(spark), sf_dir, buckets), folder_state(spark, sf_dir)
+    if key not in _CONTEXTS or _STATES.get(key) != state:
+        _STATES[key] = state
         tag = f"{next(_SERIAL)}_" + "".join(ch if ch.isalnum() else "_" for ch in sf_dir.strip("/"))[-40:]
         _CONTEXTS[key] = Context(from_star_schema(spark, sf_dir), buckets=buckets, tag=tag)
     return _CONTEXTS[key]
 
 
+def folder_state(spark: SparkSession, folder: str) -> tuple:
+    """Names, lengths and times of the files of a folder's tables."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    fs = jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(conf)
+
+    def listed(path) -> list:
+        return [(s.getPath().getName(), s.getLen(), s.getModificationTime()) if s.isFile()
+                else (s.getPath().getName(), *listed(s.getPath())) for s in fs.listStatus(path)]
+    return tuple(sorted(listed(jvm.org.apache.hadoop.fs.Path(folder)), key=lambda x: x[0]))
+
+
 def reset_contexts() -> None:
     _CONTEXTS.clear()
+    _STATES.clear()
 
 
 # ---------------------------------------------------------------------------
@@ -254,7 +269,7 @@ def r_integrity_report(c: Context) -> DataFrame:
               "order_items": t.items, "products": t.products,
               "category_names_english": c.dictionary}
     tables.update(t.extra.get("raw_tables", {}))     # sellers, reviews when loaded
-    return quality.integrity_report(tables, FOREIGN_KEYS, PRIMARY_KEYS)
+    return quality.integrity_report(tables, FOREIGN_KEYS, PRIMARY_KEYS, t.extra.get("rejects"))
 
 
 def r_funnel_rates(c: Context) -> DataFrame:

@@ -10,13 +10,11 @@ tables (geolocation, sellers, order_reviews) load with
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import SparkSession
 
 from shoplens.functions.categories import map_category
 from shoplens.functions.text import clean_city
-from shoplens.sources.files import load_csv
+from shoplens.sources.files import exists, load_csv, rejected_rows
 from shoplens.sources.star_schema import Tables
 
 DEFAULT_FILES = {
@@ -43,10 +41,14 @@ def from_csv_folder(spark: SparkSession, folder: str, files: dict[str, str] | No
     names = dict(DEFAULT_FILES)
     names.update(files or {})
 
+    def place(table: str) -> str:
+        return f"{folder.rstrip('/')}/{names[table]}"
+
     def read(table: str):
-        return load_csv(spark, os.path.join(folder, names[table]), table)
+        return load_csv(spark, place(table), table)
 
-    optional = {t: read(t) for t in OPTIONAL if os.path.exists(os.path.join(folder, names[t]))}
+    optional = {t: read(t) for t in OPTIONAL if exists(spark, place(t))}
+    loaded = [t for t in names if t not in OPTIONAL or t in optional]
     return Tables(
         customers=read("customers").withColumn("clean_city", clean_city("city", city_collation)),
         orders=read("orders"),
@@ -56,5 +58,5 @@ def from_csv_folder(spark: SparkSession, folder: str, files: dict[str, str] | No
         dictionary=map_category(read("category_names_english"), mapping),
         delivered=delivered,
         as_of=as_of,
-        extra={"raw_tables": optional},
+        extra={"raw_tables": optional, "rejects": {t: rejected_rows(spark, place(t), t) for t in loaded}},
     )

@@ -9,8 +9,10 @@ inference pass over the data.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shoplens.sources import schemas
 
@@ -19,23 +21,53 @@ CSV_OPTIONS = {
     "sep": ",",
     "quote": '"',
     "escape": '"',
-    "multiLine": "true",
     "mode": "PERMISSIVE",
     "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss",
     "nullValue": "",
     "emptyValue": "",
 }
+# Only review texts hold line breaks; any other file can be split between tasks.
+MULTI_LINE = ("order_reviews",)
+BAD = "_bad_record"
+
+
+def csv_options(table: str) -> dict[str, str]:
+    return CSV_OPTIONS | ({"multiLine": "true"} if table in MULTI_LINE else {})
+
+
+def rejected_rows(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """One row: how many records of a raw file do not fit the declared schema
+    (a value that cannot be read, or another number of fields)."""
+    fields = [*schemas.TABLES[table].fields, T.StructField(BAD, T.StringType())]
+    df = (spark.read.schema(T.StructType(fields)).options(**csv_options(table))
+          .option("columnNameOfCorruptRecord", BAD).option("enforceSchema", "true")
+          .csv(path))
+    # Every column is read (a scan pruned to the marker would not parse the values): always true, but not for the optimizer.
+    parsed = F.pmod(F.xxhash64(*df.columns), F.lit(2)) < 2
+    return df.agg(F.count(F.when(F.col(BAD).isNotNull() & parsed, F.lit(1))).alias("rejected"))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether Spark finds a file or folder there, on whatever file system."""
+    try:
+        spark.read.text(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
 
 
 def load_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """Read one raw table with its declared schema.
+    """Read one raw table with its declared schema. Values that cannot be read
+    become NULL; :func:`rejected_rows` counts their records.
 
     Windows line ends inside values are left to ``clean_text``; trailing ``\\r``
     at line ends is handled by the CSV reader. The sellers zip is left-padded
     to five characters (it is an integer in the source export).
     """
     schema = schemas.TABLES[table]
-    df = spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+    df = spark.read.schema(schema).options(**csv_options(table)).csv(path)
     if table == "sellers":
         df = df.withColumn("zip_code_prefix", F.lpad(F.col("zip_code_prefix"), 5, "0"))
     return df

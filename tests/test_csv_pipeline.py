@@ -137,3 +137,40 @@ def test_integrity_includes_optional_tables(tables):
     assert got[("fk", "order_reviews", "order_id")] == 1
     assert got[("pk", "sellers", "seller_id")] == 0
     assert got[("fk", "products", "product_category")] == 1      # sem_dicionario
+
+
+def test_only_reviews_are_read_whole(spark, tmp_path):
+    from shoplens.sources.files import load_csv
+    rows = "\n".join(f"o{i},1,credit_card,1,{i % 100}.50" for i in range(60_000))
+    path = tmp_path / "order_payments.csv"
+    path.write_text("order_id,payment_sequential,payment_type,payment_installments,payment_value\n" + rows + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300k")
+    try:
+        df = load_csv(spark, str(path), "order_payments")
+        assert df.rdd.getNumPartitions() > 3 and df.count() == 60_000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_rejected_records_are_counted(spark, tmp_path):
+    from shoplens.sources.files import load_csv, rejected_rows
+    path = tmp_path / "order_payments.csv"
+    path.write_text("order_id,payment_sequential,payment_type,payment_installments,payment_value\n"
+                    "o1,1,card,1,10.00\no2,1,card,1,ten\no3,one,card,1,3.00\no4,1,card,1,\no5,1,card\n")
+    assert rejected_rows(spark, str(path), "order_payments").first().rejected == 3
+    assert load_csv(spark, str(path), "order_payments").count() == 5
+
+
+def test_integrity_report_counts_rejects(tables):
+    rows = run_reports(tables, ["integrity_report"])["integrity_report"].where("kind = 'reject'").collect()
+    assert {r.table_name: r.violations for r in rows} == {
+        t: 0 for t in ("customers", "orders", "order_payments", "order_items", "products", "category_names_english",
+                       "sellers", "order_reviews")}
+
+
+def test_uris_are_found(spark, tmp_path):
+    from shoplens.sources.files import exists
+    (tmp_path / "a.csv").write_text("x\n")
+    assert exists(spark, f"file://{tmp_path}/a.csv") and exists(spark, str(tmp_path / "a.csv"))
+    assert not exists(spark, f"file://{tmp_path}/b.csv")
