@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shoplens.llm import ann, licenses, minhash, mixing, packing, pii, quality, secrets, suffix_dedup, warc
 from shoplens.llm.common import read_table, stage_table
+from shoplens.llm.oracle import ORACLE_SQL  # noqa: F401
 
 
 def _joined(spans: Column) -> Column:
@@ -123,4 +124,3 @@ QUERIES = {"op1_warc": op1_warc, "op2_pii": op2_pii, "op3_minhash": op3_minhash,
            "op4_mixing": op4_mixing, "op6_packing": op6_packing,
            "op5_secrets": op5_secrets, "op7_quality": op7_quality, "op8_licenses": op8_licenses,
            "op9_suffix": op9_suffix, "op10_ann": op10_ann}
-ORACLE_SQL: dict[str, str] = {}
