@@ -195,10 +195,8 @@ def r_clean_city(c: Context) -> DataFrame:
 
 
 def r_variant_report(c: Context) -> DataFrame:
-    """Spelling variants of the city per zip (per ``extra['variant_key']``)."""
-    e = c.t.extra
-    return quality.variant_report(c.t.customers, e.get("variant_key", "zip_code_prefix"), "city",
-                                  "clean_city", e.get("variant_other", "state"), 10)
+    """Spelling variants of the city per zip."""
+    return quality.variant_report(c.t.customers, "zip_code_prefix", "city", "clean_city", "state", 10)
 
 
 def r_distinct_values(c: Context) -> DataFrame:
@@ -216,8 +214,6 @@ def r_distinct_values(c: Context) -> DataFrame:
 
 def r_attribute_drift(c: Context) -> DataFrame:
     """Persons whose customer rows disagree on state, city or zip."""
-    if c.t.extra.get("drift_on_orders"):
-        return quality.attribute_drift(c.t.orders, "customer_id", ["status", "priority"])
     return quality.attribute_drift(c.t.customers, PERSON, ["state", "clean_city", "zip_code_prefix"],
                                    names={"clean_city": "city_cnt", "zip_code_prefix": "zip_cnt"})
 
@@ -226,9 +222,6 @@ def r_latest_row_per_key(c: Context) -> DataFrame:
     """Latest customer row (address) per person by purchase time, then
     customer id."""
     t = c.t
-    if t.extra.get("latest_on_orders"):
-        return master.latest_row_per_key(t.orders, "customer_id",
-                                         ["purchase_timestamp", "order_id"], ["priority", "order_id"])
     joined = t.orders.select("customer_id", "purchase_timestamp").join(
         t.customers.select("customer_id", PERSON, "state", "clean_city", "zip_code_prefix"), "customer_id")
     return master.latest_row_per_key(joined, PERSON, ["purchase_timestamp", "customer_id"],

@@ -80,9 +80,11 @@ def customers_from_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (c.join(nation, c.c_nationkey == nation.n_nationkey)
             .join(region, F.col("n_regionkey") == region.r_regionkey)
             .select(F.col("c_custkey").alias("customer_id"),
-                    F.col("c_custkey").alias("customer_unique_id"),
+                    # every fourth person has a second customer id, as a rule with another address
+                    (F.col("c_custkey") - (F.col("c_custkey") % 4 == 1).cast("int")).alias("customer_unique_id"),
                     F.lpad(F.col("c_nationkey").cast("string"), 5, "0").alias("zip_code_prefix"),
-                    F.col("n_name").alias("city"),
+                    # every fifth row spells its city another way
+                    F.when(F.col("c_custkey") % 5 == 0, F.lower("n_name")).otherwise(F.col("n_name")).alias("city"),
                     F.col("r_name").alias("state"))
             .withColumn("clean_city", clean_city("city")))
 
@@ -132,9 +134,4 @@ def from_star_schema(spark: SparkSession, sf_dir: str) -> Tables:
         dictionary=dictionary_from_star(spark, sf_dir),
         delivered=DELIVERED,
         as_of=AS_OF,
-        # Customer ids and persons are 1:1 here and one city per zip, so the
-        # data checks look where this data does vary: cities per region,
-        # status / priority per customer, the latest order's priority.
-        extra={"variant_key": "state", "variant_other": "zip_code_prefix", "probe_zip": "00001",
-               "drift_on_orders": True, "latest_on_orders": True},
     )
