@@ -36,7 +36,7 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 THRESHOLDS = {"hex": (3.1, 24), "mixed": (3.7, 20)}
 ALLOW = (r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",    # UUIDs
          r"(?i)example|placeholder|changeme|x{6}|\*{4}",                # documentation values
-         r"^(?:[A-Za-z]+[-_/=+]?)+$|^[0-9+/_=-]+$",                     # words, numbers, paths of words
+         r"^[A-Za-z]+(?:[-_/=+][A-Za-z]+)*[-_/=+]?$|^[0-9+/_=-]+$",     # words, numbers, paths of words
          r"(?i)^(?:https?|www|sha(?:1|256)|md5)[-_/=+]")
 
 

@@ -100,6 +100,12 @@ def test_window_entropy_is_the_largest_of_all_windows():
         assert secrets.window_entropy(s, 20) == pytest.approx(plain(s, 20), abs=1e-9)
 
 
+def test_long_words_with_a_digit_take_linear_time(spark):
+    df = spark.createDataFrame([("a" * 5000 + "1" + "B" * 5000,), ("aB-" * 4000 + "1",)], "text string")
+    assert df.select(secrets.find_secrets("text").alias("s")).count() == 2
+    assert secrets.entropy_score("a" * 60 + "1") is None
+
+
 def test_entropy_spans_and_allow_list(spark):
     keys = ["Q7fZx9Lm2Pq8Rt4Vw6Yb1Nc3Kd5", "3f2A9c1E7b5D0a8F6c4B2e1D9f7A"]
     clean = ["123e4567-e89b-12d3-a456-426614174000", "thisIsJustALongCamelCaseIdentifier", "20240101123456789012345",
