@@ -10,7 +10,7 @@ repeated contraction; nothing of it reaches the driver but one count a round.
 
 Task side
 ---------
-``doc_chunks`` cuts an Arrow batch into runs of whole documents of about a
+``doc_chunks`` cuts an Arrow batch into runs of whole documents of about half a
 megabyte, so the temporary arrays of the numpy kernels stay bounded. A
 document longer than that is one chunk of its own. Words are runs of bytes
 outside ``[\\x20\\x09-\\x0D]``.
@@ -169,7 +169,7 @@ def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nda
     return mix64((prefix[end] - prefix[start]) * q[start] + (end - start).astype(np.uint64))
 
 
-def doc_chunks(ids, texts, max_bytes: int = 1 << 20, max_docs: int = 1024
+def doc_chunks(ids, texts, max_bytes: int = 1 << 19, max_docs: int = 1024
                ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of whole documents: (first row, end row, bytes, offsets).
 
