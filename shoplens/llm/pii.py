@@ -4,7 +4,9 @@ For each kind a regular expression proposes leftmost non-overlapping spans
 (``regexp_extract_all``); the texts between them (``split`` by the same
 expression) give their code-point offsets. A validator then confirms or drops
 each match: ranges for IP addresses, Luhn for cards, mod 97 for IBANs, digit
-counts for phones. The words in the 40 characters before a match raise its
+counts for phones. An IBAN is the longest start of its proposal that ends at a
+word edge, has the length of its country (15 to 34 where ``IBAN_LENGTHS`` has
+none) and passes mod 97; proposals may overlap, IBANs do not. The words in the 40 characters before a match raise its
 score; ``iban`` and ``ssn`` spans must reach ``threshold``, the four base kinds
 always stay.
 
@@ -29,7 +31,8 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # Group 1 is the proposal; only its first four characters are taken, so it hides no other.
+    "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])))[A-Z]{2}[0-9]{2}",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
 }
 # Cheap test that a text can hold a match at all.
@@ -38,6 +41,17 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9][\x20-]?[0
 CONTEXT = {"email": "mail|contact|write", "ip": r"\bip\b|address|host|server", "card": "card|visa|payment|credit",
            "phone": "phone|call|tel|mobile", "iban": "iban|account|bank|konto", "ssn": "ssn|social|security"}
 PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.8, "ssn": 0.3}
+# Lengths of the IBAN registry.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "AO CV GW LY MZ PT ST", 26: "IR IS TR",
+    27: "BF BI BJ CF CG CM DJ FR GA GR IT KM MC MG MR SM TD",
+    28: "AL AZ BY CI CY DO GT HN HU LB ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU"}
+_LISTED = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+IBAN_FORM = "^(?:" + "|".join(f"(?:{c.replace(' ', '|')}).{{{n - 2}}}" for n, c in IBAN_LENGTHS.items()) \
+    + f"|(?!{_LISTED}).{{15,34}})$"
 SPANS = "array<struct<start:bigint,ord:int,end:bigint,kind:string,score:double>>"
 
 
@@ -46,13 +60,20 @@ def _digits(m: Column) -> Column:
 
 
 def iban_valid(m: Column) -> Column:
-    """Mod 97 of the rearranged number (letters as 10 to 35) is 1."""
+    """The length is right and mod 97 of the rearranged number (letters as 10 to 35) is 1."""
     s = F.upper(F.regexp_replace(m, r"\x20", ""))
     turned = F.concat(F.substring(s, 5, 34), F.substring(s, 1, 4))
     rest = F.aggregate(F.filter(F.split(turned, ""), lambda c: F.length(c) > 0), F.lit(0), lambda acc, c: F.when(
         c.between("0", "9"), (acc * 10 + F.ascii(c) - 48) % 97).otherwise((acc * 100 + F.ascii(c) - 55) % 97)
         .cast("int"))
-    return (F.length(s).between(15, 34)) & (rest == 1)
+    return s.rlike(IBAN_FORM) & (rest == 1)
+
+
+def iban_in(m: Column) -> Column:
+    """The longest start of a proposal, up to a word edge, that is an IBAN; else null."""
+    words = F.split(m, r"\x20")
+    starts = F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, 1, n), " "))
+    return F.try_element_at(F.filter(starts, iban_valid), F.lit(-1))
 
 
 def valid(kind: str, m: Column) -> Column:
@@ -64,8 +85,6 @@ def valid(kind: str, m: Column) -> Column:
         return F.length(d).between(12, 19) & F.call_function("luhn_check", d)
     if kind == "phone":
         return F.length(_digits(m)).between(9, 15)
-    if kind == "iban":
-        return iban_valid(m)
     if kind == "ssn":
         return ~m.rlike("^(?:000|666|9)") & ~m.rlike("-00-|-0000$")
     return F.lit(True)
@@ -74,24 +93,30 @@ def valid(kind: str, m: Column) -> Column:
 def _spans_of(kind: str, text: Column, threshold: float) -> Column:
     p = F.lit(PATTERNS[kind])
     pairs = F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("gap"),
-                         F.regexp_extract_all(text, p, 0).alias("hit"))
-    pairs = pairs.cast("array<struct<gap:string,hit:string>>")
+                         F.regexp_extract_all(text, p, 0).alias("hit"),
+                         F.regexp_extract_all(text, p, 1 if kind == "iban" else 0).alias("all"))
+    pairs = pairs.cast("array<struct<gap:string,hit:string,all:string>>")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
+        m = iban_in(x["all"]) if kind == "iban" else x["all"]
+        end = start + F.length(m)
         near = F.lower(F.right(x["gap"], F.lit(40))).rlike(CONTEXT[kind])
         score = F.lit(PRIOR[kind]) + F.when(near, (1.0 - F.lit(PRIOR[kind])) * 0.8).otherwise(0.0)
-        ok = x["hit"].isNotNull() & valid(kind, x["hit"])
+        ok = m.isNotNull() & (start >= acc["done"])
+        if kind != "iban":
+            ok = ok & valid(kind, m)
         if kind not in BASE_KINDS:
             ok = ok & (score >= threshold)
         span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("ord"), end.alias("end"),
                         F.lit(kind).alias("kind"), score.alias("score"))
-        return F.struct(F.coalesce(end, acc["at"]).alias("at"),
+        return F.struct(F.coalesce(start + F.length(x["hit"]), acc["at"]).alias("at"),
+                        F.when(ok, end).otherwise(acc["done"]).alias("done"),
                         F.when(ok, F.concat(acc["out"], F.array(span).cast(SPANS))).otherwise(acc["out"]).alias("out"))
 
     none = F.array().cast(SPANS)
-    zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+    nil = F.lit(0).cast("long")
+    zero = F.struct(nil.alias("at"), nil.alias("done"), none.alias("out"))
     found = F.aggregate(pairs, zero, step, lambda acc: acc["out"])
     return F.when(text.rlike(HINTS[kind]), found).otherwise(none)
 
