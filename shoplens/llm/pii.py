@@ -6,8 +6,8 @@ expression) give their code-point offsets. A validator then confirms or drops
 each match: ranges for IP addresses, Luhn for cards, mod 97 for IBANs, digit
 counts for phones. An IBAN is the longest start of its proposal that ends at a
 word edge, has the length of its country (15 to 34 where ``IBAN_LENGTHS`` has
-none) and passes mod 97; proposals may overlap, IBANs do not. The words in the 40 characters before a match raise its
-score; ``iban`` and ``ssn`` spans must reach ``threshold``, the four base kinds
+none) and passes mod 97; proposals may overlap, IBANs do not. Words in the 40 characters of the text before or after a match
+raise its score, whatever other matches lie there; ``iban`` and ``ssn`` spans must reach ``threshold``, the four base kinds
 always stay.
 
 The expressions start at the first character of a run (or where the last match
@@ -91,17 +91,21 @@ def valid(kind: str, m: Column) -> Column:
 
 
 def _spans_of(kind: str, text: Column, threshold: float) -> Column:
-    p = F.lit(PATTERNS[kind])
+    # The last group is the text that follows, as far as context after the longest proposal reaches.
+    p = F.lit(PATTERNS[kind] + rf"(?=([\s\S]{{0,{110 if kind == 'iban' else 40}}}))")
     pairs = F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("gap"),
                          F.regexp_extract_all(text, p, 0).alias("hit"),
-                         F.regexp_extract_all(text, p, 1 if kind == "iban" else 0).alias("all"))
-    pairs = pairs.cast("array<struct<gap:string,hit:string,all:string>>")
+                         F.regexp_extract_all(text, p, 1 if kind == "iban" else 0).alias("all"),
+                         F.regexp_extract_all(text, p, 2 if kind == "iban" else 1).alias("rest"))
+    pairs = pairs.cast("array<struct<gap:string,hit:string,all:string,rest:string>>")
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         m = iban_in(x["all"]) if kind == "iban" else x["all"]
         end = start + F.length(m)
-        near = F.lower(F.right(x["gap"], F.lit(40))).rlike(CONTEXT[kind])
+        before = F.right(F.concat(acc["tail"], x["gap"]), F.lit(40))
+        after = F.substring(x["rest"], F.length(m) - F.length(x["hit"]) + 1, F.lit(40))
+        near = F.lower(before).rlike(CONTEXT[kind]) | F.lower(after).rlike(CONTEXT[kind])
         score = F.lit(PRIOR[kind]) + F.when(near, (1.0 - F.lit(PRIOR[kind])) * 0.8).otherwise(0.0)
         ok = m.isNotNull() & (start >= acc["done"])
         if kind != "iban":
@@ -111,12 +115,13 @@ def _spans_of(kind: str, text: Column, threshold: float) -> Column:
         span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("ord"), end.alias("end"),
                         F.lit(kind).alias("kind"), score.alias("score"))
         return F.struct(F.coalesce(start + F.length(x["hit"]), acc["at"]).alias("at"),
+                        F.right(F.concat(before, F.coalesce(x["hit"], F.lit(""))), F.lit(40)).alias("tail"),
                         F.when(ok, end).otherwise(acc["done"]).alias("done"),
                         F.when(ok, F.concat(acc["out"], F.array(span).cast(SPANS))).otherwise(acc["out"]).alias("out"))
 
     none = F.array().cast(SPANS)
     nil = F.lit(0).cast("long")
-    zero = F.struct(nil.alias("at"), nil.alias("done"), none.alias("out"))
+    zero = F.struct(nil.alias("at"), F.lit("").alias("tail"), nil.alias("done"), none.alias("out"))
     found = F.aggregate(pairs, zero, step, lambda acc: acc["out"])
     return F.when(text.rlike(HINTS[kind]), found).otherwise(none)
 
