@@ -9,8 +9,10 @@ Entropy spans (``entropy``): maximal runs of token characters of at least
 ``min_length`` that overlap no patterned span. A window of ``window``
 characters slides over the run; its Shannon entropy is kept up to date from
 character counts (one in, one out). The run is a secret when the largest
-window entropy reaches the threshold of its character class and no allow-list
-pattern matches it.
+window entropy reaches the threshold of its character class (hex digits; digits
+with lower case, upper case or both; letters of both cases) and no allow-list
+entry matches it. Letters of one case alone, and digits alone, are taken for
+words and numbers.
 
 Defined cases: null or empty text has no spans; offsets are code points, end
 exclusive; repeated rows are scanned alike; an empty table gives an empty
@@ -33,10 +35,27 @@ SPANS = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)",
                     re.I | re.A)
 # Bits a character a window must reach, by class, and the length from which the class counts.
-THRESHOLDS = {"hex": (3.1, 24), "mixed": (3.7, 20)}
+THRESHOLDS = {"hex": (3.1, 24), "mixed": (3.7, 20), "lower": (3.4, 20), "upper": (3.4, 20), "letters": (3.7, 20)}
+
+
+def camel_words(s: str) -> bool:
+    """Letters that read as words: cut where the case changes, they come to four letters a word or more."""
+    words = re.findall(r"[A-Z]?[a-z]++|[A-Z]++", re.sub(r"([A-Z][a-z])", r" \1", s))
+    return bool(words) and not re.search(r"[0-9]", s) and sum(map(len, words)) >= 4 * len(words)
+
+
+def _path(*words: str) -> str:
+    """Words of the given forms joined by single signs; possessive, so linear."""
+    word = "(?:" + "|".join(words) + ")"
+    return rf"^{word}(?:[-_/=+]{word})*+[-_/=+]?$"
+
+
+# Regular expressions (searched) and functions.
 ALLOW = (r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",    # UUIDs
          r"(?i)example|placeholder|changeme|x{6}|\*{4}",                # documentation values
-         r"^[A-Za-z]+(?:[-_/=+][A-Za-z]+)*[-_/=+]?$|^[0-9+/_=-]+$",     # words, numbers, paths of words
+         _path("[A-Z]?[a-z]++", "[A-Z]++"), r"^[0-9+/_=-]+$",           # words, numbers, paths of words
+         _path("[a-z]++[0-9]{0,4}+", "[0-9]++"), _path("[A-Z]++[0-9]{0,4}+", "[0-9]++"),    # and of numbered words
+         camel_words,
          r"(?i)^(?:https?|www|sha(?:1|256)|md5)[-_/=+]")
 
 
@@ -49,7 +68,7 @@ def _table(chars: str) -> np.ndarray:
 _DIG, _LOW = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 _UP = _LOW.upper()
 _IS = {"hex": _table(_DIG + "abcdef"), "access": _table(_UP + _DIG), "token": _table(_UP + _LOW + _DIG + "+/_=-"),
-       "digit": _table(_DIG), "sign": _table(":=")}
+       "sign": _table(":=")}
 
 
 def window_entropy(s: str, window: int) -> float:
@@ -78,17 +97,24 @@ def window_entropy(s: str, window: int) -> float:
     return best
 
 
+def char_class(s: str) -> str | None:
+    """Name of the threshold that holds for ``s``; None for letters of one case and for digits."""
+    digit, low, up = (re.search(c, s) is not None for c in ("[0-9]", "[a-z]", "[A-Z]"))
+    if digit and re.fullmatch(r"[0-9a-fA-F]+", s):
+        return "hex"
+    if digit:
+        return "mixed" if low and up else "lower" if low else "upper" if up else None
+    return "letters" if low and up else None
+
+
 def entropy_score(s: str, window: int = 20, thresholds=None, allow=ALLOW) -> float | None:
     """Largest window entropy if ``s`` passes its class's threshold and no
     allow-list pattern matches, else None."""
     thresholds = thresholds or THRESHOLDS
-    if any(re.search(p, s) for p in allow):
+    if any(p(s) if callable(p) else re.search(p, s) for p in allow):
         return None
-    if re.fullmatch(r"[0-9a-fA-F]+", s):
-        kind = "hex"
-    elif re.search(r"[0-9]", s) and re.search(r"[a-z]", s) and re.search(r"[A-Z]", s):
-        kind = "mixed"
-    else:
+    kind = char_class(s)
+    if kind not in thresholds:
         return None
     bits, least = thresholds[kind]
     e = window_entropy(s, window)
@@ -134,9 +160,7 @@ def scan_chunk(data: np.ndarray, off: np.ndarray, window: int = 20, min_length:
     for a, b in zip(s.tolist(), e.tolist(), strict=True):
         put(int(np.searchsorted(off, a, "right")) - 1, 2, a, b, 1.0)
     s, e = _runs(_IS["token"][data], off, min_length)
-    digits = np.concatenate(([0], np.cumsum(_IS["digit"][data])))
-    has = digits[e] > digits[s]
-    for a, b in zip(s[has].tolist(), e[has].tolist(), strict=True):
+    for a, b in zip(s.tolist(), e.tolist(), strict=True):
         score = entropy_score(raw[a:b].decode(), window)
         if score is not None:
             doc = int(np.searchsorted(off, a, "right")) - 1

@@ -137,6 +137,25 @@ def test_entropy_spans_and_allow_list(spark):
     assert got == [["entropy"]] * len(keys) + [[]] * len(clean)
 
 
+def test_every_character_class_has_a_threshold(spark):
+    keys = ["key-3ax6xnjp29jd6fds4gc373sgvjxteol0", "k3v9q0zt7w1xm5rp8dj2hs6n", "JBSWY3DPEHPK3PXPMFRGGZDF", "A1B2C-D3E4F-G5H6J-K7L8M-N9P0Q",
+            "xQzRtYbNmKpLwSdFgHjCvTaE", "qWeRtYuIoPaSdFgHjKlZxCvBnM"]
+    clean = ["the-ten-best-ways-to-learn-2024", "some_module/chapter12/section3/part4", "getHTTPSURLConnectionFactoryID",
+             "XMLHttpRequestFactoryBuilder", "internationalization2", "ABSTRACT_FACTORY_BEAN_NAME_2", "Src/App/Ui/Web/Js/Css/Img", "z" * 30, "Donaudampfschifffahrtsgesellschaft"]
+    df = spark.createDataFrame([(f"x {k} y",) for k in keys + clean], "text string")
+    got = [[x.kind for x in r.s] for r in df.select(secrets.find_secrets("text").alias("s")).collect()]
+    assert got == [["entropy"]] * len(keys) + [[]] * len(clean)
+    assert secrets.redact_secrets(df).first().text == "x [SECRET] y"
+
+
+@pytest.mark.parametrize("chars", ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+                                   "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+def test_random_strings_reach_their_threshold(chars):
+    rng = random.Random(5)
+    made = ["".join(rng.choice(chars) for _ in range(32)) for _ in range(500)]
+    assert sum(secrets.entropy_score(s) is not None for s in made) >= 480
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert df.select(pii.find_pii("text").alias("s"), F.lit(1)).count() == 0
