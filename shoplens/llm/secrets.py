@@ -5,14 +5,18 @@ of at least 6 characters), ``access`` (key ids that start with AKIA, at least
 20 characters), ``hex`` (runs of at least 24 lower-case hex digits); each kind
 leftmost and non-overlapping, a failing match is dropped without a retry.
 
-Entropy spans (``entropy``): maximal runs of token characters of at least
-``min_length`` that overlap no patterned span. A window of ``window``
-characters slides over the run; its Shannon entropy is kept up to date from
-character counts (one in, one out). The run is a secret when the largest
-window entropy reaches the threshold of its character class (hex digits; digits
-with lower case, upper case or both; letters of both cases) and no allow-list
-entry matches it. Letters of one case alone, and digits alone, are taken for
-words and numbers.
+Entropy spans (``entropy``): patterned spans, UUIDs and labelled digests are cut
+out of the maximal runs of token characters; what is left in pieces of at least
+``min_length`` is scored. A window of ``window`` characters slides over a
+candidate; its Shannon entropy is kept up to date from character counts (one
+in, one out). A candidate is a secret when the largest window entropy reaches
+the threshold of its character class (hex digits; digits with lower case, upper
+case or both; letters of both cases) and no allow-list entry matches it. Letters
+of one case alone, and digits alone, are taken for words and numbers. The
+candidate is the whole piece if that is hex or has digits and both cases;
+else, or if it is no secret as a whole, each stretch of neighbouring parts
+(between / = _ -) that no allow-list entry matches, with the short word that
+names its kind in front (``key-``).
 
 Defined cases: null or empty text has no spans; offsets are code points, end
 exclusive; repeated rows are scanned alike; an empty table gives an empty
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -51,12 +56,14 @@ def _path(*words: str) -> str:
 
 
 # Regular expressions (searched) and functions.
-ALLOW = (r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",    # UUIDs
-         r"(?i)example|placeholder|changeme|x{6}|\*{4}",                # documentation values
+ALLOW = (r"(?i)example|placeholder|changeme|x{6}|\*{4}",                # documentation values
          _path("[A-Z]?[a-z]++", "[A-Z]++"), r"^[0-9+/_=-]+$",           # words, numbers, paths of words
          _path("[a-z]++[0-9]{0,4}+", "[0-9]++"), _path("[A-Z]++[0-9]{0,4}+", "[0-9]++"),    # and of numbered words
-         camel_words,
-         r"(?i)^(?:https?|www|sha(?:1|256)|md5)[-_/=+]")
+         camel_words)
+# No part of a candidate: UUIDs, and digests (hex or base64) behind their names.
+PLAIN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|(?i:"
+                   r"md5[-_/=+](?:[0-9a-f]{32}|[a-z0-9+/_-]{22})|sha1[-_/=+](?:[0-9a-f]{40}|[a-z0-9+/_-]{27})|"
+                   r"sha256[-_/=+](?:[0-9a-f]{64}|[a-z0-9+/_-]{43}))={0,2})(?![0-9A-Za-z])")
 
 
 def _table(chars: str) -> np.ndarray:
@@ -121,6 +128,47 @@ def entropy_score(s: str, window: int = 20, thresholds=None, allow=ALLOW) -> flo
     return e if len(s) >= least and e >= bits else None
 
 
+def entropy_spans(s: str, cuts=(), window: int = 20, min_length: int = 20) -> list[tuple[int, int, float]]:
+    """(start, end, score) of the secrets of a run of token characters; ``cuts``
+    are its patterned spans, in order and apart."""
+    out, pieces, at = [], [], 0
+    for a, b in [*cuts, (len(s), len(s))]:
+        for m in PLAIN.finditer(s, at, a):
+            pieces.append((at, m.start()))
+            at = m.end()
+        pieces.append((at, a))
+        at = b
+    for a, b in pieces:
+        while a > 0 and a < b and s[a] in "/=_-":        # joints to what was cut out
+            a += 1
+        while b < len(s) and a < b and s[b - 1] in "/=_-":
+            b -= 1
+        if b - a < min_length:
+            continue
+        score = entropy_score(s[a:b], window) if char_class(s[a:b]) in ("hex", "mixed") else None
+        if score is not None:
+            out.append((a, b, score))
+            continue
+        stretches: list[list[int]] = []
+        follows = False
+        for m in re.finditer(r"[^/=_-]+", s[a:b]):
+            if any(p(m[0]) if callable(p) else re.search(p, m[0]) for p in ALLOW):
+                follows = False
+            elif follows:
+                stretches[-1][1] = a + m.end()
+            else:
+                stretches.append([a + m.start(), a + m.end()])
+                follows = True
+        for x, y in stretches:
+            if re.fullmatch("={1,2}", s[y:b]):               # base64 padding
+                y = b
+            score = entropy_score(s[x:y], window) if y - x >= min_length else None
+            if score is not None:
+                name = re.search(r"(?<![A-Za-z0-9+])[A-Za-z]{1,8}[-_]$", s[max(a, x - 10):x])
+                out.append((x - len(name[0]) if name else x, y, score))
+    return out
+
+
 def _runs(mask: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of ``mask`` of ``least`` or more, cut at documents."""
     edge = np.zeros(len(mask) + 1, bool)
@@ -133,6 +181,18 @@ def _runs(mask: np.ndarray, off: np.ndarray, least: int) -> tuple[np.ndarray, np
     return start[long], end[long]
 
 
+def _apart(spans) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans cover, in order."""
+    starts, ends = [], []
+    for a, _, b, _ in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
 def scan_chunk(data: np.ndarray, off: np.ndarray, window: int = 20, min_length: int = 20
                ) -> list[list[tuple[int, int, int, float]]]:
     """Spans (start, kind number, end, score) of each document of a chunk, in order."""
@@ -160,13 +220,18 @@ def scan_chunk(data: np.ndarray, off: np.ndarray, window: int = 20, min_length:
     for a, b in zip(s.tolist(), e.tolist(), strict=True):
         put(int(np.searchsorted(off, a, "right")) - 1, 2, a, b, 1.0)
     s, e = _runs(_IS["token"][data], off, min_length)
+    known: dict[int, tuple[list, list]] = {}
     for a, b in zip(s.tolist(), e.tolist(), strict=True):
-        score = entropy_score(raw[a:b].decode(), window)
-        if score is not None:
-            doc = int(np.searchsorted(off, a, "right")) - 1
-            lo, hi = int(chars[a] - chars[off[doc]]), int(chars[b] - chars[off[doc]])
-            if not any(x[0] < hi and lo < x[2] for x in out[doc] if x[1] < 3):
-                out[doc].append((lo, 3, hi, round(score, 6)))
+        doc = int(np.searchsorted(off, a, "right")) - 1
+        if doc not in known:
+            known[doc] = _apart(out[doc])
+        starts, ends = known[doc]
+        lo = int(chars[a] - chars[off[doc]])
+        n, cuts = b - a, []
+        for i in range(bisect_right(ends, lo), bisect_left(starts, lo + n)):
+            cuts.append((max(starts[i] - lo, 0), min(ends[i] - lo, n)))
+        for x, y, score in entropy_spans(raw[a:b].decode(), cuts, window, min_length):
+            out[doc].append((lo + x, 3, lo + y, round(score, 6)))
     for spans in out:
         spans.sort()
     return out
