@@ -5,9 +5,11 @@ lower case). Their k-word shingles are hashed and winnowed: of every ``window``
 neighbouring shingles the smallest is kept. The kept hashes form an inverted
 index from hash to (template, place). All shingles of a document are looked up
 in it, so every common passage of ``k + window - 1`` words meets at least one
-entry. Hits of one template on nearby diagonals are one candidate, which a
-banded alignment of template and document words then scores: matched words,
-coverage of the template, and the span they take in the document.
+entry. Hits are extended to exact stretches; stretches of one template that
+follow each other in it and in the document are chained, and the words between
+and beside them aligned: matched words, coverage of the template, and the span
+they take in the document. A stretch that starts the template anew starts
+another chain, so every occurrence is a match of its own.
 
 The template set is a parameter and small (its index is sent with the task);
 documents are scanned whole and where they are.
@@ -21,6 +23,7 @@ the one with more matched words is reported, the earlier of equal ones.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Mapping
 
 import numpy as np
@@ -128,32 +131,109 @@ class TemplateIndex:
         return sorted(set(out))
 
 
-def banded_align(t: np.ndarray, d: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
-    """Best local alignment of template ``t`` with words ``d``, whose place j
-    may differ from i + ``shift`` by at most ``band``: (matched words, first
-    and end matched place in d). Match +2, other +-1 steps -1."""
-    best, where = 0, (0, 0, 0)
-    width = 2 * band + 1
-    prev = [(0, 0, -1, -1)] * (width + 1)         # score, matched, first, end, at offset o = j - i - shift + band
-    for i in range(len(t)):
-        row, left = [], (0, 0, -1, -1)
-        for o in range(width):
-            j = i + shift + o - band
-            cell = (0, 0, -1, -1)
-            if 0 <= j < len(d):
-                s, m, a, e = prev[o]
-                if t[i] == d[j]:
-                    cell = (s + 2, m + 1, j if a < 0 else a, j + 1)
-                else:
-                    steps = [(s - 1, m, a, e), (prev[o + 1][0] - 1, *prev[o + 1][1:]), (left[0] - 1, *left[1:])]
-                    top = max(steps, key=lambda c: c[0])
-                    cell = top if top[0] > 0 else cell
-            row.append(cell)
-            left = cell
-            if cell[0] > best:
-                best, where = cell[0], cell[1:]
-        prev = [*row, (0, 0, -1, -1)]
-    return where
+def align(t: np.ndarray, d: np.ndarray, band: int, whole: bool = False) -> tuple[int, int]:
+    """Banded alignment of ``t`` with ``d`` from the start of both: (matched
+    words, place after the last one in d). Match +2, other steps -1; the best
+    end counts, or with ``whole`` the end of both."""
+    t, d = t.tolist(), d.tolist()
+    band += abs(len(t) - len(d)) if whole else 0
+    best, where = 0, (0, 0)
+    row = {j: (-j, 0, 0) for j in range(min(band, len(d)) + 1)}        # score, matched, end, by place in d
+    for i, word in enumerate(t, 1):
+        new: dict[int, tuple[int, int, int]] = {}
+        for j in range(max(0, i - band), min(len(d), i + band) + 1):
+            steps = []
+            if j in row:
+                steps.append((row[j][0] - 1, *row[j][1:]))
+            if j - 1 in new:
+                steps.append((new[j - 1][0] - 1, *new[j - 1][1:]))
+            if j - 1 in row:
+                s, m, e = row[j - 1]
+                steps.append((s + 2, m + 1, j) if word == d[j - 1] else (s - 1, m, e))
+            new[j] = max(steps, key=lambda c: c[0])
+            if new[j][0] > best:
+                best, where = new[j][0], new[j][1:]
+        row = new
+    return row[len(d)][1:] if whole else where
+
+
+def stretches(t: np.ndarray, words: np.ndarray, lo: int, hi: int, found) -> list[tuple[int, int, int]]:
+    """Maximal exact common stretches (first document place, first template
+    place, words) around the (document place, template place) hits."""
+    out, reached = [], {}
+    for j, i in sorted(found):
+        if reached.get(j - i, -1) > j:
+            continue
+        a = 0
+        while i - a > 0 and j - a > lo and t[i - a - 1] == words[j - a - 1]:
+            a += 1
+        b = 0
+        while i + b < len(t) and j + b < hi and t[i + b] == words[j + b]:
+            b += 1
+        reached[j - i] = j + b
+        if b:
+            out.append((j - a, i - a, a + b))
+    return sorted(out)
+
+
+def chains(found: list[tuple[int, int, int]], gap: int) -> list[list[tuple[int, int, int]]]:
+    """Collinear chains of stretches, each stretch in one; between neighbours
+    the document has at most ``gap`` words more than the template. Stretches
+    that overlap are cut."""
+    score, back = [], []
+    near = 0
+    reach = max((x[1] + x[2] for x in found), default=0) + gap
+    for n, (j, i, size) in enumerate(found):
+        top, link = float(size), -1
+        while found[near][0] + reach < j:
+            near += 1
+        for p in range(near, n):
+            pj, pi, ps = found[p]
+            if pi >= i or pj >= j or j - pj - (i - pi) > gap:
+                continue
+            over = max(0, pi + ps - i, pj + ps - j)
+            if over >= size or over >= ps:
+                continue
+            s = score[p] + size - over - abs(j - pj - (i - pi)) / (1 + gap) - 0.01 * max(0, j - pj - ps)
+            if s > top:
+                top, link = s, p
+        score.append(top)
+        back.append(link)
+    out, used = [], [False] * len(found)
+    for n in sorted(range(len(found)), key=lambda x: (-score[x], found[x])):
+        chain = []
+        while n >= 0 and not used[n]:
+            used[n] = True
+            chain.append(found[n])
+            n = back[n]
+        if chain:
+            out.append(chain[::-1])
+    return out
+
+
+def _occurrences(t: np.ndarray, words: np.ndarray, lo: int, hi: int, found, band: int):
+    """(matched words, first, end) of every chain of a template in a document's words lo to hi."""
+    made = sorted(chains(stretches(t, words, lo, hi, found), max(band, min(64, len(t) // 2))))
+    main = sorted(x[1:] for x in _apart([(sum(y[2] for y in c), c[0][0], c[-1][0] + c[-1][2]) for c in made]))
+    starts, ends = [x[0] for x in main], [x[1] for x in main]
+    for c in made:                               # words beside a chain belong to it up to the next main chain
+        j, i, size = c[0]
+        n = bisect_right(ends, j)
+        left = max(lo, ends[n - 1] if n else lo, j - i - band)
+        m, used = align(t[:i][::-1], words[left:j][::-1], band)
+        start, total = j - used, m + size
+        je, ie = j + size, i + size
+        for j, i, size in c[1:]:
+            over = max(0, ie - i, je - j)
+            j, i, size = j + over, i + over, size - over
+            if i > ie and j > je:
+                total += align(t[ie:i], words[je:j], band, True)[0]
+            total += size
+            je, ie = j + size, i + size
+        n = bisect_left(starts, je)
+        right = min(hi, starts[n] if n < len(starts) else hi, je + len(t) - ie + band)
+        m, used = align(t[ie:], words[je:right], band)
+        yield total + m, start, je + used
 
 
 def scan_words(index: TemplateIndex, words: np.ndarray, doc: np.ndarray, band: int, coverage: float):
@@ -161,33 +241,29 @@ def scan_words(index: TemplateIndex, words: np.ndarray, doc: np.ndarray, band: i
     of a chunk, word places counted through the chunk."""
     groups: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for d, t, j, i in index.hits(words, doc):
-        groups.setdefault((d, t), []).append((j - i, j))
+        groups.setdefault((d, t), []).append((j, i))
     out = []
     for (d, t), found in sorted(groups.items()):
         template = index.words[t]
         lo, hi = np.searchsorted(doc, d, "left"), np.searchsorted(doc, d, "right")
-        clusters: list[list[int]] = []
-        for shift in sorted({s for s, _ in found}):
-            if clusters and shift - clusters[-1][-1] <= band:
-                clusters[-1].append(shift)
-            else:
-                clusters.append([shift])
-        matches = []
-        for c in clusters:
-            middle = (c[0] + c[-1]) // 2
-            reach = band + (c[-1] - c[0]) // 2 + 1
-            a, b = max(lo, middle - reach), min(hi, middle + len(template) + reach)
-            m, first, end = banded_align(template, words[a:b], middle - a, reach)
-            if m and m >= coverage * len(template):
-                matches.append((m, first + a, end + a))
-        taken: list[tuple[int, int]] = []
-        for m, first, end in sorted(matches, key=lambda x: (-x[0], x[1])):
-            if all(end <= x or first >= y for x, y in taken):
-                taken.append((first, end))
-                out.append((d, t, m, int(first), int(end)))
+        matches = [x for x in _occurrences(template, words, int(lo), int(hi), found, band)
+                   if x[0] >= coverage * len(template)]
+        out += [(d, t, m, first, end) for m, first, end in _apart(matches)]
     return sorted(out, key=lambda x: (x[0], x[3], x[1]))
 
 
+def _apart(matches):
+    """Of overlapping (rank, first, end) the one of higher rank, the earlier of equal ones."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for x in sorted(matches, key=lambda x: (-x[0], x[1])):
+        n = bisect_left(ends, x[1] + 1)
+        if n == len(starts) or starts[n] >= x[2]:
+            starts.insert(n, x[1])
+            ends.insert(n, x[2])
+            yield x
+
+
 def find_licenses(docs: DataFrame, templates: Mapping[str, str] | None = None, k: int = 3, window: int = 2,
                   band: int = 6, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per license passage: its words matched, the share of the

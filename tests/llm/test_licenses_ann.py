@@ -35,6 +35,18 @@ def test_changed_and_partial_texts(spark, hard, make_docs):
     assert licenses.find_licenses(make_docs(rows), {"none": "...", "one": "conditions"}).count() == 5
 
 
+def test_every_occurrence_is_a_row(spark, make_docs):
+    one, mit = "All rights reserved", "Released under the MIT License"
+    apache = licenses.TEMPLATES["apache-2.0-header"].rstrip(".")
+    rows = [(1, f"{one}. (c) B Inc. {one}.", one, 2), (2, f"{one}. " * 3, one, 3), (3, f"{mit}. " * 4, mit, 4),
+            (4, f"{one}. " * 4000, one, 4000), (5, f"{apache}. " * 3, apache, 3)]
+    got = licenses.find_licenses(make_docs([r[:2] for r in rows])).collect()
+    for i, text, notice, n in rows:
+        spans = sorted((r.start, r.end) for r in got if r.doc_id == i and r.end - r.start == len(notice))
+        assert len(spans) == n and all(text[a:b] == notice for a, b in spans)
+        assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
+
+
 def test_winnowing_meets_every_passage():
     rng = np.random.default_rng(4)
     h = rng.integers(0, 50, 300).astype(np.uint64)
