@@ -18,7 +18,9 @@ Defined cases: null or empty text has no matches; a template of fewer words
 than a shingle is looked up as a whole; a template without words never
 matches; repeated rows give repeated matches; an empty table gives an empty
 result; extra columns are ignored. Of overlapping candidates of one license
-the one with more matched words is reported, the earlier of equal ones.
+the one with more matched words is reported, the earlier of equal ones; where
+half of a match is in matches of other licenses with more matched words (or as
+many and more coverage), only those are.
 """
 
 from __future__ import annotations
@@ -64,6 +66,66 @@ TEMPLATES = {
         "hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     "all-rights-reserved": "All rights reserved.",
 }
+_BSD = ("Redistributions of source code must retain the above copyright notice, this list of conditions and the following "
+        "disclaimer. ", "Redistributions in binary form must reproduce the above copyright notice, this list of "
+        "conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution. ", "Neither the name of the copyright holder nor the names of its contributors may be used to "
+        "endorse or promote products derived from this software without specific prior written permission.")
+TEMPLATES |= {
+    "mit-text": TEMPLATES["mit-grant"] + (
+        " The above copyright notice and this permission notice shall be included in all copies or substantial "
+        "portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR "
+        "IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+        "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+        "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    "bsd-line": "Released under the BSD License.",
+    "isc-line": "Released under the ISC License.",
+    "bsd-2-clause-conditions": f"{TEMPLATES['bsd-2-clause']} 1. {_BSD[0]}2. {_BSD[1]}",
+    "bsd-3-clause-conditions": f"{TEMPLATES['bsd-2-clause']} 1. {_BSD[0]}2. {_BSD[1]}3. {_BSD[2]}",
+    "mpl-2.0-line": "This work is licensed under the Mozilla Public License, version 2.0.",
+    "mpl-2.0-header": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+        "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, "
+        "publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, "
+        "for any purpose, commercial or non-commercial, and by any means."),
+    "apache-2.0-title": "Apache License Version 2.0, January 2004",
+    "gpl-2.0-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "gpl-3.0-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "lgpl-2.1-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "lgpl-3.0-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "agpl-3.0-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+}
+# Words that the span of a match must hold: they tell a notice from its neighbours.
+REQUIRED = {"apache-2.0-line": "apache 2", "mit-line": "mit", "bsd-line": "bsd", "isc-line": "isc",
+            "mpl-2.0-line": "mozilla 2", "mpl-2.0-header": "mozilla 2", "apache-2.0-title": "apache 2",
+            "all-rights-reserved": "all rights reserved"}
+for _name, _kind, _versions in (("gpl", "General", ("2.0", "3.0")), ("lgpl", "Lesser General", ("2.1", "3.0")),
+                                ("agpl", "Affero General", ("3.0",))):
+    for _v in _versions:
+        _short, _id = _v.removesuffix(".0"), f"{_name}-{_v}"
+        TEMPLATES[f"{_id}-line"] = f"This work is licensed under the GNU {_kind} Public License, version {_short}."
+        _to = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+               f"{_kind} Public License ")
+        TEMPLATES[f"{_id}-header"] = (f"{_to}as published by the Free Software Foundation, either version {_short} of "
+                                      "the License, or (at your option) any later version.")
+        TEMPLATES[f"{_id}-only-header"] = f"{_to}version {_short} as published by the Free Software Foundation."
+        for _form in ("line", "header", "only-header", "title"):
+            REQUIRED[f"{_id}-{_form}"] = f"{_kind} {_short}"
+for _kind, _words in (("by", ""), ("by-sa", "ShareAlike"), ("by-nd", "NoDerivatives"), ("by-nc", "NonCommercial"),
+                      ("by-nc-sa", "NonCommercial-ShareAlike"), ("by-nc-nd", "NonCommercial-NoDerivatives")):
+    for _v, _where in (("4.0", "International"), ("3.0", "Unported")):
+        _id, _full = f"cc-{_kind}-{_v}", "-".join(filter(None, ("Attribution", _words)))
+        _texts = {"short": f"Licensed under CC {_kind.upper()} {_v}.",
+                  "line": f"This work is licensed under a Creative Commons {_full} {_v} {_where} License."}
+        for _form, _text in _texts.items():
+            _as = next((n for n, x in TEMPLATES.items() if x == _text), f"{_id}-{_form}")
+            if _as in TEMPLATES and TEMPLATES[_as] != _text:     # cc-by-nc-4.0-line is the short form
+                _as = f"{_id}-long"
+            TEMPLATES[_as] = _text
+            REQUIRED[_as] = f"{_kind if _form == 'short' else _full} {_v[0]}"
 MATCHES = "doc_id long, license string, matched_words long, coverage double, start long, end long"
 # Every ASCII byte that is neither letter nor digit separates words.
 _CLEAN = LOWER.copy()
@@ -96,8 +158,9 @@ def winnow(h: np.ndarray, window: int) -> np.ndarray:
 class TemplateIndex:
     """Inverted index from winnowed fingerprints to (template, place)."""
 
-    def __init__(self, templates: Mapping[str, str], k: int = 3, window: int = 2):
-        self.k, self.names, self.words = k, [], []
+    def __init__(self, templates: Mapping[str, str], k: int = 3, window: int = 2,
+                 required: Mapping[str, str] | None = None):
+        self.k, self.names, self.words, self.required = k, [], [], []
         entries: list[tuple[int, int, int, int]] = []        # shingle length, hash, template, place
         for name in sorted(templates):
             raw = np.frombuffer(templates[name].encode(), np.uint8)
@@ -109,6 +172,8 @@ class TemplateIndex:
             entries += [(size, int(h[p]), len(self.names), int(p)) for p in winnow(h, window)]
             self.names.append(name)
             self.words.append(w)
+            raw = np.frombuffer((required or {}).get(name, "").encode(), np.uint8)
+            self.required.append(license_words(raw, np.array([0, len(raw)]))[0])
         self.by_size = {}
         for size in sorted({e[0] for e in entries}):
             mine = sorted(e[1:] for e in entries if e[0] == size)
@@ -247,9 +312,14 @@ def scan_words(index: TemplateIndex, words: np.ndarray, doc: np.ndarray, band: i
         template = index.words[t]
         lo, hi = np.searchsorted(doc, d, "left"), np.searchsorted(doc, d, "right")
         matches = [x for x in _occurrences(template, words, int(lo), int(hi), found, band)
-                   if x[0] >= coverage * len(template)]
+                   if x[0] >= coverage * len(template) and np.isin(index.required[t], words[x[1]:x[2]]).all()]
         out += [(d, t, m, first, end) for m, first, end in _apart(matches)]
-    return sorted(out, key=lambda x: (x[0], x[3], x[1]))
+    covered, best = np.zeros(len(words), bool), []
+    for x in sorted(out, key=lambda x: (-x[2], -x[2] / len(index.words[x[1]]), x[3], x[1])):
+        if 2 * covered[x[3]:x[4]].sum() < x[4] - x[3]:
+            covered[x[3]:x[4]] = True
+            best.append(x)
+    return sorted(best, key=lambda x: (x[0], x[3], x[1]))
 
 
 def _apart(matches):
@@ -268,13 +338,14 @@ def find_licenses(docs: DataFrame, templates: Mapping[str, str] | None = None, k
                   band: int = 6, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per license passage: its words matched, the share of the
     template they cover, and its code-point span (end exclusive)."""
+    required = REQUIRED if templates is None else {}
     templates = dict(TEMPLATES if templates is None else templates)
 
     def run(batches):
         import pyarrow as pa
         schema = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("matched_words", pa.int64()),
                             ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])
-        index = TemplateIndex(templates, k, window)
+        index = TemplateIndex(templates, k, window, required)
         for b in batches:
             ids, rows = b.column(0), []
             for i, _, data, off in doc_chunks(None, b.column(1)):

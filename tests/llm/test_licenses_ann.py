@@ -47,6 +47,26 @@ def test_every_occurrence_is_a_row(spark, make_docs):
         assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:], strict=False))
 
 
+def test_related_licenses_keep_their_names(spark, make_docs):
+    header = licenses.TEMPLATES["gpl-3.0-header"]
+    lesser = header.replace("General", "Lesser General")
+    rows = [("Licensed under CC BY 4.0", "cc-by-4.0-short"), ("Licensed under CC BY-SA 4.0.", "cc-by-sa-4.0-short"),
+            ("Licensed under CC BY-NC 4.0.", "cc-by-nc-4.0-line"), ("Licensed under CC BY-NC-SA 3.0.", "cc-by-nc-sa-3.0-short"),
+            ("This work is licensed under the GNU General Public License, version 2.", "gpl-2.0-line"),
+            (header, "gpl-3.0-header"), (lesser, "lgpl-3.0-header"), (header.replace("version 3", "version 2"), "gpl-2.0-header"),
+            (header.replace("General", "Affero General"), "agpl-3.0-header"), (lesser.replace("version 3", "version 2.1"), "lgpl-2.1-header"),
+            ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "cc-by-sa-4.0-line"),
+            ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "cc-by-4.0-line"),
+            ("Released under the BSD License.", "bsd-line"), ("Released under the Foo License.", None),
+            (licenses.TEMPLATES["bsd-3-clause-conditions"], "bsd-3-clause-conditions"), (licenses.TEMPLATES["bsd-2-clause"], "bsd-2-clause"),
+            (licenses.TEMPLATES["mit-text"], "mit-text"), (licenses.TEMPLATES["unlicense"], "unlicense"),
+            (licenses.TEMPLATES["apache-2.0-header"], "apache-2.0-header")]
+    rows += [(x, n) for n, x in licenses.TEMPLATES.items()]
+    got = licenses.find_licenses(make_docs([(i, "é " + t + " x") for i, (t, _) in enumerate(rows)])).collect()
+    for i, (text, name) in enumerate(rows):
+        assert [r.license for r in got if r.doc_id == i] == ([name] if name else []), text
+
+
 def test_winnowing_meets_every_passage():
     rng = np.random.default_rng(4)
     h = rng.integers(0, 50, 300).astype(np.uint64)
