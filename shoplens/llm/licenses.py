@@ -19,8 +19,8 @@ than a shingle is looked up as a whole; a template without words never
 matches; repeated rows give repeated matches; an empty table gives an empty
 result; extra columns are ignored. Of overlapping candidates of one license
 the one with more matched words is reported, the earlier of equal ones; where
-half of a match is in matches of other licenses with more matched words (or as
-many and more coverage), only those are.
+half of a match is in better ones of other licenses (by matched words less a
+tenth of the missing and half of the foreign ones), only those are.
 """
 
 from __future__ import annotations
@@ -126,6 +126,8 @@ for _kind, _words in (("by", ""), ("by-sa", "ShareAlike"), ("by-nd", "NoDerivati
                 _as = f"{_id}-long"
             TEMPLATES[_as] = _text
             REQUIRED[_as] = f"{_kind if _form == 'short' else _full} {_v[0]}"
+# Words from which a part of a notice is reported, whatever its coverage.
+LEAST_WORDS = 24
 MATCHES = "doc_id long, license string, matched_words long, coverage double, start long, end long"
 # Every ASCII byte that is neither letter nor digit separates words.
 _CLEAN = LOWER.copy()
@@ -259,7 +261,7 @@ def chains(found: list[tuple[int, int, int]], gap: int) -> list[list[tuple[int,
             over = max(0, pi + ps - i, pj + ps - j)
             if over >= size or over >= ps:
                 continue
-            s = score[p] + size - over - abs(j - pj - (i - pi)) / (1 + gap) - 0.01 * max(0, j - pj - ps)
+            s = score[p] + size - over - abs(j - pj - (i - pi)) / (1 + gap) - 0.2 * max(0, j - pj - ps)
             if s > top:
                 top, link = s, p
         score.append(top)
@@ -301,9 +303,11 @@ def _occurrences(t: np.ndarray, words: np.ndarray, lo: int, hi: int, found, band
         yield total + m, start, je + used
 
 
-def scan_words(index: TemplateIndex, words: np.ndarray, doc: np.ndarray, band: int, coverage: float):
+def scan_words(index: TemplateIndex, words: np.ndarray, doc: np.ndarray, band: int, coverage: float,
+               least_words: int = LEAST_WORDS):
     """(document, template, matched words, first word, end word) of every match
-    of a chunk, word places counted through the chunk."""
+    of a chunk, word places counted through the chunk. A match has the share
+    ``coverage`` of its template or ``least_words`` of its words."""
     groups: dict[tuple[int, int], list[tuple[int, int]]] = {}
     for d, t, j, i in index.hits(words, doc):
         groups.setdefault((d, t), []).append((j, i))
@@ -312,10 +316,11 @@ def scan_words(index: TemplateIndex, words: np.ndarray, doc: np.ndarray, band: i
         template = index.words[t]
         lo, hi = np.searchsorted(doc, d, "left"), np.searchsorted(doc, d, "right")
         matches = [x for x in _occurrences(template, words, int(lo), int(hi), found, band)
-                   if x[0] >= coverage * len(template) and np.isin(index.required[t], words[x[1]:x[2]]).all()]
+                   if x[0] >= min(coverage * len(template), least_words) and np.isin(index.required[t], words[x[1]:x[2]]).all()]
         out += [(d, t, m, first, end) for m, first, end in _apart(matches)]
     covered, best = np.zeros(len(words), bool), []
-    for x in sorted(out, key=lambda x: (-x[2], -x[2] / len(index.words[x[1]]), x[3], x[1])):
+    for x in sorted(out, key=lambda x: (
+            (len(index.words[x[1]]) - x[2]) / 10 + (x[4] - x[3] - x[2]) / 2 - x[2], x[3], x[1])):
         if 2 * covered[x[3]:x[4]].sum() < x[4] - x[3]:
             covered[x[3]:x[4]] = True
             best.append(x)
@@ -335,9 +340,11 @@ def _apart(matches):
 
 
 def find_licenses(docs: DataFrame, templates: Mapping[str, str] | None = None, k: int = 3, window: int = 2,
-                  band: int = 6, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                  band: int = 6, coverage: float = 0.8, least_words: int = LEAST_WORDS, id_col: str = "doc_id",
+                  text_col: str = "text") -> DataFrame:
     """One row per license passage: its words matched, the share of the
-    template they cover, and its code-point span (end exclusive)."""
+    template they cover, and its code-point span (end exclusive). Passages with
+    less than ``coverage`` count from ``least_words`` matched words."""
     required = REQUIRED if templates is None else {}
     templates = dict(TEMPLATES if templates is None else templates)
 
@@ -350,7 +357,7 @@ def find_licenses(docs: DataFrame, templates: Mapping[str, str] | None = None, k
             ids, rows = b.column(0), []
             for i, _, data, off in doc_chunks(None, b.column(1)):
                 words, start, end, doc = license_words(data, off)
-                found = scan_words(index, words, doc, band, coverage)
+                found = scan_words(index, words, doc, band, coverage, least_words)
                 if not found:
                     continue
                 chars = char_starts(data)

@@ -67,6 +67,22 @@ def test_related_licenses_keep_their_names(spark, make_docs):
         assert [r.license for r in got if r.doc_id == i] == ([name] if name else []), text
 
 
+def test_interrupted_and_cut_notices(spark, make_docs):
+    words = licenses.TEMPLATES["mit-grant"].split()
+    footer = "Page 3 of 12 printed on 4 May by the records office".split()
+    cut, tail = words[:len(words) * 3 // 4], words[len(words) // 4:]
+    rows = [(1, words[:30] + footer + words[30:], 1.0, None), (2, cut, 0.75, None), (3, tail, 0.75, None),
+            (4, cut + footer * 8 + words, 0.75, 1.0), (5, words[:12] + footer + words[12:40] + footer + words[40:], 1.0, None)]
+    docs = make_docs([(i, " ".join(["intro", *w])) for i, w, *_ in rows])
+    got = licenses.find_licenses(docs).orderBy("doc_id", "start").collect()
+    for i, w, *want in rows:
+        mine = [r for r in got if r.doc_id == i]
+        assert [r.license for r in mine] == ["mit-grant"] * len([c for c in want if c]), i
+        assert [r.coverage for r in mine] == pytest.approx([c for c in want if c], abs=0.03)
+        assert mine[0].start == 6 and mine[-1].end >= len(" ".join(["intro", *w])) - 1
+    assert licenses.find_licenses(docs, least_words=1000).where("doc_id in (2, 3)").count() == 0
+
+
 def test_winnowing_meets_every_passage():
     rng = np.random.default_rng(4)
     h = rng.integers(0, 50, 300).astype(np.uint64)
