@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoplens.llm import common, queries
-from test_duplicates import brute_components
+from llm_brute import brute_components
 
 
 @pytest.fixture(scope="module")
