@@ -38,19 +38,26 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--format", default="parquet", choices=["parquet", "csv", "json"])
     ap.add_argument("--as-of", default=None, help="recency reference day (yyyy-MM-dd)")
     ap.add_argument("--reports", nargs="*", default=None)
+    ap.add_argument("--import-to", default=None, help="with --csv: folder for the loaded tables (Parquet); records "
+                                                      "that do not fit are written to <out>/reject_records")
+    ap.add_argument("--single-line", nargs="*", default=[], help="with --csv: tables without line breaks in quotes")
     args = ap.parse_args(argv)
 
     from shoplens.session import get_spark
     spark = get_spark()
     if args.csv:
         from shoplens.sources.csv_tables import from_csv_folder
-        tables = from_csv_folder(spark, args.csv, **({"as_of": args.as_of} if args.as_of else {}))
+        tables = from_csv_folder(spark, args.csv, import_to=args.import_to, single_line=tuple(args.single_line),
+                                 **({"as_of": args.as_of} if args.as_of else {}))
     else:
         from shoplens.sources.star_schema import from_star_schema
         tables = from_star_schema(spark, args.star)
         if args.as_of:
             tables.as_of = args.as_of
-    for path in write_reports(run_reports(tables, args.reports), args.out, args.format):
+    reports = run_reports(tables, args.reports)
+    if "reject_records" in tables.extra:
+        reports["reject_records"] = tables.extra["reject_records"]
+    for path in write_reports(reports, args.out, args.format):
         print(path)
 
 

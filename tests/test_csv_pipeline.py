@@ -6,6 +6,7 @@ import os
 
 import pytest
 
+from shop_tables import money
 from shoplens.plans.catalog import REPORTS, run_reports
 from shoplens.sources.csv_tables import from_csv_folder
 
@@ -60,8 +61,9 @@ def tables(spark, tmp_path_factory):
     _write(d, "sellers.csv", "seller_id,zip_code_prefix,city,state", [("s1", "1001", "x", "SP")])
     _write(d, "order_reviews.csv",
            "review_id,order_id,rating,review_title,review_content,creation_timestamp,answer_timestamp",
-           [("r1", "o1", "5", "", "", "", ""), ("r2", "o_missing", "1", "", "", "", "")])
-    return from_csv_folder(spark, d)
+           [("r1", "o1", "5", "", "", "", ""), ("r2", "o_missing", "1", "", "", "", ""),
+            ("r3", "o1", "five", "", '"a\nb"', "", "")])
+    return from_csv_folder(spark, d, import_to=str(tmp_path_factory.mktemp("loaded")))
 
 
 def test_every_report_runs(tables):
@@ -139,7 +141,7 @@ def test_integrity_includes_optional_tables(tables):
     assert got[("fk", "products", "product_category")] == 1      # sem_dicionario
 
 
-def test_only_reviews_are_read_whole(spark, tmp_path):
+def test_single_line_files_are_split(spark, tmp_path):
     from shoplens.sources.files import load_csv
     rows = "\n".join(f"o{i},1,credit_card,1,{i % 100}.50" for i in range(60_000))
     path = tmp_path / "order_payments.csv"
@@ -147,12 +149,50 @@ def test_only_reviews_are_read_whole(spark, tmp_path):
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "300k")
     try:
-        df = load_csv(spark, str(path), "order_payments")
+        df = load_csv(spark, str(path), "order_payments", multi_line=False)
         assert df.rdd.getNumPartitions() > 3 and df.count() == 60_000
+        assert load_csv(spark, str(path), "order_payments").count() == 60_000
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+@pytest.mark.parametrize("table", ["customers", "order_payments", "products", "order_items", "sellers", "geolocation",
+                                   "category_names_english", "orders", "order_reviews"])
+def test_quoted_line_break_in_every_file(spark, tmp_path, table):
+    from shoplens.sources import schemas
+    from shoplens.sources.files import load_csv
+    fields = schemas.TABLES[table].fields
+    strings = [f.name for f in fields if f.dataType.simpleString() == "string"]
+    field = strings[-1]
+    row = ['"two\nlines, ""quoted"""' if f.name == field else ("x" if f.name in strings else "") for f in fields]
+    path = tmp_path / f"{table}.csv"
+    path.write_text(",".join(f.name for f in fields) + "\n" + ",".join(row) + "\n" + ",".join(row) + "\n")
+    rows = load_csv(spark, str(path), table).collect()
+    assert [r[field] for r in rows] == ['two\nlines, "quoted"'] * 2
+
+
+def test_import_sets_broken_records_apart(spark, tmp_path):
+    from shoplens.sources.files import import_table, imported
+    path = tmp_path / "order_payments.csv"
+    head = "order_id,payment_sequential,payment_type,payment_installments,payment_value\n"
+    path.write_text(head + 'o1,1,card,1,10.00\no2,1,card,1,ten\n"o3","one","a\nb",1,3.00\no4,1,card,1,\no5,1,card\no6,1,c,1,2.00,x\n')
+    good, bad = import_table(spark, str(path), "order_payments", str(tmp_path / "out"))
+    assert sorted((r.order_id, r.payment_value) for r in good.collect()) == [("o1", money("10.00")), ("o4", None)]
+    got = {r.record: (r.table_name, r.reason, r.source_file.rsplit("/", 1)[1]) for r in bad.collect()}
+    at = "order_payments.csv"
+    assert got == {"o2,1,card,1,ten": ("order_payments", "payment_value: not decimal(10,2): ten", at),
+                   '"o3","one","a\nb",1,3.00': ("order_payments", "payment_sequential: not int: one", at),
+                   "o5,1,card": ("order_payments", "number of fields is not 5", at),
+                   "o6,1,c,1,2.00,x": ("order_payments", "number of fields is not 5", at)}
+    assert "csv" not in good._jdf.queryExecution().toString().lower().replace(at, "")
+    path.write_text(head + "o1,1,card,1,10.00\n")                       # loaded again: nothing of the first load stays
+    good, bad = import_table(spark, str(path), "order_payments", str(tmp_path / "out"))
+    assert good.count() == 1 and bad.count() == 0
+    path.write_text(head)
+    import_table(spark, str(path), "order_payments", str(tmp_path / "empty"))
+    assert [x.count() for x in imported(spark, str(tmp_path / "empty"), "order_payments")] == [0, 0]
+
+
 def test_rejected_records_are_counted(spark, tmp_path):
     from shoplens.sources.files import load_csv, rejected_rows
     path = tmp_path / "order_payments.csv"
@@ -165,10 +205,16 @@ def test_rejected_records_are_counted(spark, tmp_path):
 def test_integrity_report_counts_rejects(tables):
     rows = run_reports(tables, ["integrity_report"])["integrity_report"].where("kind = 'reject'").collect()
     assert {r.table_name: r.violations for r in rows} == {
-        t: 0 for t in ("customers", "orders", "order_payments", "order_items", "products", "category_names_english",
+        t: int(t == "order_reviews") for t in ("customers", "orders", "order_payments", "order_items", "products", "category_names_english",
                        "sellers", "order_reviews")}
 
 
+def test_reject_records_of_a_folder(tables):
+    r, = tables.extra["reject_records"].collect()
+    assert (r.table_name, r.reason) == ("order_reviews", "rating: not int: five") and r.record == 'r3,o1,five,,"a\nb",,'
+    assert tables.extra["raw_tables"]["order_reviews"].count() == 2
+
+
 def test_uris_are_found(spark, tmp_path):
     from shoplens.sources.files import exists
     (tmp_path / "a.csv").write_text("x\n")

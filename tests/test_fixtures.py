@@ -6,11 +6,11 @@ import os
 
 from pyspark.sql import functions as F
 
-from conftest import make_tables, money, ts
 from shoplens.functions.text import clean_category, clean_city
 from shoplens.operators import (category, cohort, first_purchase, funnel, lorenz, master, rfm,
                                 segments, sequence)
 from shoplens.sources.files import load_csv
+from shop_tables import make_tables, money, ts
 
 DICT = [("brinquedos", " Toys\r"), ("cama", "bed_bath_table"), ("livros", "books_technical")]
 PRODUCTS = [("p_toy", "brinquedos"), ("p_bed", "cama"), ("p_book", "livros"), ("p_x", "nao_existe")]
