@@ -57,4 +57,29 @@ SELECT d.doc_id, CAST(len(h) / 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) A
        coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)"""
 
-ORACLE_SQL = {"op1_warc": OP1, "op3_minhash": OP3, "op9_suffix": OP9}
+OP11 = f"""
+WITH p AS (SELECT lang, row_number() OVER () AS p, piece
+           FROM (SELECT coalesce(lang, 'und') AS lang,
+                        UNNEST(string_split_regex(coalesce({_LOWER}, ''), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+t AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+      FROM (SELECT lang, w, k, UNNEST(range(1, len(w) - k + 2)) AS i FROM t, (SELECT UNNEST([1, 2, 3, 4]) AS k))),
+f AS (SELECT lang, k, phrase, COUNT(*) AS a FROM g GROUP BY ALL HAVING COUNT(*) >= 30),
+c AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+held AS (SELECT lang, phrase, MAX(a) AS above
+         FROM (SELECT lang, a, array_to_string(w[i:i + m - 1], ' ') AS phrase
+               FROM (SELECT lang, a, w, m, UNNEST(range(1, k - m + 2)) AS i FROM c, (SELECT UNNEST([2, 3]) AS m) WHERE m < k))
+         GROUP BY ALL),
+s AS (SELECT c.lang, c.phrase, c.a, l.a AS l, r.a AS r, cut,
+             CAST(2000000 * CAST(c.a AS HUGEINT) // (l.a + r.a) AS BIGINT) AS score
+      FROM (SELECT *, UNNEST(range(1, k)) AS cut FROM c) c
+      JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[:cut], ' ')
+      JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[cut + 1:], ' ')),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank
+      FROM b LEFT JOIN held h ON h.lang = b.lang AND h.phrase = b.phrase
+      WHERE h.above IS NULL OR 100 * h.above < 80 * b.a)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM o JOIN (SELECT lang, CAST(SUM(len(w)) AS BIGINT) AS n FROM t GROUP BY lang) USING (lang) WHERE rank <= 2000"""
+
+ORACLE_SQL = {"op1_warc": OP1, "op3_minhash": OP3, "op9_suffix": OP9, "op11_phrases": OP11}
