@@ -82,4 +82,35 @@ o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a
 SELECT lang, rank, phrase, a, l, r, n, score
 FROM o JOIN (SELECT lang, CAST(SUM(len(w)) AS BIGINT) AS n FROM t GROUP BY lang) USING (lang) WHERE rank <= 2000"""
 
-ORACLE_SQL = {"op1_warc": OP1, "op3_minhash": OP3, "op9_suffix": OP9, "op11_phrases": OP11}
+# A rebuilt conversation is the list of its turns; nodes are the distinct first parts of these lists.
+OP12 = f"""
+WITH RECURSIVE bits AS (SELECT c, 0 AS i, CAST(4294967295 AS BIGINT) AS x, encode(CAST(c AS VARCHAR)) AS b
+             FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL)
+             UNION ALL
+             SELECT c, i + 1, list_reduce(list_prepend(xor(x, CAST(ascii(substr(CAST(c AS VARCHAR), i + 1, 1)) AS BIGINT)),
+                    range(8)), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END), b
+             FROM bits WHERE i < octet_length(b)),
+h AS (SELECT c, xor(x, 4294967295) % 4 AS h FROM bits WHERE i = octet_length(b)),
+t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+             sha256(coalesce(role, '') || ' / ' || coalesce(text, '')) AS x,
+             len(list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS w
+      FROM conversations WHERE conv_id IS NOT NULL),
+r AS (SELECT h.c, i, x, w FROM h JOIN t ON t.c = h.c - h.c % 20 AND t.i <= h.h
+      UNION ALL SELECT h.c, 1000000 + i, x, w FROM h JOIN t ON t.c = h.c AND t.i > h.h),
+s AS (SELECT h.c, coalesce(list(x ORDER BY i) FILTER (x IS NOT NULL), []) AS xs,
+             coalesce(list(w ORDER BY i) FILTER (x IS NOT NULL), []) AS ws FROM h LEFT JOIN r ON r.c = h.c GROUP BY h.c),
+p AS (SELECT c, d, array_to_string(xs[:d], '') AS path, array_to_string(xs[:d - 1], '') AS up, len(xs) = d AS ends,
+             CASE WHEN d > 0 THEN ws[d] ELSE 0 END AS w
+      FROM (SELECT *, UNNEST(range(0, len(xs) + 1)) AS d FROM s)),
+n AS (SELECT path, d, MIN(CASE WHEN d > 0 THEN up END) AS up, MIN(c) AS c, COUNT(*) AS n, MIN(w) AS w,
+             sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS e
+      FROM p GROUP BY path, d),
+k AS (SELECT up AS path, COUNT(*) AS kids FROM n WHERE d > 0 GROUP BY up),
+m AS (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN k USING (path)),
+b AS (SELECT a.path, SUM(CAST(m.kids = 0 AS INT)) AS leaves, SUM((m.n - 1) * m.w) AS saved
+      FROM m JOIN m a ON starts_with(m.path, a.path) GROUP BY a.path)
+SELECT m.c AS conv_id, m.d AS depth, u.c AS parent_conv_id, m.n AS n_convs, m.kids AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, m.e AS ends_sha256
+FROM m JOIN b ON b.path = m.path LEFT JOIN n u ON u.path = m.up AND m.d > 0"""
+
+ORACLE_SQL = {"op1_warc": OP1, "op3_minhash": OP3, "op9_suffix": OP9, "op11_phrases": OP11, "op12_prefix_trie": OP12}

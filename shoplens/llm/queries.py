@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import ann, licenses, minhash, mixing, packing, phrases, pii, quality, secrets, suffix_dedup, warc
+from shoplens.llm import ann, licenses, minhash, mixing, packing, phrases, pii, prefix_trie, quality, secrets, \
+    suffix_dedup, warc
 from shoplens.llm.common import read_table, stage_table
 from shoplens.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -125,8 +126,13 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read_table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {"op1_warc": op1_warc, "op2_pii": op2_pii, "op3_minhash": op3_minhash,
            "op4_mixing": op4_mixing, "op6_packing": op6_packing,
            "op5_secrets": op5_secrets, "op7_quality": op7_quality, "op8_licenses": op8_licenses,
            "op9_suffix": op9_suffix, "op10_ann": op10_ann,
-           "op11_phrases": op11_phrases}
+           "op11_phrases": op11_phrases, "op12_prefix_trie": op12_prefix_trie}
