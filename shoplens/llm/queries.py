@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoplens.llm import ann, licenses, minhash, mixing, packing, phrases, pii, prefix_trie, quality, secrets, \
-    suffix_dedup, warc
+    suffix_dedup, toxicity, warc
 from shoplens.llm.common import read_table, stage_table
 from shoplens.llm.oracle import ORACLE_SQL  # noqa: F401
 
@@ -131,8 +131,22 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(read_table(spark, sf_dir, "conversations"))
 
 
+HELD_OUT = 2
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels that are not held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    chain = toxicity.learn_chain(docs, read_table(spark, sf_dir, "labels").select("doc_id", "toxic"),
+                                 lambda i: toxicity.remainder(i) != HELD_OUT)
+    out = toxicity.score_documents(docs, chain)
+    return out.select("doc_id", F.coalesce(toxicity.remainder(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"),
+                      "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
+
+
 QUERIES = {"op1_warc": op1_warc, "op2_pii": op2_pii, "op3_minhash": op3_minhash,
            "op4_mixing": op4_mixing, "op6_packing": op6_packing,
            "op5_secrets": op5_secrets, "op7_quality": op7_quality, "op8_licenses": op8_licenses,
            "op9_suffix": op9_suffix, "op10_ann": op10_ann,
-           "op11_phrases": op11_phrases, "op12_prefix_trie": op12_prefix_trie}
+           "op11_phrases": op11_phrases, "op12_prefix_trie": op12_prefix_trie,
+           "op13_toxicity": op13_toxicity}
