@@ -7,17 +7,19 @@ codes of its occurrences in order and the words behind the codes. From then on
 level k
 
 1. group-counts its relation: each chunk states how often it holds each
-   phrase, Spark adds the statements up and keeps the phrases that occur
-   ``minimum`` times (a phrase has at most one row a chunk, however frequent);
-2. semi-joins the relation with those phrases: their ids go back to the chunks
-   that hold them, other occurrences leave the relation;
+   phrase, the statements of a phrase meet (at most one row a chunk, however
+   frequent it is), are added up and kept if it occurs ``minimum`` times;
+2. semi-joins the relation with those phrases: the statements that are kept go
+   back to their chunks with the phrase's id, other occurrences leave the
+   relation. Counting and choosing read one shuffle of the statements;
 3. merge-joins what is left with itself on piece and adjacent position: an
    occurrence of k + 1 words is a frequent one of k words at p and another at
    p + 1. The result is written and is the next level's relation.
 
 Every part of a frequent phrase is frequent, so nothing is lost. Phrases are
-keyed by the pair of ids of their two overlapping parts, ids are given by the
-written table of a level: keys are exact, no hash decides anything.
+keyed by the pair of ids of their two overlapping parts; the id of a phrase is
+the place (chunk and code) of the first statement about it. Keys are exact and
+part of written tables: no hash decides anything, no task numbers anything.
 
 Cases: a null text is empty, a null language is ``und``; texts without words,
 repeated rows and null ids are ordinary input; an empty table gives an empty
@@ -39,6 +41,7 @@ from pyspark.sql import functions as F
 from shoplens.llm.common import LOWER, doc_chunks, stage_table
 
 CHUNK_BYTES = 8 << 20
+PART_BITS = 13              # chunks of an input partition; partition and chunk number take 31 bits
 ROWS_PER_SALT = 100_000
 SCALE = 2_000_000
 
@@ -81,7 +84,8 @@ def _relation_rows(batches: Iterator, chunk_bytes: int) -> Iterator:
     from pyspark import TaskContext
     schema = pa.schema([("lang", pa.string()), ("chunk", pa.int64()), ("n", pa.int64()), ("codes", pa.binary()),
                         ("fresh", pa.binary()), ("words", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))])
-    serial = TaskContext.get().partitionId() << 33
+    serial = TaskContext.get().partitionId() << PART_BITS
+    last = serial + (1 << PART_BITS)
     held: dict[str, list] = {}
     size: dict[str, int] = {}
 
@@ -91,6 +95,8 @@ def _relation_rows(batches: Iterator, chunk_bytes: int) -> Iterator:
             words, fresh = words_of(data, off)
             if not len(words):
                 continue
+            if serial == last:
+                raise ValueError("an input partition has too many chunks; read it in smaller partitions")
             coded = words.dictionary_encode()
             codes = coded.indices.to_numpy().astype(np.int32)
             counts = np.bincount(codes, minlength=len(coded.dictionary))
@@ -147,49 +153,53 @@ def _adjacent(relation, reply):
                                  *[pa.ListArray.from_arrays([0, len(pairs)], pa.array(x)) for x in lists]], schema=schema)
 
 
-def _numbered(df: DataFrame, name: str) -> DataFrame:
-    """A level's phrases, written with their ids: from there on an id is data."""
-    return stage_table(df.withColumn("id", F.monotonically_increasing_id()), name)
-
-
 def _longer(found: DataFrame, shorter: DataFrame) -> DataFrame:
-    """Phrases (lefts, rights, a) with their words and the counts of their
+    """Phrases (id, lefts, rights, a) with their words and the counts of their
     prefixes (of 1, 2, ... words) and suffixes, from those of their two parts."""
     p = shorter.select(F.col("id").alias("lefts"), "lang", F.col("phrase").alias("_head"),
                        F.concat("pre", F.array("a")).alias("pre"))
     s = shorter.select(F.col("id").alias("rights"), "last", F.concat("suf", F.array("a")).alias("suf"))
     return found.join(p, "lefts").join(s, "rights").select(
-        "lang", F.concat_ws(" ", "_head", "last").alias("phrase"), "last", "a", "pre", "suf", "lefts", "rights")
+        "id", "lang", F.concat_ws(" ", "_head", "last").alias("phrase"), "last", "a", "pre", "suf", "lefts", "rights")
+
+
+def _statements(relation: DataFrame, *fields: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """A row a chunk and phrase: (at, code, place, *fields, cnt)."""
+    x = relation.select("chunk", *also, F.posexplode(F.arrays_zip(*fields, "counts")).alias("code", "x"))
+    return x.select(F.col("chunk").alias("at"), "code", (F.shiftleft("chunk", 32) + F.col("code")).alias("place"), *also,
+                    *[F.col(f"x.{c}").alias(c) for c in fields], F.col("x.counts").alias("cnt"))
+
+
+def _frequent(statements: DataFrame, key: list[str], minimum: int, name: str) -> DataFrame:
+    """The statements about phrases that occur ``minimum`` times, with the
+    phrase's count and id; its key stands in its first statement alone."""
+    w = Window.partitionBy(*key)
+    kept = statements.withColumn("a", F.sum("cnt").over(w)).withColumn("id", F.min("place").over(w)).where(F.col("a") >= minimum)
+    first = F.col("place") == F.col("id")
+    return stage_table(kept.select("at", "code", "id", *[F.when(first, F.col(c)).alias(c) for c in (*key, "a")]), name)
 
 
 def frequent_phrases(relation: DataFrame, minimum: int, longest: int) -> list[DataFrame]:
     """For k = 1 .. ``longest`` the table of phrases of k words that occur
-    ``minimum`` times or more in their language: (lang, phrase, last, a, pre,
-    suf, lefts, rights, id). ``relation``: the written :func:`occurrences`."""
-    items = relation.select("chunk", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("code", "x")) \
-        .select("chunk", "code", "lang", F.col("x.words").alias("phrase"), F.col("x.counts").alias("cnt"))
-    key = ["lang", "phrase"]
+    ``minimum`` times or more in their language: (id, lang, phrase, last, a, pre,
+    suf, lefts, rights). ``relation``: the written :func:`occurrences`."""
+    key, statements = ["lang", "words"], _statements(relation, "words", also=("lang",))
     levels: list[DataFrame] = []
-    none = F.array().cast("array<long>")
+    none, no = F.array().cast("array<long>"), F.lit(None).cast("long")
     for k in range(1, longest + 1):
-        found = items.groupBy(*key).agg(F.sum("cnt").alias("a")).where(F.col("a") >= minimum)
+        kept = _frequent(statements, key, minimum, f"statements_{k}")
+        found = kept.where(F.col("a").isNotNull())
         if k == 1:
-            no = F.lit(None).cast("long")
-            found = found.select("lang", "phrase", F.col("phrase").alias("last"), "a", none.alias("pre"),
-                                 none.alias("suf"), no.alias("lefts"), no.alias("rights"))
+            levels.append(found.select("id", "lang", F.col("words").alias("phrase"), F.col("words").alias("last"), "a",
+                                       none.alias("pre"), none.alias("suf"), no.alias("lefts"), no.alias("rights")))
         else:
-            found = _longer(found, levels[-1])
-        levels.append(_numbered(found, f"phrases_{k}"))
+            levels.append(stage_table(_longer(found.select("id", *key, "a"), levels[-1]), f"phrases_{k}"))
         if k == longest:
             break
-        reply = items.join(levels[-1].select(*key, "id"), key).select(F.col("chunk").alias("at"), F.col("code").cast("int").alias("code"), "id")
         held = relation.select("chunk", "codes", F.size("counts").alias("size"), *(["fresh"] if k == 1 else []))
-        relation = stage_table(held.groupBy("chunk").cogroup(reply.groupBy("at")).applyInArrow(_adjacent, EXTENDED),
-                               f"occurrences_{k + 1}")
-        items = relation.select("chunk", F.posexplode(F.arrays_zip("lefts", "rights", "counts")).alias("code", "x")) \
-            .select("chunk", "code", F.col("x.lefts").alias("lefts"), F.col("x.rights").alias("rights"),
-                    F.col("x.counts").alias("cnt"))
-        key = ["lefts", "rights"]
+        relation = stage_table(held.groupBy("chunk").cogroup(kept.select("at", "code", "id").groupBy("at"))
+                               .applyInArrow(_adjacent, EXTENDED), f"occurrences_{k + 1}")
+        key, statements = ["lefts", "rights"], _statements(relation, "lefts", "rights")
     return levels
 
 
