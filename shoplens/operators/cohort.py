@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.functions.common import count_if, rounded_ratio, safe_ratio
+from shoplens.functions.joins import spread_join
 from shoplens.operators.category import order_group_summary
 from shoplens.operators.first_purchase import first_delivered_order
 from shoplens.operators.master import PERSON
@@ -23,9 +24,9 @@ def first_order(customers: DataFrame, orders: DataFrame, status: str = "delivere
     Uses the distributed ordering, so one person with a huge share of the
     orders is not numbered inside a single task. Consumers that only need
     ``fo_num = 1`` use :func:`first_delivered_order` (an aggregate)."""
-    o = (orders.where(F.col("status") == status).select("order_id", "customer_id", "purchase_timestamp")
-         .join(customers.select("customer_id", PERSON), "customer_id")
-         .select(PERSON, "order_id", "purchase_timestamp"))
+    o = spread_join(orders.where(F.col("status") == status).select("order_id", "customer_id", "purchase_timestamp"),
+                    customers.select("customer_id", PERSON), "customer_id", F.col("order_id")) \
+        .select(PERSON, "order_id", "purchase_timestamp")
     go = global_order(keep(o), [PERSON, "purchase_timestamp", "order_id"], buckets=buckets)
     out = partition_row_number(go, [PERSON], "fo_num")
     return drop_internal(out.withColumn("fo_num", F.col("fo_num").cast("int")))

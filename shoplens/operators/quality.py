@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -13,14 +13,38 @@ def variant_report(df: DataFrame, key: str, raw_col: str = "city", clean_col: st
                    other_col: str = "state", n: int = 10) -> DataFrame:
     """Keys with more than one raw spelling of ``raw_col``: distinct raw and
     cleaned spellings, distinct ``other_col`` values, rows. Top ``n`` by
-    raw spellings (ties: key ascending). The limit is the report's feature."""
-    g = df.groupBy(key).agg(
-        F.count_distinct(raw_col).alias(f"raw_{raw_col}_cnt"),
-        F.count_distinct(clean_col).alias(f"{clean_col}_cnt"),
-        F.count_distinct(other_col).alias(f"{other_col}_cnt"),
-        F.count(F.lit(1)).alias("row_cnt"))
-    return (g.where(F.col(f"raw_{raw_col}_cnt") > 1)
-            .orderBy(F.desc(f"raw_{raw_col}_cnt"), F.asc(key)).limit(n))
+    raw spellings (ties: key ascending). The limit is the report's feature.
+
+    The first aggregate finds the keys with two spellings by their smallest
+    and largest one and ranks nothing yet; only the rows of those keys are
+    counted further."""
+    varied = (df.groupBy(key).agg(F.count(F.lit(1)).alias("row_cnt"), _differ(raw_col).alias("_differ"))
+              .where("_differ").drop("_differ"))
+    names = {f"raw_{raw_col}_cnt": raw_col, f"{clean_col}_cnt": clean_col, f"{other_col}_cnt": other_col}
+    g = distinct_counts(df, varied, key, names)
+    return (g.select(key, *names, "row_cnt").orderBy(F.desc(f"raw_{raw_col}_cnt"), F.asc(key)).limit(n))
+
+
+def _differ(col: str) -> Column:
+    """Whether a group holds two values of ``col`` or more (NULLs are none)."""
+    return F.coalesce(F.min(col) < F.max(col), F.lit(False))
+
+
+def distinct_counts(df: DataFrame, keys: DataFrame, key: str, names: dict[str, str]) -> DataFrame:
+    """``keys`` (unique in ``key``) with the number of distinct values that the
+    rows of ``df`` with that key have in each column (new name: column).
+
+    Each column's (key, value) pairs are made distinct first, with partial
+    aggregation, and counted then: no row is copied once per column, and a key
+    with any number of rows or values is spread over the pairs' hash."""
+    few = keys.select(F.col(key).alias("_key"))
+    rows = df.join(few, F.col(key).eqNullSafe(F.col("_key")), "left_semi")      # a NULL key is a group as well
+    for name, col in names.items():
+        counted = (rows.where(F.col(col).isNotNull()).select(F.col(key).alias("_key"), F.col(col).alias("_value")).distinct()
+                   .groupBy("_key").agg(F.count(F.lit(1)).alias(name)))
+        keys = keys.join(counted, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key") \
+            .withColumn(name, F.coalesce(F.col(name), F.lit(0)).cast("bigint"))
+    return keys
 
 
 def distinct_values(df: DataFrame, cols: list[str], where=None) -> DataFrame:
@@ -35,9 +59,11 @@ def attribute_drift(df: DataFrame, key: str, cols: list[str], suffix: str = "_cn
     """Keys whose rows disagree on any of ``cols`` (distinct count > 1).
     Output columns are ``<col><suffix>`` unless renamed by ``names``."""
     names = names or {}
-    out = [names.get(c, c + suffix) for c in cols]
-    g = df.groupBy(key).agg(*[F.count_distinct(c).alias(o) for c, o in zip(cols, out)])
-    return g.where(reduce(lambda a, b: a | b, [F.col(o) > 1 for o in out]))
+    out = {names.get(c, c + suffix): c for c in cols}
+    # "More than one value" is smallest < largest: one plain aggregate; then only the keys that drift are counted.
+    drifts = df.groupBy(key).agg(reduce(lambda a, b: a | b, [_differ(c) for c in cols]).alias("_differ")) \
+        .where("_differ").drop("_differ")
+    return distinct_counts(df, drifts, key, out).select(key, *out)
 
 
 def key_uniqueness(df: DataFrame, key: str, unique_col: str = "unique_key_cnt") -> DataFrame:
@@ -100,5 +126,10 @@ def integrity_report(tables: dict[str, DataFrame], foreign_keys, primary_keys,
 
 
 def mapping_cardinality(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Distinct values of each column, e.g. cleaned categories versus groups."""
-    return df.agg(*[F.count_distinct(c).alias(f"{c}_cnt") for c in cols])
+    """Distinct values of each column, e.g. cleaned categories versus groups.
+    The rows shrink to their distinct combinations before anything is counted."""
+    pairs = df.select(*cols).distinct()
+    each = pairs.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v"))
+                                            for i, c in enumerate(cols)])).alias("x")).select("x.i", "x.v")
+    values = each.where(F.col("v").isNotNull()).distinct()
+    return values.agg(*[F.count(F.when(F.col("i") == i, F.lit(1))).alias(f"{c}_cnt") for i, c in enumerate(cols)])

@@ -5,8 +5,8 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from shoplens.functions.joins import spread_join
-from shoplens.operators import category
+from shoplens.functions.joins import hot_keys, spread_join
+from shoplens.operators import category, cohort, quality
 
 
 @pytest.fixture
@@ -22,24 +22,73 @@ def no_help(spark):
         spark.conf.set(k, v)
 
 
-def test_hot_product_is_spread(spark, no_help):
-    items = spark.range(30_000).select(
+def shop(spark, n, cold=2_000):
+    items = spark.range(n).select(
         F.concat(F.lit("o"), F.col("id")).alias("order_id"),
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), F.col("id") % 500)).alias("product_id"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p"), F.col("id") % cold)).alias("product_id"),
         F.lit(1).cast("decimal(10,2)").alias("price"))
-    products = spark.range(500).select(F.concat(F.lit("p"), F.col("id")).alias("product_id"), F.lit("c").alias("product_category")) \
+    products = spark.range(cold).select(F.concat(F.lit("p"), F.col("id")).alias("product_id"), F.lit("c").alias("product_category")) \
         .unionByName(spark.createDataFrame([("hot", "c")], "product_id string, product_category string"))
     dictionary = spark.createDataFrame([("c", "c", "c", "G")], "product_category string, product_category_eng string, "
                                                                "clean_category string, category_group string")
-    out = category.item_categories(items, products, dictionary)
-    assert out.count() == 30_000
-    tasks = [r["count"] for r in out.where("product_id = 'hot'").groupBy(F.spark_partition_id()).count().collect()]
-    assert len(tasks) > 3 and max(tasks) < 5_000
+    return items, products, dictionary
+
+
+@pytest.mark.parametrize("n", [30_000, 300_000])
+def test_hot_product_is_spread(spark, no_help, n):
+    """A third of all items on one product: no task holds more than twice the median."""
+    out = category.item_categories(*shop(spark, n))
+    assert out.count() == n
+    tasks = sorted(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
+    assert len(tasks) == 16 and tasks[-1] <= 2 * tasks[8]
+    hot = [r["count"] for r in out.where("product_id = 'hot'").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(hot) > 8 and sum(hot) == n // 3
+
+
+def test_hot_customer_is_spread(spark, no_help):
+    orders = spark.range(60_000).select(F.col("id").alias("order_id"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 5000).alias("customer_id"),
+                                        F.lit("d").alias("status"), F.timestamp_seconds(F.col("id")).alias("purchase_timestamp"))
+    customers = spark.range(5000).select(F.col("id").alias("customer_id"), (F.col("id") % 999).alias("customer_unique_id"))
+    assert [k for k, _ in hot_keys(orders, "customer_id")] == [7]
+    joined = spread_join(orders, customers, "customer_id", F.col("order_id"))
+    tasks = sorted(r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect())
+    assert tasks[-1] <= 2 * tasks[len(tasks) // 2]
+    assert cohort.first_order(customers, orders, "d", buckets=4).count() == 60_000
+
+
+def test_only_hot_keys_are_copied(spark, no_help):
+    items, products, _ = shop(spark, 60_000)
+    hot = hot_keys(items, "product_id")
+    assert [k for k, _ in hot] == ["hot"] and 16 <= hot[0][1] <= 64            # a third of 16 tasks in eighths
+    plan = spread_join(items, products, "product_id", F.col("order_id"))
+    assert plan.count() == 60_000
+    cold = items.where("product_id != 'hot'")
+    assert hot_keys(cold, "product_id") == []
+    assert "Generate" not in spread_join(cold, products, "product_id", F.col("order_id"))._jdf.queryExecution().executedPlan().toString()
 
 
 def test_spread_join_equals_join(spark):
-    left = spark.range(300).select((F.col("id") % 7).alias("k"), "id")
+    left = spark.range(9000).select(F.when(F.col("id") % 4 == 0, F.lit(None)).when(F.col("id") % 4 == 1, 3)
+                                    .otherwise(F.col("id") % 70).cast("long").alias("k"), "id")
     right = spark.createDataFrame([(i, f"v{i}") for i in range(5)], "k long, v string")
+    assert hot_keys(left, "k") == [(3, hot_keys(left, "k")[0][1])]
     for how in ("inner", "left"):
         want = left.join(right, "k", how).collect()
         assert sorted(map(str, spread_join(left, right, "k", F.col("id"), how=how).collect())) == sorted(map(str, want))
+    empty = left.where("id < 0")
+    assert spread_join(empty, right, "k", F.col("id")).count() == 0
+    assert spread_join(empty, right, "k", F.col("id"), "left").count() == 0
+
+
+def test_distinct_counts_copy_no_rows(spark):
+    rows = [("a", "X", "x", "S", 1), ("a", "x", "x", "S", 2), ("a", None, None, "T", 3), ("b", "Y", "y", None, 4), ("b", "Y", "y", None, 5),
+            (None, "Z", "z", "S", 6), (None, "z", "z", "S", 7)]
+    df = spark.createDataFrame(rows, "zip string, city string, clean_city string, state string, id int")
+    drift = quality.attribute_drift(df, "zip", ["state", "city"])
+    varied = quality.variant_report(df, "zip")
+    both = quality.mapping_cardinality(df, ["city", "clean_city"])
+    for out in (drift, varied, both):
+        assert "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, drift.collect()), key=str) == [("a", 2, 2), (None, 1, 2)]
+    assert list(map(tuple, varied.collect())) == [(None, 2, 1, 1, 2), ("a", 2, 1, 2, 3)]
+    assert tuple(both.first()) == (5, 3)
