@@ -1,5 +1,6 @@
-"""Distributed global ordering: row numbers, running sums, NTILE and medians
-without a window that has no PARTITION BY.
+"""Distributed global ordering: row numbers and running sums without a window
+that has no PARTITION BY. Single ranks (medians, the cuts of NTILE) need no
+order of all rows: see :mod:`shoplens.operators.selection`.
 
 A window such as ``ROW_NUMBER() OVER (ORDER BY sales)`` puts every row into a
 single task (Spark plans ``SinglePartition``). ``global_order`` computes the
@@ -225,36 +226,6 @@ def ntile_from_rank(rn: Column, n_total: Column, tiles: int) -> Column:
     return F.when(rn <= big, first).otherwise(second).cast("int")
 
 
-def with_ntile(df: DataFrame, value_col: str, id_col: str, tiles: int, out: str,
-               buckets: int | None = None) -> DataFrame:
-    """``NTILE(tiles) OVER (ORDER BY value_col, id_col)`` without a global window."""
-    go = global_order(df, [value_col, id_col], buckets=buckets)
-    n = go.totals.select("_n").scalar()                         # scalar subquery
-    return drop_internal(go.df.withColumn(out, ntile_from_rank(F.col("_rn"), n, tiles)))
-
-
-def exact_median(df: DataFrame, value_col: str, id_col: str, out: str = "median",
-                 buckets: int | None = None) -> DataFrame:
-    """Exact median: mean of the values at ranks floor((N+1)/2) and ceil((N+1)/2).
-
-    One output row; NULL for an empty input. The bucket offsets locate the
-    (at most two) buckets holding those ranks; only their rows are sorted.
-    """
-    go = global_order(df, [value_col, id_col], buckets=buckets)
-    n = go.totals.select("_n").scalar()                         # scalar subquery
-    lo = F.floor((n + 1) / 2)
-    hi = F.ceil((n + 1) / 2)
-    first, last = F.col("_off_cnt") + 1, F.col("_off_cnt") + F.col("_cnt")
-    targets = (go.stats.where(lo.between(first, last) | hi.between(first, last))
-               .select("_bkt", "_off_cnt"))                                     # <= 2 rows
-    rows = go.pre.join(F.broadcast(targets), "_bkt")          # two rows at most
-    w = Window.partitionBy("_bkt").orderBy(F.col(value_col).asc_nulls_first(), F.col(id_col).asc_nulls_first())
-    pos = F.col("_off_cnt") + F.row_number().over(w)
-    mid = rows.withColumn("_pos", pos).where((F.col("_pos") == lo) | (F.col("_pos") == hi))
-    return mid.agg(F.try_divide(F.sum(value_col).cast("double"),
-                                F.count(value_col).cast("double")).alias(out))
-
-
 _INTERNAL = re.compile(r"^_(bkt|lrn|rn|off_\w+|run_\w+|lrun_\w+|range_\w+|prn_\w+|cont|low|high|prev\w*)$")
 
 

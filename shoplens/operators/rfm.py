@@ -11,8 +11,7 @@ from pyspark.sql import functions as F
 
 from shoplens.functions.common import exact_avg, money, rounded_avg, safe_ratio, share_within
 from shoplens.operators.master import PERSON
-from shoplens.operators.ranking import exact_median, with_ntile
-from shoplens.plans.cache import keep
+from shoplens.operators.selection import exact_median, with_ntile
 
 # FIXED VALUES (labels of the reference's RFM scheme, in order).
 R_LABELS = ("ACTIVE", "WARM", "WATCHING", "OUTED")      # recency quarter 1..4 of [0, max]
@@ -74,23 +73,22 @@ def recency_bins(base: DataFrame, labels=RECENCY_BUCKETS, digits: int | None = 3
     return share_within(counts, "cnt", None, "pct", digits)
 
 
-def mean_median(base: DataFrame, col: str = "total_sales", buckets: int | None = None) -> DataFrame:
+def mean_median(base: DataFrame, col: str = "total_sales") -> DataFrame:
     """Mean and exact median (mean of the two middle values for an even count)."""
-    b = keep(base.select(PERSON, col))
-    mean = b.agg(exact_avg(col).alias("sales_avg"))
-    med = exact_median(b, col, PERSON, "sales_median", buckets=buckets)
+    mean = base.agg(exact_avg(col).alias("sales_avg"))
+    med = exact_median(base, col, PERSON, "sales_median")
     return mean.select("sales_avg", med.scalar().alias("sales_median"))   # scalar subquery
 
 
-def with_m_bucket(base: DataFrame, tiles: int = 4, buckets: int | None = None) -> DataFrame:
+def with_m_bucket(base: DataFrame, tiles: int = 4) -> DataFrame:
     """``NTILE(tiles) OVER (ORDER BY total_sales, person)`` as ``m_bucket``."""
-    return with_ntile(keep(base), "total_sales", PERSON, tiles, "m_bucket", buckets=buckets)
+    return with_ntile(base, "total_sales", PERSON, tiles, "m_bucket")
 
 
-def ntile_summary(base: DataFrame, tiles: int = 4, buckets: int | None = None) -> DataFrame:
+def ntile_summary(base: DataFrame, tiles: int = 4) -> DataFrame:
     """Size and sales range of each NTILE bucket of sales. Accepts
     ``rfm_scored`` output (its ``m_bucket`` is reused) or the RFM base."""
-    b = base if "m_bucket" in base.columns else with_m_bucket(base, tiles, buckets)
+    b = base if "m_bucket" in base.columns else with_m_bucket(base, tiles)
     return b.groupBy("m_bucket").agg(
         F.count(F.lit(1)).alias("cnt"),
         money(F.min("total_sales")).alias("min_sales"),
@@ -98,9 +96,9 @@ def ntile_summary(base: DataFrame, tiles: int = 4, buckets: int | None = None) -
         rounded_avg("total_sales", 0).alias("avg_sales"))
 
 
-def rfm_scored(base: DataFrame, buckets: int | None = None) -> DataFrame:
+def rfm_scored(base: DataFrame) -> DataFrame:
     """R, F and M labels per repeat customer, and ``persona`` = R-F-M."""
-    b = with_m_bucket(base, 4, buckets)
+    b = with_m_bucket(base, 4)
     r = _recency_case(R_LABELS, len(R_LABELS), _max_recency(base))
     f = (F.when(F.col("order_freq") == 2, F.lit(F_LABELS[0]))
          .when(F.col("order_freq").between(3, 4), F.lit(F_LABELS[1]))

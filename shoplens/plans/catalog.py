@@ -77,14 +77,13 @@ class Context:
 
     @property
     def scored(self) -> DataFrame:          # v_rfm_scored
-        return self._get("scored", lambda: rfm.rfm_scored(self.base, self.buckets))
+        return self._get("scored", lambda: rfm.rfm_scored(self.base))
 
     @property
     def exploration_scored(self) -> DataFrame:   # scoring on the exploratory repeat rule
         t = self.t
         return self._get("exploration_scored", lambda: rfm.rfm_scored(
-            rfm.rfm_exploration_base(self.delivered, t.customers, t.orders, t.delivered, 2, self.facts),
-            self.buckets))
+            rfm.rfm_exploration_base(self.delivered, t.customers, t.orders, t.delivered, 2, self.facts)))
 
     @property
     def curve(self) -> DataFrame:           # customer_lorenz
@@ -222,8 +221,9 @@ def r_latest_row_per_key(c: Context) -> DataFrame:
     """Latest customer row (address) per person by purchase time, then
     customer id."""
     t = c.t
-    joined = t.orders.select("customer_id", "purchase_timestamp").join(
-        t.customers.select("customer_id", PERSON, "state", "clean_city", "zip_code_prefix"), "customer_id")
+    # One row a customer id before the join, however many orders it has.
+    latest = t.orders.groupBy("customer_id").agg(F.max("purchase_timestamp").alias("purchase_timestamp"))
+    joined = latest.join(t.customers.select("customer_id", PERSON, "state", "clean_city", "zip_code_prefix"), "customer_id")
     return master.latest_row_per_key(joined, PERSON, ["purchase_timestamp", "customer_id"],
                                      ["customer_id", "state", "clean_city", "zip_code_prefix"])
 
@@ -478,7 +478,7 @@ def r_frequency_distribution_exploration(c: Context) -> DataFrame:
 
 def r_mean_median_exploration(c: Context) -> DataFrame:
     """Mean and exact median of sales on the exploratory base."""
-    return rfm.mean_median(c.exploration_scored, buckets=c.buckets)
+    return rfm.mean_median(c.exploration_scored)
 
 
 def r_ntile_summary_exploration(c: Context) -> DataFrame:
@@ -488,7 +488,7 @@ def r_ntile_summary_exploration(c: Context) -> DataFrame:
 
 def r_mean_median(c: Context) -> DataFrame:
     """Mean and exact median of repeat customers' sales."""
-    return rfm.mean_median(c.base, buckets=c.buckets)
+    return rfm.mean_median(c.base)
 
 
 def r_ntile_summary(c: Context) -> DataFrame:

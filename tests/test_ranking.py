@@ -7,6 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shoplens.operators import ranking as R
+from shoplens.operators import selection as S
 
 
 @pytest.fixture(scope="module")
@@ -50,14 +51,14 @@ def test_partitioned_sequence(skewed, buckets):
 @pytest.mark.parametrize("n", [1, 2, 3, 4, 5, 7, 1002, 2801])
 def test_ntile_formula(spark, n):
     df = spark.range(0, n).select(F.col("id").alias("pid"), (F.col("id") % 17).alias("v"))
-    got = R.with_ntile(df, "v", "pid", 4, "m", buckets=3 if n > 50 else 1)
+    got = S.with_ntile(df, "v", "pid", 4, "m", most=7, sample=16)
     ref = df.withColumn("m2", F.ntile(4).over(Window.orderBy("v", "pid")))
     assert got.join(ref, "pid").where(F.col("m") != F.col("m2")).count() == 0
 
 
 def test_ntile_sizes_differ_by_one(spark):
     df = spark.range(0, 2801).select(F.col("id").alias("pid"), F.col("id").alias("v"))
-    sizes = sorted(r["count"] for r in R.with_ntile(df, "v", "pid", 4, "m", buckets=4)
+    sizes = sorted(r["count"] for r in S.with_ntile(df, "v", "pid", 4, "m", most=50, sample=64)
                    .groupBy("m").count().collect())
     assert sizes == [700, 700, 700, 701]
 
@@ -65,14 +66,14 @@ def test_ntile_sizes_differ_by_one(spark):
 @pytest.mark.parametrize("n,expected", [(4, 2.5), (5, 3.0), (1, 1.0)])
 def test_exact_median(spark, n, expected):
     df = spark.range(1, n + 1).select(F.col("id").alias("pid"), F.col("id").cast("decimal(10,2)").alias("v"))
-    for b in (1, 2):
-        assert R.exact_median(df, "v", "pid", buckets=b).collect()[0][0] == expected
+    for most in (1, 100):
+        assert S.exact_median(df, "v", "pid", most=most, sample=4).collect()[0][0] == expected
 
 
 def test_empty_input(spark):
     df = spark.range(0).select(F.col("id").alias("pid"), F.col("id").alias("v"))
-    assert R.exact_median(df, "v", "pid").collect()[0][0] is None
-    assert R.with_ntile(df, "v", "pid", 4, "m").count() == 0
+    assert S.exact_median(df, "v", "pid").collect()[0][0] is None
+    assert S.with_ntile(df, "v", "pid", 4, "m").count() == 0
 
 
 def test_row_window_is_partitioned_by_bucket(skewed):
@@ -140,5 +141,5 @@ def test_small_input_takes_several_buckets(skewed):
 def test_user_underscore_columns_survive(spark):
     df = spark.range(0, 50).select(F.col("id").alias("pid"), (F.col("id") % 7).alias("v"),
                                    F.lit("keep").alias("_user_col"))
-    out = R.with_ntile(df, "v", "pid", 4, "m", buckets=3)
+    out = S.with_ntile(df, "v", "pid", 4, "m")
     assert out.columns == ["pid", "v", "_user_col", "m"]
