@@ -47,6 +47,34 @@ def distinct_counts(df: DataFrame, keys: DataFrame, key: str, names: dict[str, s
     return keys
 
 
+def collated_groups(df: DataFrame, col: str, collation: str = "UNICODE_CI_AI", other: str | None = None) -> DataFrame:
+    """Rows grouped by ``col`` under a collation (the default folds case and
+    accents, as the reference's does): the smallest spelling in byte order,
+    the number of spellings and rows, and the rows' distinct ``other`` values.
+    Spellings are grouped as they are written first, so the collation is
+    applied once per spelling and not once per row."""
+    by = [col] if other is None else [col, other]
+    written = df.where(F.col(col).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    spelled = written.groupBy(col).agg(F.sum("_n").alias("_n"))
+    same = F.collate(F.col(col), collation)
+    out = spelled.groupBy(same.alias("_same")).agg(F.min(F.collate(F.col(col), "UTF8_BINARY")).alias(col),
+                                                   F.count(F.lit(1)).alias("spelling_cnt"), F.sum("_n").alias("row_cnt"))
+    if other is not None:
+        pairs = written.select(same.alias("_same"), other).distinct().groupBy("_same").agg(F.count(other).alias(f"{other}_cnt"))
+        out = out.join(pairs, "_same")
+    return out.drop("_same")
+
+
+def collated_count(df: DataFrame, key: str, col: str, collation: str = "UNICODE_CI_AI") -> DataFrame:
+    """Per key: distinct values of ``col`` as written and under a collation, and rows."""
+    written = df.groupBy(key, col).agg(F.count(F.lit(1)).alias("_n"))
+    counts = written.groupBy(key).agg(F.count(col).alias(f"{col}_cnt"), F.sum("_n").alias("row_cnt"))
+    folded = written.where(F.col(col).isNotNull()).select(F.col(key).alias("_key"), F.collate(F.col(col), collation).alias("_same")) \
+        .distinct().groupBy("_key").agg(F.count("_same").alias("_folded"))
+    return (counts.join(folded, F.col(key).eqNullSafe(F.col("_key")), "left")
+            .select(key, f"{col}_cnt", F.coalesce("_folded", F.lit(0)).alias(f"collated_{col}_cnt"), "row_cnt"))
+
+
 def distinct_values(df: DataFrame, cols: list[str], where=None) -> DataFrame:
     """``SELECT DISTINCT cols FROM df [WHERE ...]``."""
     if where is not None:

@@ -12,6 +12,8 @@ in :mod:`shoplens.plans.oracle`.
 from __future__ import annotations
 
 import itertools
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,8 @@ from shoplens.functions.common import money
 from shoplens.operators import (category, cohort, first_purchase, funnel, lorenz, master,
                                 quality, rfm, segments, sequence, stats, trend)
 from shoplens.plans.cache import materialize
+from shoplens.session import checkpoint_dir
+from shoplens.sources import raw_export
 from shoplens.sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS
 from shoplens.sources.star_schema import Tables, from_star_schema
 
@@ -198,6 +202,16 @@ def r_variant_report(c: Context) -> DataFrame:
     return quality.variant_report(c.t.customers, "zip_code_prefix", "city", "clean_city", "state", 10)
 
 
+def r_collated_cities(c: Context) -> DataFrame:
+    """Cities under a collation that folds case and accents: spellings, rows, states."""
+    return quality.collated_groups(c.t.customers, "city", other="state")
+
+
+def r_collated_city_count(c: Context) -> DataFrame:
+    """Per state, distinct cities as written and under that collation."""
+    return quality.collated_count(c.t.customers, "state", "city")
+
+
 def r_distinct_values(c: Context) -> DataFrame:
     """City and state values of one zip (``extra['probe_zip']``), or of every
     zip that has more than one city spelling."""
@@ -629,6 +643,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _bind(fn)
 q_bcg_quadrants = QUERIES["bcg_quadrants"]
 
 
+def q_csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profile of the nine raw tables after they were written as CSV and loaded again."""
+    folder = os.path.join(checkpoint_dir(spark), "shoplens", f"csv-{uuid.uuid4().hex[:12]}")
+    return raw_export.profile(raw_export.round_trip(raw_export.raw_tables(spark, sf_dir), folder))
+
+
+QUERIES["csv_round_trip"] = q_csv_round_trip
+
+
 def run_reports(tables: Tables, names: list[str] | None = None,
                 buckets: int | None = None) -> dict[str, DataFrame]:
     """Every report (or the named ones) over any :class:`Tables`, e.g. from

@@ -149,7 +149,10 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "ove
     """Sink for any result (the reference hands results to a client or a CSV)."""
     writer = df.write.mode(mode).format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", "true").option("quote", '"').option("escape", '"')
+        # White space is part of a value, and a value's line breaks are kept inside quotes.
+        writer = (writer.option("header", "true").option("quote", '"').option("escape", '"')
+                  .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
+                  .option("timestampNTZFormat", CSV_OPTIONS["timestampNTZFormat"]))
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.save(path)
