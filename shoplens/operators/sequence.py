@@ -16,15 +16,15 @@ from shoplens.plans.cache import keep
 
 
 def repeat_customer_orders(master: DataFrame, customers: DataFrame, orders: DataFrame,
-                           status: str | None = None) -> DataFrame:
+                           status: str | None = None, more: tuple[str, ...] = ()) -> DataFrame:
     """All orders (any status unless ``status`` is given) of persons flagged
-    as repeat customers in the master."""
+    as repeat customers in the master; ``more``: further columns to keep."""
     repeat = master.where(F.col("repeat_customer") == 1).select(PERSON)
     ids = customers.select("customer_id", PERSON).join(repeat, PERSON, "left_semi")
     o = orders
     if status is not None:
         o = o.where(F.col("status") == status)
-    return spread_join(o.select("order_id", "customer_id", "purchase_timestamp", "status"), ids, "customer_id",
+    return spread_join(o.select("order_id", "customer_id", "purchase_timestamp", "status", *more), ids, "customer_id",
                        F.col("order_id"))
 
 
@@ -40,9 +40,9 @@ def order_sequence(master: DataFrame, customers: DataFrame, orders: DataFrame,
     on ``order_id`` being the key of ``orders`` (checked by the integrity
     report), which makes (person, time, order id) unique.
     """
-    o = repeat_customer_orders(master, customers, orders, status)
-    o = (o.join(order_payment_totals(payments), "order_id", "left")
-         .withColumnRenamed("order_payment_total", "order_sales"))
+    # Payments first: both sides may lie by order id (bucketed views), and no other join has moved the orders yet.
+    sales = orders.join(order_payment_totals(payments).withColumnRenamed("order_payment_total", "order_sales"), "order_id", "left")
+    o = repeat_customer_orders(master, customers, sales, status, ("order_sales",))
     o = keep(o.select(PERSON, "order_id", "purchase_timestamp", "status", "order_sales"))
     go = global_order(o, [PERSON, "purchase_timestamp", "order_id"], buckets=buckets)
     seq = partition_row_number(go, [PERSON], "order_times")

@@ -3,8 +3,8 @@
 (``QUERIES``) or run over any tables with :func:`run_reports`.
 
 Shared intermediates (customer master, delivered-order view, RFM base and
-scores, Lorenz curve, segments) are built once per (session, data folder)
-and persisted, as the reference reuses its views. Outputs carry money as
+scores, Lorenz curve, segments) are built once per state of a data folder
+and written, as the reference reuses its views; later sessions find them. Outputs carry money as
 DOUBLE and keep plain lower-case column names; the SQL twin of each query is
 in :mod:`shoplens.plans.oracle`.
 """
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from shoplens.functions.common import money
 from shoplens.operators import (category, cohort, first_purchase, funnel, lorenz, master,
                                 quality, rfm, segments, sequence, stats, trend)
-from shoplens.plans.cache import materialize
+from shoplens.plans.cache import Views, materialize
 from shoplens.session import checkpoint_dir
 from shoplens.sources import raw_export
 from shoplens.sources.schemas import FOREIGN_KEYS, PRIMARY_KEYS
@@ -34,18 +34,24 @@ PERSON = master.PERSON
 class Context:
     """Lazily built, persisted intermediates over one set of tables."""
 
-    def __init__(self, tables: Tables, buckets: int | None = None, tag: str = "ctx"):
+    def __init__(self, tables: Tables, buckets: int | None = None, tag: str = "ctx", views: Views | None = None):
         self.t = tables
         self.buckets = buckets
         self.tag = tag
+        self.views = views
         self._memo: dict[str, DataFrame] = {}
 
-    def _get(self, name: str, build: Callable[[], DataFrame], persist: bool = True) -> DataFrame:
+    def _get(self, name: str, build: Callable[[], DataFrame], persist: bool = True, bucket_by: str | None = None) -> DataFrame:
         """Build a view once; shared views are written once and read back
-        (lineage cut, see :func:`shoplens.plans.cache.materialize`)."""
+        (lineage cut, see :mod:`shoplens.plans.cache`), by this session or, if
+        there is a store of views, by an earlier one over the same files."""
         if name not in self._memo:
-            df = build()
-            self._memo[name] = materialize(df, f"{self.tag}_{name}") if persist else df
+            if not persist:
+                self._memo[name] = build()
+            elif self.views is not None:
+                self._memo[name] = self.views.get(name, build, bucket_by)
+            else:
+                self._memo[name] = materialize(build(), f"{self.tag}_{name}", bucket_by)
         return self._memo[name]
 
     # -- views of the reference, in build order --------------------------------
@@ -53,15 +59,20 @@ class Context:
     def dictionary(self) -> DataFrame:
         return self._get("dictionary", lambda: self.t.dictionary, persist=False)
 
+    @property
+    def orders(self) -> DataFrame:          # orders as they lie for joins on their key
+        return self._get("orders", lambda: self.t.orders.select("order_id", "customer_id", "status", "purchase_timestamp"),
+                         bucket_by="order_id")
+
     @property
     def paid(self) -> DataFrame:            # payments summed per order (1 row per order)
-        return self._get("paid", lambda: master.order_payment_totals(self.t.payments))
+        return self._get("paid", lambda: master.order_payment_totals(self.t.payments), bucket_by="order_id")
 
     @property
     def facts(self) -> DataFrame:           # per-person order facts (one pass over orders)
         t = self.t
         return self._get("facts", lambda: master.person_order_facts(
-            t.customers, t.orders, self.paid, t.delivered))
+            t.customers, self.orders, self.paid, t.delivered))
 
     @property
     def master(self) -> DataFrame:          # customer_master_table
@@ -101,7 +112,7 @@ class Context:
     def sequence(self) -> DataFrame:
         t = self.t
         return self._get("sequence", lambda: sequence.order_sequence(
-            self.master, t.customers, t.orders, self.paid, None, self.buckets))
+            self.master, t.customers, self.orders, self.paid, None, self.buckets))
 
     @property
     def order_product(self) -> DataFrame:   # cl_order_product
@@ -113,7 +124,7 @@ class Context:
     def order_groups(self) -> DataFrame:    # items and sales per (order, category group)
         t = self.t
         return self._get("order_groups", lambda: category.order_group_summary(
-            t.items, t.products, self.dictionary))
+            t.items, t.products, self.dictionary), bucket_by="order_id")
 
     @property
     def first_items(self) -> DataFrame:
@@ -150,7 +161,8 @@ def context(spark: SparkSession, sf_dir: str, buckets: int | None = None) -> Con
     if key not in _CONTEXTS or _STATES.get(key) != state:
         _STATES[key] = state
         tag = f"{next(_SERIAL)}_" + "".join(ch if ch.isalnum() else "_" for ch in sf_dir.strip("/"))[-40:]
-        _CONTEXTS[key] = Context(from_star_schema(spark, sf_dir), buckets=buckets, tag=tag)
+        _CONTEXTS[key] = Context(from_star_schema(spark, sf_dir), buckets=buckets, tag=tag,
+                                 views=Views(spark, sf_dir, (state, buckets)))
     return _CONTEXTS[key]
 
 
@@ -328,7 +340,7 @@ def r_value_segments(c: Context) -> DataFrame:
 
 def r_segment_category_mix(c: Context) -> DataFrame:
     """Category share per Pareto segment."""
-    return segments.segment_category_mix(c.segments, c.t.customers, c.t.orders, c.t.items,
+    return segments.segment_category_mix(c.segments, c.t.customers, c.orders, c.t.items,
                                          c.t.products, c.dictionary, "pareto_segment",
                                          summary=c.order_groups)
 
@@ -403,18 +415,18 @@ def r_single_item_first_mix(c: Context) -> DataFrame:
 
 def r_total_sales(c: Context) -> DataFrame:
     """Total delivered sales."""
-    return trend.total_sales(c.t.orders, c.paid, c.t.delivered)
+    return trend.total_sales(c.orders, c.paid, c.t.delivered)
 
 
 def r_monthly_sales(c: Context) -> DataFrame:
     """Delivered sales per month."""
-    return trend.monthly_sales(c.t.orders, c.paid, c.t.delivered)
+    return trend.monthly_sales(c.orders, c.paid, c.t.delivered)
 
 
 def r_monthly_sales_by_type(c: Context) -> DataFrame:
     """Delivered sales per month and payment type."""
     t = c.t
-    return trend.monthly_sales_by_type(t.orders, t.payments, t.delivered)
+    return trend.monthly_sales_by_type(c.orders, t.payments, t.delivered)
 
 
 def r_order_status_totals(c: Context) -> DataFrame:

@@ -16,6 +16,7 @@ import os
 
 from pyspark.sql import DataFrame
 
+from shoplens.plans.cache import remove_run
 from shoplens.plans.catalog import run_reports
 from shoplens.sources.files import write_table
 
@@ -59,6 +60,7 @@ def main(argv: list[str] | None = None) -> None:
         reports["reject_records"] = tables.extra["reject_records"]
     for path in write_reports(reports, args.out, args.format):
         print(path)
+    remove_run(spark)
 
 
 if __name__ == "__main__":
