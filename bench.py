@@ -14,6 +14,8 @@ import os
 import sys
 import time
 
+# A check of the CSV writer and reader over all tables, not an analysis.
+NOT_TIMED = ("csv_round_trip",)
 ROOT = os.path.dirname(os.path.abspath(__file__))
 sys.path.insert(0, ROOT)
 
@@ -40,6 +42,8 @@ def main() -> None:
     times: dict[str, float] = {}
     t_all = time.time()
     for name, fn in QUERIES.items():
+        if name in NOT_TIMED:
+            continue
         t0 = time.time()
         fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)

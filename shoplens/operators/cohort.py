@@ -11,7 +11,7 @@ from shoplens.functions.joins import spread_join
 from shoplens.operators.category import order_group_summary
 from shoplens.operators.first_purchase import first_delivered_order
 from shoplens.operators.master import PERSON
-from shoplens.operators.ranking import drop_internal, global_order, partition_row_number
+from shoplens.operators.ranking import numbered
 from shoplens.operators.rfm import HIGH_VALUE, RECENT
 from shoplens.plans.cache import keep
 
@@ -21,15 +21,14 @@ def first_order(customers: DataFrame, orders: DataFrame, status: str = "delivere
     """Every delivered order numbered per person by (purchase time, order id)
     as ``fo_num`` (the order id breaks ties the reference leaves open).
 
-    Uses the distributed ordering, so one person with a huge share of the
-    orders is not numbered inside a single task. Consumers that only need
+    One person with a huge share of the orders is not numbered inside a
+    single task (:func:`numbered`). Consumers that only need
     ``fo_num = 1`` use :func:`first_delivered_order` (an aggregate)."""
     o = spread_join(orders.where(F.col("status") == status).select("order_id", "customer_id", "purchase_timestamp"),
                     customers.select("customer_id", PERSON), "customer_id", F.col("order_id")) \
         .select(PERSON, "order_id", "purchase_timestamp")
-    go = global_order(keep(o), [PERSON, "purchase_timestamp", "order_id"], buckets=buckets)
-    out = partition_row_number(go, [PERSON], "fo_num")
-    return drop_internal(out.withColumn("fo_num", F.col("fo_num").cast("int")))
+    out = numbered(keep(o), PERSON, ["purchase_timestamp", "order_id"], "fo_num", buckets=buckets)
+    return out.withColumn("fo_num", F.col("fo_num").cast("int"))
 
 
 def star_customers(scored: DataFrame) -> DataFrame:

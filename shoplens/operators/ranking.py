@@ -27,10 +27,12 @@ from __future__ import annotations
 import re
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shoplens.functions.joins import hot_keys
 from shoplens.plans.cache import keep, materialize
 
 ROWS_PER_BUCKET = 1_000_000
@@ -209,6 +211,38 @@ def partition_lag(df: DataFrame, go: GlobalOrder, part_cols: list[str], value_co
     return df.drop("_prev")
 
 
+def numbered(df: DataFrame, part: str, order_cols: list[str], number: str, lags: list[str] = (),
+             buckets: int | None = None, heavy: list | None = None) -> DataFrame:
+    """Rows of each ``part`` group numbered by ``order_cols``, with the values
+    of ``lags`` in the group's previous row (``prev_<c>``).
+
+    Groups that fit a task are numbered by a plain window, one shuffle. Groups
+    that outweigh one (``heavy``; measured by :func:`shoplens.functions.joins.hot_keys`
+    unless given) are ordered in buckets. ``buckets``: all groups are, in so
+    many. ``part`` and ``order_cols`` together must be a unique key."""
+    order = [F.col(c).asc_nulls_first() for c in order_cols]
+    if buckets is None and heavy is None:
+        heavy = [k for k, _ in hot_keys(df, part)]
+    parts = []
+    if buckets is None:
+        light = df
+        if heavy:
+            # At most hot_keys' LISTED keys, so broadcasting them is safe at every size.
+            keys = F.broadcast(df.sparkSession.createDataFrame([(k,) for k in heavy], df.select(part).schema))
+            light, df = df.join(keys, part, "left_anti"), df.join(keys, part, "left_semi")
+        w = Window.partitionBy(part).orderBy(*order)
+        out = light.withColumn(number, F.row_number().over(w))
+        for c in lags:
+            out = out.withColumn(f"prev_{c}", F.lag(c).over(w))
+        parts.append(out)
+    if buckets is not None or heavy:
+        go = global_order(df, [part, *order_cols], buckets=buckets)
+        out = partition_row_number(go, [part], number)
+        parts.append(drop_internal(partition_lag(out, go, [part], list(lags)) if lags else out).select(
+            *df.columns, F.col(number).cast("int").alias(number), *[f"prev_{c}" for c in lags]))
+    return reduce(DataFrame.unionByName, parts)
+
+
 # ---------------------------------------------------------------------------
 # rank-based statistics
 # ---------------------------------------------------------------------------

@@ -10,8 +10,7 @@ from shoplens.functions.common import money, rounded_avg, share_within
 from shoplens.functions.joins import spread_join
 from shoplens.operators.category import order_category_counts
 from shoplens.operators.master import PERSON, order_payment_totals
-from shoplens.operators.ranking import (drop_internal, global_order, partition_lag,
-                                        partition_row_number)
+from shoplens.operators.ranking import numbered
 from shoplens.plans.cache import keep
 
 
@@ -35,7 +34,7 @@ def order_sequence(master: DataFrame, customers: DataFrame, orders: DataFrame,
     order id) within the person, with the previous order's sales and time.
 
     Unpaid orders stay with NULL sales (left join). The numbering and the
-    lags come from :func:`global_order` over (person, time, order id), so a
+    lags come from :func:`numbered` over (person, time, order id), so a
     person with a huge number of orders is split over several tasks. Relies
     on ``order_id`` being the key of ``orders`` (checked by the integrity
     report), which makes (person, time, order id) unique.
@@ -44,17 +43,15 @@ def order_sequence(master: DataFrame, customers: DataFrame, orders: DataFrame,
     sales = orders.join(order_payment_totals(payments).withColumnRenamed("order_payment_total", "order_sales"), "order_id", "left")
     o = repeat_customer_orders(master, customers, sales, status, ("order_sales",))
     o = keep(o.select(PERSON, "order_id", "purchase_timestamp", "status", "order_sales"))
-    go = global_order(o, [PERSON, "purchase_timestamp", "order_id"], buckets=buckets)
-    seq = partition_row_number(go, [PERSON], "order_times")
-    seq = partition_lag(seq, go, [PERSON], ["order_sales", "purchase_timestamp"])
-    seq = seq.select(
+    seq = numbered(o, PERSON, ["purchase_timestamp", "order_id"], "order_times", ["order_sales", "purchase_timestamp"],
+                   buckets=buckets)
+    return seq.select(
         PERSON, "order_id", "purchase_timestamp", "status", "order_sales",
         F.col("order_times").cast("int").alias("order_times"),
         F.col("prev_order_sales"), F.col("prev_purchase_timestamp"),
         F.datediff(F.col("purchase_timestamp").cast("date"),
                    F.col("prev_purchase_timestamp").cast("date")).alias("days_from_prev_order"),
         (F.col("order_sales") - F.col("prev_order_sales")).alias("diff_order_sales"))
-    return drop_internal(seq)
 
 
 def sequence_stats(seq: DataFrame) -> DataFrame:
