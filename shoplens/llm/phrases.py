@@ -51,7 +51,7 @@ KIND[[9, 32]] = 1
 KIND[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = 2
 
 RELATION = "lang string, chunk long, n long, codes binary, fresh binary, words array<string>, counts array<long>"
-EXTENDED = "chunk long, codes binary, lefts array<long>, rights array<long>, counts array<long>"
+EXTENDED = "chunk long, n long, codes binary, lefts array<long>, rights array<long>, counts array<long>"
 
 
 def words_of(data: np.ndarray, off: np.ndarray):
@@ -78,6 +78,11 @@ def words_of(data: np.ndarray, off: np.ndarray):
     return words, fresh
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    import pyarrow as pa
+    return pa.compress(codes.tobytes(), "zstd", asbytes=True)
+
+
 def _relation_rows(batches: Iterator, chunk_bytes: int) -> Iterator:
     import pyarrow as pa
     import pyarrow.compute as pc
@@ -102,7 +107,7 @@ def _relation_rows(batches: Iterator, chunk_bytes: int) -> Iterator:
             counts = np.bincount(codes, minlength=len(coded.dictionary))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lang]), pa.array([serial], pa.int64()), pa.array([len(codes)], pa.int64()),
-                 pa.array([codes.tobytes()], pa.binary()), pa.array([np.packbits(fresh).tobytes()], pa.binary()),
+                 pa.array([_packed(codes)], pa.binary()), pa.array([np.packbits(fresh).tobytes()], pa.binary()),
                  pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary.cast(pa.string())),
                  pa.ListArray.from_arrays([0, len(counts)], pa.array(counts, pa.int64()))], schema=schema)
             serial += 1
@@ -130,11 +135,12 @@ def _adjacent(relation, reply):
     """One chunk: its occurrences of frequent phrases, merge-joined with
     themselves on piece and adjacent position."""
     import pyarrow as pa
-    schema = pa.schema([("chunk", pa.int64()), ("codes", pa.binary()), *[(c, pa.list_(pa.int64())) for c in ("lefts", "rights", "counts")]])
+    schema = pa.schema([("chunk", pa.int64()), ("n", pa.int64()), ("codes", pa.binary()),
+                        *[(c, pa.list_(pa.int64())) for c in ("lefts", "rights", "counts")]])
     if relation.num_rows == 0 or reply.num_rows == 0:
         return schema.empty_table()
-    row = relation.select(["chunk", "codes", "size"] + [c for c in ("fresh",) if c in relation.column_names]).to_pylist()[0]
-    codes = np.frombuffer(row["codes"], np.int32)
+    row = relation.select(["chunk", "codes", "n", "size"] + [c for c in ("fresh",) if c in relation.column_names]).to_pylist()[0]
+    codes = np.frombuffer(pa.decompress(row["codes"], 4 * row["n"], "zstd"), np.int32)
     ids = np.full(row["size"] + 1, -1, np.int64)                # the last place is that of code -1
     ids[reply.column("code").to_numpy()] = reply.column("id").to_numpy()
     left = (ids >= 0)[codes]
@@ -149,7 +155,7 @@ def _adjacent(relation, reply):
     out = np.full(len(codes), -1, np.int32)
     out[at] = place
     lists = [ids[pairs // size], ids[pairs % size], counts.astype(np.int64)]
-    return pa.Table.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([out.tobytes()], pa.binary()),
+    return pa.Table.from_arrays([pa.array([row["chunk"]], pa.int64()), pa.array([row["n"]], pa.int64()), pa.array([_packed(out)], pa.binary()),
                                  *[pa.ListArray.from_arrays([0, len(pairs)], pa.array(x)) for x in lists]], schema=schema)
 
 
@@ -164,9 +170,9 @@ def _longer(found: DataFrame, shorter: DataFrame) -> DataFrame:
 
 
 def _statements(relation: DataFrame, *fields: str, also: tuple[str, ...] = ()) -> DataFrame:
-    """A row a chunk and phrase: (at, code, place, *fields, cnt)."""
+    """A row a chunk and phrase: (place, *fields, cnt); the place is the chunk in its upper half, the code in its lower."""
     x = relation.select("chunk", *also, F.posexplode(F.arrays_zip(*fields, "counts")).alias("code", "x"))
-    return x.select(F.col("chunk").alias("at"), "code", (F.shiftleft("chunk", 32) + F.col("code")).alias("place"), *also,
+    return x.select((F.shiftleft("chunk", 32) + F.col("code")).alias("place"), *also,
                     *[F.col(f"x.{c}").alias(c) for c in fields], F.col("x.counts").alias("cnt"))
 
 
@@ -176,7 +182,8 @@ def _frequent(statements: DataFrame, key: list[str], minimum: int, name: str) ->
     w = Window.partitionBy(*key)
     kept = statements.withColumn("a", F.sum("cnt").over(w)).withColumn("id", F.min("place").over(w)).where(F.col("a") >= minimum)
     first = F.col("place") == F.col("id")
-    return stage_table(kept.select("at", "code", "id", *[F.when(first, F.col(c)).alias(c) for c in (*key, "a")]), name)
+    at, code = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    return stage_table(kept.select(at.alias("at"), code.alias("code"), "id", *[F.when(first, F.col(c)).alias(c) for c in (*key, "a")]), name)
 
 
 def frequent_phrases(relation: DataFrame, minimum: int, longest: int) -> list[DataFrame]:
@@ -196,7 +203,7 @@ def frequent_phrases(relation: DataFrame, minimum: int, longest: int) -> list[Da
             levels.append(stage_table(_longer(found.select("id", *key, "a"), levels[-1]), f"phrases_{k}"))
         if k == longest:
             break
-        held = relation.select("chunk", "codes", F.size("counts").alias("size"), *(["fresh"] if k == 1 else []))
+        held = relation.select("chunk", "n", "codes", F.size("counts").alias("size"), *(["fresh"] if k == 1 else []))
         relation = stage_table(held.groupBy("chunk").cogroup(kept.select("at", "code", "id").groupBy("at"))
                                .applyInArrow(_adjacent, EXTENDED), f"occurrences_{k + 1}")
         key, statements = ["lefts", "rights"], _statements(relation, "lefts", "rights")
