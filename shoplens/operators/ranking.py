@@ -243,23 +243,6 @@ def numbered(df: DataFrame, part: str, order_cols: list[str], number: str, lags:
     return reduce(DataFrame.unionByName, parts)
 
 
-# ---------------------------------------------------------------------------
-# rank-based statistics
-# ---------------------------------------------------------------------------
-
-def ntile_from_rank(rn: Column, n_total: Column, tiles: int) -> Column:
-    """SQL NTILE(tiles) from a 1-based row number and the row count.
-
-    The first ``N mod tiles`` buckets get one row more, as in SQL.
-    """
-    q = F.floor(n_total / F.lit(tiles)).cast("long")
-    r = (n_total - q * F.lit(tiles)).cast("long")
-    big = r * (q + 1)
-    first = F.floor((rn + q) / (q + 1)).cast("long")             # ceil(rn / (q+1))
-    second = r + F.floor((rn - big + q - 1) / F.greatest(q, F.lit(1))).cast("long")
-    return F.when(rn <= big, first).otherwise(second).cast("int")
-
-
 _INTERNAL = re.compile(r"^_(bkt|lrn|rn|off_\w+|run_\w+|lrun_\w+|range_\w+|prn_\w+|cont|low|high|prev\w*)$")
 
 
