@@ -27,6 +27,13 @@ def order_payment_totals(payments: DataFrame) -> DataFrame:
     return payments.groupBy("order_id").agg(F.sum("payment_value").alias("order_payment_total"))
 
 
+def order_type_totals(payments: DataFrame) -> DataFrame:
+    """Payments summed per order and payment type, under the columns of
+    ``payments``: whatever sums payments per order, month or type can read
+    this instead of the raw rows."""
+    return payments.groupBy("order_id", "payment_type").agg(F.sum("payment_value").alias("payment_value"))
+
+
 def latest_row_per_key(df: DataFrame, key: str | list[str], order_cols: list[str],
                        attrs: list[str]) -> DataFrame:
     """Attributes of the row with the largest ``order_cols`` per key

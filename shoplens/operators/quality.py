@@ -34,17 +34,21 @@ def distinct_counts(df: DataFrame, keys: DataFrame, key: str, names: dict[str, s
     """``keys`` (unique in ``key``) with the number of distinct values that the
     rows of ``df`` with that key have in each column (new name: column).
 
-    Each column's (key, value) pairs are made distinct first, with partial
-    aggregation, and counted then: no row is copied once per column, and a key
-    with any number of rows or values is spread over the pairs' hash."""
-    few = keys.select(F.col(key).alias("_key"))
-    rows = df.join(few, F.col(key).eqNullSafe(F.col("_key")), "left_semi")      # a NULL key is a group as well
-    for name, col in names.items():
-        counted = (rows.where(F.col(col).isNotNull()).select(F.col(key).alias("_key"), F.col(col).alias("_value")).distinct()
-                   .groupBy("_key").agg(F.count(F.lit(1)).alias(name)))
-        keys = keys.join(counted, F.col(key).eqNullSafe(F.col("_key")), "left").drop("_key") \
-            .withColumn(name, F.coalesce(F.col(name), F.lit(0)).cast("bigint"))
-    return keys
+    The rows of those keys shrink to their distinct combinations, with partial
+    aggregation, and only these are turned into (key, column, value) rows, made
+    distinct and counted: no raw row is copied once per column, and a key with
+    any number of rows or values is spread over their hash."""
+    few, cols = keys.select(F.col(key).alias("_key")), list(names.values())
+    combos = df.join(few, F.col(key).eqNullSafe(F.col("_key")), "left_semi").select(key, *cols).distinct()   # NULL is a key as well
+    values = combos.select(F.col(key).alias("_key"), F.explode(_numbered_values(cols)).alias("x")).select("_key", "x.*") \
+        .where(F.col("v").isNotNull()).distinct()
+    counted = values.groupBy("_key").agg(*[F.count(F.when(F.col("i") == i, F.lit(1))).alias(f"_{i}") for i in range(len(cols))])
+    joined = keys.join(counted, F.col(key).eqNullSafe(F.col("_key")), "left")
+    return joined.select(*keys.columns, *[F.coalesce(F.col(f"_{i}"), F.lit(0)).alias(name) for i, name in enumerate(names)])
+
+
+def _numbered_values(cols: list[str]) -> Column:
+    return F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v")) for i, c in enumerate(cols)])
 
 
 def collated_groups(df: DataFrame, col: str, collation: str = "UNICODE_CI_AI", other: str | None = None) -> DataFrame:
@@ -157,7 +161,6 @@ def mapping_cardinality(df: DataFrame, cols: list[str]) -> DataFrame:
     """Distinct values of each column, e.g. cleaned categories versus groups.
     The rows shrink to their distinct combinations before anything is counted."""
     pairs = df.select(*cols).distinct()
-    each = pairs.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).cast("string").alias("v"))
-                                            for i, c in enumerate(cols)])).alias("x")).select("x.i", "x.v")
+    each = pairs.select(F.explode(_numbered_values(cols)).alias("x")).select("x.*")
     values = each.where(F.col("v").isNotNull()).distinct()
     return values.agg(*[F.count(F.when(F.col("i") == i, F.lit(1))).alias(f"{c}_cnt") for i, c in enumerate(cols)])

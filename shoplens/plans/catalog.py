@@ -64,9 +64,13 @@ class Context:
         return self._get("orders", lambda: self.t.orders.select("order_id", "customer_id", "status", "purchase_timestamp"),
                          bucket_by="order_id")
 
+    @property
+    def paid_types(self) -> DataFrame:      # payments summed per order and payment type
+        return self._get("paid_types", lambda: master.order_type_totals(self.t.payments), bucket_by="order_id")
+
     @property
     def paid(self) -> DataFrame:            # payments summed per order (1 row per order)
-        return self._get("paid", lambda: master.order_payment_totals(self.t.payments), bucket_by="order_id")
+        return self._get("paid", lambda: master.order_payment_totals(self.paid_types), bucket_by="order_id")
 
     @property
     def facts(self) -> DataFrame:           # per-person order facts (one pass over orders)
@@ -426,7 +430,7 @@ def r_monthly_sales(c: Context) -> DataFrame:
 def r_monthly_sales_by_type(c: Context) -> DataFrame:
     """Delivered sales per month and payment type."""
     t = c.t
-    return trend.monthly_sales_by_type(c.orders, t.payments, t.delivered)
+    return trend.monthly_sales_by_type(c.orders, c.paid_types, t.delivered)
 
 
 def r_order_status_totals(c: Context) -> DataFrame:

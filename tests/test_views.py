@@ -88,6 +88,7 @@ def test_orders_and_payments_join_where_they_lie(spark):
         from shoplens.operators import master, sequence, trend
         t = c.t
         plans = {"monthly_sales": trend.monthly_sales(c.orders, c.paid, t.delivered),
+                 "monthly_sales_by_type": trend.monthly_sales_by_type(c.orders, c.paid_types, t.delivered),
                  "total_sales": trend.total_sales(c.orders, c.paid, t.delivered),
                  "person facts": master.person_order_facts(t.customers, c.orders, c.paid, t.delivered),
                  "one_customer": master.one_customer(t.customers, c.orders, c.facts),
