@@ -19,6 +19,11 @@ document with a smaller id is removed. A window is never looked at twice:
 5. Owners go back to the chunks, which mark the bytes of windows with a
    smaller owner.
 
+An anchor with very many distinct runs (a short passage between ever other
+neighbours) is split: its chunks send single windows, the smallest and largest
+document id of each, and a window's hash picks one of 2**b sub-groups, b by the
+anchor's counted runs. Equal windows still meet; each sub-group is sorted alone.
+
 Texts equal to the text of a smaller id are removed whole, found by digest.
 Packed rows are pre-aggregated by chunk, so a passage in a third of all
 documents is sent once a chunk, not once a document.
@@ -41,6 +46,7 @@ from pyspark.sql import functions as F
 from shoplens.llm.common import doc_chunks, mix64, powers, prefix_hash, range_hash, salted_join, stage_table
 
 WIDTH, GRAM, CHUNK, SLICE, WINDOWS = 50, 24, 4 << 20, 1 << 19, 1 << 17
+MANY, HOT_RUNS = 8, 2048        # runs of an anchor that a chunk counts from; counted runs that make an anchor hot
 NO_ID = np.int64(2**63 - 1)
 COPY, SHARED, OWNERS, TEXT = 0, 1, 2, 9         # kinds of the rows a chunk meets, texts last
 
@@ -159,6 +165,50 @@ def chunk_runs(data: np.ndarray, off: np.ndarray, width: int, gram: int):
             yield anchor, first + a, count, doc + d, key
 
 
+# ---------------------------------------------------------------------------
+# hot anchors
+# ---------------------------------------------------------------------------
+
+def distinct_counts(anchor: np.ndarray, key: np.ndarray, heads: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the anchor, its distinct runs) for the anchors of a sorted
+    array that have ``many`` runs or more."""
+    size = np.diff(np.append(heads, len(anchor)))
+    big = np.flatnonzero(size >= many)
+    at, group = _ranges(heads[big], size[big]), np.repeat(np.arange(len(big)), size[big])
+    order = np.lexsort((key[at], group))
+    k, g = key[at][order], group[order]
+    new = np.concatenate(([True], (k[1:] != k[:-1]) | (g[1:] != g[:-1])))[:len(k)]
+    count = np.bincount(g[new], minlength=len(big))
+    return big[count >= many], count[count >= many]
+
+
+def sub_bits(runs: np.ndarray, gram: int, width: int) -> np.ndarray:
+    """Bits of the sub-group of a hot anchor of ``runs`` counted runs."""
+    return np.ceil(np.log2(np.maximum(2.0, runs * (width - gram + 1) / (WINDOWS >> 3)))).astype(np.uint8)
+
+
+def single_windows(data: np.ndarray, first: np.ndarray, count: np.ndarray, anchor: np.ndarray, bits: np.ndarray,
+                   width: int):
+    """(run, first byte, sub-group, key) of every window of runs of hot anchors."""
+    length = count + width - 1
+    start = np.cumsum(length) - length
+    prefix = prefix_hash(data[_ranges(first, length)])
+    at = _ranges(start, count)
+    h = range_hash(prefix, at, at + width)
+    run = np.repeat(np.arange(len(first)), count)
+    sub = h & ((np.uint64(1) << bits[run].astype(np.uint64)) - np.uint64(1))
+    group = mix64(anchor[run] ^ mix64(sub + np.uint64(1)))
+    return run, _ranges(first, count), group, mix64(group ^ h)
+
+
+def find_hot(anchor: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each anchor is one of ``hot`` (sorted), and its index there."""
+    if not len(hot):
+        return np.zeros(len(anchor), bool), np.zeros(len(anchor), np.int64)
+    at = np.minimum(np.searchsorted(hot, anchor), len(hot) - 1)
+    return hot[at] == anchor, at
+
+
 # ---------------------------------------------------------------------------
 # suffix sort
 # ---------------------------------------------------------------------------
@@ -342,19 +392,23 @@ def _anchor_rows(width: int, gram: int, bits: int):
                 raw = data.tobytes()
                 content = np.array([struct.unpack("<Q", hashlib.sha256(raw[off[i]:off[i + 1]]).digest()[:8])[0] | 1
                                     for i in range(len(ids))], np.uint64)
-                got = [(a, content[d]) for a, _, _, d, _ in chunk_runs(data, off, width, gram)]
+                got = [(a, content[d], k) for a, _, _, d, k in chunk_runs(data, off, width, gram)]
                 if not got:
                     continue
-                anchor, text = (np.concatenate(x) for x in zip(*got, strict=True))
+                anchor, text, key = (np.concatenate(x) for x in zip(*got, strict=True))
                 order = np.argsort(anchor)
                 anchor, text = anchor[order], text[order]
                 heads = _heads(anchor)
+                many, runs = distinct_counts(anchor, key[order], heads, MANY)
                 low, high = np.minimum.reduceat(text, heads), np.maximum.reduceat(text, heads)
                 anchor, text = anchor[heads], np.where(low == high, low, np.uint64(0))     # 0: several contents
                 rows = []
                 for part, s in _split_parts(anchor >> shift):
                     table, index = np.unique(text[s], return_inverse=True)
-                    rows.append((part, chunk.as_py(), pack(_delta(anchor[s]), table, index.astype(np.uint32))))
+                    m = slice(*np.searchsorted(many, (s.start, s.stop)))
+                    rows.append((part, chunk.as_py(), pack(_delta(anchor[s]), table, index.astype(np.uint32),
+                                                           (many[m] - s.start).astype(np.uint32),
+                                                           runs[m].astype(np.uint32))))
                 yield _batch(rows, kinds)
     return run
 
@@ -373,30 +427,41 @@ def _by_part(batches):
         yield held
 
 
-def _shared_rows(batches):
-    import pyarrow as pa
-    kinds = {"chunk": pa.int64(), "kind": pa.int32(), "body": pa.binary()}
-    for held in _by_part(batches):
-        anchors, texts = [], []
-        for _, body in held:
-            delta, table, index = unpack(body)
-            anchors.append(_undelta(delta))
-            texts.append(table[index])
-        lens = [len(a) for a in anchors]
-        anchor, text = np.concatenate(anchors), np.concatenate(texts)
-        order = np.argsort(anchor)
-        a, t = anchor[order], text[order]
-        heads = _heads(a)
-        low, high = np.minimum.reduceat(t, heads), np.maximum.reduceat(t, heads)
-        hit = np.zeros(len(a), bool)
-        hit[order] = np.repeat((low != high) | (low == 0), np.diff(np.append(heads, len(a))))
-        rows, at = [], 0
-        for (chunk, _), mine, n in zip(held, anchors, lens, strict=True):
-            if hit[at:at + n].any():
-                rows.append((chunk, SHARED, pack(_delta(mine[hit[at:at + n]]))))
-            at += n
-        if rows:
-            yield _batch(rows, kinds)
+def _shared_rows(width: int, gram: int, hot_runs: int):
+    def run(batches):
+        import pyarrow as pa
+        kinds = {"chunk": pa.int64(), "kind": pa.int32(), "body": pa.binary()}
+        for held in _by_part(batches):
+            anchors, texts, more = [], [], []
+            for _, body in held:
+                delta, table, index, many, runs = unpack(body)
+                anchors.append(_undelta(delta))
+                texts.append(table[index])
+                more.append((anchors[-1][many], runs.astype(np.int64) - 1))
+            lens = [len(a) for a in anchors]
+            anchor, text = np.concatenate(anchors), np.concatenate(texts)
+            order = np.argsort(anchor)
+            a, t = anchor[order], text[order]
+            heads = _heads(a)
+            size = np.diff(np.append(heads, len(a)))
+            low, high = np.minimum.reduceat(t, heads), np.maximum.reduceat(t, heads)
+            hit = np.zeros(len(a), bool)
+            hit[order] = np.repeat((low != high) | (low == 0), size)
+            # runs of an anchor: one a chunk, and what the chunks counted beyond
+            extra, beyond = (np.concatenate(x) for x in zip(*more, strict=True))
+            weight = size + np.bincount(np.searchsorted(a[heads], extra), beyond, minlength=len(heads)).astype(np.int64)
+            big = weight > hot_runs
+            hot, bits = a[heads][big], sub_bits(weight[big], gram, width)
+            rows, at = [], 0
+            for (chunk, _), mine, n in zip(held, anchors, lens, strict=True):
+                if hit[at:at + n].any():
+                    mine = mine[hit[at:at + n]]
+                    is_hot, i = find_hot(mine, hot)
+                    rows.append((chunk, SHARED, pack(_delta(mine), mine[is_hot], bits[i[is_hot]])))
+                at += n
+            if rows:
+                yield _batch(rows, kinds)
+    return run
 
 
 def _by_chunk(batches):
@@ -415,6 +480,21 @@ def _by_chunk(batches):
                 bodies.append(body.as_py())
 
 
+def _sorted_hot(lists: list, at: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hot anchors, sorted, and their bits, of unpacked rows that have them from place ``at``."""
+    hot, where = np.unique(np.concatenate([x[at] for x in lists]), return_index=True)
+    return hot, np.concatenate([x[at + 1] for x in lists])[where]
+
+
+def _merge_runs(anchor: np.ndarray, key: np.ndarray, doc: np.ndarray):
+    """(one run, smallest, largest document) of every distinct run, by anchor and key."""
+    order = np.lexsort((key, anchor))
+    heads = _heads(key[order])
+    if not len(heads):
+        return heads, doc[heads], doc[heads]
+    return order[heads], np.minimum.reduceat(doc[order], heads), np.maximum.reduceat(doc[order], heads)
+
+
 def _run_rows(width: int, gram: int, bits: int):
     def run(batches):
         import pyarrow as pa
@@ -423,7 +503,9 @@ def _run_rows(width: int, gram: int, bits: int):
         for chunk, copies, bodies, text in _by_chunk(batches):
             if not bodies:
                 continue
-            shared = np.sort(np.concatenate([_undelta(unpack(x)[0]) for x in bodies]))
+            lists = [unpack(x) for x in bodies]
+            shared = np.sort(np.concatenate([_undelta(x[0]) for x in lists]))
+            hot, bits_of = _sorted_hot(lists, 1)
             ids, _, off, data = _open(text)
             skip = np.zeros(len(ids), bool)
             for c in copies:
@@ -436,19 +518,34 @@ def _run_rows(width: int, gram: int, bits: int):
             anchor, first, count, doc, key = (np.concatenate(x) for x in zip(*got, strict=True))
             if not len(anchor):
                 continue
-            order = np.lexsort((key, anchor))
-            heads = _heads(key[order])
-            low, high = np.minimum.reduceat(doc[order], heads), np.maximum.reduceat(doc[order], heads)
-            one = order[heads]
+            one, low, high = _merge_runs(anchor, key, doc)
             anchor, first, count = anchor[one], first[one], count[one]
-            rows = []
+            source = None
+            if len(hot):
+                is_hot, i = find_hot(anchor, hot)
+                h = np.flatnonzero(is_hot)
+                r, at, group, key = single_windows(data, first[h], count[h], anchor[h], bits_of[i[h]], width)
+                pick, wlow, _ = _merge_runs(group, key, low[h][r])
+                _, _, whigh = _merge_runs(group, key, high[h][r])
+                cold, r = ~is_hot, r[pick]
+                source = np.concatenate((np.full(cold.sum(), -1), i[h][r]))
+                anchor = np.concatenate((anchor[cold], group[pick]))
+                first, count = np.concatenate((first[cold], at[pick])), np.concatenate((count[cold], np.ones_like(r)))
+                low, high = np.concatenate((low[cold], wlow)), np.concatenate((high[cold], whigh))
+                order = np.argsort(anchor, kind="stable")
+                anchor, first, count, low, high, source = (x[order] for x in (anchor, first, count, low, high, source))
+            rows, held = [], 0
             for part, s in _split_parts(anchor >> shift):
                 n = count[s]
                 text_bytes = data[_ranges(first[s], n + width - 1)]
-                rows.append((part, chunk, pack(_delta(anchor[s]), n.astype(np.uint32), low[s], high[s], text_bytes)))
-                if sum(len(r[2]) for r in rows) > 8 << 20:
+                j = np.zeros(0, np.int64) if source is None else np.unique(source[s])
+                j = j[j >= 0]
+                rows.append((part, chunk, pack(_delta(anchor[s]), n.astype(np.uint32), low[s], high[s], text_bytes,
+                                               hot[j], bits_of[j])))
+                held += len(rows[-1][2])
+                if held > 8 << 20:
                     yield _batch(rows, kinds)
-                    rows = []
+                    rows, held = [], 0
             if rows:
                 yield _batch(rows, kinds)
     return run
@@ -521,6 +618,7 @@ def _owner_rows(width: int):
             anchor = np.concatenate([_undelta(c[0]) for c in cols])
             count = np.concatenate([c[1] for c in cols]).astype(np.int64)
             low, high, data = (np.concatenate([c[i] for c in cols]) for i in (2, 3, 4))
+            hots = [(c[5], c[6]) for c in cols]
             (r, t0, t1, owner), rep, key = part_owners(anchor, count, low, data, width)
             order = np.argsort(r, kind="stable")
             r, t0, t1, owner = r[order], t0[order], t1[order], owner[order]
@@ -532,11 +630,11 @@ def _owner_rows(width: int):
             ends = np.cumsum(lens)
             cut = np.searchsorted(entry, np.concatenate(([0], ends)))
             rows = []
-            for (chunk, _), a, b in zip(held, cut[:-1], cut[1:], strict=True):
+            for (chunk, _), a, b, hot in zip(held, cut[:-1], cut[1:], hots, strict=True):
                 if b > a:
                     e, s = entry[a:b], seg[a:b]
                     rows.append((chunk, OWNERS, pack(key[e], t0[s].astype(np.uint32), t1[s].astype(np.uint32),
-                                                     owner[s])))
+                                                     owner[s], *hot)))
             if rows:
                 yield _batch(rows, kinds)
     return run
@@ -549,10 +647,18 @@ def _mark(data, off, ids, copies, bodies, width: int, gram: int) -> np.ndarray:
         np.add.at(edge, off[c], 1)
         np.add.at(edge, off[c + 1], -1)
     if bodies:
-        key, t0, t1, owner = (np.concatenate(x) for x in zip(*map(unpack, bodies), strict=True))
+        lists = [unpack(x) for x in bodies]
+        key, t0, t1, owner = (np.concatenate(x) for x in list(zip(*lists, strict=True))[:4])
+        hot, bits = _sorted_hot(lists, 4)
         order = np.argsort(key, kind="stable")
         key, t0, t1, owner = key[order], t0[order].astype(np.int64), t1[order].astype(np.int64), owner[order]
-        for _, first, _, doc, mine in chunk_runs(data, off, width, gram):
+        for anchor, first, count, doc, mine in chunk_runs(data, off, width, gram):
+            if len(hot):
+                is_hot, i = find_hot(anchor, hot)
+                h = np.flatnonzero(is_hot)
+                r, at, _, window = single_windows(data, first[h], count[h], anchor[h], bits[i[h]], width)
+                first, doc = np.concatenate((first[~is_hot], at)), np.concatenate((doc[~is_hot], doc[h][r]))
+                mine = np.concatenate((mine[~is_hot], window))
             a, b = np.searchsorted(key, mine, "left"), np.searchsorted(key, mine, "right")
             i = np.repeat(np.arange(len(mine)), b - a)
             s = _ranges(a, b - a)
@@ -591,9 +697,10 @@ def _result_rows(width: int, gram: int):
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
-                   gram: int = GRAM) -> DataFrame:
+                   gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of every row: the removed byte spans
-    (start, end exclusive, maximal) and the remaining bytes."""
+    (start, end exclusive, maximal) and the remaining bytes. ``hot_runs``: counted
+    runs above which an anchor is split; it changes where windows meet, not the result."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chunks = stage_table(rows.mapInArrow(_make_chunks, "chunk long, kind int, size long, body binary"), "chunks")
     n_chunks, total = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -623,7 +730,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     part_row, chunk_row = "part long, chunk long, body binary", "chunk long, kind int, body binary"
     bits = parts(16 << 20)
     shared = dealt(bodies.mapInArrow(_anchor_rows(width, gram, bits), part_row), bits)
-    shared = stage_table(shared.mapInArrow(_shared_rows, chunk_row), "shared")
+    shared = stage_table(shared.mapInArrow(_shared_rows(width, gram, hot_runs), chunk_row), "shared")
     bits = parts(4 << 20)
     runs = dealt(met(copies, shared).mapInArrow(_run_rows(width, gram, bits), part_row), bits)
     owners = stage_table(runs.mapInArrow(_owner_rows(width), chunk_row), "owners")

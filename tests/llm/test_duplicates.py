@@ -129,8 +129,8 @@ def brute_removed(rows, width=50):
     return sorted(out, key=str)
 
 
-def removed(df):
-    out = suffix_dedup.remove_repeats(df)
+def removed(df, **options):
+    out = suffix_dedup.remove_repeats(df, **options)
     cut = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return sorted((tuple(r) for r in out.select("doc_id", "n_bytes", cut, F.size("spans"), F.sha2("kept", 256)).collect()), key=str)
 
@@ -144,14 +144,45 @@ def test_removed_bytes_of_hard_documents(hard):
     assert removed(hard) == brute_removed([(r.doc_id, r.text) for r in hard.collect()])
 
 
-def test_removed_bytes_of_spliced_texts(make_docs, monkeypatch):
-    rng = random.Random(9)
-    pool = ["".join(rng.choice("abcé ") for _ in range(rng.randint(30, 140))) for _ in range(12)] + ["ab" * 60, "x" * 90]
-    rows = [(i, "".join(rng.choice(pool)[rng.randint(0, 20):] for _ in range(rng.randint(0, 7)))) for i in range(150)]
-    rows += [(i + 200, t) for i, t in rows[:10]] + [(3, rows[3][1])]
+def test_removed_bytes_of_spliced_texts(make_docs):
+    rows = spliced()
     assert removed(make_docs(rows)) == brute_removed(rows)
 
 
+def spliced(seed=9, n=150):
+    rng = random.Random(seed)
+    pool = ["".join(rng.choice("abcé ") for _ in range(rng.randint(30, 140))) for _ in range(12)] + ["ab" * 60, "x" * 90]
+    rows = [(i, "".join(rng.choice(pool)[rng.randint(0, 20):] for _ in range(rng.randint(0, 7)))) for i in range(n)]
+    return rows + [(i + 200, t) for i, t in rows[:10]] + [(3, rows[3][1])]
+
+
+@pytest.mark.parametrize("hot_runs", [0, 3])
+def test_split_anchors_change_no_result(make_docs, hard, hot_runs):
+    rows = spliced(11)
+    assert removed(make_docs(rows), hot_runs=hot_runs) == brute_removed(rows)
+    assert removed(hard, hot_runs=hot_runs) == brute_removed([(r.doc_id, r.text) for r in hard.collect()])
+
+
+def test_a_phrase_between_ever_other_neighbours(make_docs):
+    """One 54-byte phrase in 20,000 documents: its anchors are split, the result is exact."""
+    rng = random.Random(4)
+    phrase = "the committee reserves every right under this clause.."
+    rows = [(i, rng.randbytes(30).hex() + phrase + rng.randbytes(30).hex()) for i in range(20000)]
+    got = removed(make_docs(rows))
+    assert got == brute_removed(rows)
+    assert sum(r[2] >= 54 for r in got) == len(rows) - 1        # neighbours may agree by chance, too
+
+
+def test_sub_groups_of_a_hot_anchor_are_bounded():
+    n, per, rng = 40000, 27, np.random.default_rng(3)
+    data = rng.integers(0, 256, n * (per + 49)).astype(np.uint8)
+    anchor = np.full(n, 12345, np.uint64)
+    bits = suffix_dedup.sub_bits(np.full(n, n // suffix_dedup.MANY), 24, 50)    # the least that is counted of n runs
+    run, at, group, key = suffix_dedup.single_windows(data, np.arange(n) * (per + 49), np.full(n, per), anchor, bits, 50)
+    assert len(run) == n * per and len(np.unique(key)) == len(key)
+    assert np.unique(group, return_counts=True)[1].max() <= 2 * suffix_dedup.WINDOWS
+
+
 def test_slices_hold_each_window_once():
     off = np.array([0, 10, 10, 400, 1000, 1003])
     seen = []
