@@ -19,10 +19,10 @@ document with a smaller id is removed. A window is never looked at twice:
 5. Owners go back to the chunks, which mark the bytes of windows with a
    smaller owner.
 
-An anchor with very many distinct runs (a short passage between ever other
-neighbours) is split: its chunks send single windows, the smallest and largest
-document id of each, and a window's hash picks one of 2**b sub-groups, b by the
-anchor's counted runs. Equal windows still meet; each sub-group is sorted alone.
+An anchor with very many windows in its distinct runs (a short passage between
+ever other neighbours, a word repeated over and over) is split: its chunks send
+distinct single windows, the smallest and largest document id of each, and a
+window's hash picks one of 2**b sub-groups, b by the anchor's counted windows. Equal windows still meet; each sub-group is sorted alone.
 
 Texts equal to the text of a smaller id are removed whole, found by digest.
 Packed rows are pre-aggregated by chunk, so a passage in a third of all
@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from shoplens.llm.common import doc_chunks, mix64, powers, prefix_hash, range_hash, salted_join, stage_table
 
 WIDTH, GRAM, CHUNK, SLICE, WINDOWS = 50, 24, 4 << 20, 1 << 19, 1 << 17
-MANY, HOT_RUNS = 8, 2048        # runs of an anchor that a chunk counts from; counted runs that make an anchor hot
+MANY, HOT = 256, 1 << 16        # windows of an anchor that a chunk counts from; counted windows that make it hot
 NO_ID = np.int64(2**63 - 1)
 COPY, SHARED, OWNERS, TEXT = 0, 1, 2, 9         # kinds of the rows a chunk meets, texts last
 
@@ -169,22 +169,31 @@ def chunk_runs(data: np.ndarray, off: np.ndarray, width: int, gram: int):
 # hot anchors
 # ---------------------------------------------------------------------------
 
-def distinct_counts(anchor: np.ndarray, key: np.ndarray, heads: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the anchor, its distinct runs) for the anchors of a sorted
-    array that have ``many`` runs or more."""
-    size = np.diff(np.append(heads, len(anchor)))
-    big = np.flatnonzero(size >= many)
+def _merge_runs(anchor: np.ndarray, key: np.ndarray, doc: np.ndarray):
+    """(one run, smallest, largest document) of every distinct run, by anchor and key."""
+    order = np.lexsort((key, anchor))
+    heads = _heads(key[order])
+    if not len(heads):
+        return heads, doc[heads], doc[heads]
+    return order[heads], np.minimum.reduceat(doc[order], heads), np.maximum.reduceat(doc[order], heads)
+
+
+def distinct_windows(count: np.ndarray, key: np.ndarray, heads: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+    """(index of the anchor, windows of its distinct runs) for those anchors of
+    an array of runs sorted by anchor whose distinct runs have ``many`` windows or more."""
+    if not len(heads):
+        return heads, heads
+    size = np.diff(np.append(heads, len(count)))
+    big = np.flatnonzero(np.add.reduceat(count, heads) >= many)
     at, group = _ranges(heads[big], size[big]), np.repeat(np.arange(len(big)), size[big])
-    order = np.lexsort((key[at], group))
-    k, g = key[at][order], group[order]
-    new = np.concatenate(([True], (k[1:] != k[:-1]) | (g[1:] != g[:-1])))[:len(k)]
-    count = np.bincount(g[new], minlength=len(big))
-    return big[count >= many], count[count >= many]
+    one = _merge_runs(group, key[at], group)[0]
+    total = np.bincount(group[one], count[at][one], minlength=len(big)).astype(np.int64)
+    return big[total >= many], total[total >= many]
 
 
-def sub_bits(runs: np.ndarray, gram: int, width: int) -> np.ndarray:
-    """Bits of the sub-group of a hot anchor of ``runs`` counted runs."""
-    return np.ceil(np.log2(np.maximum(2.0, runs * (width - gram + 1) / (WINDOWS >> 3)))).astype(np.uint8)
+def sub_bits(windows: np.ndarray) -> np.ndarray:
+    """Bits of the sub-group of a hot anchor of so many counted windows."""
+    return np.ceil(np.log2(np.maximum(2.0, windows / (WINDOWS >> 3)))).astype(np.uint8)
 
 
 def single_windows(data: np.ndarray, first: np.ndarray, count: np.ndarray, anchor: np.ndarray, bits: np.ndarray,
@@ -201,6 +210,24 @@ def single_windows(data: np.ndarray, first: np.ndarray, count: np.ndarray, ancho
     return run, _ranges(first, count), group, mix64(group ^ h)
 
 
+def hot_windows(data, first, count, anchor, low, high, bits, width: int):
+    """Distinct windows of a chunk's runs of hot anchors: (run, first byte,
+    sub-group, smallest, largest document); so many runs at a time that the
+    arrays stay bounded."""
+    size, at, parts = np.cumsum(count), 0, []
+    while at < len(first):
+        end = max(at + 1, int(np.searchsorted(size, size[at] - count[at] + SLICE, "right")))
+        s = slice(at, end)
+        run, byte, group, key = single_windows(data, first[s], count[s], anchor[s], bits[s], width)
+        one, least, _ = _merge_runs(group, key, low[s][run])
+        most = _merge_runs(group, key, high[s][run])[2]
+        parts.append((run[one] + at, byte[one], group[one], key[one], least, most))
+        at = end
+    run, byte, group, key, least, most = (np.concatenate(x) for x in zip(*parts, strict=True))
+    one, low, _ = _merge_runs(group, key, least)
+    return run[one], byte[one], group[one], low, _merge_runs(group, key, most)[2]
+
+
 def find_hot(anchor: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each anchor is one of ``hot`` (sorted), and its index there."""
     if not len(hot):
@@ -392,14 +419,14 @@ def _anchor_rows(width: int, gram: int, bits: int):
                 raw = data.tobytes()
                 content = np.array([struct.unpack("<Q", hashlib.sha256(raw[off[i]:off[i + 1]]).digest()[:8])[0] | 1
                                     for i in range(len(ids))], np.uint64)
-                got = [(a, content[d], k) for a, _, _, d, k in chunk_runs(data, off, width, gram)]
+                got = [(a, content[d], n, k) for a, _, n, d, k in chunk_runs(data, off, width, gram)]
                 if not got:
                     continue
-                anchor, text, key = (np.concatenate(x) for x in zip(*got, strict=True))
+                anchor, text, count, key = (np.concatenate(x) for x in zip(*got, strict=True))
                 order = np.argsort(anchor)
                 anchor, text = anchor[order], text[order]
                 heads = _heads(anchor)
-                many, runs = distinct_counts(anchor, key[order], heads, MANY)
+                many, windows = distinct_windows(count[order], key[order], heads, MANY)
                 low, high = np.minimum.reduceat(text, heads), np.maximum.reduceat(text, heads)
                 anchor, text = anchor[heads], np.where(low == high, low, np.uint64(0))     # 0: several contents
                 rows = []
@@ -408,7 +435,7 @@ def _anchor_rows(width: int, gram: int, bits: int):
                     m = slice(*np.searchsorted(many, (s.start, s.stop)))
                     rows.append((part, chunk.as_py(), pack(_delta(anchor[s]), table, index.astype(np.uint32),
                                                            (many[m] - s.start).astype(np.uint32),
-                                                           runs[m].astype(np.uint32))))
+                                                           windows[m].astype(np.uint32))))
                 yield _batch(rows, kinds)
     return run
 
@@ -427,17 +454,17 @@ def _by_part(batches):
         yield held
 
 
-def _shared_rows(width: int, gram: int, hot_runs: int):
+def _shared_rows(width: int, gram: int, hot_from: int):
     def run(batches):
         import pyarrow as pa
         kinds = {"chunk": pa.int64(), "kind": pa.int32(), "body": pa.binary()}
         for held in _by_part(batches):
             anchors, texts, more = [], [], []
             for _, body in held:
-                delta, table, index, many, runs = unpack(body)
+                delta, table, index, many, windows = unpack(body)
                 anchors.append(_undelta(delta))
                 texts.append(table[index])
-                more.append((anchors[-1][many], runs.astype(np.int64) - 1))
+                more.append((anchors[-1][many], windows.astype(np.int64)))
             lens = [len(a) for a in anchors]
             anchor, text = np.concatenate(anchors), np.concatenate(texts)
             order = np.argsort(anchor)
@@ -447,11 +474,12 @@ def _shared_rows(width: int, gram: int, hot_runs: int):
             low, high = np.minimum.reduceat(t, heads), np.maximum.reduceat(t, heads)
             hit = np.zeros(len(a), bool)
             hit[order] = np.repeat((low != high) | (low == 0), size)
-            # runs of an anchor: one a chunk, and what the chunks counted beyond
-            extra, beyond = (np.concatenate(x) for x in zip(*more, strict=True))
-            weight = size + np.bincount(np.searchsorted(a[heads], extra), beyond, minlength=len(heads)).astype(np.int64)
-            big = weight > hot_runs
-            hot, bits = a[heads][big], sub_bits(weight[big], gram, width)
+            # windows of an anchor: what the chunks counted, and a whole run for each chunk
+            counted, windows = (np.concatenate(x) for x in zip(*more, strict=True))
+            weight = np.bincount(np.searchsorted(a[heads], counted), windows, minlength=len(heads)).astype(np.int64)
+            weight += size * (width - gram + 1)
+            big = weight > hot_from
+            hot, bits = a[heads][big], sub_bits(weight[big])
             rows, at = [], 0
             for (chunk, _), mine, n in zip(held, anchors, lens, strict=True):
                 if hit[at:at + n].any():
@@ -486,15 +514,6 @@ def _sorted_hot(lists: list, at: int) -> tuple[np.ndarray, np.ndarray]:
     return hot, np.concatenate([x[at + 1] for x in lists])[where]
 
 
-def _merge_runs(anchor: np.ndarray, key: np.ndarray, doc: np.ndarray):
-    """(one run, smallest, largest document) of every distinct run, by anchor and key."""
-    order = np.lexsort((key, anchor))
-    heads = _heads(key[order])
-    if not len(heads):
-        return heads, doc[heads], doc[heads]
-    return order[heads], np.minimum.reduceat(doc[order], heads), np.maximum.reduceat(doc[order], heads)
-
-
 def _run_rows(width: int, gram: int, bits: int):
     def run(batches):
         import pyarrow as pa
@@ -524,16 +543,17 @@ def _run_rows(width: int, gram: int, bits: int):
             if len(hot):
                 is_hot, i = find_hot(anchor, hot)
                 h = np.flatnonzero(is_hot)
-                r, at, group, key = single_windows(data, first[h], count[h], anchor[h], bits_of[i[h]], width)
-                pick, wlow, _ = _merge_runs(group, key, low[h][r])
-                _, _, whigh = _merge_runs(group, key, high[h][r])
-                cold, r = ~is_hot, r[pick]
-                source = np.concatenate((np.full(cold.sum(), -1), i[h][r]))
-                anchor = np.concatenate((anchor[cold], group[pick]))
-                first, count = np.concatenate((first[cold], at[pick])), np.concatenate((count[cold], np.ones_like(r)))
-                low, high = np.concatenate((low[cold], wlow)), np.concatenate((high[cold], whigh))
-                order = np.argsort(anchor, kind="stable")
-                anchor, first, count, low, high, source = (x[order] for x in (anchor, first, count, low, high, source))
+                cold, i = ~is_hot, i[h]
+                if len(h):
+                    run, byte, group, least, most = hot_windows(data, first[h], count[h], anchor[h], low[h], high[h],
+                                                                bits_of[i], width)
+                    source = np.concatenate((np.full(cold.sum(), -1), i[run]))
+                    anchor, first = np.concatenate((anchor[cold], group)), np.concatenate((first[cold], byte))
+                    count = np.concatenate((count[cold], np.ones_like(run)))
+                    low, high = np.concatenate((low[cold], least)), np.concatenate((high[cold], most))
+                    order = np.argsort(anchor, kind="stable")
+                    anchor, first, count, low, high, source = (
+                        x[order] for x in (anchor, first, count, low, high, source))
             rows, held = [], 0
             for part, s in _split_parts(anchor >> shift):
                 n = count[s]
@@ -697,10 +717,10 @@ def _result_rows(width: int, gram: int):
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH,
-                   gram: int = GRAM, hot_runs: int = HOT_RUNS) -> DataFrame:
+                   gram: int = GRAM, hot_from: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of every row: the removed byte spans
-    (start, end exclusive, maximal) and the remaining bytes. ``hot_runs``: counted
-    runs above which an anchor is split; it changes where windows meet, not the result."""
+    (start, end exclusive, maximal) and the remaining bytes. ``hot_from``: counted
+    windows above which an anchor is split; it changes where windows meet, not the result."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chunks = stage_table(rows.mapInArrow(_make_chunks, "chunk long, kind int, size long, body binary"), "chunks")
     n_chunks, total = chunks.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -730,7 +750,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     part_row, chunk_row = "part long, chunk long, body binary", "chunk long, kind int, body binary"
     bits = parts(16 << 20)
     shared = dealt(bodies.mapInArrow(_anchor_rows(width, gram, bits), part_row), bits)
-    shared = stage_table(shared.mapInArrow(_shared_rows(width, gram, hot_runs), chunk_row), "shared")
+    shared = stage_table(shared.mapInArrow(_shared_rows(width, gram, hot_from), chunk_row), "shared")
     bits = parts(4 << 20)
     runs = dealt(met(copies, shared).mapInArrow(_run_rows(width, gram, bits), part_row), bits)
     owners = stage_table(runs.mapInArrow(_owner_rows(width), chunk_row), "owners")

@@ -156,11 +156,11 @@ def spliced(seed=9, n=150):
     return rows + [(i + 200, t) for i, t in rows[:10]] + [(3, rows[3][1])]
 
 
-@pytest.mark.parametrize("hot_runs", [0, 3])
-def test_split_anchors_change_no_result(make_docs, hard, hot_runs):
+@pytest.mark.parametrize("hot_from", [0, 100])
+def test_split_anchors_change_no_result(make_docs, hard, hot_from):
     rows = spliced(11)
-    assert removed(make_docs(rows), hot_runs=hot_runs) == brute_removed(rows)
-    assert removed(hard, hot_runs=hot_runs) == brute_removed([(r.doc_id, r.text) for r in hard.collect()])
+    assert removed(make_docs(rows), hot_from=hot_from) == brute_removed(rows)
+    assert removed(hard, hot_from=hot_from) == brute_removed([(r.doc_id, r.text) for r in hard.collect()])
 
 
 def test_a_phrase_between_ever_other_neighbours(make_docs):
@@ -177,12 +177,27 @@ def test_sub_groups_of_a_hot_anchor_are_bounded():
     n, per, rng = 40000, 27, np.random.default_rng(3)
     data = rng.integers(0, 256, n * (per + 49)).astype(np.uint8)
     anchor = np.full(n, 12345, np.uint64)
-    bits = suffix_dedup.sub_bits(np.full(n, n // suffix_dedup.MANY), 24, 50)    # the least that is counted of n runs
+    bits = suffix_dedup.sub_bits(np.full(n, n * per // 8))      # most of them uncounted
     run, at, group, key = suffix_dedup.single_windows(data, np.arange(n) * (per + 49), np.full(n, per), anchor, bits, 50)
     assert len(run) == n * per and len(np.unique(key)) == len(key)
     assert np.unique(group, return_counts=True)[1].max() <= 2 * suffix_dedup.WINDOWS
 
 
+def test_one_word_over_and_over(make_docs):
+    """Long runs of one anchor: texts of a repeated word with other words between."""
+    rng = random.Random(6)
+    rows = [(i, " ".join("spam" if rng.random() < 0.98 else f"w{rng.randrange(10**6)}" for _ in range(400)))
+            for i in range(400)]
+    assert removed(make_docs(rows)) == brute_removed(rows)
+
+
+def test_windows_of_distinct_runs_are_counted():
+    anchor = np.array([3, 3, 3, 5, 7, 7], np.uint64)
+    count, key = np.array([10, 10, 4, 30, 6, 5]), np.array([1, 1, 2, 9, 4, 8], np.uint64)
+    at, windows = suffix_dedup.distinct_windows(count, key, suffix_dedup._heads(anchor), 12)
+    assert (at.tolist(), windows.tolist()) == ([0, 1], [14, 30])
+
+
 def test_slices_hold_each_window_once():
     off = np.array([0, 10, 10, 400, 1000, 1003])
     seen = []
