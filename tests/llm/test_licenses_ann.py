@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import re
+
 import numpy as np
 import pytest
 
@@ -67,6 +70,36 @@ def test_related_licenses_keep_their_names(spark, make_docs):
         assert [r.license for r in got if r.doc_id == i] == ([name] if name else []), text
 
 
+def common_words(a, b):
+    """Longest common subsequence by the full table."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], last + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_matches_equal_the_full_alignment(make_docs):
+    """Notices with words changed, dropped and put in, against the full table of common words."""
+    rng = random.Random(8)
+    names = ["mit-grant", "apache-2.0-header", "bsd-2-clause", "mit-text"]
+    rows = []
+    for i in range(60):
+        words, out = re.findall(r"[0-9a-z]+", licenses.TEMPLATES[names[i % 4]].lower()), []
+        for w in words:
+            x = rng.random()
+            out += [] if x < 0.02 else ["zz%d" % rng.randrange(99)] if x < 0.04 else [w, "yy"] if x < 0.06 else [w]
+        pad = [" ".join(f"q{rng.randrange(999)}" for _ in range(rng.randint(0, 30))) for _ in range(2)]
+        rows.append((i, f"{pad[0]} {' '.join(out)} {pad[1]}", names[i % 4], words, out))
+    got = licenses.find_licenses(make_docs([r[:2] for r in rows])).collect()
+    for i, text, name, words, out in rows:
+        r, = [r for r in got if r.doc_id == i]
+        assert r.license == name
+        assert r.matched_words == common_words(words, text[r.start:r.end].split()) == common_words(words, out)
+        assert r.coverage == r.matched_words / len(words)
+
+
 def test_interrupted_and_cut_notices(spark, make_docs):
     words = licenses.TEMPLATES["mit-grant"].split()
     footer = "Page 3 of 12 printed on 4 May by the records office".split()
