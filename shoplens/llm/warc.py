@@ -38,6 +38,9 @@ EMPTY_SKIP = "P*M\x18\x00\x00\x00\x00"      # skippable frame of length 0, as te
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 URN = "urn:x-page:"
 REQUIRED = ("WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length")
+NAMES = {n.lower(): n for n in (*REQUIRED, "WARC-Block-Digest", "WARC-Payload-Digest", "WARC-Refers-To",
+                                "WARC-Target-URI")}                # header names hold in any case
+PIECE = 1 << 16                                 # compressed bytes handed to the decoder at a time
 
 RECORDS = ("page_id long, url string, payload binary, payload_bytes long, payload_digest string, "
            "record_type string, refers_to long, warc_date string")
@@ -116,19 +119,31 @@ def iter_frames(archive: bytes) -> Iterator[bytes]:
             at += 8 + size
         elif magic == ZSTD_MAGIC:
             length = zstd.frame_content_size(view[at:at + 18])
-            o = d.decompressobj()
-            record = o.decompress(view[at:])
+            o, parts, end = d.decompressobj(), [], at
+            while not o.eof and end < len(view):                   # in pieces: what lies behind the frame is copied back
+                piece = view[end:end + PIECE]
+                parts.append(o.decompress(piece))
+                end += len(piece)
             if not o.eof:
                 raise WarcError(f"cut frame at {at}")
+            record = b"".join(parts)
             if length >= 0 and length != len(record):
                 raise WarcError(f"frame at {at} says {length} bytes, has {len(record)}")
-            at = len(view) - len(o.unused_data)
+            at = end - len(o.unused_data)
             yield record
         else:
             raise WarcError(f"unknown frame {magic:#x} at {at}")
         first = False
 
 
+def _page_id(uri: str) -> int | None:
+    """The number of a record id; None where the record has none."""
+    pid = uri.strip("<>").removeprefix(URN)
+    if pid and not pid.removeprefix("-").isdigit():
+        raise WarcError(f"{uri[:60]!r} is no id of a page")
+    return int(pid) if pid else None
+
+
 def parse_record(record: bytes) -> dict:
     """Validated fields of one record."""
     head, sep, rest = record.partition(b"\r\n\r\n")
@@ -140,7 +155,8 @@ def parse_record(record: bytes) -> dict:
         k, colon, v = line.partition(b":")
         if not colon or k.strip() != k or not k:
             raise WarcError(f"bad header line {line[:60]!r}")
-        fields[k.decode()] = v.strip().decode()
+        name = k.decode()
+        fields[NAMES.get(name.lower(), name)] = v.strip().decode()
     for k in REQUIRED:
         if k not in fields:
             raise WarcError(f"{k} is missing")
@@ -166,10 +182,9 @@ def parse_record(record: bytes) -> dict:
     else:
         if payload or length < 0 or "WARC-Refers-To" not in fields:
             raise WarcError("bad revisit record")
-        refers = int(fields["WARC-Refers-To"].strip("<>").removeprefix(URN))
-    pid = fields["WARC-Record-ID"].strip("<>").removeprefix(URN)
+        refers = _page_id(fields["WARC-Refers-To"])
     url = fields.get("WARC-Target-URI")
-    return {"page_id": int(pid) if pid else None, "url": None if url is None else urllib.parse.unquote(url),
+    return {"page_id": _page_id(fields["WARC-Record-ID"]), "url": None if url is None else urllib.parse.unquote(url),
             "payload": payload if kind == "response" else None, "payload_bytes": length,
             "payload_digest": digest, "record_type": kind, "refers_to": refers, "warc_date": fields["WARC-Date"]}
 

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import random
+import re
 import struct
 
 import pytest
@@ -72,3 +74,23 @@ def test_bad_records_are_refused(change):
     assert warc.parse_record(record)["payload"] == b"payload"
     with pytest.raises(warc.WarcError):
         warc.parse_record(change(record))
+
+
+def test_header_names_in_any_case_and_foreign_ids():
+    record = warc.build_record(7, "http://a/", b"hello", None, "2024-01-01T00:00:00Z")
+    low = re.sub(rb"(?m)^(WARC-[A-Za-z-]+|Content-Length)(?=: )", lambda m: m[1].lower(), record, count=0)
+    head, sep, rest = low.partition(b"\r\n\r\n")
+    assert warc.parse_record(head + sep + record.partition(sep)[2]) == warc.parse_record(record)
+    foreign = record.replace(b"<urn:x-page:7>", b"<urn:uuid:92283950-ef2f-4d72-b224-f54c6ec90bb0>")
+    assert foreign != record
+    with pytest.raises(warc.WarcError, match="no id of a page"):
+        warc.parse_record(foreign)
+
+
+def test_frames_longer_than_a_piece():
+    rng = random.Random(5)
+    records = [rng.randbytes(n) for n in (10, warc.PIECE - 1, warc.PIECE, 3 * warc.PIECE + 5, 0, 200_000, 1)]
+    archive = warc.build_archive(records)
+    assert list(warc.iter_frames(archive)) == records
+    with pytest.raises(warc.WarcError):
+        list(warc.iter_frames(archive[:-1]))
