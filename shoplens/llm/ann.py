@@ -9,10 +9,14 @@ directions; edges back are added and pruned alike. Two passes, the second with
 the relaxed ``alpha``. The index (ids, vectors, edges) is a written table, one
 row a shard.
 
-Queries are packed into blocks; every block meets every shard's index, where a
-beam search from the shard's central point finds the candidates. Their
-distances are then computed in double precision on the original components,
-and the nearest of all shards are ranked.
+Every query is searched for in every shard of its vector length. A shard's
+index and the queries of a lane (``LANE`` queries, dealt by a hash of their id)
+are shuffled to one place, the index in front: it is read once, and the queries
+stream past it in blocks, where a beam search from the shard's central point
+finds the candidates. So an index is sent once a lane, not once a block, and
+weighs little beside the queries it meets. Distances are then computed in
+double precision on the original components, and the nearest of all shards are
+ranked. Only points that a query has not met yet cost it a distance.
 
 Equal vectors of a shard are one graph point that lists its ids, so a vector
 shared by a third of all rows costs one point a shard, and ties go to the
@@ -34,15 +38,11 @@ from pyspark.sql import functions as F
 
 from shoplens.llm.common import stage_table
 
-SHARD, DEGREE, BEAM, ALPHA, BLOCK = 4096, 20, 40, 1.2, 2048
+SHARD, DEGREE, BEAM, ALPHA, BLOCK = 16384, 32, 40, 1.2, 512
+LANE = 1 << 18
 RESULT = "query_id long, vec_id long, score double"
 
 
-def _distances(x: np.ndarray, sq: np.ndarray, ids: np.ndarray, q: np.ndarray, qq: np.ndarray) -> np.ndarray:
-    """Squared distances of row queries (b, d) to points ids (b, m)."""
-    return np.maximum(sq[ids] - 2.0 * np.einsum("bmd,bd->bm", x[ids], q) + qq[:, None], 0.0)
-
-
 def beam_search(x: np.ndarray, edges: np.ndarray, start: int, q: np.ndarray, beam: int):
     """Greedy search of many queries at once: (ids, squared distances) of the
     ``beam`` nearest points met, and the mask of those expanded. Free slots
@@ -54,7 +54,7 @@ def beam_search(x: np.ndarray, edges: np.ndarray, start: int, q: np.ndarray, bea
     done = np.zeros((b, beam), bool)
     seen = np.zeros((b, n), bool)
     ids[:, 0] = start
-    dist[:, 0] = _distances(x, sq, np.full((b, 1), start), q, qq)[:, 0]
+    dist[:, 0] = np.maximum(sq[start] - 2.0 * (q @ x[start]) + qq, 0.0)
     seen[:, start] = True
     live = np.arange(b)
     while len(live):
@@ -66,10 +66,12 @@ def beam_search(x: np.ndarray, edges: np.ndarray, start: int, q: np.ndarray, bea
             break
         done[live, best] = True
         out = edges[ids[live, best]]
-        safe = np.maximum(out, 0)
-        fresh = (out >= 0) & ~seen[live[:, None], safe]
-        seen[live[:, None], safe] |= out >= 0
-        d = np.where(fresh, _distances(x, sq, safe, q[live], qq[live]), np.inf)
+        fresh = (out >= 0) & ~seen[live[:, None], np.maximum(out, 0)]
+        row, col = np.nonzero(fresh)
+        new, by = out[row, col], live[row]
+        seen[by, new] = True
+        d = np.full(out.shape, np.inf, np.float32)
+        d[row, col] = np.maximum(sq[new] - 2.0 * np.einsum("nd,nd->n", x[new], q[by]) + qq[by], 0.0)
         all_ids = np.concatenate((ids[live], np.where(fresh, out, -1)), 1)
         all_dist = np.concatenate((dist[live], d), 1)
         all_done = np.concatenate((done[live], np.zeros_like(fresh)), 1)
@@ -200,7 +202,9 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD) -> tuple[DataFrame,
         x = _vectors(table.column("v").combine_chunks())
         flat, ids, first = _merge_equal(ids, x)
         edges, start = build_graph(flat.astype(np.float32))
-        body = _pack(ids=ids, first=first, x=flat, edges=edges.astype(np.int32), start=np.int64(start))
+        single = flat.astype(np.float32)
+        body = _pack(ids=ids, first=first, x=single if (single == flat).all() else flat,
+                     edges=edges.astype(np.int32), start=np.int64(start))
         return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "body": pa.array([body], pa.binary())})
 
     index = vectors.withColumn("shard", key).groupBy("shard").applyInArrow(build, "shard long, body binary")
@@ -210,12 +214,12 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD) -> tuple[DataFrame,
 def search_shard(index, query_ids: np.ndarray, q: np.ndarray, k: int, beam: int):
     """(query id, vector id, distance) of the ``k`` nearest found in one shard."""
     x, ids, first = index["x"], index["ids"], index["first"]
-    found, _, _ = beam_search(x.astype(np.float32), index["edges"].astype(np.int64), int(index["start"]),
+    found, _, _ = beam_search(x.astype(np.float32, copy=False), index["edges"], int(index["start"]),
                               q.astype(np.float32), beam)
     out_q, out_v, out_d = [], [], []
     for i in range(len(q)):
         hit = found[i][found[i] >= 0]
-        diff = x[hit] - q[i]
+        diff = x[hit].astype(np.float64) - q[i]
         d = np.sqrt((diff * diff).sum(1))
         reach = np.minimum(first[hit + 1] - first[hit], k + 1)  # the query's own id may be one of them
         at = np.concatenate([np.arange(first[h], first[h] + r) for h, r in zip(hit, reach, strict=True)])
@@ -230,30 +234,46 @@ def search_shard(index, query_ids: np.ndarray, q: np.ndarray, k: int, beam: int)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding",
-            shard_rows: int = SHARD, beam: int = 128) -> DataFrame:
+            shard_rows: int = SHARD, beam: int = 160, lane_rows: int = LANE) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows of ``vectors``
     found for each row of ``queries``, without the query's own id."""
     index, shards = build_index(stage_table(_usable(vectors, id_col, vec_col), "ann_vectors"), shard_rows)
     ask = stage_table(_usable(queries, id_col, vec_col), "ann_queries")
-    blocks = max(1, -(-ask.count() // BLOCK))
-    spread = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks))
-    packed = ask.withColumn("dim", F.size("v").cast("long")).groupBy("dim", spread.alias("block")).agg(
-        F.collect_list(F.struct("vec_id", "v")).alias("q"))
+    lanes = max(1, -(-ask.count() // lane_rows))
     to = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")),
-                     lambda s: F.shiftleft(F.col("dim"), 32) + s)
-    pairs = index.join(packed.withColumn("shard", F.explode(to)), "shard").select("body", "q")
-    pairs = pairs.repartition(max(1, shards * blocks))
+                     lambda s: F.shiftleft(F.size("v").cast("long"), 32) + s)
+    lane = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(lanes))
+    asked = ask.select(F.explode(to).alias("shard"), lane.alias("lane"), F.lit(None).cast("binary").alias("body"),
+                       "vec_id", "v")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long")))
+    bodies = index.select("shard", every.alias("lane"), "body",
+                          F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("v"))
+    both = bodies.unionByName(asked).repartition(2 * shards * lanes, "shard", "lane")
+    both = both.sortWithinPartitions("shard", "lane", F.col("body").isNull())
 
     def search(batches):
         import pyarrow as pa
+        at, index = None, None
         for b in batches:
-            for body, q in zip(b.column(0), b.column(1), strict=True):
-                rows = q.values
-                ids = rows.field("vec_id").to_numpy(zero_copy_only=False)
-                got = search_shard(_unpack(body.as_py()), ids, _vectors(rows.field("v")), k, beam)
-                yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()),
-                                                  pa.array(got[2], pa.float64())], ["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(search, RESULT)
+            place = np.stack([b.column(c).to_numpy() for c in ("shard", "lane")], 1)
+            front = b.column("body").is_valid().to_numpy(zero_copy_only=False)
+            cut = front.copy()
+            cut[1:] |= front[:-1] | (place[1:] != place[:-1]).any(1)
+            cut[0] = True
+            cuts = [*np.flatnonzero(cut).tolist(), b.num_rows]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if front[i]:
+                    at, index = tuple(place[i]), dict(_unpack(b.column("body")[i].as_py()))
+                    continue
+                if at != tuple(place[i]):                       # no vector has the queries' length
+                    continue
+                for m in range(i, j, BLOCK):
+                    part = b.slice(m, min(BLOCK, j - m))
+                    got = search_shard(index, part.column("vec_id").to_numpy(zero_copy_only=False),
+                                       _vectors(part.column("v")), k, beam)
+                    yield pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64()),
+                                                      pa.array(got[2], pa.float64())], ["query_id", "vec_id", "score"])
+
+    found = both.mapInArrow(search, RESULT)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from shoplens.llm import ann, licenses, queries
 
@@ -168,3 +169,40 @@ def test_cases(spark):
     few = spark.createDataFrame([(0, [1.0, 1.0]), (1, [2.0, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.nearest(few, few.where("vec_id = 0")).collect()] == [(0, 1, 1, 1.0)]
     assert ann.nearest(few.limit(0), few).count() == 0
+
+
+def test_lanes_blocks_and_lengths(spark):
+    """An index is read once a lane; small batches, lanes and blocks, and vectors of several lengths change nothing."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in rng.standard_normal(4 + 2 * (i % 2))]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    lonely = spark.createDataFrame([(20, [1.0] * 9)], "vec_id long, embedding array<float>")
+    asked = df.where("vec_id % 5 = 0").unionByName(lonely.withColumn("vec_id", F.lit(-1).cast("long")))
+
+    def run(**params):
+        return sorted(map(tuple, ann.nearest(df, asked, k=5, shard_rows=150, **params).collect()))
+    one = run()
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert run(lane_rows=50) == one
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {r[0] for r in one} == {i for i in range(0, 1200, 5)}
+    hit = 0
+    for q in range(0, 1200, 5):
+        same = [r for r in rows if r[0] % 2 == q % 2]
+        x = np.array([v for _, v in same], np.float32).astype(float)
+        want = brute(x, np.array([i for i, _ in same]), (q, x[q // 2]), 5)
+        hit += len({v for v, _ in want} & {r[2] for r in one if r[0] == q})
+    assert hit >= 0.95 * 5 * 240
+
+
+def test_a_search_measures_each_point_once():
+    x = np.random.default_rng(9).standard_normal((3000, 16)).astype(np.float32)
+    edges, start = ann.build_graph(x)
+    ids, dist, _ = ann.beam_search(x, edges, start, x[:64], 40)
+    assert (ids[:, 0] == np.arange(64)).all() and (np.diff(dist, axis=1) >= 0).all()
+    assert all(len(set(r.tolist())) == 40 for r in ids)
+    d = ((x[ids[5]] - x[5]) ** 2).sum(1)
+    assert np.allclose(d, dist[5], atol=1e-3)
