@@ -43,10 +43,35 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 THRESHOLDS = {"hex": (3.1, 24), "mixed": (3.7, 20), "lower": (3.4, 20), "upper": (3.4, 20), "letters": (3.7, 20)}
 
 
-def camel_words(s: str) -> bool:
-    """Letters that read as words: cut where the case changes, they come to four letters a word or more."""
-    words = re.findall(r"[A-Z]?[a-z]++|[A-Z]++", re.sub(r"([A-Z][a-z])", r" \1", s))
-    return bool(words) and not re.search(r"[0-9]", s) and sum(map(len, words)) >= 4 * len(words)
+_WORD = re.compile(r"[A-Z]?[a-z]++|[A-Z]++")
+_PLACE = re.compile(r"[0-9]*+|[vV][0-9]{1,3}|[0-9]{4}Q[1-4]|[0-9]{8}T[0-9]{4,6}Z?")
+
+
+def reads_as_words(s: str) -> bool:
+    """Letters and digits that read as words: numbered words of one case; or,
+    cut where the case changes and at numbers, words of four letters or more on
+    average, with at most one number a word and a third as many digits as letters."""
+    if re.fullmatch(r"[A-Z]?[a-z]++[0-9]{0,4}|[A-Z]++[0-9]{0,4}", s):
+        return True
+    if not re.fullmatch(r"[A-Za-z0-9]+", s) or not (re.search("[a-z]", s) and re.search("[A-Z]", s)):
+        return False
+    words = _WORD.findall(re.sub(r"([A-Z][a-z])", r" \1", s))
+    numbers = re.findall("[0-9]++", s)
+    letters = sum(map(len, words))
+    return letters >= 4 * len(words) and len(numbers) <= len(words) and 3 * sum(map(len, numbers)) <= letters
+
+
+def identifier(s: str) -> bool:
+    """Identifiers and paths: between / = _ + - lie words (``reads_as_words``),
+    numbers, versions, quarters and time stamps; other parts have at most eight
+    characters each and together at most a fifth as many as the words."""
+    words, rest = 0, []
+    for part in re.split(r"[-_/=+]+", s):
+        if reads_as_words(part):
+            words += len(part)
+        elif not _PLACE.fullmatch(part):
+            rest.append(len(part))
+    return 5 * sum(rest) <= words and max(rest, default=0) <= 8
 
 
 def _path(*words: str) -> str:
@@ -59,7 +84,7 @@ def _path(*words: str) -> str:
 ALLOW = (r"(?i)example|placeholder|changeme|x{6}|\*{4}",                # documentation values
          _path("[A-Z]?[a-z]++", "[A-Z]++"), r"^[0-9+/_=-]+$",           # words, numbers, paths of words
          _path("[a-z]++[0-9]{0,4}+", "[0-9]++"), _path("[A-Z]++[0-9]{0,4}+", "[0-9]++"),    # and of numbered words
-         camel_words)
+         identifier)
 # No part of a candidate: UUIDs, and digests (hex or base64) behind their names.
 PLAIN = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|(?i:"
                    r"md5[-_/=+](?:[0-9a-f]{32}|[a-z0-9+/_-]{22})|sha1[-_/=+](?:[0-9a-f]{40}|[a-z0-9+/_-]{27})|"
