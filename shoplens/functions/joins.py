@@ -10,6 +10,7 @@ keys, and the right side of all other keys, are joined plainly.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,3 +54,24 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, spread: Column, how
     a = left.join(parts, key, "left").withColumn("_part", F.coalesce(lonely, F.pmod(F.xxhash64(spread), own)).cast("int")).drop("_parts")
     b = right.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), own - 1))).drop("_parts")
     return a.join(b, [key, "_part"], how).drop("_part")
+
+
+def gathered(rows: DataFrame, key: str, reduce: Callable[[DataFrame], DataFrame], counted: DataFrame | None = None
+             ) -> DataFrame:
+    """Rows dealt by ``key`` to the session's shuffle partitions, ahead of an
+    aggregation by ``key`` and more columns: its groups are whole there, and a
+    view bucketed on ``key`` is written as they lie, so the rows move once.
+
+    Sums made before the rows move would hold nearly as many groups as a task
+    has rows and spill once they outgrow its memory. Only the rows of hot keys
+    are reduced first, by ``reduce`` (to columns of the same names, which the
+    aggregation can sum again). ``counted``: a plainer frame with the same keys,
+    in which hot ones are looked for where ``rows`` are the result of a join."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = hot_keys(rows if counted is None else counted, key)
+    if hot:
+        # At most LISTED keys, so broadcasting them is safe at every size.
+        kind = T.StructType([T.StructField(key, rows.schema[key].dataType)])
+        keys = F.broadcast(rows.sparkSession.createDataFrame([(k,) for k, _ in hot], kind))
+        rows = rows.join(keys, key, "left_anti").unionByName(reduce(rows.join(keys, key, "left_semi")))
+    return rows.repartition(n, key)

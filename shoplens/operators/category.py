@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.functions.common import money, rounded_ratio
-from shoplens.functions.joins import spread_join
+from shoplens.functions.joins import gathered, spread_join
 
 UNKNOWN = "Unknown"
 
@@ -51,10 +51,16 @@ def order_group_summary(items: DataFrame, products: DataFrame, dictionary: DataF
     """
     d = dictionary.select("product_category", "category_group").withColumn("_known", F.lit(True))
     pc = products.select("product_id", "product_category").join(d, "product_category", "left")
-    rows = spread_join(items.select("order_id", "product_id", "price"), pc, "product_id", F.col("order_id"))
-    return (rows.groupBy("order_id", F.coalesce(F.col("category_group"), F.lit(UNKNOWN)).alias("category_group"),
-                         F.coalesce(F.col("_known"), F.lit(False)).alias("_known"))
-            .agg(F.count(F.lit(1)).alias("_items"), F.sum("price").alias("_sales")))
+    keys = ["order_id", "category_group", "_known"]
+
+    def total(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*keys).agg(F.sum("_items").alias("_items"), F.sum("_sales").alias("_sales"))
+    rows = spread_join(items.select("order_id", "product_id", "price"), pc, "product_id", F.col("order_id")).select(
+        "order_id", F.coalesce(F.col("category_group"), F.lit(UNKNOWN)).alias("category_group"),
+        F.coalesce(F.col("_known"), F.lit(False)).alias("_known"),
+        F.lit(1).cast("bigint").alias("_items"), F.col("price").alias("_sales"))
+    kind = total(rows).schema["_sales"].dataType
+    return total(gathered(rows, "order_id", total, items)).withColumn("_sales", F.col("_sales").cast(kind))
 
 
 def _as_summary(df: DataFrame) -> DataFrame:

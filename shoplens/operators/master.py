@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.functions.common import flag
+from shoplens.functions.joins import gathered
 
 PERSON = "customer_unique_id"
 
@@ -31,7 +32,11 @@ def order_type_totals(payments: DataFrame) -> DataFrame:
     """Payments summed per order and payment type, under the columns of
     ``payments``: whatever sums payments per order, month or type can read
     this instead of the raw rows."""
-    return payments.groupBy("order_id", "payment_type").agg(F.sum("payment_value").alias("payment_value"))
+    def total(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("order_id", "payment_type").agg(F.sum("payment_value").alias("payment_value"))
+    rows = payments.select("order_id", "payment_type", "payment_value")
+    kind = total(rows).schema["payment_value"].dataType
+    return total(gathered(rows, "order_id", total)).withColumn("payment_value", F.col("payment_value").cast(kind))
 
 
 def latest_row_per_key(df: DataFrame, key: str | list[str], order_cols: list[str],

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shoplens.functions.joins import hot_keys, spread_join
-from shoplens.operators import category, cohort, quality
+from shoplens.operators import category, cohort, master, quality
 
 
 @pytest.fixture
@@ -92,3 +92,37 @@ def test_distinct_counts_copy_no_rows(spark):
     assert sorted(map(tuple, drift.collect()), key=str) == [("a", 2, 2), (None, 1, 2)]
     assert list(map(tuple, varied.collect())) == [(None, 2, 1, 1, 2), ("a", 2, 1, 2, 3)]
     assert tuple(both.first()) == (5, 3)
+
+
+@pytest.mark.parametrize("summed", ["groups", "types"])
+def test_sums_per_order_move_rows_once(spark, no_help, summed):
+    """Sums bucketed on the order are dealt to the orders once, and no sums over
+    almost as many groups as rows are made (and spilled) before that."""
+    items, products, dictionary = shop(spark, 3_000)
+    if summed == "groups":
+        out, other = category.order_group_summary(items, products, dictionary), 2
+    else:
+        out, other = master.order_type_totals(items.selectExpr("order_id", "product_id AS payment_type", "price AS payment_value")), 0
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    plan = out.repartition(n, "order_id")._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x]
+    assert sum("order_id" in x for x in exchanges) == 1
+    above = plan[:plan.index("Exchange hashpartitioning(order_id")]
+    assert above.count("HashAggregate(") == plan.count("HashAggregate(") == 2
+
+
+def test_order_with_most_items_is_summed_first(spark, no_help):
+    """An order with a third of all items, and items without an order: the sums are those of a plain aggregation."""
+    items, products, dictionary = shop(spark, 60_000, 50)
+    order = F.when(F.col("price") > 0, F.when(F.col("product_id") == "hot", "o1").when(F.col("product_id") != "p1", F.col("order_id")))
+    items = items.withColumn("order_id", order)
+    assert [k for k, _ in hot_keys(items, "order_id")] == ["o1"]
+    got = category.order_group_summary(items, products, dictionary)
+    want = items.groupBy("order_id").agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("s"))
+    assert got.schema["_sales"].dataType == want.schema["s"].dataType
+    assert sorted(map(tuple, got.select("order_id", "_items", "_sales").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    paid = items.selectExpr("order_id", "product_id AS payment_type", "price AS payment_value")
+    got = master.order_type_totals(paid)
+    want = paid.groupBy("order_id", "payment_type").agg(F.sum("payment_value").alias("payment_value"))
+    assert got.schema["payment_value"].dataType == want.schema["payment_value"].dataType
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
