@@ -11,11 +11,10 @@ document with a smaller id is removed. A window is never looked at twice:
 3. Each chunk sends the distinct runs of its shared anchors (bytes, smallest
    and largest document id), again by hash range.
 4. Per anchor, equal runs are collapsed. Where different runs remain, all
-   their windows are sorted as suffixes: a mergesort whose comparisons find
-   the common extension of two suffixes by binary search over prefix
-   polynomial hashes, then compare the next byte. Neighbours with a common
-   extension of ``width`` bytes are equal; their bytes are compared to rule out
-   hash collisions. The smallest id of equal windows is their owner.
+   their windows are sorted as suffixes: ordered by their first eight bytes,
+   those equal so far by the next eight, and so on. Neighbours with a common
+   extension of ``width`` bytes, compared byte for byte, are equal. The smallest
+   id of equal windows is their owner.
 5. Owners go back to the chunks, which mark the bytes of windows with a
    smaller owner.
 
@@ -43,7 +42,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import doc_chunks, mix64, powers, prefix_hash, range_hash, salted_join, stage_table
+from shoplens.llm.common import doc_chunks, mix64, prefix_hash, range_hash, salted_join, stage_table
 
 WIDTH, GRAM, CHUNK, SLICE, WINDOWS = 50, 24, 4 << 20, 1 << 19, 1 << 17
 MANY, HOT = 256, 1 << 16        # windows of an anchor that a chunk counts from; counted windows that make it hot
@@ -241,86 +240,62 @@ def find_hot(anchor: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarra
 # ---------------------------------------------------------------------------
 
 class Suffixes:
-    """Suffixes of a byte array, compared on their first ``width`` bytes."""
+    """Suffixes of a byte array, compared on their first ``width`` bytes (which
+    each of them has), eight bytes at a time."""
 
     def __init__(self, data: np.ndarray, width: int):
-        self.data, self.width = data, width
-        self.prefix = prefix_hash(data)
-        self.power = powers(len(data))[0]
+        self.width = width
         self.eight = np.zeros(len(data) + 1, np.uint64)      # the next eight bytes as a number
         for i in range(min(8, width)):
             self.eight[:len(data) - i] |= data[i:].astype(np.uint64) << np.uint64(56 - 8 * i)
-        self.steps = [1 << i for i in range(width.bit_length() - 1, -1, -1)]
+
+    def words(self, at: np.ndarray, step: int) -> np.ndarray:
+        """Bytes ``step`` to ``step`` + 8 of the suffixes as numbers; those from ``width`` on count as 0."""
+        w = self.eight[np.minimum(at + step, len(self.eight) - 1)]
+        over = step + 8 - self.width
+        return w if over <= 0 else w & ~np.uint64((1 << 8 * over) - 1)
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Length of the common extension at a and b, by binary search."""
-        got = np.zeros(len(a), np.int64)
-        for s in self.steps:
-            x, y = a + got, b + got
-            fits = got + s <= self.width
-            s_x, s_y = np.where(fits, x + s, x), np.where(fits, y + s, y)
-            p = self.prefix
-            same = (p[s_x] - p[x]) * self.power[y] == (p[s_y] - p[y]) * self.power[x]
-            got += np.where(fits & same, s, 0)
+        """Length of the common extension at a and b."""
+        got, live = np.full(len(a), self.width, np.int64), np.arange(len(a))
+        for step in range(0, self.width, 8):
+            x = self.words(a[live], step) ^ self.words(b[live], step)
+            other = x != 0
+            y = x[other]
+            got[live[other]] = step + sum((y < np.uint64(1 << 64 - 8 * k)).astype(np.int64) for k in range(1, 8))
+            live = live[~other]
         return got
 
-    def before(self, a: np.ndarray, b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
-        """Whether suffix a sorts before b (or is equal, where asked). The
-        common extension is only searched where the first bytes are equal."""
-        p, q = self.eight[a], self.eight[b]
-        out = p < q
-        tie = np.flatnonzero(p == q)
-        if len(tie):
-            a, b = a[tie], b[tie]
-            n = self.common(a, b)
-            top = len(self.data) - 1
-            x, y = self.data[np.minimum(a + n, top)], self.data[np.minimum(b + n, top)]
-            out[tie] = np.where(n >= self.width, or_equal[tie], x < y)
-        return out
-
     def sort(self, at: np.ndarray, group: np.ndarray) -> np.ndarray:
-        """Order of the suffixes at ``at`` within each (contiguous) group.
-
-        Bottom-up mergesort of all groups at once: an item's place in a merged
-        block is its place in its own block plus the number of the sibling
-        block's items before it, found by binary search."""
-        n = len(at)
-        order = np.arange(n)
-        heads = _heads(group)
-        size = np.diff(np.append(heads, n))
-        g0, gn = np.repeat(heads, size), np.repeat(size, size)
-        width, widest = 1, int(size.max()) if n else 0
-        live = np.flatnonzero(gn > 1)
-        while width < widest:
-            live = live[gn[live] > width]
-            rel = live - g0[live]
-            block = rel // width
-            right = block & 1
-            sib = np.where(right == 1, (block - 1) * width, (block + 1) * width)
-            lo = np.minimum(sib, gn[live])
-            hi = np.minimum(lo + width, gn[live])
-            base, mine = lo.copy(), at[order[live]]
-            todo = np.flatnonzero(lo < hi)
-            while len(todo):
-                mid = (lo[todo] + hi[todo]) >> 1
-                other = at[order[g0[live[todo]] + mid]]
-                # left items go before equal right ones
-                below = self.before(other, mine[todo], right[todo] == 1)
-                lo[todo] = np.where(below, mid + 1, lo[todo])
-                hi[todo] = np.where(below, hi[todo], mid)
-                todo = todo[lo[todo] < hi[todo]]
-            place = g0[live] + (block - right) * width + (rel - block * width) + (lo - base)
-            moved = order.copy()
-            moved[place] = order[live]
-            order = moved
-            width *= 2
+        """Order of the suffixes at ``at`` within each (contiguous) group; equal ones in any order.
+
+        All groups at once, from the first eight bytes on: suffixes of a group
+        that are equal so far make a stretch, which is ordered by the next
+        eight bytes and parts where those differ. A suffix alone in its
+        stretch has its place."""
+        order, stretch = np.arange(len(at)), _dense(group)[:len(at)]
+        live = np.arange(len(at))                            # places in stretches of several
+        for step in range(0, self.width, 8):
+            size = np.bincount(stretch)[stretch] if len(live) else stretch
+            live, stretch = live[size > 1], stretch[size > 1]
+            if not len(live):
+                break
+            mine = order[live]
+            # one number: the stretch, then the rank of the eight bytes
+            word = self.words(at[mine], step)
+            by = np.argsort(word)
+            rank = np.empty(len(by), np.int64)
+            rank[by] = _dense(word[by])
+            key = _dense(stretch) * len(by) + rank
+            by = np.argsort(key)
+            order[live] = mine[by]
+            stretch = _dense(key[by])
         return order
 
-    def equal_bytes(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        same = np.ones(len(a), bool)
-        for i in range(self.width):
-            same &= self.data[a + i] == self.data[b + i]
-        return same
+
+def _dense(x: np.ndarray) -> np.ndarray:
+    """0, 1, ... for the distinct values of a sorted array."""
+    return np.cumsum(np.concatenate(([0], x[1:] != x[:-1])))
 
 
 def window_owners(s: Suffixes, start: np.ndarray, count: np.ndarray, group: np.ndarray, doc: np.ndarray
@@ -332,9 +307,7 @@ def window_owners(s: Suffixes, start: np.ndarray, count: np.ndarray, group: np.n
     a, b = at[order[:-1]], at[order[1:]]
     same = (g[order[:-1]] == g[order[1:]])
     near = np.flatnonzero(same)
-    eq = s.common(a[near], b[near]) >= s.width
-    near = near[eq]
-    near = near[s.equal_bytes(a[near], b[near])]           # collision verification
+    near = near[s.common(a[near], b[near]) >= s.width]
     joined = np.zeros(len(order), bool)
     joined[near + 1] = True
     heads = np.flatnonzero(~joined)

@@ -208,6 +208,26 @@ def test_slices_hold_each_window_once():
     assert sorted(seen) == want
 
 
+def test_suffix_sort_reads_each_word_once():
+    """Sorting reads each suffix's bytes at most once, eight at a time, however many are equal."""
+    class Counted(np.ndarray):
+        read = 0
+
+        def __getitem__(self, at):
+            Counted.read += np.size(at)
+            return np.asarray(self)[at]
+    rng = np.random.default_rng(3)
+    data = np.concatenate([np.tile(rng.integers(97, 99, 90), 30), rng.integers(97, 123, 2000)]).astype(np.uint8)
+    at = rng.permutation(len(data) - 49)[:4000]
+    s = suffix_dedup.Suffixes(data, 50)
+    s.eight = s.eight.view(Counted)
+    order = s.sort(at, np.zeros(len(at), np.int64))
+    raw = data.tobytes()
+    got = [raw[at[i]:at[i] + 50] for i in order]
+    assert got == sorted(got) and sorted(order) == list(range(len(at)))
+    assert 0 < Counted.read <= 7 * len(at)
+
+
 def test_suffix_sort_orders_groups():
     rng = np.random.default_rng(2)
     data = rng.integers(97, 99, 400).astype(np.uint8)
