@@ -19,7 +19,8 @@ level k
 Every part of a frequent phrase is frequent, so nothing is lost. Phrases are
 keyed by the pair of ids of their two overlapping parts; the id of a phrase is
 the place (chunk and code) of the first statement about it. Keys are exact and
-part of written tables: no hash decides anything, no task numbers anything.
+part of written tables: a hash only picks the part in which statements meet, no
+task numbers anything.
 
 Cases: a null text is empty, a null language is ``und``; texts without words,
 repeated rows and null ids are ordinary input; an empty table gives an empty
@@ -38,11 +39,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import LOWER, doc_chunks, stage_table
+from shoplens.llm.common import LOWER, doc_chunks, mix64, stage_table
+from shoplens.llm.suffix_dedup import by_part, pack, split_parts, unpack
 
 CHUNK_BYTES = 8 << 20
 PART_BITS = 13              # chunks of an input partition; partition and chunk number take 31 bits
 ROWS_PER_SALT = 100_000
+STATED = 1 << 21            # statements of a part
 SCALE = 2_000_000
 
 # 0: of a word, 1: between words, 2: between pieces
@@ -51,6 +54,8 @@ KIND[[9, 32]] = 1
 KIND[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = 2
 
 RELATION = "lang string, chunk long, n long, codes binary, fresh binary, words array<string>, counts array<long>"
+PACKED = "part long, chunk long, body binary"
+KEPT = "at long, body binary, id array<long>, lefts array<long>, rights array<long>, a array<long>"
 EXTENDED = "chunk long, n long, codes binary, lefts array<long>, rights array<long>, counts array<long>"
 
 
@@ -142,7 +147,12 @@ def _adjacent(relation, reply):
     row = relation.select(["chunk", "codes", "n", "size"] + [c for c in ("fresh",) if c in relation.column_names]).to_pylist()[0]
     codes = np.frombuffer(pa.decompress(row["codes"], 4 * row["n"], "zstd"), np.int32)
     ids = np.full(row["size"] + 1, -1, np.int64)                # the last place is that of code -1
-    ids[reply.column("code").to_numpy()] = reply.column("id").to_numpy()
+    if "body" in reply.column_names:
+        for body in reply.column("body").to_pylist():
+            steps, phrases = unpack(body)
+            ids[np.cumsum(steps, dtype=np.int64)] = phrases
+    else:
+        ids[reply.column("code").to_numpy()] = reply.column("id").to_numpy()
     left = (ids >= 0)[codes]
     both = left[:-1] & left[1:]
     if "fresh" in row:                                          # beyond one word the overlap lies in one piece
@@ -186,27 +196,93 @@ def _frequent(statements: DataFrame, key: list[str], minimum: int, name: str) ->
     return stage_table(kept.select(at.alias("at"), code.alias("code"), "id", *[F.when(first, F.col(c)).alias(c) for c in (*key, "a")]), name)
 
 
+def _stated_rows(bits: int):
+    """The statements of chunks (chunk, lefts, rights, counts), dealt to 2**``bits`` parts by a hash of their phrase."""
+    def run(batches):
+        import pyarrow as pa
+        shift = np.uint64(64 - bits)
+        for b in batches:
+            for i, chunk in enumerate(b.column(0).to_pylist()):
+                lefts, rights, counts = (b.column(c)[i].values.to_numpy(zero_copy_only=False) for c in (1, 2, 3))
+                if not len(lefts):
+                    continue
+                part = mix64(lefts.astype(np.uint64) ^ mix64(rights.astype(np.uint64))) >> shift
+                order = np.argsort(part, kind="stable")
+                parts, bodies = [], []
+                for p, s in split_parts(part[order]):
+                    code = order[s]
+                    parts.append(p)
+                    bodies.append(pack(np.diff(code, prepend=0).astype(np.uint32), lefts[code], rights[code], counts[code].astype(np.uint32)))
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int64()), pa.array([chunk] * len(parts), pa.int64()),
+                                                  pa.array(bodies, pa.binary())], names=["part", "chunk", "body"])
+    return run
+
+
+def _kept_rows(minimum: int, replies: bool):
+    """Of each part the statements about phrases that occur ``minimum`` times, a
+    row a chunk: its codes and the ids of their phrases, packed (with
+    ``replies`` alone), and the phrases that are first stated there."""
+    def run(batches):
+        import pyarrow as pa
+        for held in by_part(batches):
+            cols = [unpack(body) for _, body in held]
+            place = np.concatenate([(chunk << 32) + np.cumsum(c[0], dtype=np.int64) for (chunk, _), c in zip(held, cols, strict=True)])
+            lefts, rights, cnt = (np.concatenate([c[i] for c in cols]) for i in (1, 2, 3))
+            order = np.lexsort((rights, lefts))
+            place, lefts, rights = place[order], lefts[order], rights[order]
+            heads = np.flatnonzero(np.concatenate(([True], (lefts[1:] != lefts[:-1]) | (rights[1:] != rights[:-1]))))
+            size = np.diff(np.append(heads, len(place)))
+            a = np.repeat(np.add.reduceat(cnt[order].astype(np.int64), heads), size)
+            ids = np.repeat(np.minimum.reduceat(place, heads), size)
+            use = np.flatnonzero((a >= minimum) & (replies | (place == ids)))
+            if not len(use):
+                continue
+            use = use[np.argsort(place[use])]
+            at, bodies, chunks, new = place[use] >> 32, [], [], place[use] == ids[use]
+            ends = [0]
+            for chunk, s in split_parts(at):
+                chunks.append(chunk)
+                code = place[use[s]] & 0xFFFFFFFF
+                bodies.append(pack(np.diff(code, prepend=0).astype(np.uint32), ids[use[s]]) if replies else None)
+                ends.append(ends[-1] + int(new[s].sum()))
+            first = use[new]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(chunks, pa.int64()), pa.array(bodies, pa.binary()),
+                 *[pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x[first])) for x in (ids, lefts, rights, a)]],
+                names=["at", "body", "id", "lefts", "rights", "a"])
+    return run
+
+
+def _frequent_longer(relation: DataFrame, minimum: int, replies: bool, name: str) -> DataFrame:
+    """As :func:`_frequent`, of the phrases of a relation of two words or more; rows as :func:`_kept_rows` makes them."""
+    n = relation.agg(F.coalesce(F.sum(F.size("counts")), F.lit(0))).first()[0]
+    bits = max(6, int(np.ceil(np.log2(max(1, n / STATED)))))
+    stated = relation.select("chunk", "lefts", "rights", "counts").mapInArrow(_stated_rows(bits), PACKED)
+    met = stated.repartition(1 << bits, "part").sortWithinPartitions("part")
+    return stage_table(met.mapInArrow(_kept_rows(minimum, replies), KEPT), name)
+
+
 def frequent_phrases(relation: DataFrame, minimum: int, longest: int) -> list[DataFrame]:
     """For k = 1 .. ``longest`` the table of phrases of k words that occur
     ``minimum`` times or more in their language: (id, lang, phrase, last, a, pre,
     suf, lefts, rights). ``relation``: the written :func:`occurrences`."""
-    key, statements = ["lang", "words"], _statements(relation, "words", also=("lang",))
     levels: list[DataFrame] = []
     none, no = F.array().cast("array<long>"), F.lit(None).cast("long")
     for k in range(1, longest + 1):
-        kept = _frequent(statements, key, minimum, f"statements_{k}")
-        found = kept.where(F.col("a").isNotNull())
+        kept = _frequent(_statements(relation, "words", also=("lang",)), ["lang", "words"], minimum, f"statements_{k}") if k == 1 \
+            else _frequent_longer(relation, minimum, k < longest, f"statements_{k}")
         if k == 1:
+            found = kept.where(F.col("a").isNotNull())
             levels.append(found.select("id", "lang", F.col("words").alias("phrase"), F.col("words").alias("last"), "a",
                                        none.alias("pre"), none.alias("suf"), no.alias("lefts"), no.alias("rights")))
         else:
-            levels.append(stage_table(_longer(found.select("id", *key, "a"), levels[-1]), f"phrases_{k}"))
+            found = kept.select(F.explode(F.arrays_zip("id", "lefts", "rights", "a")).alias("x")).select("x.*")
+            levels.append(stage_table(_longer(found, levels[-1]), f"phrases_{k}"))
         if k == longest:
             break
         held = relation.select("chunk", "n", "codes", F.size("counts").alias("size"), *(["fresh"] if k == 1 else []))
-        relation = stage_table(held.groupBy("chunk").cogroup(kept.select("at", "code", "id").groupBy("at"))
+        relation = stage_table(held.groupBy("chunk").cogroup(kept.select("at", *(["code", "id"] if k == 1 else ["body"])).groupBy("at"))
                                .applyInArrow(_adjacent, EXTENDED), f"occurrences_{k + 1}")
-        key, statements = ["lefts", "rights"], _statements(relation, "lefts", "rights")
     return levels
 
 

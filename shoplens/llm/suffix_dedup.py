@@ -327,7 +327,7 @@ def _batch(rows: list[tuple], kinds: dict):
                                       names=list(kinds))
 
 
-def _split_parts(part: np.ndarray):
+def split_parts(part: np.ndarray):
     """(part, row indices) of every part of a sorted array."""
     heads = _heads(part)
     for a, b in zip(heads, np.append(heads[1:], len(part)), strict=True):
@@ -403,7 +403,7 @@ def _anchor_rows(width: int, gram: int, bits: int):
                 low, high = np.minimum.reduceat(text, heads), np.maximum.reduceat(text, heads)
                 anchor, text = anchor[heads], np.where(low == high, low, np.uint64(0))     # 0: several contents
                 rows = []
-                for part, s in _split_parts(anchor >> shift):
+                for part, s in split_parts(anchor >> shift):
                     table, index = np.unique(text[s], return_inverse=True)
                     m = slice(*np.searchsorted(many, (s.start, s.stop)))
                     rows.append((part, chunk.as_py(), pack(_delta(anchor[s]), table, index.astype(np.uint32),
@@ -413,7 +413,7 @@ def _anchor_rows(width: int, gram: int, bits: int):
     return run
 
 
-def _by_part(batches):
+def by_part(batches):
     """(part, [(chunk, body), ...]) of rows sorted by part."""
     now, held = None, []
     for b in batches:
@@ -431,7 +431,7 @@ def _shared_rows(width: int, gram: int, hot_from: int):
     def run(batches):
         import pyarrow as pa
         kinds = {"chunk": pa.int64(), "kind": pa.int32(), "body": pa.binary()}
-        for held in _by_part(batches):
+        for held in by_part(batches):
             anchors, texts, more = [], [], []
             for _, body in held:
                 delta, table, index, many, windows = unpack(body)
@@ -528,7 +528,7 @@ def _run_rows(width: int, gram: int, bits: int):
                     anchor, first, count, low, high, source = (
                         x[order] for x in (anchor, first, count, low, high, source))
             rows, held = [], 0
-            for part, s in _split_parts(anchor >> shift):
+            for part, s in split_parts(anchor >> shift):
                 n = count[s]
                 text_bytes = data[_ranges(first[s], n + width - 1)]
                 j = np.zeros(0, np.int64) if source is None else np.unique(source[s])
@@ -605,7 +605,7 @@ def _owner_rows(width: int):
     def run(batches):
         import pyarrow as pa
         kinds = {"chunk": pa.int64(), "kind": pa.int32(), "body": pa.binary()}
-        for held in _by_part(batches):
+        for held in by_part(batches):
             cols = [unpack(body) for _, body in held]
             lens = [len(c[0]) for c in cols]
             anchor = np.concatenate([_undelta(c[0]) for c in cols])

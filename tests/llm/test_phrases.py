@@ -107,3 +107,36 @@ def test_one_statement_a_chunk(spark):
     rows = phrases._statements(rel, "words", also=("lang",)).groupBy("words").count().collect()
     assert {r["count"] for r in rows} == {chunks} and chunks > 4
     assert rel.agg(F.sum("n")).first()[0] == 40_000
+
+
+def test_statements_of_pairs_are_packed(spark):
+    """Statements of pairs meet whole and are summed exactly, in under ten bytes each (four numbers of eight before)."""
+    import numpy as np
+    rng = np.random.default_rng(5)
+    ids = (rng.integers(0, 3, 400) << 32) + rng.integers(0, 60_000, 400)
+    rows, want = [], {}
+    for chunk in (0, 1, 5, (1 << 31) - 1):
+        pairs = sorted({(int(a), int(b)) for a, b in rng.choice(ids, (20_000, 2))})
+        counts = [int(c) for c in rng.geometric(0.5, len(pairs))]
+        rows.append((chunk, [p[0] for p in pairs], [p[1] for p in pairs], counts))
+        for code, (p, c) in enumerate(zip(pairs, counts, strict=True)):
+            want.setdefault(p, []).append(((chunk << 32) + code, c))
+    rows.append((7, [], [], []))
+    rel = spark.createDataFrame(rows, "chunk long, lefts array<long>, rights array<long>, counts array<long>")
+    sent = rel.mapInArrow(phrases._stated_rows(6), phrases.PACKED)
+    size = sent.agg(F.sum(F.length("body"))).first()[0]
+    assert size < 10 * sum(map(len, want.values()))
+    kept = {p: (min(x)[0], sum(c for _, c in x), x) for p, x in want.items() if sum(c for _, c in x) >= 6}
+    first = {(i >> 32, i, *p, a) for p, (i, a, _) in kept.items()}
+    told = {(at, i) for i, _, x in kept.values() for at, _ in x}
+    for replies in (True, False):
+        got = phrases._frequent_longer(rel, 6, replies, "test_kept").collect()
+        new = [(r["at"], *x) for r in got for x in zip(r["id"], r["lefts"], r["rights"], r["a"], strict=True)]
+        assert len(new) == len(first) and set(new) == first
+        back = []
+        for r in got:
+            assert (r["body"] is not None) == replies
+            if replies:
+                steps, ids = phrases.unpack(r["body"])
+                back += zip(((r["at"] << 32) + np.cumsum(steps, dtype=np.int64)).tolist(), ids.tolist(), strict=True)
+        assert len(back) == replies * len(told) and set(back) == (told if replies else set())
